@@ -34,6 +34,8 @@ CHUNKS = 12
 WIDTH = 5
 SYMBOLS = CHUNKS * WIDTH
 BLOCK = 512
+#: Side of the rows of a cell in which every two are compared.
+WHOLE = -1
 
 
 @dataclass(frozen=True)
@@ -118,6 +120,15 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def first_key(differ: np.ndarray) -> np.ndarray:
+    """Index of the first key that two signatures share, from the symbols that differ."""
+    chunks = differ.reshape(-1, CHUNKS, WIDTH)
+    errors = chunks.sum(2)
+    chunk = (errors <= 1).argmax(1)
+    row = np.arange(len(differ))
+    return chunk * WIDTH + np.where(errors[row, chunk] == 1, chunks[row, chunk].argmax(1), 0)
+
+
 def _sig_matrix(column: pa.Array) -> np.ndarray:
     data, _ = text_buffer(column)
     return np.frombuffer(data.tobytes(), np.uint16).reshape(-1, SYMBOLS)
@@ -157,19 +168,24 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(percent: int, radius: int):
-    """Pairs of a cell that may be links: sizes and signatures allow it, and the
-    components so far differ."""
+    """Pairs of a cell that may be links: sizes and signatures allow it, the
+    components so far differ, and this is the first key that the two share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "cell"], least=1 << 14):
             table = table.combine_chunks()
-            key, cell, rep, comp, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "rep", "comp", "n"))
+            key, cell, rep, comp, n, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "rep", "comp", "n", "side"))
             sig = _sig_matrix(table.column("sig"))
+            index = (chunk_keys(sig) == key[:, None]).argmax(1)
+            whole = side == WHOLE
             for i, j in pairs_within(group_starts(key, cell), len(key), 1 << 18):
                 low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                ok = (comp[i] != comp[j]) & (100 * low >= percent * high)
+                ok = (comp[i] != comp[j]) & (100 * low >= percent * high) & (whole[i] | (side[i] != side[j]))
                 i, j = i[ok], j[ok]
-                ok = (sig[i] != sig[j]).sum(1) <= radius
+                differ = sig[i] != sig[j]
+                ok = differ.sum(1) <= radius
+                i, j = i[ok], j[ok]
+                ok = first_key(differ[ok]) == index[i]
                 a, b = rep[i[ok]], rep[j[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -246,12 +262,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     joined = components(links)
 
     placed = members.join(joined, members.rep == joined.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high and m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rest = rest.withColumn("other", other).select("key", "rep", "comp", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell"))
-    rest = rest.join(classes, "rep").select("key", "cell", "rep", "comp", "n", "sig")
-    more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_near(p, r), "a long, b long").distinct()
+    # of a key, the members of its first component are only compared with the others
+    sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    open_ = sizes.groupBy("key").agg(F.min(F.struct("comp", "m")).alias("first"), F.max("comp").alias("high"), F.sum("m").alias("m")).where("first.comp <> high and m > 2")
+    open_ = open_.select("key", F.col("first.comp").alias("main"), F.expr(f"cast(ceil(first.m / {BLOCK}) as int) as mains"), F.expr(f"cast(ceil((m - first.m) / {BLOCK}) as int) as others"))
+    rest = placed.join(open_, "key").withColumn("own", F.expr("pmod(xxhash64(rep), if(comp = main, mains, others))"))
+    against = "transform(sequence(0, if(comp = main, others, mains) - 1), x -> struct(if(comp = main, x, own) * 1000000 + if(comp = main, own, x) as cell, if(comp = main, 0L, 1L) as side))"
+    among = f"transform(sequence(0, others - 1), x -> struct(-1 - (least(x, own) * 1000000 + greatest(x, own)) as cell, if(x = own, {WHOLE}L, own) as side))"
+    rest = rest.withColumn("at", F.explode(F.expr(f"if(comp = main, {against}, concat({against}, {among}))")))
+    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes, "rep")
+    more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_near(p, r), "a long, b long")
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
     if more.isEmpty():
         found = joined
@@ -272,3 +292,17 @@ def _close(radius: int):
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     return run
+
+
+def keep_representatives(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of near duplicates, columns
+    unchanged: that with the smallest id, and of rows with that id one.
+
+    Rows without an id or without words have no duplicates and stay.
+    """
+    found = near_duplicates(docs, settings, id_col, text_col).where("n_shingles > 0 and doc_id is not null")
+    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept")).where("not _kept").select("_id")
+    rest = docs.join(gone, docs[id_col] == F.col("_id"), "left_anti")
+    empty = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)) | F.col(id_col).isNull()
+    once = F.when(empty, F.xxhash64(F.monotonically_increasing_id(), F.lit(1))).otherwise(F.lit(0))
+    return rest.withColumn("_once", once).dropDuplicates([id_col, "_once"]).drop("_once")
