@@ -74,7 +74,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def portions(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def portions(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of values of at most ``limit`` bytes, or one longer value."""
     n, i = len(offsets) - 1, 0
     while i < n:
@@ -217,6 +217,39 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, per
 
 
+class HashMemory:
+    """Numbers remembered by 64-bit hash: sorted levels that are merged as they
+    grow, so adding stays cheap however many there are."""
+
+    def __init__(self):
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def __len__(self) -> int:
+        return sum(len(k) for k, _ in self.levels)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is known, and its number (0 where it isn't)."""
+        known, value = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+        for level, numbers in self.levels:
+            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            hit = level[at] == keys
+            known |= hit
+            value[hit] = numbers[at[hit]]
+        return known, value
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Remember new, distinct keys."""
+        if not len(keys):
+            return
+        self.levels.append((keys, values))
+        while len(self.levels) > 1 and 2 * len(self.levels[-1][0]) >= len(self.levels[-2][0]):
+            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
+            self.levels.append((np.concatenate([b, a]), np.concatenate([y, x])))
+        key, value = self.levels[-1]
+        order = np.argsort(key)
+        self.levels[-1] = key[order], value[order]
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest position reachable from each of ``n`` positions over links a-b."""
     label = np.arange(n)

@@ -26,7 +26,7 @@ from tessera.llm.common import U64, binary_column, group_starts, mix64, portions
 from tessera.llm.run_index import SEPARATOR, repeated_starts
 
 #: Distinct segments of a shard that are indexed together.
-BLOCK = 2048
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -116,14 +116,17 @@ def _index(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["shard", "cell"], weight="bytes"):
-            data, offsets = text_buffer(table.column("bytes"))
-            found = repeated_starts(data, offsets, width, SEPARATOR)
-            edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
-            first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            owner = np.searchsorted(offsets, first, "right") - 1
-            content = table.column("content").combine_chunks().to_numpy(zero_copy_only=False)
-            shard = table.column("shard").combine_chunks().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(shard[owner]), pa.array(content[owner]), pa.array((first - offsets[owner]).astype(np.int32)), pa.array((last - offsets[owner]).astype(np.int32))], ["shard", "content", "low", "high"])
+            data, all_offsets = text_buffer(table.column("bytes"))
+            all_content, all_shard, cell = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("content", "shard", "cell"))
+            groups = np.append(group_starts(all_shard, cell), len(cell))
+            for g, h in portions(all_offsets[groups]):
+                i, j = groups[g], groups[h]
+                content, shard, offsets = all_content[i:j], all_shard[i:j], all_offsets[i : j + 1] - all_offsets[i]
+                found = repeated_starts(data[all_offsets[i] : all_offsets[j]], offsets, width, SEPARATOR)
+                edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
+                first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+                owner = np.searchsorted(offsets, first, "right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(shard[owner]), pa.array(content[owner]), pa.array((first - offsets[owner]).astype(np.int32)), pa.array((last - offsets[owner]).astype(np.int32))], ["shard", "content", "low", "high"])
 
     return run
 
