@@ -4,13 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import minhash, repeats
+from tessera.llm import language_id, minhash, mixing, mpeg_audio, repeats, sentencepiece_codec, sharding, token_count
+
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op4_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpeg_audio.text_media_digest(_table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(_table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", "slot", "shard")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode_documents(_table(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Settings(words=3, percent=85))
 
@@ -19,9 +45,21 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(_table(spark, sf_dir, "documents"), repeats.Settings(width=400))
 
 
-QUERIES = {
-    "op9_minhash_near_dedup": op9_minhash_near_dedup,
-    "op10_suffix_array_dedup": op10_suffix_array_dedup,
-}
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_mpeg_audio, op5_sharding, op6_language_id, op7_sentencepiece, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+
+
+def _sharding_sql() -> str:
+    """The lookup table as a list literal, indexed by the same MD5 bits."""
+    table = ", ".join(map(str, sharding.lookup_table()))
+    return f"""
+        with placed as (
+            select doc_id, cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 12) as bigint) % {sharding.SLOTS} as slot from documents
+        ), lookup as (
+            select unnest(range({sharding.SLOTS})) as slot, unnest([{table}]) as owner
+        )
+        select doc_id, placed.slot, 'shard-' || lpad(cast(owner as varchar), 3, '0') as shard
+        from placed join lookup on placed.slot = lookup.slot
+    """
+
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_sharding": _sharding_sql()}
