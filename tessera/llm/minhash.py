@@ -12,9 +12,10 @@ probability of a few in a million.
 
 Candidates are confirmed on the full shingle sets. Documents with equal sets
 are one class and only its representative is compared. In a bucket all members
-are first compared with one hub; pairs whose ends are by then in the same
-component cannot change the result and are skipped, and all other pairs of the
-bucket are compared in blocks of bounded size. The result is therefore the
+are first compared with one hub, then with neighbours in a seeded order; pairs
+whose ends are by then in the same component cannot change the result and are
+skipped, and all other pairs of the bucket are compared in blocks of bounded
+size. The result is therefore the
 exact components of the links found, without all pairs of a group being made.
 """
 
@@ -167,6 +168,20 @@ def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_k), pa.array(out_r), pa.array(out_h)], ["key", "rep", "hub"])
 
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of neighbouring rows of a key that are in different components."""
+    last = None
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "rep", "comp")]
+        if not len(rows[0]):
+            continue
+        key, rep, comp = (np.append(x, y) for x, y in zip(last, rows)) if last else rows
+        pair = np.flatnonzero((key[1:] == key[:-1]) & (comp[1:] != comp[:-1]))
+        a, b = rep[pair], rep[pair + 1]
+        last = [x[-1:] for x in (key, rep, comp)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
 def _near(percent: int, radius: int):
     """Pairs of a cell that may be links: sizes and signatures allow it, the
     components so far differ, and this is the first key that the two share."""
@@ -252,16 +267,33 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     keyed = classes.mapInArrow(_emit_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep")
     members = stored(keyed.mapInArrow(_hubs, "key long, rep long, hub long"))
     side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
-    tried = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    texts = docs.join(sketch.where("n_shingles > 0").select("doc_id", "k1", "k2").join(least, ["k1", "k2"]).where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text")
     p, r = settings.percent, settings.radius
-    tried = tried.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
-    tried = stored(tried.mapInArrow(_close(r), "a long, b long"))
+    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
 
-    texts = docs.join(sketch.where("n_shingles > 0").select("doc_id", "k1", "k2").join(least, ["k1", "k2"]).where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text")
-    links = stored(confirmed(tried, texts, settings.words, p))
-    joined = components(links)
+    def close(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
+        return both.mapInArrow(_close(r), "a long, b long")
+
+    def together(links: DataFrame, joined: DataFrame) -> DataFrame:
+        return components(links.union(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+
+    def place(joined: DataFrame) -> DataFrame:
+        return members.join(joined, members.rep == joined.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+
+    tried = stored(close(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()))
+    joined = components(confirmed(tried, texts, settings.words, p))
+
+    # a fifth of the keys is enough to bring together what one hub could not
+    placed = place(joined).where(f"pmod(key, {WIDTH}) = 0")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high and m > 2").select("key")
+    rows = placed.join(mixed, "key").withColumn("turn", F.xxhash64("key", "rep")).repartition("key").sortWithinPartitions("key", "turn")
+    second = stored(close(rows.mapInArrow(_neighbours, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")))
+    if not second.isEmpty():
+        joined = together(confirmed(second, texts, settings.words, p), joined)
+        tried = tried.union(second)
 
-    placed = members.join(joined, members.rep == joined.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    placed = place(joined)
     # of a key, the members of its first component are only compared with the others
     sizes = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     open_ = sizes.groupBy("key").agg(F.min(F.struct("comp", "m")).alias("first"), F.max("comp").alias("high"), F.sum("m").alias("m")).where("first.comp <> high and m > 2")
@@ -273,11 +305,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes, "rep")
     more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_near(p, r), "a long, b long")
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
-    if more.isEmpty():
-        found = joined
-    else:
-        extra = confirmed(more, texts, settings.words, p)
-        found = components(extra.union(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    found = joined if more.isEmpty() else together(confirmed(more, texts, settings.words, p), joined)
 
     final = least.join(found, least.rep == found.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
