@@ -118,9 +118,7 @@ def _index(width: int):
         for table in whole_groups(batches, ["shard", "cell"], weight="bytes"):
             data, all_offsets = text_buffer(table.column("bytes"))
             all_content, all_shard, cell = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("content", "shard", "cell"))
-            groups = np.append(group_starts(all_shard, cell), len(cell))
-            for g, h in portions(all_offsets[groups]):
-                i, j = groups[g], groups[h]
+            for i, j in apart(all_shard, cell, all_offsets):
                 content, shard, offsets = all_content[i:j], all_shard[i:j], all_offsets[i : j + 1] - all_offsets[i]
                 found = repeated_starts(data[all_offsets[i] : all_offsets[j]], offsets, width, SEPARATOR)
                 edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
@@ -131,6 +129,18 @@ def _index(width: int):
     return run
 
 
+def apart(shard: np.ndarray, cell: np.ndarray, offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of whole cells to index together: up to ``limit`` bytes, and no two
+    cells of a shard, because those have segments in common."""
+    starts = group_starts(shard, cell)
+    ends = np.append(starts[1:], len(shard))
+    low = 0
+    for k in range(len(starts)):
+        if k + 1 == len(starts) or shard[starts[k + 1]] == shard[starts[k]] or offsets[ends[k + 1]] - offsets[low] > limit:
+            yield low, int(ends[k])
+            low = int(ends[k])
+
+
 def repeated_spans(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """row, tag, low, high: bytes [low, high) of ``texts(row, tag, text)`` are
     repeated. Spans may overlap and repeat; (row, tag) stands for one text."""
