@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language_id, minhash, mixing, mpeg_audio, repeats, sentencepiece_codec, sharding, token_count
+from tessera.llm import embedding_dedup, html_extract, language_id, minhash, mixing, mpeg_audio, repeats, sentencepiece_codec, sharding, token_count
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -13,6 +13,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(_table(spark, sf_dir, "pages"))
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -45,7 +53,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(_table(spark, sf_dir, "documents"), repeats.Settings(width=400))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_mpeg_audio, op5_sharding, op6_language_id, op7_sentencepiece, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_embedding_near_dedup, op3_token_counts, op4_mpeg_audio, op5_sharding, op6_language_id, op7_sentencepiece, op8_source_mixing, op9_minhash_near_dedup, op10_suffix_array_dedup)}
 
 
 def _sharding_sql() -> str:
