@@ -88,6 +88,31 @@ def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Two 64-bit hashes of each set; 0 for an empty one."""
+    full = sizes > 0
+    starts = np.concatenate([[0], np.cumsum(sizes[full])])[:-1]
+    keys = np.zeros((2, len(sizes)), np.int64)
+    if len(starts):
+        keys[0, full] = np.add.reduceat(mix64(sets), starts).view(np.int64)
+        keys[1, full] = np.add.reduceat(mix64(sets ^ U64(0x5851F42D4C957F2D)), starts).view(np.int64)
+    return keys
+
+
+def _of_class(words: int):
+    """Texts that are their class's: an id may be repeated with other texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            keys = [set_keys(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)) for i, j in portions(offsets)]
+            keys = np.concatenate(keys, axis=1) if keys else np.zeros((2, 0), np.int64)
+            same = (keys[0] == batch.column("k1").to_numpy(zero_copy_only=False)) & (keys[1] == batch.column("k2").to_numpy(zero_copy_only=False))
+            yield batch.select(["rep", "text"]).filter(pa.array(same))
+
+    return run
+
+
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,11 +120,7 @@ def _sketch(words: int):
             for i, j in portions(offsets):
                 sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
                 full = sizes > 0
-                starts = np.concatenate([[0], np.cumsum(sizes[full])])[:-1]
-                keys = np.zeros((2, j - i), np.int64)
-                if len(starts):
-                    keys[0, full] = np.add.reduceat(mix64(sets), starts).view(np.int64)
-                    keys[1, full] = np.add.reduceat(mix64(sets ^ U64(0x5851F42D4C957F2D)), starts).view(np.int64)
+                keys = set_keys(sets, sizes)
                 made = signatures(sets, sizes)
                 at = np.concatenate([[0], np.cumsum(full * (2 * SYMBOLS))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(sizes.astype(np.int64)), pa.array(keys[0]), pa.array(keys[1]), binary_column(made.view(np.uint8).ravel(), at)], ["doc_id", "n_shingles", "k1", "k2", "sig"])
@@ -242,9 +263,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m")).withColumn("parts", F.ceil(F.col("m") / 256).cast("int"))
     hubs = hubs.select("a", "parts")
     partners = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"), "b")
-    partners = partners.join(texts, partners.b == texts.rep).select("a", "salt", F.lit(1).alias("kind"), "b", "text")
-    own = hubs.join(texts, hubs.a == texts.rep).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"), "text")
-    rows = own.union(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
+    own = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"))
+    both = own.union(partners.select("a", "salt", F.lit(1).alias("kind"), "b"))
+    rows = both.join(texts, both.b == texts.rep).drop("rep").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
     return rows.mapInArrow(_confirm(words, percent), "u long, v long")
 
 
@@ -262,12 +283,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     sketch = stored(docs.mapInArrow(_sketch(settings.words), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
     least = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = stored(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")).select("rep", "n", "sig"))
+    classes = stored(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
 
     keyed = classes.mapInArrow(_emit_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep")
     members = stored(keyed.mapInArrow(_hubs, "key long, rep long, hub long"))
-    side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
-    texts = docs.join(sketch.where("n_shingles > 0").select("doc_id", "k1", "k2").join(least, ["k1", "k2"]).where("doc_id = rep").select("rep").distinct(), F.col("doc_id") == F.col("rep")).select("rep", "text")
+    wanted = members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep")
+    texts = stored(docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2").mapInArrow(_of_class(settings.words), "rep long, text string"))
     p, r = settings.percent, settings.radius
     side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
 
@@ -302,7 +323,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     against = "transform(sequence(0, if(comp = main, others, mains) - 1), x -> struct(if(comp = main, x, own) * 1000000 + if(comp = main, own, x) as cell, if(comp = main, 0L, 1L) as side))"
     among = f"transform(sequence(0, others - 1), x -> struct(-1 - (least(x, own) * 1000000 + greatest(x, own)) as cell, if(x = own, {WHOLE}L, own) as side))"
     rest = rest.withColumn("at", F.explode(F.expr(f"if(comp = main, {against}, concat({against}, {among}))")))
-    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes, "rep")
+    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.select("rep", "n", "sig"), "rep")
     more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_near(p, r), "a long, b long")
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
     found = joined if more.isEmpty() else together(confirmed(more, texts, settings.words, p), joined)
