@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.queries import aggregates, corpus, entities, flow, search, texts  # noqa: F401
+from tessera.queries.registry import QUERIES as REGISTERED
+
+QUERIES = {name: q.build for name, q in REGISTERED.items()}
+ORACLES = {name: q.sql for name, q in REGISTERED.items() if q.sql}
+COVERS = {name: q.covers.split() for name, q in REGISTERED.items()}
