@@ -156,6 +156,18 @@ def _sig_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data.tobytes(), np.uint16).reshape(-1, SYMBOLS)
 
 
+def _emit_shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            rep = batch.column("rep").to_numpy(zero_copy_only=False)
+            for i, j in portions(offsets):
+                sets, sizes = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(np.repeat(rep[i:j], sizes))], ["key", "rep"])
+
+    return run
+
+
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = chunk_keys(_sig_matrix(batch.column("sig")))
@@ -204,19 +216,20 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near(percent: int, radius: int):
-    """Pairs of a cell that may be links: sizes and signatures allow it, the
-    components so far differ, and this is the first key that the two share."""
+    """Pairs of a cell that may be links: the shingles that each shares with any
+    document and the signatures allow it, the components so far differ, and this
+    is the first key that the two have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["key", "cell"], least=1 << 14):
             table = table.combine_chunks()
-            key, cell, rep, comp, n, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "rep", "comp", "n", "side"))
+            key, cell, rep, comp, n, held, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "rep", "comp", "n", "held", "side"))
             sig = _sig_matrix(table.column("sig"))
             index = (chunk_keys(sig) == key[:, None]).argmax(1)
             whole = side == WHOLE
             for i, j in pairs_within(group_starts(key, cell), len(key), 1 << 18):
-                low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                ok = (comp[i] != comp[j]) & (100 * low >= percent * high) & (whole[i] | (side[i] != side[j]))
+                most = np.minimum(held[i], held[j])
+                ok = (comp[i] != comp[j]) & (100 * most >= percent * (n[i] + n[j] - most)) & (whole[i] | (side[i] != side[j]))
                 i, j = i[ok], j[ok]
                 differ = sig[i] != sig[j]
                 ok = differ.sum(1) <= radius
@@ -323,7 +336,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     against = "transform(sequence(0, if(comp = main, others, mains) - 1), x -> struct(if(comp = main, x, own) * 1000000 + if(comp = main, own, x) as cell, if(comp = main, 0L, 1L) as side))"
     among = f"transform(sequence(0, others - 1), x -> struct(-1 - (least(x, own) * 1000000 + greatest(x, own)) as cell, if(x = own, {WHOLE}L, own) as side))"
     rest = rest.withColumn("at", F.explode(F.expr(f"if(comp = main, {against}, concat({against}, {among}))")))
-    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.select("rep", "n", "sig"), "rep")
+    shingles = texts.join(placed.join(open_, "key").select("rep").distinct(), "rep").mapInArrow(_emit_shingles(settings.words), "key long, rep long")
+    held = shingles.repartition("key").sortWithinPartitions("key").mapInArrow(_hubs, "key long, rep long, hub long").groupBy("rep").agg(F.count(F.lit(1)).alias("held"))
+    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.join(held, "rep").select("rep", "n", "sig", "held"), "rep")
     more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_near(p, r), "a long, b long")
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
     found = joined if more.isEmpty() else together(confirmed(more, texts, settings.words, p), joined)
