@@ -1 +1,141 @@
-"""Queries."""
+"""Chunks, sections, duplicates and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tessera.functions import text as T
+from tessera.operators import chunking, mldata, ranking, retrieval
+from tessera.plans import pipeline
+from tessera.queries.registry import Tables, query
+from tessera.sources import files
+
+
+@query("CH-1 CH-5", r"""
+select id, pos, trim(p) as text from (select doc_id as id, unnest(range(len(ps))) as pos, unnest(ps) as p from (select doc_id, string_split(text, chr(10)) as ps from documents)) where trim(p) <> ''
+""")
+def chunk_lines(t: Tables) -> DataFrame:
+    return chunking.paragraphs(t.documents, "\n").select("id", F.col("pos").cast("long").alias("pos"), "text")
+
+
+@query("CH-4", r"""
+with w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as ts from documents), k as (select doc_id, ts, unnest(range(cast(greatest(ceil((len(ts) - 450) / 405), 0) as bigint) + 1)) as i from w)
+select doc_id, i, sha256(array_to_string(ts[i * 405 + 1 : i * 405 + 450], ' ')) as digest from k
+""")
+def hard_split_windows(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.posexplode(chunking.hard_split(T.tokens(F.col("text")))).alias("i", "w"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("digest"))
+
+
+@query("CH-2 CH-3 TXT-29", r"""
+with recursive p as (select doc_id as id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ps from documents), n as (select id, len(ps) as m, list_transform(ps, lambda x: len(regexp_extract_all(x, '[\p{L}\p{N}]+'))) as ns from p),
+f as (select id, m, ns, 1 as i, ns[1] as cur, 0 as chunk from n where m > 0 union all select id, m, ns, i + 1, case when cur + ns[i + 1] > 450 then ns[i + 1] else cur + ns[i + 1] end, case when cur + ns[i + 1] > 450 then chunk + 1 else chunk end from f where i < m)
+select id, cast(chunk as bigint) as pos, max(cur) as tokens from f group by id, chunk
+""")
+def greedy_pack(t: Tables) -> DataFrame:
+    return chunking.chunks(t.documents).select("id", F.col("pos").cast("long").alias("pos"), F.col("tokens").cast("long").alias("tokens"))
+
+
+@query("SRC-7 CH-6", r"""
+with l as (select doc_id as id, unnest(range(len(ls))) as pos, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)), h as (select *, regexp_matches(line, '^([A-Z])([^ ]+\.)$') as head from l), s as (select *, cast(sum(case when head then 1 else 0 end) over (partition by id order by pos) as bigint) as idx from h)
+select id, idx, max(case when head then regexp_extract(line, '^([A-Z])([^ ]+\.)$', 2) end) as heading, coalesce(string_agg(case when not head then line end, chr(10) order by pos), '') as text from s group by id, idx having idx > 0 or trim(coalesce(string_agg(case when not head then line end, chr(10) order by pos), '')) <> ''
+""")
+def sections(t: Tables) -> DataFrame:
+    return chunking.sections(t.documents, r"^([A-Z])([^ ]+\.)$").select("id", "idx", "heading", "text")
+
+
+@query("AG-10", r"""
+with h as (select doc_id, sha256(regexp_replace(text, '[ \t\n\f\r]+', '', 'g')) as h from documents), g as (select h, count(*) as members, min(doc_id) as first from h group by h having count(*) >= 2)
+select doc_id, members, first from h join g using (h)
+""")
+def exact_dup_clusters(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.sha2(F.regexp_replace("text", r"[ \t\n\f\r]+", "").cast("binary"), 256).alias("h"))
+    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("first")).where("members >= 2")
+    return rows.join(groups, "h").select("doc_id", "members", "first")
+
+
+@query("SET-4", r"""
+with s as (select min(doc_id) as id, t from (select doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) as t from documents) where len(t) > 0 group by t)
+select x.id as a, y.id as b, len(list_intersect(x.t, y.t)) as common, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 6) as jaccard from s x join s y on x.id < y.id and len(x.t) * 10 >= len(y.t) * 8 and len(y.t) * 10 >= len(x.t) * 8
+where 10 * len(list_intersect(x.t, y.t)) >= 8 * (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)))
+""")
+def token_jaccard_pairs(t: Tables) -> DataFrame:
+    rows = t.documents.select("doc_id", F.array_sort(F.array_distinct(T.tokens(F.col("text")))).alias("tokens"))
+    classes = rows.where("size(tokens) > 0").groupBy("tokens").agg(F.min("doc_id").alias("id"))
+    return ranking.similar_sets(classes, 80).withColumn("common", F.col("common").cast("long"))
+
+
+@query("CH-8 TXT-12", r"""
+select page_id, len(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1))) as n_links, list_sort(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)))[1] as first_link, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages
+""")
+def html_links(t: Tables) -> DataFrame:
+    links = chunking.links(F.col("html"))
+    return t.pages.select("page_id", F.size(links).cast("long").alias("n_links"), F.array_min(links).alias("first_link"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("CH-8", r"""
+select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages
+""")
+def html_text_extract(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", chunking.html_text(F.col("html")).alias("text"))
+
+
+@query("AG-28 AG-35", """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), g as (select line, count(distinct doc_id) as docs from l where trim(line) <> '' group by line having count(distinct doc_id) > 1)
+select line, docs from g
+""")
+def repeated_lines(t: Tables) -> DataFrame:
+    lines = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where("trim(line) <> ''")
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+
+
+@query("SRC-11 SRC-13 SRC-23", """
+select 'doc-' || doc_id as id, text, lang as kind from documents union all select 'bench-' || item_id, text, null from benchmark union all select 'conv-' || conv_id || '-' || turn, text, role from conversations
+""")
+def unified_records(t: Tables) -> DataFrame:
+    c = F.col
+    return files.unify([
+        (t.documents, {"id": F.concat(F.lit("doc-"), c("doc_id").cast("string")), "text": c("text"), "kind": c("lang")}),
+        (t.benchmark, {"id": F.concat(F.lit("bench-"), c("item_id").cast("string")), "text": c("text")}),
+        (t.conversations, {"id": F.concat_ws("-", F.lit("conv"), c("conv_id").cast("string"), c("turn").cast("string")), "text": c("text"), "kind": c("role")}),
+    ])
+
+
+@query("INC-2 INC-4 INC-5 SRC-14", r"""
+with keep as (select doc_id, text from documents where doc_id % 5 <> 1) select count(*) as documents, count(distinct doc_id) as ids, 0 as changed_again from keep
+""")
+def incremental_ingest(t: Tables) -> DataFrame:
+    docs = t.documents.select("doc_id", "text")
+    old, new = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 <> 1").withColumn("text", F.when(F.col("doc_id") % 5 == 2, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
+    empty_chunks, empty_manifest = chunking.chunks(docs.where("false")), docs.where("false").select("doc_id", F.lit("").alias("digest"))
+    chunks, manifest, _ = pipeline.ingest(empty_chunks, empty_manifest, old)
+    chunks, manifest, _ = pipeline.ingest(chunks, manifest, new)
+    _, _, again = pipeline.ingest(chunks, manifest, new)
+    changed = again.agg(F.sum((F.col("status") != "unchanged").cast("int")).alias("changed_again"))
+    return manifest.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("doc_id").alias("ids")).crossJoin(changed)
+
+
+@query("HYB-1 DEN-3 SPR-1 WN-11")
+def hybrid_search(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.col("doc_id").alias("id"), "text")
+    return pipeline.hybrid(docs, t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))).select("qid", "id", "score", "rank")
+
+
+@query("ML-5 ML-8", r"""
+with n as (select count(*) as n from benchmark), tri as (select lang as query, d.text as positive, b.text as negative from documents d cross join n join benchmark b on d.doc_id % n = b.item_id), once as (select distinct * from tri), s as (select *, list_distinct(regexp_extract_all(lower(positive), '[\p{L}\p{N}]+')) as p, list_distinct(regexp_extract_all(lower(negative), '[\p{L}\p{N}]+')) as q from once)
+select query, count(*) as n from s where len(list_intersect(p, q)) < greatest(3, floor(len(p) / 2)) group by query
+""")
+def training_triples(t: Tables) -> DataFrame:
+    n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
+    rows = t.documents.crossJoin(F.broadcast(n)).join(F.broadcast(t.benchmark.select("item_id", F.col("text").alias("negative"))), F.expr("doc_id % n = item_id")).select(F.col("lang").alias("query"), F.col("text").alias("positive"), "negative")
+    return mldata.training_triples([("first", rows), ("second", rows.withColumn("query", F.upper("query")))]).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("DEN-5", """
+with q as (select vec_id as qid, label as k, embedding from embeddings where vec_id % 20 = 0), p as (select vec_id as id, label as k, embedding from embeddings)
+select qid, id, round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(p.embedding, lambda x: x::double * x::double)))), 6) as score from q join p using (k)
+""")
+def late_interaction(t: Tables) -> DataFrame:
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.lit(0).alias("pos"), F.col("embedding").alias("v"), F.col("label").alias("key"))
+    pages = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("key"))
+    return retrieval.max_sim(asked, pages).withColumn("score", F.round("score", 6))
