@@ -223,8 +223,11 @@ def report(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.3, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or whose score
-    is below ``least_score``: texts without letters or known n-grams."""
-    found = identify(docs, train(docs, settings, id_col, text_col, lang_col), text_col, "_lang", "_score")
-    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") >= least_score)).drop("_lang", "_score")
+def keep_identified(docs: DataFrame, margin: float = 1e-9, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language is undetermined or whose score is
+    within ``margin`` of chance: by default texts without letters or without any
+    known n-gram, so that no text in a learned language is lost."""
+    model = train(docs, settings, id_col, text_col, lang_col)
+    found = identify(docs, model, text_col, "_lang", "_score")
+    least = 1 / max(len(model.languages), 1) + margin
+    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") > least)).drop("_lang", "_score")
