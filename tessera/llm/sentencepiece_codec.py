@@ -3,7 +3,7 @@
 A text is divided where no piece can cross: before each run of spaces, and on
 both sides of a byte that is in no piece. The distinct units of a batch are
 grouped by length in bytes; all units of a length advance together. For every
-end and every start before it, the hash of the substring probes the sorted
+end, the hashes of the substrings from all starts before it probe the sorted
 hashes of the pieces, and a vectorised maximum over the starts stores the best
 score, the piece and the back pointer. Characters without a piece fall back to
 byte pieces, at a score below every other.
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import HashMemory, U64, group_starts, portions, prefix_hash, ragged, span_hash, text_buffer
+from tessera.llm.common import HashMemory, Powers, U64, group_starts, mix64, portions, prefix_hash, ragged, span_hash, text_buffer
 
 MARK = "▁"
 SPACE = 0x20
@@ -50,6 +50,9 @@ class Codec:
         self.ids = np.array([i for i, _, _ in pieces], np.int32)[order]
         self.scores = np.array([s for _, _, s in pieces])[order]
         self.longest = int(lengths.max())
+        self.present_shift = U64(64 - 21)
+        self.present = np.zeros(1 << 21, bool)
+        self.present[(self.hashes >> self.present_shift).astype(np.int64)] = True
         self.unknown = float(self.scores.min()) - UNKNOWN_PENALTY
         self.alone = np.ones(256, bool)
         self.alone[np.unique(data)] = False
@@ -91,40 +94,38 @@ class Codec:
             out[hit] = here[hit]
         return out
 
-    def viterbi(self, data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the units of one length, and how many each has."""
+    def viterbi(self, data: np.ndarray, prefix: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units of one length, and how many each has. ``prefix`` is
+        the prefix hash of ``data``."""
         n = len(starts)
-        prefix = prefix_hash(data)
-        lead = (data[starts[:, None] + np.arange(length)] & 0xC0) != 0x80
-        lead = np.concatenate([lead, np.ones((n, 1), bool)], axis=1)
+        _, down = Powers.upto(len(prefix))
+        place = np.arange(length + 1)[:, None] + starts
+        lead = np.ones((length + 1, n), bool)
+        lead[:-1] = (data[place[:-1]] & 0xC0) != 0x80
+        sums, scale = prefix[place], down[place]
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0
         piece = np.full((length + 1, n), -1, np.int32)
         back = np.zeros((length + 1, n), np.int32)
-        char = np.zeros(n, np.int32)
-        begun = np.zeros((length + 1, n), np.int32)
-        for k in range(1, length + 1):
-            char = np.where(lead[:, k - 1], k - 1, char)
-            begun[k] = char
-        rows = np.arange(n)
+        rows, char = np.arange(n), np.zeros(n, np.int32)
         for end in range(1, length + 1):
-            whole = lead[:, end]
-            if not whole.any():
-                continue
-            value = best[begun[end], rows] + self.unknown
-            best[end] = np.where(whole, value, -np.inf)
-            back[end] = begun[end]
-            for start in range(max(0, end - self.longest), end):
-                live = np.flatnonzero(whole & np.isfinite(best[start]))
-                if not len(live):
-                    continue
-                at = self._probe(span_hash(prefix, starts[live] + start, starts[live] + end) ^ U64(end - start))
-                live, at = live[at >= 0], at[at >= 0]
-                value = best[start, live] + self.scores[at]
-                # starts go up, so a later equal sum has the shorter last piece
-                better = (value > best[end, live]) | ((value == best[end, live]) & (piece[end, live] < 0))
-                live, at = live[better], at[better]
-                best[end, live], piece[end, live], back[end, live] = value[better], self.ids[at], start
+            char = np.where(lead[end - 1], end - 1, char)
+            whole = lead[end]
+            best[end] = np.where(whole, best[char, rows] + self.unknown, -np.inf)
+            back[end] = char
+            first = max(0, end - self.longest)
+            hashes = mix64((sums[end] - sums[first:end]) * scale[first:end])
+            hashes ^= np.arange(end - first, 0, -1, dtype=U64)[:, None]
+            maybe = self.present[(hashes >> self.present_shift).astype(np.int64)] & whole & lead[first:end]
+            start, unit = np.nonzero(maybe)
+            at = self._probe(hashes[start, unit])
+            start, unit, at = start[at >= 0] + first, unit[at >= 0], at[at >= 0]
+            value = best[start, unit] + self.scores[at]
+            order = np.lexsort((start, -value, unit))  # of equal sums the longest last piece
+            start, unit, at, value = start[order], unit[order], at[order], value[order]
+            top = group_starts(unit)
+            top = top[value[top] >= best[end, unit[top]]]
+            best[end, unit[top]], piece[end, unit[top]], back[end, unit[top]] = value[top], self.ids[at[top]], start[top]
         steps_unit, steps_from, steps_to, steps_piece = [], [], [], []
         at, live = np.full(n, length), rows
         while len(live):
@@ -160,7 +161,8 @@ class Codec:
         data, offsets = with_space(data, offsets)
         memory = memory or Memory()
         starts, ends = self.units(data, offsets)
-        hashes = self._hash(data, starts, ends) if len(starts) else np.zeros(0, U64)
+        prefix = prefix_hash(data)
+        hashes = span_hash(prefix, starts, ends) ^ (ends - starts).astype(U64)
         unique, first, where = np.unique(hashes, return_index=True, return_inverse=True)
         new = np.flatnonzero(~memory.known(unique))
         length = (ends - starts)[first[new]]
@@ -168,10 +170,10 @@ class Codec:
         new, length = new[order], length[order]
         ids, counts, keys = [], [], []
         for a, b in zip(s := group_starts(length), [*s[1:], len(length)]):
-            step = max(1, (1 << 21) // int(length[a]))
+            step = max(1, (1 << 19) // int(length[a]))
             for c in range(a, b, step):
                 some = new[c : min(b, c + step)]
-                made, n = self.viterbi(data, starts[first[some]], int(length[a]))
+                made, n = self.viterbi(data, prefix, starts[first[some]], int(length[a]))
                 ids.append(made)
                 counts.append(n)
                 keys.append(unique[some])
@@ -265,7 +267,7 @@ def _encode_all(codec: Codec, token: int):
         memory = _remembered.setdefault(token, Memory())  # a worker's tasks share it
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
-            for i, j in portions(offsets):
+            for i, j in portions(offsets, 1 << 21):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 ids, counts = codec.encode(part, at, memory)
                 back, edge = codec.decode(ids, counts)
