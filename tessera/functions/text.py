@@ -96,7 +96,7 @@ def token_count(text: Column) -> Column:
 
 def truncate_words(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut back to the last whole word."""
-    return F.when(F.length(text) <= limit, text).otherwise(F.regexp_replace(F.substring(text, 1, limit), r"\s+\S*$", ""))
+    return F.when(F.length(text) <= limit, text).otherwise(F.regexp_replace(F.substring(text, 1, limit), r"\s+\S*\z", ""))
 
 
 def pack_segments(segments: Column, limit: int, separator: str = " ") -> Column:

@@ -33,11 +33,11 @@ def field_lookup(t: Tables) -> DataFrame:
 
 
 @query("AG-3 AG-5 AG-11", f"""
-with {VALUES}, l as (select id, 'n_name' as field, n_name as value from v union all select id, 'c_mktsegment', c_mktsegment from v), m as (select distinct o_orderkey % 500 as gid, o_custkey as doc from orders), n as (select gid, count(*) as n from m group by gid)
+with {VALUES}, l as (select id, 'n_name' as field, n_name as value from v union all select id, 'c_mktsegment', c_mktsegment from v), m as (select c_custkey // 2 as gid, c_custkey as doc from customer), n as (select gid, count(*) as n from m group by gid)
 select m.gid, field, value from m join l on l.id = m.doc join n on n.gid = m.gid group by m.gid, field, value, n having count(*) = n
 """)
 def shared_attributes(t: Tables) -> DataFrame:
-    groups = t.orders.select((F.col("o_orderkey") % 500).alias("gid"), F.col("o_custkey").alias("doc"))
+    groups = t.customer.select(F.expr("c_custkey div 2").alias("gid"), F.col("c_custkey").alias("doc"))
     return registry.shared_values(values(t).where("field <> 'c_name'"), groups)
 
 

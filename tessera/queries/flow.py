@@ -53,11 +53,11 @@ def session_counts(t: Tables) -> DataFrame:
 
 
 @query("ST-2 AG-34", """
-select user_id, count(*) as n, round(epoch(max(ts)) - epoch(min(ts)), 4) as total_s, round(epoch(min(case when event_type = 'click' then ts end)) - epoch(min(ts)), 4) as first_s from events group by user_id
+select user_id, count(*) as n, round(epoch(max(ts)) - epoch(min(ts)), 3) as total_s, round(epoch(min(case when event_type = 'click' then ts end)) - epoch(min(ts)), 3) as first_s from events group by user_id
 """)
 def stage_latency(t: Tables) -> DataFrame:
     out = E.stage_latency(timed(t), "user_id", "ts", "event_type", "click")
-    return out.select("user_id", "n", F.round("total_s", 4).alias("total_s"), F.round("first_s", 4).alias("first_s"))
+    return out.select("user_id", "n", F.round("total_s", 3).alias("total_s"), F.round("first_s", 3).alias("first_s"))
 
 
 @query("ST-3", """
