@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions import text as T
-from tessera.operators import grounding, metrics, ranking
+from tessera.operators import grounding, metrics, models, ranking
 from tessera.queries.registry import Tables, query
 
 A, B = "list_filter([doc_id, doc_id + 1, doc_id + 2], lambda x: x % 3 <> 0)", "list_filter([doc_id + 1, doc_id + 2], lambda x: x % 2 = 0)"
@@ -156,3 +156,16 @@ def claim_coverage(t: Tables) -> DataFrame:
     proof = claims.withColumn("support", grounding.support_class(F.col("claim"), F.col("source")))
     out = grounding.compile_proof(proof).join(proof.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid")
     return out.select("qid.conv_id", "qid.turn", F.col("coverage"), "n")
+
+
+@query("RR-11 ML-12 ML-13")
+def page_scorer(t: Tables) -> DataFrame:
+    text = F.col("text")
+    rows = t.labels.join(t.documents, "doc_id").select("doc_id", F.col("quality").cast("double").alias("label"), F.length("text").cast("double").alias("n_chars"), T.token_count(text).cast("double").alias("n_tokens"), T.char_ratio(text, r"[\p{L}]").alias("letters"), metrics.text_noise(text).cast("double").alias("noise"))
+    features = ["n_chars", "n_tokens", "letters", "noise"]
+    return models.score(models.fit_scorer(rows, features), rows, features).select("doc_id", "label", "score")
+
+
+@query("ML-14")
+def question_clusters(t: Tables) -> DataFrame:
+    return models.clusters(t.embeddings)
