@@ -114,7 +114,7 @@ def selected_pages(t: Tables) -> DataFrame:
 
 @query("AG-26 AG-32 AG-33", """
 select doc_id, concat_ws(',', case when quality = 0 then 'low' end, case when toxic = 1 then 'toxic' end) as flags, round((0.7 * quality + 0.3 * (1 - toxic)) * 0.9, 6) as estimate from labels
-""")
+""", doubles="estimate")
 def anomaly_flags(t: Tables) -> DataFrame:
     flags = F.filter(F.array(F.when(F.col("quality") == 0, "low"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull())
     return t.labels.select("doc_id", F.array_join(flags, ",").alias("flags"), F.round((0.7 * F.col("quality") + 0.3 * (1 - F.col("toxic"))) * 0.9, 6).alias("estimate"))
@@ -132,7 +132,7 @@ def context_pack(t: Tables) -> DataFrame:
 @query("AG-2 GR-4 GR-2", """
 with s as (select l_orderkey as qid, l_linenumber as page, round(sum(case when l_returnflag = 'R' then 3.0 else 0.8 end), 6) as score from lineitem group by all)
 select qid, page, score from (select *, row_number() over (partition by qid order by score desc, page) as place from s) where place <= 2
-""")
+""", doubles="score")
 def evidence_pages(t: Tables) -> DataFrame:
     signals = t.lineitem.select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("page"), F.when(F.col("l_returnflag") == "R", 3.0).otherwise(0.8).alias("weight"))
     return grounding.select_pages(grounding.evidence_scores(signals), 2).select("qid", "page", "score")
@@ -149,7 +149,7 @@ def necessary_pages(t: Tables) -> DataFrame:
 @query("GR-9 GR-10 GR-11", r"""
 with s as (select conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as cs from conversations where role = 'assistant')
 select conv_id, turn, 1.0 as coverage, len(cs) as n from s where len(cs) > 0
-""")
+""", doubles="coverage")
 def claim_coverage(t: Tables) -> DataFrame:
     rows = t.conversations.where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("answer"))
     claims = grounding.claims(rows).join(rows.withColumnRenamed("answer", "source"), "qid")

@@ -18,7 +18,7 @@ def values(t: Tables) -> DataFrame:
 VALUES = """v as (select c_custkey as id, c_name, n_name, c_mktsegment, case when c_custkey % 3 = 0 then 0.82 else 0.98 end as confidence from customer join nation on c_nationkey = n_nationkey)"""
 
 
-@query("DB-1 JN-8 DB-2", f"with {VALUES} select id, 'c_name' as field, c_name as value, confidence from v union all select id, 'n_name', n_name, confidence from v union all select id, 'c_mktsegment', c_mktsegment, confidence from v")
+@query("DB-1 JN-8 DB-2", f"with {VALUES} select id, 'c_name' as field, c_name as value, confidence from v union all select id, 'n_name', n_name, confidence from v union all select id, 'c_mktsegment', c_mktsegment, confidence from v", doubles="confidence")
 def field_values(t: Tables) -> DataFrame:
     return values(t).select("id", "field", "value", "confidence")
 
@@ -267,7 +267,7 @@ def hash_split(t: Tables) -> DataFrame:
 
 @query("ML-9", """
 select l_orderkey, l_linenumber, case when l_linenumber = 1 then 'reviewed' when l_linenumber = 2 then 'soft' when l_linenumber = 3 then 'sidecar' else 'legacy' end as source, case when l_linenumber = 1 then 3.0 when l_linenumber = 2 then 1.5 when l_linenumber = 3 then 0.35 else 0.2 end as weight from lineitem
-""")
+""", doubles="weight")
 def supervision(t: Tables) -> DataFrame:
     some = lambda k: F.when(F.col("l_linenumber") == k, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>"))
     label = mldata.supervision(some(1), some(2), some(3), F.array(F.lit("q")))

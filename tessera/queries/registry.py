@@ -28,8 +28,11 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def query(covers: str, sql: str | None = None):
-    """Register ``f(tables)`` under its name."""
+def query(covers: str, sql: str | None = None, doubles: str = ""):
+    """Register ``f(tables)`` under its name. ``doubles`` names columns that the
+    SQL computes as decimals."""
+    if sql and doubles:
+        sql = f"select * replace ({', '.join(f'cast({c} as double) as {c}' for c in doubles.split())}) from ({sql})"
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[f.__name__] = Query(lambda spark, folder: f(Tables(spark, folder)), covers, sql)

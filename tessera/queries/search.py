@@ -120,7 +120,7 @@ def hash_embed(t: Tables) -> DataFrame:
 with tri as (select d.doc_id, d.lang as query, coalesce(d.text, '') as positive, b.text as negative from documents d join benchmark b on d.doc_id % (select count(*) from benchmark) = b.item_id),
 x as (select unnest(list_distinct(regexp_extract_all(lower(query || ' ' || positive), '[\p{{L}}\p{{N}}]+'))) as term, 1.0 as w from tri union all select unnest(list_distinct(regexp_extract_all(lower(query || ' ' || negative), '[\p{{L}}\p{{N}}]+'))), -0.5 from tri)
 select term, sum(w) as weight from x group by term having abs(sum(w)) > 1
-""")
+""", doubles="weight")
 def token_weights(t: Tables) -> DataFrame:
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
     docs = t.documents.crossJoin(F.broadcast(n)).withColumn("k", F.col("doc_id") % F.col("n"))

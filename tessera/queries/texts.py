@@ -152,7 +152,7 @@ with r as (select doc_id, length(text) < 100 as short, regexp_matches(text, '[A-
  case when length(text) > 0 then (length(text) - length(regexp_replace(text, '[\p{L}]', '', 'g'))) / length(text) else 0.0 end as letters from documents)
 select doc_id, array_to_string(list_filter([case when short then 'short' end, case when mail then 'contact' end, case when secret then 'secret' end, case when letters < 0.7 then 'symbols' end], lambda x: x is not null), ',') as reasons,
  (case when short then 2.0 else 0.0 end) + (case when mail then 3.0 else 0.0 end) + (case when secret then 8.0 else 0.0 end) + (case when letters < 0.7 then 4.0 else 0.0 end) as score, round(letters, 6) as letters from r
-""")
+""", doubles="score")
 def anomaly_score(t: Tables) -> DataFrame:
     text = F.col("text")
     letters = T.char_ratio(text, r"[\p{L}]")
