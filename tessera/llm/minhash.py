@@ -21,6 +21,7 @@ exact components of the links found, without all pairs of a group being made.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +35,8 @@ from tessera.llm.components import components
 CHUNKS = 12
 WIDTH = 5
 SYMBOLS = CHUNKS * WIDTH
+#: 8-bit symbols of the long signatures that judge the pairs left at the end.
+LONG = 512
 BLOCK = 512
 #: Side of the rows of a cell in which every two are compared.
 WHOLE = -1
@@ -48,9 +51,9 @@ class Settings:
     radius: int = 2 * CHUNKS - 1
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix64(np.arange(1, 2 * SYMBOLS + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
-    return seeds[:SYMBOLS], seeds[SYMBOLS:] | U64(1)
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = mix64(np.arange(1, 2 * n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    return seeds[:n], seeds[n:] | U64(1)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,18 +79,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return shingle[keep], np.bincount(owner[keep], minlength=len(per))
 
 
-def signatures(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """MinHash symbols, a row for each set that isn't empty."""
+def signatures(sets: np.ndarray, sizes: np.ndarray, n: int = SYMBOLS, kind: type = np.uint16) -> np.ndarray:
+    """``n`` MinHash symbols, a row for each set that isn't empty."""
     starts = np.concatenate([[0], np.cumsum(sizes[sizes > 0])])[:-1]
-    out = np.empty((len(starts), SYMBOLS), np.uint16)
+    out = np.empty((len(starts), n), kind)
     if len(starts):
-        flips, factors = _permutations()
-        for k in range(SYMBOLS):
+        flips, factors = _permutations(n)
+        for k in range(n):
             low = np.minimum.reduceat((sets ^ flips[k]) * factors[k], starts)
-            out[:, k] = (mix64(low) >> U64(48)).astype(np.uint16)
+            out[:, k] = (mix64(low) >> U64(48)).astype(kind)
     return out
 
 
+def long_radius(percent: int) -> int:
+    """Symbols of a long signature that may differ: what is expected at the
+    threshold and 5.2 standard deviations, which one pair in ten million exceeds."""
+    q = 1 - percent / 100
+    return math.ceil(LONG * q + 5.2 * math.sqrt(LONG * q * (1 - q)))
+
+
 def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Two 64-bit hashes of each set; 0 for an empty one."""
     full = sizes > 0
@@ -168,6 +178,17 @@ def _emit_shingles(words: int):
     return run
 
 
+def _long(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            for i, j in portions(offsets):
+                made = signatures(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), LONG, np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), binary_column(made.ravel(), np.arange(j - i + 1) * LONG)], ["rep", "long"])
+
+    return run
+
+
 def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = chunk_keys(_sig_matrix(batch.column("sig")))
@@ -225,6 +246,7 @@ def _near(percent: int, radius: int):
             table = table.combine_chunks()
             key, cell, rep, comp, n, held, side = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "cell", "rep", "comp", "n", "held", "side"))
             sig = _sig_matrix(table.column("sig"))
+            wide = np.frombuffer(text_buffer(table.column("long"))[0].tobytes(), np.uint8).reshape(-1, LONG)
             index = (chunk_keys(sig) == key[:, None]).argmax(1)
             whole = side == WHOLE
             for i, j in pairs_within(group_starts(key, cell), len(key), 1 << 18):
@@ -235,6 +257,8 @@ def _near(percent: int, radius: int):
                 ok = differ.sum(1) <= radius
                 i, j = i[ok], j[ok]
                 ok = first_key(differ[ok]) == index[i]
+                i, j = i[ok], j[ok]
+                ok = (wide[i] != wide[j]).sum(1) <= long_radius(percent)
                 a, b = rep[i[ok]], rep[j[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -336,9 +360,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     against = "transform(sequence(0, if(comp = main, others, mains) - 1), x -> struct(if(comp = main, x, own) * 1000000 + if(comp = main, own, x) as cell, if(comp = main, 0L, 1L) as side))"
     among = f"transform(sequence(0, others - 1), x -> struct(-1 - (least(x, own) * 1000000 + greatest(x, own)) as cell, if(x = own, {WHOLE}L, own) as side))"
     rest = rest.withColumn("at", F.explode(F.expr(f"if(comp = main, {against}, concat({against}, {among}))")))
-    shingles = texts.join(placed.join(open_, "key").select("rep").distinct(), "rep").mapInArrow(_emit_shingles(settings.words), "key long, rep long")
+    near = stored(texts.join(placed.join(open_, "key").select("rep").distinct(), "rep"))
+    shingles = near.mapInArrow(_emit_shingles(settings.words), "key long, rep long")
     held = shingles.repartition("key").sortWithinPartitions("key").mapInArrow(_hubs, "key long, rep long, hub long").groupBy("rep").agg(F.count(F.lit(1)).alias("held"))
-    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.join(held, "rep").select("rep", "n", "sig", "held"), "rep")
+    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.join(held, "rep").join(near.mapInArrow(_long(settings.words), "rep long, long binary"), "rep").select("rep", "n", "sig", "held", "long"), "rep")
     more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_near(p, r), "a long, b long")
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
     found = joined if more.isEmpty() else together(confirmed(more, texts, settings.words, p), joined)
