@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import group_starts, local_components, stored, whole_groups
+from tessera.llm.common import arrow, group_starts, local_components, stored, whole_groups
 from tessera.llm.components import components
 
 BLOCK = 512
@@ -192,7 +192,7 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), id_col:
     tables = tables_for(largest, settings)
 
     label = classes.schema["label"].dataType.simpleString()
-    keyed = classes.select("label", "dim", "rep", "vec").mapInArrow(_keys(tables, settings.seed), f"label {label}, dim int, rep long, tab int, key long")
+    keyed = classes.select("label", "dim", "rep", "vec").transform(arrow, _keys(tables, settings.seed), f"label {label}, dim int, rep long, tab int, key long")
     keyed = stored(keyed.select(F.xxhash64("label", "dim", "tab", "key").alias("bucket"), "tab", "rep"))
     full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket", F.expr(f"cast(ceil(m / {BLOCK}) as int) as blocks"))
     dealt = keyed.join(full, "bucket").withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.expr("explode(sequence(0, blocks - 1))"))
@@ -200,7 +200,7 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), id_col:
     cells = dealt.join(classes.select("rep", "label", "dim", "mult", "vec"), "rep")
     # a bucket is a hash; of two buckets with one hash, the label and size keep the vectors apart
     cells = cells.withColumn("cell", F.xxhash64("cell", "label", "dim", "tab")).select("bucket", "cell", "tab", "rep", "mult", "side", "vec")
-    links = stored(cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(_links(tables, settings), "rep long, n long, root long"))
+    links = stored(cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").transform(arrow, _links(tables, settings), "rep long, n long, root long"))
 
     joined = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tessera.llm.common import LOWER, U64, mix64, portions, text_buffer
+from tessera.llm.common import LOWER, U64, arrow, mix64, portions, text_buffer
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
@@ -209,7 +209,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_pred: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (lang_pred, score)]
     rows = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"))
-    out = rows.mapInArrow(lambda batches: _predict(shared.value)(batches), f"rest {rows.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
+    out = rows.transform(arrow, lambda batches: _predict(shared.value)(batches), f"rest {rows.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in kept], F.col("lang_pred").alias(lang_pred), F.col("score").alias(score))
 
 

@@ -7,8 +7,8 @@ of the signature's chunks up to one symbol: with m chunks and one error
 allowed in each, distances up to 2m - 1 are covered. The allowed error is
 enumerated by leaving out each symbol of a chunk in turn, so candidates meet in
 an equality join on the remaining symbols. No pair within the radius is missed;
-the radius is set so that a pair at the similarity threshold exceeds it with a
-probability of a few in a million.
+a pair at a similarity of 0.8 exceeds it with a probability of 3e-6, one at
+0.85 of 1e-8.
 
 Candidates are confirmed on the full shingle sets. Documents with equal sets
 are one class and only its representative is compared. In a bucket all members
@@ -29,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import LOWER, U64, binary_column, group_starts, mix64, pairs_within, portions, prefix_hash, ragged, span_hash, stored, text_buffer, whole_groups, word_spans
+from tessera.llm.common import LOWER, U64, arrow, binary_column, group_starts, mix64, pairs_within, portions, prefix_hash, ragged, span_hash, stored, text_buffer, whole_groups, word_spans
 from tessera.llm.components import components
 
 CHUNKS = 12
-WIDTH = 5
+WIDTH = 4
 SYMBOLS = CHUNKS * WIDTH
 #: 8-bit symbols of the long signatures that judge the pairs left at the end.
 LONG = 512
@@ -303,7 +303,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     own = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("a").alias("b"))
     both = own.union(partners.select("a", "salt", F.lit(1).alias("kind"), "b"))
     rows = both.join(texts, both.b == texts.rep).drop("rep").repartition("a", "salt").sortWithinPartitions("a", "salt", "kind", "b")
-    return rows.mapInArrow(_confirm(words, percent), "u long, v long")
+    return rows.transform(arrow, _confirm(words, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,21 +317,21 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     Other columns of ``docs`` are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = stored(docs.mapInArrow(_sketch(settings.words), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
+    sketch = stored(docs.transform(arrow, _sketch(settings.words), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
     least = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     classes = stored(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
 
-    keyed = classes.mapInArrow(_emit_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep")
-    members = stored(keyed.mapInArrow(_hubs, "key long, rep long, hub long"))
+    keyed = classes.transform(arrow, _emit_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep")
+    members = stored(keyed.transform(arrow, _hubs, "key long, rep long, hub long"))
     wanted = members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep")
-    texts = stored(docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2").mapInArrow(_of_class(settings.words), "rep long, text string"))
+    texts = stored(docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2").transform(arrow, _of_class(settings.words), "rep long, text string"))
     p, r = settings.percent, settings.radius
     side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
 
     def close(pairs: DataFrame) -> DataFrame:
         both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {p} * greatest(n_a, n_b)")
-        return both.mapInArrow(_close(r), "a long, b long")
+        return both.transform(arrow, _close(r), "a long, b long")
 
     def together(links: DataFrame, joined: DataFrame) -> DataFrame:
         return components(links.union(joined.select(F.col("node").alias("u"), F.col("component").alias("v"))))
@@ -346,7 +346,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     placed = place(joined).where(f"pmod(key, {WIDTH}) = 0")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high and m > 2").select("key")
     rows = placed.join(mixed, "key").withColumn("turn", F.xxhash64("key", "rep")).repartition("key").sortWithinPartitions("key", "turn")
-    second = stored(close(rows.mapInArrow(_neighbours, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")))
+    second = stored(close(rows.transform(arrow, _neighbours, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")))
     if not second.isEmpty():
         joined = together(confirmed(second, texts, settings.words, p), joined)
         tried = tried.union(second)
@@ -361,10 +361,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     among = f"transform(sequence(0, others - 1), x -> struct(-1 - (least(x, own) * 1000000 + greatest(x, own)) as cell, if(x = own, {WHOLE}L, own) as side))"
     rest = rest.withColumn("at", F.explode(F.expr(f"if(comp = main, {against}, concat({against}, {among}))")))
     near = stored(texts.join(placed.join(open_, "key").select("rep").distinct(), "rep"))
-    shingles = near.mapInArrow(_emit_shingles(settings.words), "key long, rep long")
-    held = shingles.repartition("key").sortWithinPartitions("key").mapInArrow(_hubs, "key long, rep long, hub long").groupBy("rep").agg(F.count(F.lit(1)).alias("held"))
-    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.join(held, "rep").join(near.mapInArrow(_long(settings.words), "rep long, long binary"), "rep").select("rep", "n", "sig", "held", "long"), "rep")
-    more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(_near(p, r), "a long, b long")
+    shingles = near.transform(arrow, _emit_shingles(settings.words), "key long, rep long")
+    held = shingles.repartition("key").sortWithinPartitions("key").transform(arrow, _hubs, "key long, rep long, hub long").groupBy("rep").agg(F.count(F.lit(1)).alias("held"))
+    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.join(held, "rep").join(near.transform(arrow, _long(settings.words), "rep long, long binary"), "rep").select("rep", "n", "sig", "held", "long"), "rep")
+    more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").transform(arrow, _near(p, r), "a long, b long")
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
     found = joined if more.isEmpty() else together(confirmed(more, texts, settings.words, p), joined)
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import text_buffer
+from tessera.llm.common import arrow, text_buffer
 
 # Fixed values of the MPEG audio standards: kbit/s by (version 1?, layer), Hz by
 # version code, samples a frame by (version 1?, layer), side information bytes
@@ -277,7 +277,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and media: the stored form of each text, a null one as empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode, "doc_id long, media binary")
+    return rows.transform(arrow, _encode, "doc_id long, media binary")
 
 
 SCANNED = "doc_id long, frames long, samples long, hertz int, seconds double, vbr_table string, crc_checked long, crc_failed long, skipped_bytes long, seek_offsets array<long>"
@@ -295,7 +295,7 @@ def scan_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
 
     Null, empty and unreadable media have no frames.
     """
-    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(_scan_all, SCANNED)
+    return media.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).alias("media")).transform(arrow, _scan_all, SCANNED)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, seconds double, seek_offsets array<long>"
@@ -318,4 +318,4 @@ def text_media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     One row for each row of ``docs``; equal texts have equal values.
     """
-    return encode_texts(docs, id_col, text_col).mapInArrow(_digest_all, DIGEST)
+    return encode_texts(docs, id_col, text_col).transform(arrow, _digest_all, DIGEST)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import U64, binary_column, group_starts, mix64, portions, prefix_hash, ragged, span_hash, stored, text_buffer, whole_groups
+from tessera.llm.common import U64, arrow, binary_column, group_starts, mix64, portions, prefix_hash, ragged, span_hash, stored, text_buffer, whole_groups
 from tessera.llm.run_index import SEPARATOR, repeated_starts
 
 #: Distinct segments of a shard that are indexed together.
@@ -144,7 +144,7 @@ def apart(shard: np.ndarray, cell: np.ndarray, offsets: np.ndarray, limit: int =
 def repeated_spans(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """row, tag, low, high: bytes [low, high) of ``texts(row, tag, text)`` are
     repeated. Spans may overlap and repeat; (row, tag) stands for one text."""
-    seen = stored(texts.mapInArrow(_scan(settings), "shard long, content long, row long, tag int, start int, length int, twice boolean"))
+    seen = stored(texts.transform(arrow, _scan(settings), "shard long, content long, row long, tag int, start int, length int, twice boolean"))
     shared = seen.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("two"), F.max("twice").alias("self")).where("n > 1 or self")
     kept = stored(seen.drop("twice").join(shared.select("shard", F.expr("one <> two or self").alias("varied")), "shard"))
     distinct = kept.groupBy("shard", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "tag", "start", "length")).alias("at"), F.first("varied").alias("varied"))
@@ -152,12 +152,12 @@ def repeated_spans(texts: DataFrame, settings: Settings = Settings()) -> DataFra
 
     varied = distinct.where("varied")
     wanted = varied.groupBy("row", "tag").agg(F.collect_list(F.struct("start", "length", "shard", "content")).alias("wanted"))
-    pieces = texts.join(wanted, ["row", "tag"]).select("text", "wanted").mapInArrow(_cut, "shard long, content long, bytes binary")
+    pieces = texts.join(wanted, ["row", "tag"]).select("text", "wanted").transform(arrow, _cut, "shard long, content long, bytes binary")
     many = varied.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     cells = pieces.join(many, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("shard", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), "content", "bytes").distinct()
-    partial = cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell").mapInArrow(_index(settings.width), "shard long, content long, low int, high int")
+    partial = cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell").transform(arrow, _index(settings.width), "shard long, content long, low int, high int")
     whole = distinct.where("n > 1").select("shard", "content", F.lit(0).alias("low"), (F.col("length") - settings.width + 1).alias("high"))
     strings = stored(partial.union(whole).distinct())
     return kept.join(strings, ["shard", "content"]).select("row", "tag", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + settings.width).alias("high"))
@@ -232,9 +232,9 @@ def _over(docs: DataFrame, text_col: str, id_col: str, settings: Settings, make,
     before = spans.select("row", "tag", F.lit(0).alias("kind"), "low", "high", F.lit(None).cast("string").alias("text"), F.lit(None).cast(kind_of).alias("rest"))
     after = rows.select("row", "tag", F.lit(1).alias("kind"), F.lit(0).alias("low"), F.lit(0).alias("high"), "text", "rest")
     names, types = zip(*(f.strip().split() for f in fields.split(",")))
-    arrow = [{"long": pa.int64(), "string": pa.string()}[t] for t in types]
+    kinds = [{"long": pa.int64(), "string": pa.string()}[t] for t in types]
     merged_rows = before.union(after).repartition("row").sortWithinPartitions("row", "tag", "kind")
-    return merged_rows.mapInArrow(_finish(make, list(names), arrow), f"rest {kind_of.simpleString()}, {fields}")
+    return merged_rows.transform(arrow, _finish(make, list(names), kinds), f"rest {kind_of.simpleString()}, {fields}")
 
 
 def repeat_report(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

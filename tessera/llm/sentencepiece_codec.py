@@ -23,13 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import HashMemory, Powers, U64, group_starts, mix64, portions, prefix_hash, ragged, span_hash, text_buffer
+from tessera.llm.common import U64, HashMemory, Powers, arrow, group_starts, mix64, portions, prefix_hash, ragged, span_hash, text_buffer
 
 MARK = "▁"
 SPACE = 0x20
 UNKNOWN_PENALTY = 10.0
 #: Distinct units that a worker remembers between batches.
-CACHE = 1 << 21
+CACHE = 1 << 19
 
 
 class Codec:
@@ -224,7 +224,7 @@ class Memory:
         return self.begin.data[at], self.count.data[at].astype(np.int64)
 
     def trim(self) -> None:
-        if len(self.place) > CACHE or self.ids.size > 4 * CACHE:
+        if len(self.place) > CACHE or self.ids.size > 8 * CACHE:
             self.__init__()
 
 
@@ -296,7 +296,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     codec = docs.sparkSession.sparkContext.broadcast(Codec.load(model))
     rows = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("rest"), F.col(text_col).alias("text"))
     token = hash(model)
-    out = rows.mapInArrow(lambda batches: _encode_all(codec.value, token)(batches), "rest struct<doc_id: bigint>, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean, ids array<int>")
+    out = rows.transform(arrow, lambda batches: _encode_all(codec.value, token)(batches), "rest struct<doc_id: bigint>, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean, ids array<int>")
     return out.select("rest.doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip", "ids")
 
 
@@ -312,4 +312,4 @@ def decode_documents(encoded: DataFrame, model: str, id_col: str = "doc_id", ids
             texts = [None if null else data[a:b].tobytes().decode("utf-8", "replace") for a, b, null in zip(edge[:-1], edge[1:], lists.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).transform(arrow, run, "doc_id long, text string")

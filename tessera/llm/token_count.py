@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import HashMemory, portions, prefix_hash, span_hash, text_buffer, word_spans
+from tessera.llm.common import HashMemory, arrow, portions, prefix_hash, span_hash, text_buffer, word_spans
 
 #: Marks a piece that starts a word in SentencePiece vocabularies.
 MARK = "▁"
@@ -160,4 +160,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | tuple[list[str], list[str]],
     first, later = piece_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
     shared = docs.sparkSession.sparkContext.broadcast(LongestMatch(first, later))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lambda batches: _count(shared.value)(batches), "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return rows.transform(arrow, lambda batches: _count(shared.value)(batches), "doc_id long, n_words long, n_tokens long, n_unknown long")
