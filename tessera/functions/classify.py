@@ -73,3 +73,24 @@ def interval_factor(seconds: Column) -> Column:
     """Piecewise factor of a latency: 1.05 below 1 s, 1.02 below 2 s, 1 to 3 s,
     then in a line from 0.99 to 0.85 at 5 s and above."""
     return F.when(seconds < 1, 1.05).when(seconds < 2, 1.02).when(seconds <= 3, 1.0).when(seconds >= 5, 0.85).otherwise(0.99 - (seconds - 3) * 0.07)
+
+
+#: Modes of a question in order of precedence: pattern, pages it may use.
+SCOPES = (("explicit_page", r"\bpage [0-9]+", 1), ("compare", r"\b(compare|both|differ|versus)", 4), ("all", r"\b(all|each|every|list)\b", 6), ("negative", r"\b(no|not|never|without)\b", 3), ("temporal", r"\b(when|date|before|after|since)\b", 2))
+
+
+def grounding_scope(question: Column, scopes: Sequence[tuple[str, str, int]] = SCOPES) -> Column:
+    """struct<mode, budget>: the first mode whose pattern the question has, else
+    ``single`` with one page."""
+    q = F.lower(question)
+    return F.struct(first_rule([(q.rlike(p), m) for m, p, _ in scopes], "single").alias("mode"), first_rule([(q.rlike(p), b) for _, p, b in scopes], 1).alias("budget"))
+
+
+def query_contract(question: Column, entity: str) -> Column:
+    """struct<predicate, entities, mode, budget, polarity, confidence> of a question."""
+    scope = grounding_scope(question)
+    entities = F.array_distinct(F.regexp_extract_all(question, F.lit(entity), F.lit(0)))
+    predicate = first_rule([(F.lower(question).rlike(p), n) for n, p in (("who", r"^\s*who\b"), ("when", r"^\s*when\b"), ("count", r"how many"), ("boolean", r"^\s*(is|are|was|were|does|do|did|can|has|have)\b"))], "open")
+    polarity = F.when(scope["mode"] == "negative", -1).otherwise(1)
+    confidence = F.round(0.5 + 0.25 * F.least(F.size(entities), F.lit(1)) + F.when(predicate != "open", 0.25).otherwise(0.0), 2)
+    return F.struct(predicate.alias("predicate"), entities.alias("entities"), scope["mode"].alias("mode"), scope["budget"].alias("budget"), polarity.alias("polarity"), confidence.alias("confidence"))

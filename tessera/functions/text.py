@@ -74,6 +74,18 @@ def extract_unique(text: Column, *patterns: str) -> Column:
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])))
 
 
+def trailing_title(text: Column, stops: tuple[str, ...]) -> Column:
+    """Words after the last of the stop words, in title case: read from the right
+    until one is met."""
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("done"))
+
+    def step(s: Column, w: Column) -> Column:
+        done = s["done"] | F.lower(w).isin(*stops)
+        return F.struct(F.when(done, s["kept"]).otherwise(F.concat(F.array(w), s["kept"])).alias("kept"), done.alias("done"))
+
+    return F.initcap(F.array_join(F.aggregate(F.reverse(F.split(collapse(text), " ")), start, step)["kept"], " "))
+
+
 def quoted_terms(text: Column) -> Column:
     """Quoted phrases of 3 to 81 characters that start with a capital."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r'"([A-Z][^"]{2,80})"'), F.lit(1)))
@@ -220,6 +232,11 @@ def json_in(text: Column) -> Column:
     return F.when(body != "", body)
 
 
+def record(text: Column, schema: str) -> Column:
+    """The object in noisy text as a struct; null if it isn't one of the schema."""
+    return F.from_json(json_in(text), schema, {"mode": "PERMISSIVE"})
+
+
 def char_ratio(text: Column, pattern: str) -> Column:
     """Share of the characters that match a character class; 0 for empty text."""
     n = F.length(text)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.functions import text as T
-from tessera.operators import selection as S
+from tessera.functions import classify as C, text as T
+from tessera.operators import mldata, selection as S
 from tessera.queries.registry import Tables, query
 from tessera.queries.search import BM25, corpus, overlap_hits, sparse_hits
 
@@ -165,3 +165,31 @@ select rule, count(*) as support, count(*) >= 20 as promoted from h group by rul
 """)
 def activated_rules(t: Tables) -> DataFrame:
     return S.activated_rules(t.documents, [("mail", "@"), ("digits", "[0-9]")], 20)
+
+
+@query("TXT-8", "select n_nationkey, 'Nation_' || n_nationkey || ' Law' as title from nation")
+def trailing_titles(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("as amended by THE  "), "n_name", F.lit(" law"))
+    return t.nation.select("n_nationkey", T.trailing_title(text, ("the", "by")).alias("title"))
+
+
+@query("CLS-10 CLS-11", r"""
+with x as (select conv_id, turn, lower(text) as q, len(regexp_extract_all(text, '[A-Z][a-z]+')) > 0 as named from conversations), m as (select *, case when regexp_matches(q, '\bpage [0-9]+') then 'explicit_page' when regexp_matches(q, '\b(compare|both|differ|versus)') then 'compare' when regexp_matches(q, '\b(all|each|every|list)\b') then 'all' when regexp_matches(q, '\b(no|not|never|without)\b') then 'negative' when regexp_matches(q, '\b(when|date|before|after|since)\b') then 'temporal' else 'single' end as mode,
+ case when regexp_matches(q, '^\s*who\b') then 'who' when regexp_matches(q, '^\s*when\b') then 'when' when regexp_matches(q, 'how many') then 'count' when regexp_matches(q, '^\s*(is|are|was|were|does|do|did|can|has|have)\b') then 'boolean' else 'open' end as predicate from x)
+select conv_id, turn, predicate, mode, case mode when 'explicit_page' then 1 when 'compare' then 4 when 'all' then 6 when 'negative' then 3 when 'temporal' then 2 else 1 end as budget, 0.5 + case when named then 0.25 else 0 end + case when predicate <> 'open' then 0.25 else 0 end as confidence from m
+""", doubles="confidence")
+def query_contracts(t: Tables) -> DataFrame:
+    c = C.query_contract(F.col("text"), "[A-Z][a-z]+")
+    return t.conversations.select("conv_id", "turn", c["predicate"].alias("predicate"), c["mode"].alias("mode"), c["budget"].alias("budget"), c["confidence"].alias("confidence"))
+
+
+@query("CH-9 TXT-33", "select event_id, cast(json_extract(props, '$.k') as bigint) as k, 'k=' || cast(json_extract(props, '$.k') as varchar) as compact from events")
+def interrogation_records(t: Tables) -> DataFrame:
+    r = T.record(F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")), "k bigint")
+    return t.events.select("event_id", r["k"].alias("k"), F.concat(F.lit("k="), r["k"].cast("string")).alias("compact"))
+
+
+@query("ML-11 GR-4")
+def greedy_cover(t: Tables) -> DataFrame:
+    pages = t.conversations.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", T.tokens(F.col("text")).alias("w")))), lambda x: x["w"]).alias("p"))
+    return pages.select("conv_id", F.array_join(F.transform(mldata.greedy_cover(F.col("p"), 1, 3), lambda i: i.cast("string")), ",").alias("kept"))
