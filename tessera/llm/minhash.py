@@ -36,7 +36,7 @@ CHUNKS = 12
 WIDTH = 4
 SYMBOLS = CHUNKS * WIDTH
 #: 8-bit symbols of the long signatures that judge the pairs left at the end.
-LONG = 512
+LONG = 1024
 BLOCK = 512
 #: Side of the rows of a cell in which every two are compared.
 WHOLE = -1
@@ -258,7 +258,8 @@ def _near(percent: int, radius: int):
                 i, j = i[ok], j[ok]
                 ok = first_key(differ[ok]) == index[i]
                 i, j = i[ok], j[ok]
-                ok = (wide[i] != wide[j]).sum(1) <= long_radius(percent)
+                ok = [(wide[i[k : k + 4096]] != wide[j[k : k + 4096]]).sum(1) <= long_radius(percent) for k in range(0, len(i), 4096)]
+                ok = np.concatenate(ok) if ok else np.zeros(0, bool)
                 a, b = rep[i[ok]], rep[j[ok]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
