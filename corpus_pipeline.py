@@ -3,8 +3,8 @@
 1. ``language_id`` drops documents whose language can't be told.
 2. ``minhash_dedup`` keeps one document of each group of near duplicates
    (shingles of five words, similarity 0.8 or more).
-3. ``suffix_array_dedup`` removes passages that occur more than once: strings of
-   256 bytes, which is less than 51 words of the corpus take.
+3. ``suffix_array_dedup`` removes passages that occur more than once: runs of 51
+   words, however short, and strings of 256 bytes.
 4. ``mixing`` takes documents of each source, some twice, up to its target.
 5. ``sentencepiece`` encodes what is left; its rows are the result.
 """
@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(docs, repeats.Settings(width=256))
+    return repeats.remove_repeats(docs, repeats.Settings(width=256, words=51))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

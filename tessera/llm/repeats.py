@@ -10,6 +10,10 @@ start elsewhere. A shard with many distinct segments (a passage common to many
 documents) is split into blocks, of which every two are indexed together, so no
 task gets more than two blocks. Counts and hashes cover all documents; the
 result is exact up to 128-bit hash collisions.
+
+Runs of ``words`` words are found in the same way over the texts' words, each a
+symbol of 64 bits, so short words and other white space between them don't hide
+a repeat. Both kinds are found in the same texts and removed together.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import U64, arrow, binary_column, group_starts, mix64, portions, prefix_hash, ragged, span_hash, stored, text_buffer, whole_groups
+from tessera.llm.common import U64, arrow, binary_column, group_starts, mix64, portions, prefix_hash, ragged, span_hash, stored, text_buffer, whole_groups, word_spans
 from tessera.llm.run_index import SEPARATOR, repeated_starts
 
 #: Distinct segments of a shard that are indexed together.
@@ -31,10 +35,14 @@ BLOCK = 1024
 
 @dataclass(frozen=True)
 class Settings:
-    """``width`` bytes make a repeat; k-grams of ``gram`` bytes choose shards."""
+    """``width`` bytes make a repeat; k-grams of ``gram`` bytes choose shards.
+    ``words`` words make one too, however few bytes they take (0: they don't);
+    k-grams of ``word_gram`` of them choose shards."""
 
     width: int = 400
     gram: int = 80
+    words: int = 0
+    word_gram: int = 12
 
 
 def sliding_least(values: np.ndarray, m: int) -> np.ndarray:
@@ -83,44 +91,61 @@ def segments(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     return owner[first], start - offsets[owner[first]], end - start, shard[first], content, twice
 
 
-def _scan(settings: Settings):
+def _symbols(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' bytes, or a hash of each of their words, and the texts' offsets."""
+    if not words:
+        return data, offsets
+    starts, ends, per = word_spans(data, offsets)
+    return mix64(span_hash(prefix_hash(data), starts, ends) ^ (ends - starts).astype(U64)), np.concatenate([[0], np.cumsum(per)])
+
+
+def _scan(width: int, gram: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             row, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "tag"))
             for i, j in portions(offsets):
-                owner, start, length, shard, content, twice = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], settings.width, settings.gram)
+                owner, start, length, shard, content, twice = segments(*_symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), width, gram)
                 columns = [shard.view(np.int64), content.view(np.int64), row[i + owner], tag[i + owner], start.astype(np.int32), length.astype(np.int32), twice]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "content", "row", "tag", "start", "length", "twice"])
 
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The segments' bytes out of their documents."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            wanted = part.column("wanted")
-            per = wanted.value_lengths().to_numpy(zero_copy_only=False)
-            flat = wanted.flatten()
-            start, length, shard, content = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            begin = np.repeat(offsets[i : i + len(per)], per) + start
-            bytes_ = data[ragged(begin, length.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(content), binary_column(bytes_, np.concatenate([[0], np.cumsum(length)]))], ["shard", "content", "bytes"])
+def _cut(words: bool):
+    """The segments' symbols, as bytes, out of their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                symbols, offsets = _symbols(*text_buffer(part.column("text")), words)
+                wanted = part.column("wanted")
+                per = wanted.value_lengths().to_numpy(zero_copy_only=False)
+                flat = wanted.flatten()
+                start, length, shard, content = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+                taken = symbols[ragged(np.repeat(offsets[:-1], per) + start, length.astype(np.int64))]
+                sizes = length.astype(np.int64) * symbols.itemsize
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(content), binary_column(taken.view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]))], ["shard", "content", "bytes"])
+
+    return run
 
 
-def _index(width: int):
+def _index(width: int, words: bool):
     """Repeated strings of each segment as (first, last + 1) pairs of starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["shard", "cell"], weight="bytes"):
             data, all_offsets = text_buffer(table.column("bytes"))
+            if words:
+                data, all_offsets = np.frombuffer(data.tobytes(), U64), all_offsets // 8
             all_content, all_shard, cell = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("content", "shard", "cell"))
-            for i, j in apart(all_shard, cell, all_offsets):
+            for i, j in apart(all_shard, cell, all_offsets, 1 << (17 if words else 19)):
                 content, shard, offsets = all_content[i:j], all_shard[i:j], all_offsets[i : j + 1] - all_offsets[i]
-                found = repeated_starts(data[all_offsets[i] : all_offsets[j]], offsets, width, SEPARATOR)
+                symbols, separator = data[all_offsets[i] : all_offsets[j]], SEPARATOR
+                if words:
+                    symbols, separator = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1, 0
+                found = repeated_starts(symbols, offsets, width, separator)
                 edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
                 first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                 owner = np.searchsorted(offsets, first, "right") - 1
@@ -141,10 +166,11 @@ def apart(shard: np.ndarray, cell: np.ndarray, offsets: np.ndarray, limit: int =
             low = int(ends[k])
 
 
-def repeated_spans(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """row, tag, low, high: bytes [low, high) of ``texts(row, tag, text)`` are
-    repeated. Spans may overlap and repeat; (row, tag) stands for one text."""
-    seen = stored(texts.transform(arrow, _scan(settings), "shard long, content long, row long, tag int, start int, length int, twice boolean"))
+def repeated_spans(texts: DataFrame, width: int, gram: int, words: bool = False) -> DataFrame:
+    """row, tag, low, high: bytes (or words, by number) [low, high) of
+    ``texts(row, tag, text)`` are in a repeat of ``width`` of them. Spans may
+    overlap and repeat; (row, tag) stands for one text."""
+    seen = stored(texts.transform(arrow, _scan(width, gram, words), "shard long, content long, row long, tag int, start int, length int, twice boolean"))
     shared = seen.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("two"), F.max("twice").alias("self")).where("n > 1 or self")
     kept = stored(seen.drop("twice").join(shared.select("shard", F.expr("one <> two or self").alias("varied")), "shard"))
     distinct = kept.groupBy("shard", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "tag", "start", "length")).alias("at"), F.first("varied").alias("varied"))
@@ -152,15 +178,15 @@ def repeated_spans(texts: DataFrame, settings: Settings = Settings()) -> DataFra
 
     varied = distinct.where("varied")
     wanted = varied.groupBy("row", "tag").agg(F.collect_list(F.struct("start", "length", "shard", "content")).alias("wanted"))
-    pieces = texts.join(wanted, ["row", "tag"]).select("text", "wanted").transform(arrow, _cut, "shard long, content long, bytes binary")
+    pieces = texts.join(wanted, ["row", "tag"]).select("text", "wanted").transform(arrow, _cut(words), "shard long, content long, bytes binary")
     many = varied.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     cells = pieces.join(many, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     cells = cells.withColumn("own", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("shard", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), "content", "bytes").distinct()
-    partial = cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell").transform(arrow, _index(settings.width), "shard long, content long, low int, high int")
-    whole = distinct.where("n > 1").select("shard", "content", F.lit(0).alias("low"), (F.col("length") - settings.width + 1).alias("high"))
+    partial = cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell").transform(arrow, _index(width, words), "shard long, content long, low int, high int")
+    whole = distinct.where("n > 1").select("shard", "content", F.lit(0).alias("low"), (F.col("length") - width + 1).alias("high"))
     strings = stored(partial.union(whole).distinct())
-    return kept.join(strings, ["shard", "content"]).select("row", "tag", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + settings.width).alias("high"))
+    return kept.join(strings, ["shard", "content"]).select("row", "tag", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + width).alias("high"))
 
 
 def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,11 +199,22 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[first], high[np.append(first[1:], len(low)) - 1]
 
 
+def _in_bytes(text: np.ndarray, of_bytes: list, of_words: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted disjoint spans of bytes that cover the spans of both kinds."""
+    low, high = [x for x, _ in of_bytes], [x for _, x in of_bytes]
+    if of_words:
+        starts, ends, _ = word_spans(text, np.array([0, len(text)]))
+        low += [starts[x] for x, _ in of_words]
+        high += [ends[x - 1] for _, x in of_words]
+    return merged(np.concatenate(low), np.concatenate(high)) if low else (np.zeros(0, np.int64),) * 2
+
+
 def _finish(make, names: list[str], types: list[pa.DataType]):
-    """Over rows sorted by (row, tag, kind): a text's spans come before it."""
+    """Over rows sorted by (row, tag, kind): a text's spans of bytes (kind 0) and
+    of words (kind 1) come before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, low, high = None, [], []
+        at, spans = None, ([], [])
         for batch in batches:
             row, tag, kind, lows, highs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "tag", "kind", "low", "high"))
             data, offsets = text_buffer(batch.column("text"))
@@ -185,14 +222,12 @@ def _finish(make, names: list[str], types: list[pa.DataType]):
             starts = group_starts(row, tag, kind)
             for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
                 if at != (row[s], tag[s]):
-                    at, low, high = (row[s], tag[s]), [], []
-                if kind[s] == 0:
-                    low.append(lows[s:e])
-                    high.append(highs[s:e])
+                    at, spans = (row[s], tag[s]), ([], [])
+                if kind[s] < 2:
+                    spans[kind[s]].append((lows[s:e], highs[s:e]))
                     continue
-                spans = merged(np.concatenate(low), np.concatenate(high)) if low else (np.zeros(0, np.int64),) * 2
-                out += [make(data[offsets[x] : offsets[x + 1]], *spans) for x in range(s, e)]
-            rest = batch.column("rest").filter(pa.array(kind == 1))
+                out += [make(text, *_in_bytes(text, *spans)) for text in (data[offsets[x] : offsets[x + 1]] for x in range(s, e))]
+            rest = batch.column("rest").filter(pa.array(kind == 2))
             made = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([rest, *made], ["rest", *names])
 
@@ -227,10 +262,13 @@ def _over(docs: DataFrame, text_col: str, id_col: str, settings: Settings, make,
     text = F.coalesce(F.col(text_col), F.lit(""))
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("_null"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("row"), F.hash(text).alias("tag"), text.alias("text"), rest.alias("rest"))
-    spans = repeated_spans(rows.select("row", "tag", "text"), settings)
+    texts = rows.select("row", "tag", "text")
+    spans = repeated_spans(texts, settings.width, settings.gram).withColumn("kind", F.lit(0))
+    if settings.words:
+        spans = spans.union(repeated_spans(texts, settings.words, settings.word_gram, True).withColumn("kind", F.lit(1)))
     kind_of = rows.schema["rest"].dataType
-    before = spans.select("row", "tag", F.lit(0).alias("kind"), "low", "high", F.lit(None).cast("string").alias("text"), F.lit(None).cast(kind_of).alias("rest"))
-    after = rows.select("row", "tag", F.lit(1).alias("kind"), F.lit(0).alias("low"), F.lit(0).alias("high"), "text", "rest")
+    before = spans.select("row", "tag", "kind", "low", "high", F.lit(None).cast("string").alias("text"), F.lit(None).cast(kind_of).alias("rest"))
+    after = rows.select("row", "tag", F.lit(2).alias("kind"), F.lit(0).alias("low"), F.lit(0).alias("high"), "text", "rest")
     names, types = zip(*(f.strip().split() for f in fields.split(",")))
     kinds = [{"long": pa.int64(), "string": pa.string()}[t] for t in types]
     merged_rows = before.union(after).repartition("row").sortWithinPartitions("row", "tag", "kind")
@@ -248,7 +286,7 @@ def repeat_report(docs: DataFrame, settings: Settings = Settings(), id_col: str
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated bytes of each text removed, columns unchanged.
+    """``docs`` with the repeats of each text removed, columns unchanged.
 
     All occurrences go. A character of which only some bytes are covered stays
     whole. A null text stays null.

@@ -1,10 +1,12 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tessera.llm import repeats
 from tessera.llm.repeats import Settings, remove_repeats, repeat_report, sliding_least
 from tessera.llm.run_index import RunLengthIndex, repeated_starts, suffix_array
@@ -65,6 +67,51 @@ def test_empty_table(spark):
     assert repeat_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def brute_words(texts, words, width=0):
+    """Words (and bytes) in repeats, by every window of every text."""
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    named = [[t[a:b] for a, b in f] for t, f in zip(texts, found)]
+    seen = Counter(tuple(n[k : k + words]) for n in named for k in range(len(n) - words + 1))
+    strings = Counter(t[k : k + width] for t in texts for k in range(len(t) - width + 1)) if width else {}
+    kept = []
+    for t, f, n in zip(texts, found, named):
+        gone = bytearray(len(t))
+        spans = [(f[k][0], f[k + words - 1][1]) for k in range(len(n) - words + 1) if seen[tuple(n[k : k + words])] > 1]
+        spans += [(k, k + width) for k in range(len(t) - width + 1) if width and strings[t[k : k + width]] > 1]
+        for a, b in spans:
+            gone[a:b] = b"\1" * (b - a)
+        kept.append(bytes(c for c, g in zip(t, gone) if not g).decode())
+    return kept
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_runs_of_words_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(repeats, "BLOCK", block)
+    rng = random.Random(3)
+    words = lambda n: [rng.choice("aé日xyz") * rng.randrange(1, 3) + rng.choice("0123456789") for _ in range(n)]
+    shared = [words(24) for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        p = rng.choice(shared)
+        a = rng.randrange(8)
+        parts = words(rng.randrange(8)) + p[a : len(p) - rng.randrange(8)] * rng.randrange(3) + words(rng.randrange(8))
+        texts.append("".join(w + rng.choice([" ", "\n", "  "]) for w in parts))
+    texts += ["a " * 60, "b " * 11, "", " ", "solid" * 20, "x" + "solid" * 20]
+    got = remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Settings(width=64, gram=16, words=12, word_gram=3)).collect()
+    assert [r.text for r in sorted(got)] == brute_words([t.encode() for t in texts], 12, 64)
+
+
+def test_pipeline_cuts_51_short_words_and_not_50(spark):
+    rng = random.Random(8)
+    words = lambda n, k: " ".join("".join(rng.choice("abcdefghij") for _ in range(k)) for _ in range(n))
+    long, short = words(51, 2), words(50, 2)
+    assert len(long) < 256
+    rows = [(i, f"{words(20, 6)} {p} {words(20, 6)}") for i, p in enumerate([long, long, short, short])]
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    for i, text in rows:
+        assert got[i] == (text.replace(long, "") if i < 2 else text)
+
+
 def test_index_runs_and_statistics():
     rng = np.random.default_rng(0)
     for _ in range(200):
