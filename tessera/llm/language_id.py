@@ -99,6 +99,10 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Regression outputs, a row for each text and a column for each language."""
+        return self.outputs(data, offsets)[0]
+
+    def outputs(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The scores, and how many known n-grams each text holds."""
         n = len(offsets) - 1
         text, row = self.presence(data, offsets)
         total = np.zeros((n, len(self.languages)))
@@ -106,7 +110,7 @@ class Model:
         if len(starts):
             total[text[starts]] = np.add.reduceat(self.weights[row], starts)
         held = np.bincount(text, minlength=n)
-        return total / np.sqrt(np.maximum(held, 1))[:, None]
+        return total / np.sqrt(np.maximum(held, 1))[:, None], held
 
 
 def fit(texts: list[bytes], langs: list[str], is_landmark: list[bool], settings: Settings = Settings()) -> Model:
@@ -185,14 +189,16 @@ def _predict(model: Model):
             for i, j in portions(offsets, 1 << 19):
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 letters = np.array([bool(LETTER.search(part[a:b].tobytes().decode("utf-8", "replace"))) for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
-                langs, score = np.full(j - i, UNDETERMINED, object), np.zeros(j - i)
+                langs, score, known = np.full(j - i, UNDETERMINED, object), np.zeros(j - i), letters
                 if model.languages:
-                    likely = (np.clip(model.scores(part, at), -1, 1) + 1) / 2
+                    outputs, held = model.outputs(part, at)
+                    known = letters & (held > 0)
+                    likely = (np.clip(outputs, -1, 1) + 1) / 2
                     best = likely.argmax(1)
                     top = likely[np.arange(j - i), best] / np.maximum(likely.sum(1), 1e-12)
                     langs = np.where(letters, np.array(model.languages, object)[best], UNDETERMINED)
                     score = np.where(letters, top, 0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, j - i), pa.array(langs.tolist(), pa.string()), pa.array(score)], ["rest", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("rest").slice(i, j - i), pa.array(langs.tolist(), pa.string()), pa.array(score), pa.array(known)], ["rest", "lang_pred", "score", "known"])
 
     return run
 
@@ -206,13 +212,19 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", lang_pred: s
     name and the least score. Columns of ``docs`` with the new names are
     replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in docs.columns if c not in (lang_pred, score)]
-    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"))
-    out = rows.transform(arrow, lambda batches: _predict(shared.value)(batches), f"rest {rows.schema['rest'].dataType.simpleString()}, lang_pred string, score double")
+    out = _judged(docs, kept, model, text_col)
     return out.select(*[F.col(f"rest.`{c}`").alias(c) for c in kept], F.col("lang_pred").alias(lang_pred), F.col("score").alias(score))
 
 
+def _judged(docs: DataFrame, kept: list[str], model: Model, text_col: str) -> DataFrame:
+    """rest (the columns ``kept``, in a struct), lang_pred, score, and known:
+    whether the text has a letter and, if any language was learned, a known n-gram."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("rest"))
+    return rows.transform(arrow, lambda batches: _predict(shared.value)(batches), f"rest {rows.schema['rest'].dataType.simpleString()}, lang_pred string, score double, known boolean")
+
+
 def report(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of ``docs``.
 
@@ -223,11 +235,9 @@ def report(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
     return identify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, margin: float = 1e-9, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is undetermined or whose score is
-    within ``margin`` of chance: by default texts without letters or without any
-    known n-gram, so that no text in a learned language is lost."""
+def keep_identified(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without texts that have no letter or no known n-gram, so that no
+    text in a learned language is lost, however many languages there are. If no
+    row has a label, nothing is learned and only texts without a letter go."""
     model = train(docs, settings, id_col, text_col, lang_col)
-    found = identify(docs, model, text_col, "_lang", "_score")
-    least = 1 / max(len(model.languages), 1) + margin
-    return found.where((F.col("_lang") != UNDETERMINED) & (F.col("_score") > least)).drop("_lang", "_score")
+    return _judged(docs, docs.columns, model, text_col).where("known").select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

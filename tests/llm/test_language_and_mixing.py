@@ -52,6 +52,16 @@ def test_no_labels_and_empty_table(spark):
     assert L.report(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_one_label_or_none_keeps_the_texts(spark):
+    schema = "doc_id long, text string, lang string"
+    texts = [(i, t) for i, t, lang in labelled(120, 3) if lang == "en"]
+    empty = [(1000, None), (1001, ""), (1002, "123 !?")]
+    one = L.keep_identified(spark.createDataFrame([(i, t, "en") for i, t in texts + empty] + [(1003, "日本", "en")], schema))
+    assert sorted((r.doc_id, r.text, r.lang) for r in one.collect()) == [(i, t, "en") for i, t in texts]
+    none = L.keep_identified(spark.createDataFrame([(i, t, None) for i, t in texts + empty], schema))
+    assert sorted((r.doc_id, r.text) for r in none.collect()) == texts
+
+
 def test_folded_scores_equal_the_kernel():
     rows = labelled(60, 2)
     texts, langs = [t.encode() for _, t, _ in rows], [lang for _, _, lang in rows]
