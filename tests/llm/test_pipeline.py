@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tessera.llm import minhash, mixing, repeats
 
@@ -54,6 +56,16 @@ def test_stages_one_after_another(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(last)
 
 
+def test_each_stage_is_written_once_for_the_next(spark, tmp_path, monkeypatch):
+    spark.range(50).selectExpr("id as doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    mark = lambda spark, docs, _: docs.withColumn("mark", F.expr("uuid()"))
+    twice = lambda spark, docs, _: docs.join(docs.withColumnRenamed("mark", "again"), "doc_id")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("mark", mark), ("twice", twice)])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.where("mark = again").count() == 50
+    assert [r.mark for r in out.orderBy("doc_id").collect()] == [r.mark for r in out.orderBy("doc_id").collect()]
+
+
 def test_settings():
     assert minhash.Settings() == minhash.Settings(words=5, percent=80)
     assert repeats.Settings().width == 400
