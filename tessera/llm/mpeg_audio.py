@@ -172,9 +172,20 @@ def _checksum(data: bytes, at: int, head: Header, out: Stream) -> None:
 
 
 def scan(data: bytes) -> Stream:
-    """Read a whole stream; empty data give no frames."""
+    """Read a whole stream; empty data give no frames.
+
+    What looks like an ID3v1 tag is audio if a frame of the sequence reaches
+    into it and ends with the data or at the next frame.
+    """
+    out = _scan(data, True)
+    return _scan(data, False) if out is None else out
+
+
+def _scan(data: bytes, closing: bool) -> Stream | None:
+    """The stream, with an ID3v1 tag if ``closing``; None if that one is audio."""
     out, end, pos = Stream(), len(data), 0
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
+    closing = closing and data[-128:-125] == b"TAG"
+    if closing:
         end -= 128
         out.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
     if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
@@ -187,6 +198,10 @@ def scan(data: bytes) -> Stream:
             pos = _id3v2(data, pos, out.tags)
             continue
         head = parse_header(data[pos : pos + 4])
+        if closing and head and (kind is None or head.kind == kind) and end - pos < head.size <= len(data) - pos:
+            after = parse_header(data[pos + head.size : pos + head.size + 4])
+            if pos + head.size == len(data) or after and after.kind == head.kind:
+                return None
         if head and pos + head.size <= end and (kind is None or head.kind == kind):
             after = parse_header(data[pos + head.size : pos + head.size + 4])
             if synced or pos + head.size == end or after and after.kind == head.kind or data[pos + head.size : pos + head.size + 3] == b"ID3":

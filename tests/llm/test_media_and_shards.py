@@ -70,6 +70,19 @@ def test_resynchronisation_tags_and_checksums():
     assert M.scan(b"").offsets == [] and M.scan(b"\xff" * 500).offsets == []
 
 
+def test_payloads_that_look_like_an_id3v1_tag():
+    for units, at in ((1, 89), (2, 329), (3, 521)):
+        for before in (0, 3, 6):
+            raw = bytearray(b"x" * (before + units) * M.UNIT)
+            raw[before * M.UNIT + at : before * M.UNIT + at + 3] = b"TAG"
+            stored = M.pack(bytes(raw))
+            assert stored[-128:-125] == b"TAG"
+            s = M.scan(stored)
+            assert M.unpack(stored, s) == (bytes(raw), len(raw)) and (s.skipped, len(s.offsets)) == (0, s.table_frames) and "ID3v1" not in s.tags
+            tagged = M.scan(stored + b"TAG" + b"Title".ljust(125, b"\0"))
+            assert tagged.offsets == s.offsets and tagged.tags["ID3v1"] == "Title"
+
+
 def test_variable_rate_tables():
     xing = frame(body=bytes(32) + b"Xing" + struct.pack(">III", 7, 2, 1251) + bytes(range(100)))
     s = M.scan(xing + frame() * 2)
