@@ -94,7 +94,7 @@ def bootstrap_interval(t: Tables) -> DataFrame:
     return metrics.bootstrap_mean(t.events.select("event_id", "value"), "value", rounds=100)
 
 
-@query("AG-36", """
+@query("", """
 with x as (select quality as y, length(text) / 10000.0 as s from labels join documents using (doc_id)), r as (select y, s, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 as r from x), c as (select count(*) as n, sum(case when (s >= 0.2) = (y = 1) then 1.0 else 0.0 end) as ok, sum(case when s >= 0.2 and y = 1 then 1 else 0 end) as tp, sum(case when s >= 0.2 and y <> 1 then 1 else 0 end) as fp, sum(case when s < 0.2 and y = 1 then 1 else 0 end) as fn, sum(case when y = 1 then 1 else 0 end) as p, sum(case when y <> 1 then 1 else 0 end) as q, sum(case when y = 1 then r end) as rs from r)
 select n, round(ok / n, 6) as accuracy, round(2 * tp / (2 * tp + fp + fn), 6) as f1, round((rs - p * (p + 1) / 2) / (p * q), 6) as auroc from c
 """)

@@ -121,7 +121,7 @@ def hybrid_search(t: Tables) -> DataFrame:
     return pipeline.hybrid(docs, t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))).select("qid", "id", "score", "rank")
 
 
-@query("ML-5 ML-8", r"""
+@query("ML-5", r"""
 with n as (select count(*) as n from benchmark), tri as (select lang as query, d.text as positive, b.text as negative from documents d cross join n join benchmark b on d.doc_id % n = b.item_id), once as (select distinct * from tri), s as (select *, list_distinct(regexp_extract_all(lower(positive), '[\p{L}\p{N}]+')) as p, list_distinct(regexp_extract_all(lower(negative), '[\p{L}\p{N}]+')) as q from once)
 select query, count(*) as n from s where len(list_intersect(p, q)) < greatest(3, floor(len(p) / 2)) group by query
 """)

@@ -239,7 +239,7 @@ def adjacent_pages(t: Tables) -> DataFrame:
     return grounding.adjacent_pages(hits, pages).select("doc", "page")
 
 
-@query("ML-7 JN-9", """
+@query("JN-9", """
 with p as (select l_orderkey as doc, l_linenumber as page from lineitem group by all), g as (select doc, min(page) as gold from p where page > 1 group by doc), x as (select doc, page, abs(page - gold) as distance from p join g using (doc) where page <> gold)
 select doc, page, distance from (select *, row_number() over (partition by doc order by distance, page) as r from x) where r <= 2
 """)

@@ -274,7 +274,7 @@ def citation_hops(t: Tables) -> DataFrame:
     return graph.expand(seeds, edges, 2)
 
 
-@query("ML-4 JN-9", f"""
+@query("JN-9", f"""
 with {BM25}, gold as (select distinct item_id as qid, doc_id as page from benchmark b join documents d on contains(d.text, b.text)), s as (select qid, id as page, source as doc, round(score, 4) as overlap from sparse join documents on doc_id = id where rank <= 20),
 near as (select distinct qid, source as doc from gold join documents on doc_id = page), x as (select qid, page, round(overlap + case when (qid, doc) in (select (qid, doc) from near) then 0.35 else 0.1 end, 6) as score from s where (qid, page) not in (select (qid, page) from gold))
 select qid, page, score, place from (select *, row_number() over (partition by qid order by score desc, page) as place from x) where place <= 3
