@@ -236,10 +236,8 @@ def _finish(make, names: list[str], types: list[pa.DataType]):
 
 def _digest(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple:
     edges = np.concatenate([[0], np.stack([low, high], 1).ravel(), [len(data)]]).astype(np.int64)
-    sha = hashlib.sha256()
-    for a, b in edges.reshape(-1, 2).tolist():
-        sha.update(data[a:b].tobytes())
-    return len(data), int((high - low).sum()), len(low), sha.hexdigest()
+    left = b"".join(data[a:b].tobytes() for a, b in edges.reshape(-1, 2).tolist())
+    return len(data), int((high - low).sum()), len(low), hashlib.sha256(left).hexdigest(), _whole_characters(data, low, high)[0]
 
 
 def _whole_characters(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple:
@@ -276,13 +274,14 @@ def _over(docs: DataFrame, text_col: str, id_col: str, settings: Settings, make,
 
 
 def repeat_report(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of ``docs``,
+    and the text that is left, in which a character cut in part stays whole.
 
     A null text counts as empty. Rows with the same id and text, or without an
     id, get a result each. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _over(docs, "text", "doc_id", settings, _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string").select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return _over(docs, "text", "doc_id", settings, _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
