@@ -4,8 +4,9 @@
 and parses ID3v2, APEv2 and ID3v1 tags, finds frame headers again after
 damage (then a header counts only if another that fits follows where it says
 the frame ends, or the stream ends there), reads Xing, Info and VBRI tables,
-verifies the checksums of layers I and III, and gives the exact duration in
-samples and the offset of every frame. Free-format streams are not read.
+verifies the checksums, and gives the exact duration in samples and the offset
+of every frame. The frames of a free-format stream are as long as the distance of
+its first two headers tells.
 
 ``pack`` stores bytes in the ancillary part of silent layer III frames: a
 frame of 80, 160 or 224 kbit/s holds one, two or three units of 192 bytes.
@@ -41,6 +42,17 @@ HERTZ = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 SIDE = {(True, False): 32, (True, True): 17, (False, False): 17, (False, True): 9}
 CRC_POLYNOMIAL = 0x8005
+# Allocation bits of layer II by sub-band, for the standards' tables a to d and
+# for the low sampling rates.
+LAYER2_BITS = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+#: No free-format frame is longer.
+LONGEST_FREE = 4608
 
 UNIT = 192
 #: Units in a frame: bit rate and frame bytes at 48 kHz.
@@ -58,22 +70,27 @@ class Header:
     mono: bool
     size: int
     samples: int
+    padding: int
     kind: tuple
 
 
 @lru_cache(4096)
-def parse_header(word: bytes) -> Header | None:
-    """The four bytes of a frame header, or None where they are none."""
+def parse_header(word: bytes, free: int = 0) -> Header | None:
+    """The four bytes of a frame header, or None where they are none. A header
+    without a bit rate is one only if ``free``, the frame's bytes, is given."""
     if len(word) < 4 or word[0] != 0xFF or word[1] & 0xE0 != 0xE0:
         return None
     code, layer, rate, hz = word[1] >> 3 & 3, 4 - (word[1] >> 1 & 3), word[2] >> 4, word[2] >> 2 & 3
-    if code == 1 or layer == 4 or rate in (0, 15) or hz == 3 or word[3] & 3 == 2:
+    if code == 1 or layer == 4 or rate == 15 or hz == 3 or word[3] & 3 == 2 or (rate == 0) != (free > 0):
         return None
     one = code == 3
     kbits, hertz, padding = KBITS[one, layer][rate], HERTZ[code][hz], word[2] >> 1 & 1
     samples = SAMPLES[one, layer]
-    size = (12000 * kbits // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + padding
-    return Header(one, layer, not word[1] & 1, kbits, hertz, word[3] >> 6 == 3, size, samples, (code, layer, hz))
+    if free:
+        size = free + padding * (4 if layer == 1 else 1)
+    else:
+        size = (12000 * kbits // hertz + padding) * 4 if layer == 1 else samples // 8 * 1000 * kbits // hertz + padding
+    return Header(one, layer, not word[1] & 1, kbits, hertz, word[3] >> 6 == 3, size, samples, padding, (code, layer, hz))
 
 
 @lru_cache(4096)
@@ -158,53 +175,113 @@ def _table(data: bytes, at: int, head: Header, out: Stream) -> bool:
     return False
 
 
+def _sub_bands(version1: bool, kbits: int, hertz: int) -> tuple[int, ...]:
+    """Bits of a layer II allocation in each sub-band; ``kbits`` is one channel's."""
+    if not version1:
+        return LAYER2_BITS["low"]
+    if kbits in (32, 48):
+        return LAYER2_BITS["d" if hertz == 32000 else "c"]
+    return LAYER2_BITS["a" if hertz == 48000 or 0 < kbits <= 80 else "b"]
+
+
+def _layer2_covered(data: bytes, at: int, head: Header) -> int:
+    """Bits of the allocation and of the scale factors' selection: two bits for
+    each channel's sub-band that has an allocation."""
+    channels = 1 if head.mono else 2
+    widths = _sub_bands(head.version1, head.kbits // channels, head.hertz)
+    joint = data[at + 3] >> 6 == 1
+    bound = 0 if head.mono else min(len(widths), 4 * ((data[at + 3] >> 4 & 3) + 1) if joint else len(widths))
+    word = int.from_bytes(data[at + 6 : at + 6 + 64].ljust(64, b"\0"), "big")
+    bit = chosen = 0
+    for band, width in enumerate(widths):
+        for _ in range(2 if band < bound else 1):
+            used = word >> 512 - bit - width & (1 << width) - 1
+            chosen += (1 if band < bound else channels) * (used > 0)
+            bit += width
+    return bit + 2 * chosen
+
+
+def _crc_bits(data: bytes, at: int, bits: int) -> int:
+    """Checksum of the header's last 16 bits and of ``bits`` after the checksum."""
+    value = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + bits // 8])
+    for k in range(bits % 8):
+        top = (value >> 15 & 1) ^ (data[at + 6 + bits // 8] >> 7 - k & 1)
+        value = (value << 1 ^ (CRC_POLYNOMIAL if top else 0)) & 0xFFFF
+    return value
+
+
 def _checksum(data: bytes, at: int, head: Header, out: Stream) -> None:
     if head.layer == 3:
-        covered = SIDE[head.version1, head.mono]
+        bits = 8 * SIDE[head.version1, head.mono]
     elif head.layer == 1:
         joint = data[at + 3] >> 6 == 1
         shared = 4 * ((data[at + 3] >> 4 & 3) + 1) if joint else 32
-        covered = (4 * (32 if head.mono else shared * 2 + (32 - shared))) // 8
+        bits = 4 * (32 if head.mono else shared * 2 + (32 - shared))
     else:
+        bits = _layer2_covered(data, at, head)
+    if 6 + -(-bits // 8) > head.size:
+        out.checked, out.failed = out.checked + 1, out.failed + 1
         return
     out.checked += 1
-    out.failed += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + covered]) != int.from_bytes(data[at + 4 : at + 6], "big")
+    out.failed += _crc_bits(data, at, bits) != int.from_bytes(data[at + 4 : at + 6], "big")
+
+
+def _closing(data: bytes, low: int) -> tuple[int, dict[str, str]]:
+    """Where the tags at the end of the data begin, but not before ``low``, the
+    end of the last frame; and what they say."""
+    end, tags = len(data), {}
+    if end - 128 >= low and data[end - 128 : end - 125] == b"TAG":
+        end -= 128
+        tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    if end - 32 >= low and data[end - 32 : end - 24] == b"APETAGEX":
+        size = int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
+        if size >= 32 and end - size >= low:
+            tags["APE"] = str(int.from_bytes(data[end - 16 : end - 12], "little"))
+            end -= size
+    return end, tags
+
+
+def _free_size(data: bytes, at: int) -> int:
+    """Bytes of a free-format frame without padding: up to the next header that
+    is of the same kind, which a third one confirms or the data end after."""
+    kind = parse_header(data[at : at + 4], 1)
+    step = 4 if kind and kind.layer == 1 else 1
+    last = at + LONGEST_FREE
+    pos = data.find(data[at : at + 2], at + 24, last)
+    while kind and pos >= 0:
+        pad = kind.padding * step
+        after = parse_header(data[pos : pos + 4], 1)
+        if after and after.kind == kind.kind and after.kbits == 0:
+            end = pos + (pos - at - pad) + after.padding * step
+            third = parse_header(data[end : end + 4], 1)
+            if end == len(data) or third and third.kind == kind.kind:
+                return pos - at - pad
+        pos = data.find(data[at : at + 2], pos + 1, last)
+    return 0
 
 
 def scan(data: bytes) -> Stream:
     """Read a whole stream; empty data give no frames.
 
-    What looks like an ID3v1 tag is audio if a frame of the sequence reaches
-    into it and ends with the data or at the next frame.
+    Tags at the end are looked for only after the last whole frame, so nothing
+    inside a frame is taken for one: a frame that ends with the data, or where
+    the next frame begins, is audio, whatever its bytes.
     """
-    out = _scan(data, True)
-    return _scan(data, False) if out is None else out
-
-
-def _scan(data: bytes, closing: bool) -> Stream | None:
-    """The stream, with an ID3v1 tag if ``closing``; None if that one is audio."""
-    out, end, pos = Stream(), len(data), 0
-    closing = closing and data[-128:-125] == b"TAG"
-    if closing:
-        end -= 128
-        out.tags["ID3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size = int.from_bytes(data[end - 20 : end - 16], "little") + (32 if data[end - 9] & 0x80 else 0)
-        out.tags["APE"] = str(int.from_bytes(data[end - 16 : end - 12], "little"))
-        end = max(0, end - size)
+    out, n, pos, low, free = Stream(), len(data), 0, 0, 0
     kind, first, synced = None, True, False
-    while pos < end:
-        if data[pos : pos + 3] == b"ID3" and pos + 10 <= end:
-            pos = _id3v2(data, pos, out.tags)
+    while pos < n:
+        if data[pos : pos + 3] == b"ID3" and pos + 10 <= n:
+            pos = low = min(n, _id3v2(data, pos, out.tags))
             continue
-        head = parse_header(data[pos : pos + 4])
-        if closing and head and (kind is None or head.kind == kind) and end - pos < head.size <= len(data) - pos:
-            after = parse_header(data[pos + head.size : pos + head.size + 4])
-            if pos + head.size == len(data) or after and after.kind == head.kind:
-                return None
-        if head and pos + head.size <= end and (kind is None or head.kind == kind):
-            after = parse_header(data[pos + head.size : pos + head.size + 4])
-            if synced or pos + head.size == end or after and after.kind == head.kind or data[pos + head.size : pos + head.size + 3] == b"ID3":
+        head = parse_header(data[pos : pos + 4], free)
+        if head is None and not free and kind is None and parse_header(data[pos : pos + 4], 1):
+            free = _free_size(data, pos)
+            head = parse_header(data[pos : pos + 4], free) if free else None
+        if head and pos + head.size <= n and (kind is None or head.kind == kind):
+            to = pos + head.size
+            after = parse_header(data[to : to + 4], free)
+            sure = to == n or after and after.kind == head.kind or data[to : to + 3] == b"ID3" or _closing(data, to)[0] == to
+            if sure or synced and _closing(data, pos + 1)[0] >= to:
                 kind, out.hertz = head.kind, head.hertz
                 if not (first and _table(data, pos, head, out)):
                     out.offsets.append(pos)
@@ -213,9 +290,13 @@ def _scan(data: bytes, closing: bool) -> Stream | None:
                 if head.protected:
                     _checksum(data, pos, head, out)
                 first, synced = False, True
-                pos += head.size
+                pos = low = to
                 continue
         synced = False
+        end, tags = _closing(data, low)
+        if pos >= end:
+            out.tags.update(tags)
+            break
         on = data.find(b"\xff", pos + 1, end)
         on = end if on < 0 else on
         tag = data.find(b"ID3", pos + 1, on)

@@ -83,6 +83,46 @@ def test_payloads_that_look_like_an_id3v1_tag():
             assert tagged.offsets == s.offsets and tagged.tags["ID3v1"] == "Title"
 
 
+@pytest.mark.parametrize("word", [b"TAG", b"APETAGEX" + struct.pack("<III", 2000, 300, 1), b"ID3\4\0\0\0\0\1\0", b"\xff\xfb\x94\xc0", b"Xing\0\0\0\1"])
+def test_tag_words_at_every_place(word):
+    for size in (192, 384, 576, 768, 960):
+        for at in range(size - len(word) + 1):
+            raw = bytearray(b"y" * size)
+            raw[at : at + len(word)] = word
+            assert M.unpack(M.pack(bytes(raw))) == (bytes(raw), size)
+
+
+def bit_checksum(bits):
+    value = 0xFFFF
+    for b in bits:
+        value = (value << 1 ^ (0x8005 if (value >> 15) ^ int(b) else 0)) & 0xFFFF
+    return value
+
+
+@pytest.mark.parametrize("used", [(), (0,), (0, 5, 26)])
+def test_layer_2_checksum(used):
+    widths = [4] * 11 + [3] * 12 + [2] * 4  # one channel of 64 kbit/s at 44.1 kHz
+    allocation = "".join(format(int(k in used), f"0{w}b") for k, w in enumerate(widths))
+    covered = allocation + "10" * len(used)
+    head = bytes([0xFF, 0xFC, M.KBITS[True, 2].index(64) << 4, 0xC0])
+    size = M.parse_header(head).size
+    body = covered + "1" * (8 * size - 48 - len(covered))
+    crc = bit_checksum("".join(format(x, "08b") for x in head[2:]) + covered)
+    good = head + crc.to_bytes(2, "big") + int(body, 2).to_bytes(size - 6, "big")
+    bad = bytearray(good)
+    bad[6] ^= 0x10
+    s = M.scan(good * 2 + bytes(bad) + good)
+    assert (len(s.offsets), s.checked, s.failed, s.samples) == (4, 4, 1, 4 * 1152)
+
+
+def test_free_format():
+    head = lambda padding: bytes([0xFF, 0xFB, padding << 1, 0xC0])
+    stream = b"".join(head(p) + bytes(196 + p) for p in (0, 1, 0, 0, 1))
+    s = M.scan(b"junk" + stream + b"TAG" + bytes(125))
+    assert (s.offsets, s.sizes) == ([4, 204, 405, 605, 805], [200, 201, 200, 200, 201]) and "ID3v1" in s.tags
+    assert s.samples == 5 * 1152 and s.skipped == 4
+
+
 def test_variable_rate_tables():
     xing = frame(body=bytes(32) + b"Xing" + struct.pack(">III", 7, 2, 1251) + bytes(range(100)))
     s = M.scan(xing + frame() * 2)
