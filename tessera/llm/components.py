@@ -44,3 +44,13 @@ def components(links: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
         e = stored(_small(_large(e)))
+
+
+def least_ids(joined: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, root and least: of each node of ``components`` (the smallest ones
+    included) the smallest id in its component. ``ids(node, id)`` names nodes;
+    several may have one id."""
+    inner = joined.select("node", F.col("component").alias("root"))
+    nodes = inner.union(inner.select(F.col("root").alias("node"), "root").distinct())
+    least = nodes.join(ids, "node").groupBy("root").agg(F.min("id").alias("least"))
+    return nodes.join(least, "root").select("node", "root", "least")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import arrow, group_starts, local_components, stored, whole_groups
-from tessera.llm.components import components
+from tessera.llm.components import components, least_ids
 
 BLOCK = 512
 WHOLE = -1
@@ -178,7 +178,8 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), id_col:
     Vectors are compared where labels and dimensions are equal and the label
     isn't null. A vector that is null, empty, zero or has a null or non-finite
     component is linked with nothing, nor is a row without an id, which has no
-    component and isn't kept. Rows that repeat an id are vectors of their own.
+    component and isn't kept. Rows that repeat an id are vectors of their own, each
+    with its own links; a component has the smallest of its rows' ids.
     Other columns are ignored.
     """
     vec = F.col(vector_col)
@@ -186,8 +187,9 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), id_col:
     good = F.coalesce(good, F.lit(False))
     key = [F.when(good, F.xxhash64(F.lit(k), F.col(label_col), vec)) for k in (1, 2)]
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), vec.alias("vec"), key[0].alias("k1"), key[1].alias("k2"))
-    one = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    classes = stored(one.withColumn("dim", F.size("vec")))
+    one = rows.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    # a class has a number of its own: rows that repeat an id may be in several
+    classes = stored(one.withColumns({"dim": F.size("vec"), "rep": F.monotonically_increasing_id()}))
     largest = classes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     tables = tables_for(largest, settings)
 
@@ -202,9 +204,9 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), id_col:
     cells = cells.withColumn("cell", F.xxhash64("cell", "label", "dim", "tab")).select("bucket", "cell", "tab", "rep", "mult", "side", "vec")
     links = stored(cells.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").transform(arrow, _links(tables, settings), "rep long, n long, root long"))
 
-    joined = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    joined = least_ids(components(links.select(F.col("rep").alias("u"), F.col("root").alias("v"))), classes.select(F.col("rep").alias("node"), "id"))
     counts = links.groupBy("rep").agg(F.sum("n").alias("n"))
-    final = classes.select("k1", "k2", "rep", "mult").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
-    final = final.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    final = classes.select("k1", "k2", "rep", "id", "mult").join(counts, "rep", "left").join(joined, F.col("rep") == F.col("node"), "left")
+    final = final.select("k1", "k2", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("least", "id").alias("component"))
     component = F.coalesce("component", "vec_id")
     return rows.drop("vec", "label").join(final, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

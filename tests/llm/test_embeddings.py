@@ -49,6 +49,16 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 0.98)
 
 
+def test_rows_that_repeat_an_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [x + 0.01 for x in v]
+    rows = [(1, a), (1, b), (2, near(a)), (3, c), (4, near(b)), (4, near(c)), (1, a)]
+    got = E.near_duplicates(spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int"))
+    # classes: a of id 1 twice and of 2; b of 1 and 4; c of 3 and 4
+    want = [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (1, 1, 1, True), (4, 1, 1, False), (3, 1, 3, True), (4, 1, 3, False)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_empty_table(spark):
     assert E.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
