@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.common import stored
 
@@ -72,8 +72,13 @@ def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray
 
 
 def fit_counts(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """Documents of each length that together come nearest below ``budget``
-    words, spread over the lengths in proportion."""
+    """Documents of each length that together come near ``budget`` words from
+    below, spread over the lengths in proportion.
+
+    The program's part is exact: no choice of the documents then left comes
+    nearer. Where few, very long documents leave more than that part can hold,
+    the longest that fits goes first; the gap is then still smaller than the
+    shortest document that isn't taken."""
     order = np.argsort(-lengths, kind="stable")
     lengths, counts = lengths[order].astype(np.int64), counts[order].astype(np.int64)
     taken = np.zeros(len(lengths), np.int64)
@@ -136,10 +141,9 @@ def _matched(left: DataFrame, right: DataFrame, names: list[str], how: str = "in
 
 def plan(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """Sizes and hashes of the rows, and for each source and size: source_size,
-    target, base (copies of all) and cut (one more copy up to this hash)."""
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), F.col(id_col), F.col(text_col)), 2)
-    rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), h.alias("h")))
+    target, base (copies of all), cut (one more copy up to this hash), ties (rows
+    with the hash at the cut) and some (how many of these are taken)."""
+    rows = stored(_tagged(docs, settings, id_col, text_col, source_col, doc_id=F.col(id_col).cast("long")))
     lengths = stored(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")))
     goal = stored(targets(lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), settings))
     known = _matched(lengths, goal.select("source", "target"), ["source"])
@@ -151,34 +155,63 @@ def plan(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id
     counted = spread.groupBy("source", "size", "range").agg(F.count(F.lit(1)).alias("m"), F.first("extra").alias("extra"))
     counted = counted.withColumn("upto", F.expr("sum(m) over (partition by source, size order by range)"))
     edge = counted.where("upto >= extra and upto - m < extra").select("source", "size", "range", (F.col("extra") - F.col("upto") + F.col("m")).alias("place"))
-    near = _matched(spread.drop("extra"), edge, ["source", "size", "range"])
-    cut = near.withColumn("k", F.expr("row_number() over (partition by source, size order by h)")).where("k = place").select("source", "size", F.col("h").alias("cut"))
+    near = _matched(spread.drop("extra"), edge, ["source", "size", "range"]).groupBy("source", "size", "h").agg(F.count(F.lit(1)).alias("ties"), F.first("place").alias("place"))
+    near = near.withColumn("upto", F.expr("sum(ties) over (partition by source, size order by h)"))
+    cut = near.where("upto >= place and upto - ties < place").selectExpr("source", "size", "h as cut", "ties", "place - upto + ties as some")
     last = F.expr(f"case when extra = 0 then -1 when extra = n then {(1 << 62) - 1} else cut end")
-    whole = _matched(fitted, cut, ["source", "size"], "left").select("source", "size", "base", last.alias("cut"))
+    whole = _matched(fitted, cut, ["source", "size"], "left").select("source", "size", "base", last.alias("cut"), F.coalesce("ties", F.lit(0)).alias("ties"), F.coalesce("some", F.lit(0)).alias("some"))
     return rows, stored(_matched(whole, goal, ["source"]))
 
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``number``, from 1 within equal ``keys``. They are written
+    first, so the numbers stay. A window sees the rows of one key and partition;
+    sums over the partitions' counts do the rest."""
+    held = stored(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
+    names = ", ".join(keys)
+    counts = held.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.withColumn("before", F.expr(f"sum(n) over (partition by {names} order by part) - n")).drop("n")
+    own = held.withColumn("own", F.expr(f"row_number() over (partition by {names}, part order by at)"))
+    return _matched(own, before, [*keys, "part"]).withColumn("number", F.col("own") + F.col("before")).drop("own", "before", "part", "at")
+
+
+def _copies(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows(source, size, h, ...)`` with what was ``chosen`` for them, and
+    ``copies``. Of rows with the hash at the cut only some may be taken once more:
+    those are numbered."""
+    joined = _matched(rows, chosen, ["source", "size"])
+    copies = lambda more: F.when(F.col("size") > 0, F.col("base") + more.cast("int")).otherwise(0).cast("int")
+    plain = joined.withColumn("copies", copies(F.col("h") <= F.col("cut")))
+    if chosen.where("some < ties").isEmpty():
+        return plain
+    tied = F.expr("h = cut and some < ties")
+    return plain.where(~tied).unionByName(numbered(joined.where(tied), ["source", "size"]).withColumn("copies", copies(F.col("number") <= F.col("some"))).drop("number"))
+
+
+def _tagged(docs: DataFrame, settings: Settings, id_col: str, text_col: str, source_col: str, **more: Column) -> DataFrame:
+    """source, size and seeded hash of each row, and ``more``."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), F.col(id_col), F.col(text_col)), 2)
+    return docs.select(F.col(source_col).cast("string").alias("source"), size.alias("size"), h.alias("h"), *[c.alias(n) for n, c in more.items()])
+
+
 def report(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target and taken for each row of ``docs``.
 
     Null texts and texts without words have size 0 and are never taken. A null
-    source is a source, the last. Rows with the same id and text have the same
-    hash and are taken alike. Other columns are ignored.
+    source is a source, the last. Rows that repeat an id and text are rows of
+    their own; which of them is taken once more is their order in the table.
+    Other columns are ignored.
     """
     rows, chosen = plan(docs, settings, id_col, text_col, source_col)
-    joined = _matched(rows, chosen, ["source", "size"])
-    copies = F.when(F.col("size") > 0, F.col("base") + (F.col("h") <= F.col("cut")).cast("int")).otherwise(0)
-    return joined.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"))
+    return _copies(rows, chosen).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, columns unchanged."""
-    rows, chosen = plan(docs, settings, id_col, text_col, source_col)
-    keys = chosen.select(F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("base").alias("_base"), F.col("cut").alias("_cut"))
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), F.col(id_col), F.col(text_col)), 2)
-    tagged = docs.withColumns({"_own_size": size, "_h": h})
-    joined = tagged.join(keys, [F.col(source_col).cast("string").eqNullSafe(F.col("_source")), F.col("_own_size") == F.col("_size")])
-    copies = F.when(F.col("_size") > 0, F.col("_base") + (F.col("_h") <= F.col("_cut")).cast("int")).otherwise(0).cast("int")
-    each = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` with each row as often as the mix takes it, columns unchanged,
+    whatever their names. Nulls, ties and repeated rows as in ``report``."""
+    _, chosen = plan(docs, settings, id_col, text_col, source_col)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _copies(_tagged(docs, settings, id_col, text_col, source_col, rest=rest), chosen)
+    each = rows.select("rest", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+    return each.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns])

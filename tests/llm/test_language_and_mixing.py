@@ -109,6 +109,11 @@ def test_fit_of_large_budgets_is_near():
         assert (got >= 0).all() and (got <= counts).all()
         # what can be left out of nearly everything is one document at least
         assert abs(int((got * lengths).sum()) - min(budget, total)) <= (5000 if budget == total - 1 else 1)
+    few = np.array([10**6 + 3, 2 * 10**6 + 1, 7 * 10**5])
+    for budget in range(0, 9 * 10**6, 370_001):
+        got = X.fit_counts(few, np.array([3, 2, 1]), budget)
+        gap = min(budget, int(few @ [3, 2, 1])) - int(got @ few)
+        assert 0 <= gap and (gap == 0 or gap < few[got < [3, 2, 1]].min())
     assert X.fit_counts(lengths := np.array([10**6, 3 * 10**6]), np.array([5, 2]), 4_000_000) @ lengths == 4_000_000
 
 
@@ -155,6 +160,20 @@ def test_mix(spark, hot):
     assert mixed.columns == df.columns and mixed.count() == sum(r.taken // r.size for r in got if r.size)
 
 
+def test_repeated_rows_are_taken_one_by_one(spark):
+    schema = "doc_id long, text string, source string, _h int, _size string, rest string, copies int"
+    rows = [(7, "one two three", "a")] * 1000 + [(i, "w " * (i % 9), "a") for i in range(100)] + [(1, "x y", "b"), (2, None, "b")]
+    df = spark.createDataFrame([(*r, 1, "s", "t", 2) for r in rows], schema).repartition(5)
+    got = X.report(df).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got)) == sorted(map(tuple, X.report(df).collect()))
+    of = [r for r in got if r.size and r.source_size > 2]
+    assert abs(sum(r.taken for r in of) - of[0].target) <= 9 and all(r.taken in (r.size, 2 * r.size) for r in of)
+    mixed = X.mix(df)
+    assert mixed.columns == df.columns and mixed.count() == sum(r.taken // r.size for r in got if r.size)
+    assert {(r["_h"], r["_size"], r["rest"], r["copies"]) for r in mixed.collect()} == {(1, "s", "t", 2)}
+    assert mixed.where("text = 'one two three'").count() == sum(r.taken for r in got if r.doc_id == 7 and r.size == 3 and r.source_size > 2) // 3
+
+
 def test_mix_of_nothing(spark):
     schema = "doc_id long, text string, source string"
     assert X.report(spark.createDataFrame([], schema)).count() == 0
