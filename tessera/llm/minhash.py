@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.llm.common import LOWER, U64, arrow, binary_column, group_starts, mix64, pairs_within, portions, prefix_hash, ragged, span_hash, stored, text_buffer, whole_groups, word_spans
-from tessera.llm.components import components
+from tessera.llm.components import components, least_ids
 
 CHUNKS = 12
 WIDTH = 4
@@ -109,16 +109,36 @@ def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def _keys_of(column: pa.Array, words: int) -> np.ndarray:
+    """``set_keys`` of a column of texts."""
+    data, offsets = text_buffer(column)
+    keys = [set_keys(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)) for i, j in portions(offsets)]
+    return np.concatenate(keys, axis=1) if keys else np.zeros((2, 0), np.int64)
+
+
 def _of_class(words: int):
-    """Texts that are their class's: an id may be repeated with other texts."""
+    """Texts that are their class's: an id may be repeated with other texts. Of
+    neighbouring rows of a class one is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            keys = [set_keys(*shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words)) for i, j in portions(offsets)]
-            keys = np.concatenate(keys, axis=1) if keys else np.zeros((2, 0), np.int64)
-            same = (keys[0] == batch.column("k1").to_numpy(zero_copy_only=False)) & (keys[1] == batch.column("k2").to_numpy(zero_copy_only=False))
-            yield batch.select(["rep", "text"]).filter(pa.array(same))
+            keys = _keys_of(batch.column("text"), words)
+            rep = batch.column("rep").to_numpy(zero_copy_only=False)
+            at = np.flatnonzero((keys[0] == batch.column("k1").to_numpy(zero_copy_only=False)) & (keys[1] == batch.column("k2").to_numpy(zero_copy_only=False)))
+            at = np.sort(at[np.unique(rep[at], return_index=True)[1]])
+            at = at[1:] if len(at) and rep[at[0]] == last else at
+            last = rep[at[-1]] if len(at) else last
+            yield batch.select(["rep", "text"]).take(pa.array(at))
+
+    return run
+
+
+def _row_keys(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _keys_of(batch.column("text"), words)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys[0]), pa.array(keys[1])], ["doc_id", "text", "rest", "k1", "k2"])
 
     return run
 
@@ -317,16 +337,25 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     rows with the same id and other texts are linked each by its own text.
     Other columns of ``docs`` are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketch, found = _resolved(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), settings)
+    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), own)
+    return sketch.join(found, ["k1", "k2"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def _resolved(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, k1 and k2 of each row of ``docs(doc_id, text)``; and
+    root and component (the smallest id) of each class k1, k2."""
     sketch = stored(docs.transform(arrow, _sketch(settings.words), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
-    least = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    classes = stored(linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    classes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    # a class has a number of its own: rows that repeat an id may be in several
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     keyed = classes.transform(arrow, _emit_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep")
     members = stored(keyed.transform(arrow, _hubs, "key long, rep long, hub long"))
-    wanted = members.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep")
-    texts = stored(docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "k1", "k2").transform(arrow, _of_class(settings.words), "rep long, text string"))
+    wanted = members.select("rep").distinct().join(classes.select("rep", "id", "k1", "k2"), "rep")
+    texts = stored(docs.join(wanted, F.col("doc_id") == F.col("id")).select("rep", "text", "k1", "k2").transform(arrow, _of_class(settings.words), "rep long, text string"))
     p, r = settings.percent, settings.radius
     side = lambda name: classes.select(F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"s_{name}"))
 
@@ -343,7 +372,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     tried = stored(close(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()))
     joined = components(confirmed(tried, texts, settings.words, p))
 
-    # a fifth of the keys is enough to bring together what one hub could not
+    # a quarter of the keys is enough to bring together what one hub could not
     placed = place(joined).where(f"pmod(key, {WIDTH}) = 0")
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).where("low <> high and m > 2").select("key")
     rows = placed.join(mixed, "key").withColumn("turn", F.xxhash64("key", "rep")).repartition("key").sortWithinPartitions("key", "turn")
@@ -364,15 +393,14 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     near = stored(texts.join(placed.join(open_, "key").select("rep").distinct(), "rep"))
     shingles = near.transform(arrow, _emit_shingles(settings.words), "key long, rep long")
     held = shingles.repartition("key").sortWithinPartitions("key").transform(arrow, _hubs, "key long, rep long, hub long").groupBy("rep").agg(F.count(F.lit(1)).alias("held"))
-    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.join(held, "rep").join(near.transform(arrow, _long(settings.words), "rep long, long binary"), "rep").select("rep", "n", "sig", "held", "long"), "rep")
+    rest = rest.select("key", "at.cell", "at.side", "rep", "comp").join(classes.join(held, "rep").where(f"100 * held >= {p} * n").join(near.transform(arrow, _long(settings.words), "rep long, long binary"), "rep").select("rep", "n", "sig", "held", "long"), "rep")
     more = rest.repartition("key", "cell").sortWithinPartitions("key", "cell").transform(arrow, _near(p, r), "a long, b long")
     more = stored(more.join(tried, ["a", "b"], "left_anti"))
     found = joined if more.isEmpty() else together(confirmed(more, texts, settings.words, p), joined)
 
-    final = least.join(found, least.rep == found.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), own)
-    return sketch.join(final, ["k1", "k2"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    found = least_ids(found, classes.select(F.col("rep").alias("node"), "id"))
+    named = classes.select("k1", "k2", "rep", "id").join(found, F.col("rep") == F.col("node"), "left")
+    return sketch.drop("sig"), named.select("k1", "k2", F.coalesce("root", "rep").alias("root"), F.coalesce("least", "id").alias("component"))
 
 
 def _close(radius: int):
@@ -386,13 +414,24 @@ def _close(radius: int):
 
 def keep_representatives(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near duplicates, columns
-    unchanged: that with the smallest id, and of rows with that id one.
+    unchanged, whatever their names: that with the smallest id, and of rows with
+    that id the first by text.
 
-    Rows without an id or without words have no duplicates and stay.
+    Rows without an id or without words have no duplicates and stay, and so do
+    rows that share nothing but an id.
     """
-    found = near_duplicates(docs, settings, id_col, text_col).where("n_shingles > 0 and doc_id is not null")
-    gone = found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("_kept")).where("not _kept").select("_id")
-    rest = docs.join(gone, docs[id_col] == F.col("_id"), "left_anti")
-    empty = F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True)) | F.col(id_col).isNull()
-    once = F.when(empty, F.xxhash64(F.monotonically_increasing_id(), F.lit(1))).otherwise(F.lit(0))
-    return rest.withColumn("_once", once).dropDuplicates([id_col, "_once"]).drop("_once")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest"))
+    sketch, found = _resolved(rows.select("doc_id", "text"), settings)
+    judged = sketch.where("doc_id is not null").join(found, ["k1", "k2"], "left").groupBy("doc_id")
+    judged = judged.agg(F.count(F.lit(1)).alias("rows"), F.max(F.expr("n_shingles > 0 and component <> doc_id")).alias("gone")).where("gone or rows > 1")
+    judged = stored(judged.select("doc_id", "rows"))
+    back = [F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    alone = rows.join(judged, "doc_id", "left_anti").select(*back)
+    several = judged.where("rows > 1").select("doc_id")
+    if several.isEmpty():
+        return alone
+    kind = rows.schema["rest"].dataType.simpleString()
+    keyed = rows.join(several, "doc_id").transform(arrow, _row_keys(settings.words), f"doc_id long, text string, rest {kind}, k1 long, k2 long")
+    keyed = stored(keyed).join(found, ["k1", "k2"], "left")
+    first = keyed.where("component = doc_id").groupBy("root").agg(F.min_by("rest", F.struct("text", F.xxhash64(F.to_json("rest")))).alias("rest"))
+    return alone.union(keyed.where("component is null").select(*back)).union(first.select(*back))

@@ -97,3 +97,17 @@ def test_representatives(spark):
     got = keep_representatives(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert got.columns == ["doc_id", "text", "lang"]
     assert sorted(str(r.doc_id) for r in got.collect()) == ["3", "7", "8", "9", "None"]
+
+
+def test_texts_that_only_share_an_id(spark):
+    text = lambda p: " ".join(f"{p}{i}" for i in range(50))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b")), (4, text("c")), (4, text("c")), (4, None), (5, text("d")), (5, text("d") + " y"), (6, text("d"))]
+    df = spark.createDataFrame([(*r, 7, "k", "r") for r in rows], "doc_id long, text string, _id int, _once string, rest string")
+    want = [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 5), (5, 5), (6, 5)]
+    got = near_duplicates(df)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == want
+    kept = keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text or "", r["_id"], r["_once"], r.rest) for r in kept.collect()) == sorted((i, t or "", 7, "k", "r") for i, t in [rows[0], rows[1], rows[4], rows[6], rows[7]])
+    hot = [(1, text("a")), (1, text("b"))] * 500 + [(2, text("a"))]
+    assert keep_representatives(spark.createDataFrame(hot, "doc_id long, text string")).count() == 2
