@@ -343,14 +343,28 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     return sketch.join(found, ["k1", "k2"], "left").select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
+def _numbered(classes: DataFrame) -> DataFrame:
+    """``classes`` with ``rep``, a number of each one's own: its id, or a hash of
+    its set where rows that repeat an id are in several."""
+    several = stored(classes.groupBy("id").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    if several.isEmpty():
+        return classes.withColumn("rep", F.col("id"))
+    seed = 0
+    while True:
+        number = F.when(F.col("m").isNull(), F.col("id")).otherwise(F.xxhash64(F.lit(seed), "k1", "k2"))
+        out = stored(classes.join(several, "id", "left").withColumn("rep", number).drop("m"))
+        if out.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").isEmpty():
+            return out
+        seed += 1
+
+
 def _resolved(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """doc_id, n_shingles, k1 and k2 of each row of ``docs(doc_id, text)``; and
     root and component (the smallest id) of each class k1, k2."""
     sketch = stored(docs.transform(arrow, _sketch(settings.words), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    # a class has a number of its own: rows that repeat an id may be in several
-    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
+    classes = _numbered(stored(classes))
 
     keyed = classes.transform(arrow, _emit_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep")
     members = stored(keyed.transform(arrow, _hubs, "key long, rep long, hub long"))
