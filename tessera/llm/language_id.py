@@ -24,18 +24,26 @@ from tessera.llm.common import LOWER, U64, arrow, mix64, portions, text_buffer
 
 LETTER = regex.compile(r"\p{L}")
 UNDETERMINED = "und"
+#: Cells of a presence matrix that are held at once.
+CELLS = 1 << 25
+COLUMNS = 4096
 
 
 @dataclass(frozen=True)
 class Settings:
     """The bound of what is fitted: of the ``languages`` most frequent languages
-    the ``examples`` texts each with the least seeded hash, of at most
-    ``longest`` characters; the first ``landmarks`` of them are landmarks.
-    ``ridge`` is the regression's."""
+    the ``examples`` different texts each with the least seeded hash, and
+    ``all_examples`` in all; of each its first ``longest`` characters. The first
+    ``landmarks`` of a language are landmarks, ``all_landmarks`` in all. The kernel
+    has the ``features`` n-grams that most landmarks hold. ``ridge`` is the
+    regression's."""
 
     grams: tuple[int, ...] = (2, 3, 4)
     landmarks: int = 64
+    all_landmarks: int = 2048
     examples: int = 400
+    all_examples: int = 16384
+    features: int = 1 << 16
     longest: int = 8000
     languages: int = 200
     ridge: float = 1e-3
@@ -88,14 +96,20 @@ class Model:
 
     def presence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, n-gram row) pairs, sorted."""
-        hashes, owner = gram_hashes(data, offsets, self.grams)
-        slot = self._slots(hashes)
-        known = slot >= 0
-        slot, owner = slot[known], owner[known]
-        seen = np.zeros((len(offsets) - 1) * max(len(self.keys), 1), bool)
-        seen[owner * len(self.keys) + slot] = True
-        flat = np.flatnonzero(seen)
-        return flat // max(len(self.keys), 1), flat % max(len(self.keys), 1)
+        width = max(len(self.keys), 1)
+        step = max(1, CELLS // width)
+        texts, rows = [], []
+        for low in range(0, len(offsets) - 1, step):
+            high = min(low + step, len(offsets) - 1)
+            hashes, owner = gram_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], self.grams)
+            slot = self._slots(hashes)
+            known = slot >= 0
+            seen = np.zeros((high - low) * width, bool)
+            seen[owner[known] * width + slot[known]] = True
+            flat = np.flatnonzero(seen)
+            texts.append(low + flat // width)
+            rows.append(flat % width)
+        return (np.concatenate(texts), np.concatenate(rows)) if texts else (np.zeros(0, np.int64),) * 2
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Regression outputs, a row for each text and a column for each language."""
@@ -106,13 +120,41 @@ class Model:
         n = len(offsets) - 1
         text, row = self.presence(data, offsets)
         total = np.zeros((n, len(self.languages)))
-        starts = np.flatnonzero(np.diff(text, prepend=-1)) if len(text) else np.zeros(0, np.int64)
-        if len(starts):
-            total[text[starts]] = np.add.reduceat(self.weights[row], starts)
         held = np.bincount(text, minlength=n)
+        for i, j in portions(np.concatenate([[0], np.cumsum(held)]), max(1, CELLS // 8 // max(1, len(self.languages)))):
+            low, high = np.searchsorted(text, [i, j])
+            starts = np.flatnonzero(np.diff(text[low:high], prepend=-1))
+            if len(starts):
+                total[text[low + starts]] = np.add.reduceat(self.weights[row[low:high]], starts, dtype=np.float64)
         return total / np.sqrt(np.maximum(held, 1))[:, None], held
 
 
+class Presence:
+    """Sparse rows of a presence matrix, each over the root of its own number,
+    multiplied in blocks of columns."""
+
+    def __init__(self, model: Model, data: np.ndarray, offsets: np.ndarray):
+        self.text, self.row = model.presence(data, offsets)
+        self.size, self.width = len(offsets) - 1, len(model.keys)
+        self.scale = 1 / np.sqrt(np.maximum(np.bincount(self.text, minlength=self.size), 1))
+        order = np.argsort(self.row, kind="stable")
+        self.text, self.row = self.text[order], self.row[order]
+
+    def columns(self, low: int, high: int) -> np.ndarray:
+        a, b = np.searchsorted(self.row, [low, high])
+        out = np.zeros((self.size, high - low), np.float32)
+        out[self.text[a:b], self.row[a:b] - low] = self.scale[self.text[a:b]]
+        return out
+
+    def kernel(self, other: Presence) -> np.ndarray:
+        out = np.zeros((self.size, other.size))
+        for low in range(0, self.width, COLUMNS):
+            high = min(low + COLUMNS, self.width)
+            mine = self.columns(low, high)
+            out += mine @ (mine if other is self else other.columns(low, high)).T
+        return out
+
+
 def fit(texts: list[bytes], langs: list[str], is_landmark: list[bool], settings: Settings = Settings()) -> Model:
     """Nyström features from the landmarks, then ridge regression for each language."""
     languages = sorted(set(langs))
@@ -126,31 +168,30 @@ def fit(texts: list[bytes], langs: list[str], is_landmark: list[bool], settings:
     hashes, owner = gram_hashes(*joined(marks), settings.grams)
     keys, at = np.unique(hashes, return_inverse=True)
     once = np.unique(at.astype(np.int64) * len(marks) + owner) // len(marks)
-    of = [x for x, m in zip(langs, is_landmark) if m]
-    lonely = np.array([of.count(x) == 1 for x in of])
-    shared = np.bincount(once, minlength=len(keys)) > 1
+    of = np.array(languages).searchsorted([x for x, m in zip(langs, is_landmark) if m])
+    lonely = (np.bincount(of, minlength=len(languages)) == 1)[of]
+    holders = np.bincount(once, minlength=len(keys))
+    shared = holders > 1
     shared[at[lonely[owner]]] = True
-    model = Model(languages, keys[shared], np.zeros((0, 0)), settings.grams)
-    v = len(model.keys)
-
-    def dense(some: list[bytes]) -> np.ndarray:
-        text, row = model.presence(*joined(some))
-        out = np.zeros((len(some), v), np.float32)
-        out[text, row] = 1
-        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
-
-    landmarks = dense(marks)
-    inner = (landmarks @ landmarks.T).astype(np.float64)
-    values, vectors = np.linalg.eigh(inner)
+    if shared.sum() > settings.features:
+        most = np.lexsort((keys, -holders, ~shared))[: settings.features]
+        shared = np.zeros(len(keys), bool)
+        shared[most] = True
+    model = Model(languages, keys[shared], np.zeros((0, 0), np.float32), settings.grams)
+    landmarks = Presence(model, *joined(marks))
+    values, vectors = np.linalg.eigh(landmarks.kernel(landmarks))
     good = values > 1e-6 * values[-1]
     whiten = vectors[:, good] / np.sqrt(values[good])
-    features = np.concatenate([(dense(texts[i : i + 200]) @ landmarks.T).astype(np.float64) @ whiten for i in range(0, len(texts), 200)])
-    target = (np.array(langs)[:, None] == np.array(languages)).astype(np.float64) * 2 - 1
-    share = np.array([langs.count(x) for x in languages]) / len(langs)
-    weight = 1 / np.maximum(share[[languages.index(x) for x in langs]] * len(languages), 1e-9)
-    gram = features.T @ (features * weight[:, None]) + settings.ridge * len(texts) * np.eye(features.shape[1])
-    solved = np.linalg.solve(gram, features.T @ (target * weight[:, None]))
-    model.weights = landmarks.T.astype(np.float64) @ (whiten @ solved)
+    each = np.array(languages).searchsorted(langs)
+    weight = len(texts) / (np.bincount(each, minlength=len(languages)) * len(languages))
+    gram, right = settings.ridge * len(texts) * np.eye(whiten.shape[1]), np.zeros((whiten.shape[1], len(languages)))
+    for i in range(0, len(texts), 200):
+        features = Presence(model, *joined(texts[i : i + 200])).kernel(landmarks) @ whiten
+        weighted = features * weight[each[i : i + 200], None]
+        gram += features.T @ weighted
+        right += weighted.T @ ((each[i : i + 200, None] == np.arange(len(languages))) * 2.0 - 1)
+    solved = whiten @ np.linalg.solve(gram, right)
+    model.weights = np.concatenate([landmarks.columns(low, min(low + COLUMNS, len(model.keys))).T @ solved for low in range(0, len(model.keys), COLUMNS)]).astype(np.float32) if len(model.keys) else np.zeros((0, len(languages)), np.float32)
     return model
 
 
@@ -162,24 +203,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded sample of the labelled texts that aren't held out.
 
-    Counts of all rows set a hash threshold per language at three times the
-    sample, so what reaches the driver is bounded by the settings.
+    Counts of the different texts set a hash threshold per language at three times the
+    sample; below it equal texts count once and the least hashes are kept, so what
+    reaches the driver is bounded by the settings, however often a row repeats.
     """
-    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.length(text_col) <= settings.longest))
-    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), F.col(id_col), F.col(text_col)), 2).alias("h"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages).collect()
+    rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, settings.longest).alias("text"), F.shiftrightunsigned(F.xxhash64(F.lit(settings.seed), F.col(id_col), F.col(text_col)), 2).alias("h"))
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("h").alias("different"))
+    counts = counts.orderBy(F.desc("n"), "lang").limit(settings.languages).collect()
     if not counts:
         return fit([], [], [], settings)
-    limits = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 3 * settings.examples / r["count"]) * (1 << 62))) for r in counts], "lang string, top long")
-    few = rows.join(F.broadcast(limits), "lang").where("h <= top").select("lang", "h", "text").collect()
-    few = sorted((r["lang"], r["h"], r["text"]) for r in few)
-    texts, langs, marks = [], [], []
-    for lang, _, text in few:
-        if langs.count(lang) < settings.examples:
-            marks.append(langs.count(lang) < settings.landmarks)
-            langs.append(lang)
-            texts.append(text.encode())
-    return fit(texts, langs, marks, settings)
+    each = lambda one, whole: max(1, min(one, whole // len(counts)))
+    examples, landmarks = each(settings.examples, settings.all_examples), each(settings.landmarks, settings.all_landmarks)
+    limits = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, 3 * examples / max(r["different"], 1)) * (1 << 62))) for r in counts], "lang string, top long")
+    few = rows.join(F.broadcast(limits), "lang").where("h <= top").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    few = few.withColumn("place", F.expr("row_number() over (partition by lang order by h)")).where(F.col("place") <= examples).collect()
+    few = sorted((r["lang"], r["place"], r["text"]) for r in few)
+    return fit([t.encode() for _, _, t in few], [x for x, _, _ in few], [k <= landmarks for _, k, _ in few], settings)
 
 
 def _predict(model: Model):

@@ -88,6 +88,29 @@ def test_folded_scores_equal_the_kernel():
     assert np.allclose(model.scores(data, offsets), phi @ beta, atol=1e-4)
 
 
+def test_rows_that_repeat_and_long_labelled_texts(spark):
+    rows = [(7, "the house and the street", "en")] * 3000 + [(i, t, lang) for i, t, lang in labelled(80, 5) if lang != "en"] + [(500 + i, "la casa y el perro " * 2000, "es") for i in range(8)]
+    few = L.Settings(examples=20, landmarks=5, longest=400)
+    out = L.report(spark.createDataFrame(rows, "doc_id long, text string, lang string"), few).collect()
+    assert len(out) == len(rows) and {r.lang_pred for r in out if r.doc_id == 7} == {"en"} and {r.lang_pred for r in out if r.doc_id >= 500} == {"es"}
+
+
+def test_bounds_of_the_model():
+    rows = labelled(90, 6)
+    texts, langs = [t.encode() for _, t, _ in rows], [lang for _, _, lang in rows]
+    small = L.fit(texts, langs, [True] * 90, L.Settings(features=150))
+    assert len(small.keys) == 150 and small.weights.shape == (150, 3)
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert [small.languages[k] for k in small.scores(data, offsets).argmax(1)] == langs
+    whole = small.presence(data, offsets)
+    held, L.CELLS = L.CELLS, 400
+    try:
+        assert all(np.array_equal(a, b) for a, b in zip(whole, small.presence(data, offsets)))
+        assert np.allclose(small.scores(data, offsets), small.scores(data, offsets))
+    finally:
+        L.CELLS = held
+
+
 def test_knapsack_is_optimal():
     rng = np.random.default_rng(1)
     for _ in range(150):
