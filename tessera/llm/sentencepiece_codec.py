@@ -11,7 +11,9 @@ byte pieces, at a score below every other.
 Scores are those of the model file, taken as unigram scores and added exactly
 in float64; of equal sums the one whose last piece is longest wins, then so on
 to the left. A space stands for the model's mark, and so does the mark itself;
-one space is put before a text and taken off again when decoding.
+one space is put before a text and taken off again when decoding. For a unigram
+model the ids are the library's; a model of merges (BPE) is segmented by the best
+sum of its scores too, which need not be its sequence of merges.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ class Codec:
             by_id[i] = bytes([byte])
         self.text = np.frombuffer(b"".join(by_id), np.uint8)
         self.ends = np.cumsum([0, *map(len, by_id)])
-        self.cache: dict[str, np.ndarray] = {}
+        self.digest = hashlib.sha256(b"".join([self.text.tobytes(), self.ends.tobytes(), self.hashes.tobytes(), self.ids.tobytes(), self.scores.tobytes(), self.byte_ids.tobytes()])).hexdigest()
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -201,7 +203,8 @@ class Codec:
 
 
 class Memory:
-    """Ids of units seen before, by hash."""
+    """Ids of units seen before, by 64-bit hash: that two of a worker's half a
+    million units collide has a probability of 1e-8, and the round trip shows it."""
 
     def __init__(self):
         self.place = HashMemory()
@@ -259,12 +262,20 @@ def with_space(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, offsets + extra
 
 
-_remembered: dict[int, Memory] = {}
+_remembered: dict[str, Memory] = {}
 
 
-def _encode_all(codec: Codec, token: int):
+def _memory(codec: Codec) -> Memory:
+    """What this worker knows of the model with these very pieces; of one model at a time."""
+    if codec.digest not in _remembered:
+        _remembered.clear()
+        _remembered[codec.digest] = Memory()
+    return _remembered[codec.digest]
+
+
+def _encode_all(codec: Codec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _remembered.setdefault(token, Memory())  # a worker's tasks share it
+        memory = _memory(codec)  # a worker's tasks share it
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for i, j in portions(offsets, 1 << 21):
@@ -295,8 +306,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """
     codec = docs.sparkSession.sparkContext.broadcast(Codec.load(model))
     rows = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("rest"), F.col(text_col).alias("text"))
-    token = hash(model)
-    out = rows.transform(arrow, lambda batches: _encode_all(codec.value, token)(batches), "rest struct<doc_id: bigint>, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean, ids array<int>")
+    out = rows.transform(arrow, lambda batches: _encode_all(codec.value)(batches), "rest struct<doc_id: bigint>, n_tokens long, n_byte_tokens long, ids_sha256 string, round_trip boolean, ids array<int>")
     return out.select("rest.doc_id", "n_tokens", "n_byte_tokens", "ids_sha256", "round_trip", "ids")
 
 

@@ -89,6 +89,52 @@ def test_viterbi_is_optimal(codec):
         assert total == best_score(" " + plain if plain else "", scores, codec.unknown), text
 
 
+def test_ids_equal_the_library_for_a_unigram_model(tmp_path):
+    """The same pieces and scores, declared a unigram model: nothing is trained. The
+    best of the library's lattice search; that of its quick search, which adds in
+    single precision, is never above it. Ties may be broken in another way."""
+    from pyarrow import parquet
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    made = proto.ModelProto()
+    with open(PIECE_MODEL, "rb") as f:
+        made.ParseFromString(f.read())
+    made.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
+    for piece in made.pieces:
+        piece.score = max(piece.score, -50000.0)  # -1e9 leaves no digits in single precision
+    (tmp_path / "unigram.model").write_bytes(made.SerializeToString())
+    own, theirs = Codec.load(str(tmp_path / "unigram.model")), sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "unigram.model"))
+    texts = [t for t in parquet.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist() if t]
+    texts = [t[a : a + 60] for t in texts for a in range(0, 180, 60)] + ["日本語 😀😀", "  two  spaces ", "Ünïcode wörds", "a\tb"]
+    ids, counts = own.encode(*buffer(texts))
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    total = lambda some: sum(theirs.get_score(i) for i in some)
+    same = 0
+    for k, text in enumerate(texts):
+        mine, best = ids[ends[k] : ends[k + 1]].tolist(), theirs.nbest_encode(text, nbest_size=2)[0]
+        assert total(mine) == total(best) >= total(theirs.encode(text)), text
+        same += mine == best
+    assert len(texts) > 400 and same > 0.95 * len(texts)
+
+
+def test_a_changed_model_at_one_path_is_another(spark, tmp_path):
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    made = proto.ModelProto()
+    with open(PIECE_MODEL, "rb") as f:
+        made.ParseFromString(f.read())
+    path = tmp_path / "some.model"
+    df = spark.createDataFrame([(1, "the house of the letter")], "doc_id long, text string")
+    found = []
+    for low in (0.0, -1e9):
+        for piece in made.pieces:
+            if piece.piece.startswith("▁the"):
+                piece.score = low
+        path.write_bytes(made.SerializeToString())
+        found.append(encode_documents(df, str(path)).first().ids)
+    assert found[0] != found[1]
+
+
 def test_round_trip_and_memory(codec):
     texts = ["one two three", "", "zwei  drei\n", "😀 one", "two"]
     data, offsets = buffer(texts)
