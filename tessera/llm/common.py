@@ -4,9 +4,11 @@ hashes, runs of whole groups out of sorted partitions, and scratch tables."""
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
@@ -29,9 +31,12 @@ LOWER[0x41:0x5B] += 32
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where that setting is absent (tests).
+    A temporary folder is used only where that setting is absent and everything
+    runs in one process; on a cluster its absence is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (where or _own_scratch()).rstrip("/")
 
 
@@ -44,15 +49,46 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The lineage is cut, so a lost executor costs a reread and not a
-    recomputation.
+    recomputation. The table stays until an enclosing ``tidied`` deletes it.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    for made in _made[-1:]:
+        made.append(path)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that ``stored`` writes within. What is needed later goes
+    through the function that it gives: that writes a table which stays.
+
+        with tidied(spark) as kept:
+            result = kept(near_duplicates(docs))
+    """
+    _made.append([])
+
+    def kept(df: DataFrame) -> DataFrame:
+        out = stored(df)
+        last = _made[-1].pop()
+        for made in _made[-2:-1]:
+            made.append(last)
+        return out
+
+    try:
+        yield kept
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path
+        for path in _made.pop():
+            where = folder(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` whose workers give freed memory back when a task ends."""
 
@@ -74,6 +110,14 @@ def give_back() -> None:
         trim(0)
 
 
+def unused(name: str, names: list[str]) -> str:
+    """``name``, with underscores if a column has it."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---------------------------------------------------------------- buffers
 
 

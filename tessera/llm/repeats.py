@@ -7,9 +7,12 @@ hold no repeat and are dropped after a count. Of the rest, segments with equal
 bytes are kept once, and each shard's distinct segments go into a run-length
 index (``run_index``) whose self-matching statistics say which strings also
 start elsewhere. A shard with many distinct segments (a passage common to many
-documents) is split into blocks, of which every two are indexed together, so no
-task gets more than two blocks. Counts and hashes cover all documents; the
-result is exact up to 128-bit hash collisions.
+documents, in as many contexts) is dealt anew: its segments are the texts of
+another round with k-grams nearly as long as the strings, in which what the
+contexts add falls apart and what is common has equal segments. The last round's
+k-grams are the strings themselves, so the work stays in proportion to the hot
+segments, and no index gets more than ``BLOCK`` of them. Counts and hashes cover
+all documents; the result is exact up to 128-bit hash collisions.
 
 Runs of ``words`` words are found in the same way over the texts' words, each a
 symbol of 64 bits, so short words and other white space between them don't hide
@@ -26,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.llm.common import U64, arrow, binary_column, group_starts, mix64, portions, prefix_hash, ragged, span_hash, stored, text_buffer, whole_groups, word_spans
+from tessera.llm.common import U64, arrow, binary_column, group_starts, mix64, portions, prefix_hash, ragged, span_hash, stored, text_buffer, unused, whole_groups, word_spans
 from tessera.llm.run_index import SEPARATOR, repeated_starts
 
-#: Distinct segments of a shard that are indexed together.
+#: Distinct segments up to which a shard is indexed.
 BLOCK = 1024
+#: What a text is: bytes, words, or the words' hashes in the rounds after the first.
+BYTES, WORDS, HASHES = range(3)
 
 
 @dataclass(frozen=True)
@@ -77,11 +82,11 @@ def segments(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     window = ragged(offsets[:-1], count)
     owner = np.repeat(np.arange(len(sizes)), count)
     shard = least[window]
+    if not len(window):
+        return none, none, none, none.astype(U64), none.astype(U64), none.astype(bool)
     first = group_starts(owner, shard)
     last = np.append(first[1:], len(window)) - 1
     start, end = window[first], window[last] + width
-    if not len(first):
-        return none, none, none, none.astype(U64), none.astype(U64), none.astype(bool)
     edge = np.zeros(m - 1, U64)
     anchors = np.flatnonzero(grams == ~sliding_least(~np.concatenate([edge, least, edge]), m))
     low, high = np.searchsorted(anchors, start), np.searchsorted(anchors, end - gram, "right")
@@ -91,35 +96,44 @@ def segments(symbols: np.ndarray, offsets: np.ndarray, width: int, gram: int) ->
     return owner[first], start - offsets[owner[first]], end - start, shard[first], content, twice
 
 
-def _symbols(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+def _symbols(data: np.ndarray, offsets: np.ndarray, form: int) -> tuple[np.ndarray, np.ndarray]:
     """The texts' bytes, or a hash of each of their words, and the texts' offsets."""
-    if not words:
+    if form == BYTES:
         return data, offsets
+    if form == HASHES:
+        return np.frombuffer(data.tobytes(), U64), offsets // 8
     starts, ends, per = word_spans(data, offsets)
     return mix64(span_hash(prefix_hash(data), starts, ends) ^ (ends - starts).astype(U64)), np.concatenate([[0], np.cumsum(per)])
 
 
-def _scan(width: int, gram: int, words: bool):
+def _scan(width: int, gram: int, form: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             row, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "tag"))
             for i, j in portions(offsets):
-                owner, start, length, shard, content, twice = segments(*_symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], words), width, gram)
+                owner, start, length, shard, content, twice = segments(*_symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], form), width, gram)
                 columns = [shard.view(np.int64), content.view(np.int64), row[i + owner], tag[i + owner], start.astype(np.int32), length.astype(np.int32), twice]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "content", "row", "tag", "start", "length", "twice"])
 
     return run
 
 
-def _cut(words: bool):
-    """The segments' symbols, as bytes, out of their documents."""
+def _cut(form: int):
+    """The segments' symbols, as bytes, out of their documents; of neighbouring
+    rows of one text once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
+            row, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "tag"))
+            first = group_starts(row, tag)
+            if len(first):
+                first, last = first[1:] if (row[0], tag[0]) == last else first, (row[-1], tag[-1])
+            batch = batch.take(pa.array(first))
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                symbols, offsets = _symbols(*text_buffer(part.column("text")), words)
+                symbols, offsets = _symbols(*text_buffer(part.column("text")), form)
                 wanted = part.column("wanted")
                 per = wanted.value_lengths().to_numpy(zero_copy_only=False)
                 flat = wanted.flatten()
@@ -131,19 +145,21 @@ def _cut(words: bool):
     return run
 
 
-def _index(width: int, words: bool):
-    """Repeated strings of each segment as (first, last + 1) pairs of starts."""
+def _index(width: int, form: int):
+    """Repeated strings of each segment as (first, last + 1) pairs of starts.
+    Strings of different shards differ, so shards may share an index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["shard", "cell"], weight="bytes"):
+        for table in whole_groups(batches, ["shard"], weight="bytes"):
+            table = table.take(pa.array(group_starts(*(table.column(c).combine_chunks().to_numpy() for c in ("shard", "content")))))
             data, all_offsets = text_buffer(table.column("bytes"))
-            if words:
+            if form != BYTES:
                 data, all_offsets = np.frombuffer(data.tobytes(), U64), all_offsets // 8
-            all_content, all_shard, cell = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("content", "shard", "cell"))
-            for i, j in apart(all_shard, cell, all_offsets, 1 << (17 if words else 19)):
+            all_content, all_shard = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("content", "shard"))
+            for i, j in apart(all_shard, all_offsets, 1 << (19 if form == BYTES else 17)):
                 content, shard, offsets = all_content[i:j], all_shard[i:j], all_offsets[i : j + 1] - all_offsets[i]
                 symbols, separator = data[all_offsets[i] : all_offsets[j]], SEPARATOR
-                if words:
+                if form != BYTES:
                     symbols, separator = np.unique(symbols, return_inverse=True)[1].astype(np.int64) + 1, 0
                 found = repeated_starts(symbols, offsets, width, separator)
                 edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
@@ -154,23 +170,19 @@ def _index(width: int, words: bool):
     return run
 
 
-def apart(shard: np.ndarray, cell: np.ndarray, offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
-    """Ranges of whole cells to index together: up to ``limit`` bytes, and no two
-    cells of a shard, because those have segments in common."""
-    starts = group_starts(shard, cell)
-    ends = np.append(starts[1:], len(shard))
-    low = 0
-    for k in range(len(starts)):
-        if k + 1 == len(starts) or shard[starts[k + 1]] == shard[starts[k]] or offsets[ends[k + 1]] - offsets[low] > limit:
-            yield low, int(ends[k])
-            low = int(ends[k])
+def apart(shard: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of whole shards to index together: up to ``limit`` symbols, or one shard."""
+    starts = group_starts(shard)
+    edges = np.append(starts, len(shard))
+    for i, j in portions(offsets[edges], limit):
+        yield int(edges[i]), int(edges[j])
 
 
-def repeated_spans(texts: DataFrame, width: int, gram: int, words: bool = False) -> DataFrame:
+def repeated_spans(texts: DataFrame, width: int, gram: int, form: int = BYTES) -> DataFrame:
     """row, tag, low, high: bytes (or words, by number) [low, high) of
     ``texts(row, tag, text)`` are in a repeat of ``width`` of them. Spans may
     overlap and repeat; (row, tag) stands for one text."""
-    seen = stored(texts.transform(arrow, _scan(width, gram, words), "shard long, content long, row long, tag int, start int, length int, twice boolean"))
+    seen = stored(texts.transform(arrow, _scan(width, gram, form), "shard long, content long, row long, tag long, start int, length int, twice boolean"))
     shared = seen.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("two"), F.max("twice").alias("self")).where("n > 1 or self")
     kept = stored(seen.drop("twice").join(shared.select("shard", F.expr("one <> two or self").alias("varied")), "shard"))
     distinct = kept.groupBy("shard", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "tag", "start", "length")).alias("at"), F.first("varied").alias("varied"))
@@ -178,14 +190,19 @@ def repeated_spans(texts: DataFrame, width: int, gram: int, words: bool = False)
 
     varied = distinct.where("varied")
     wanted = varied.groupBy("row", "tag").agg(F.collect_list(F.struct("start", "length", "shard", "content")).alias("wanted"))
-    pieces = texts.join(wanted, ["row", "tag"]).select("text", "wanted").transform(arrow, _cut(words), "shard long, content long, bytes binary")
-    many = varied.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
-    cells = pieces.join(many, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("shard", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), "content", "bytes").distinct()
-    partial = cells.repartition("shard", "cell").sortWithinPartitions("shard", "cell").transform(arrow, _index(width, words), "shard long, content long, low int, high int")
+    pieces = texts.join(wanted, ["row", "tag"]).select("row", "tag", "text", "wanted").transform(arrow, _cut(form), "shard long, content long, bytes binary")
+    hot = stored(varied.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("shard"))
+    again = gram < width and not hot.isEmpty()
+    cool = pieces.join(hot, "shard", "left_anti") if again else pieces
+    partial = cool.repartition("shard").sortWithinPartitions("shard", "content").transform(arrow, _index(width, form), "shard long, content long, low int, high int")
     whole = distinct.where("n > 1").select("shard", "content", F.lit(0).alias("low"), (F.col("length") - width + 1).alias("high"))
-    strings = stored(partial.union(whole).distinct())
+    strings = partial.union(whole)
+    if again:
+        longer = width - width // 24
+        parts = stored(pieces.join(hot, "shard").select(F.col("shard").alias("row"), F.col("content").alias("tag"), F.col("bytes").alias("text")).dropDuplicates(["row", "tag"]))
+        found = repeated_spans(parts, width, longer if gram < longer else width, BYTES if form == BYTES else HASHES)
+        strings = strings.union(found.select("row", "tag", "low", F.col("high") - width + 1))
+    strings = stored(strings.distinct())
     return kept.join(strings, ["shard", "content"]).select("row", "tag", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + width).alias("high"))
 
 
@@ -199,37 +216,29 @@ def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low[first], high[np.append(first[1:], len(low)) - 1]
 
 
-def _in_bytes(text: np.ndarray, of_bytes: list, of_words: list) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted disjoint spans of bytes that cover the spans of both kinds."""
-    low, high = [x for x, _ in of_bytes], [x for _, x in of_bytes]
-    if of_words:
+def _in_bytes(text: np.ndarray, kind: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted disjoint spans of bytes that cover spans of bytes (kind 0) and of
+    words (kind 1)."""
+    words = kind == 1
+    if words.any():
         starts, ends, _ = word_spans(text, np.array([0, len(text)]))
-        low += [starts[x] for x, _ in of_words]
-        high += [ends[x - 1] for _, x in of_words]
-    return merged(np.concatenate(low), np.concatenate(high)) if low else (np.zeros(0, np.int64),) * 2
+        low, high = low.copy(), high.copy()
+        low[words], high[words] = starts[low[words]], ends[high[words] - 1]
+    return merged(low.astype(np.int64), high.astype(np.int64)) if len(low) else (np.zeros(0, np.int64),) * 2
 
 
 def _finish(make, names: list[str], types: list[pa.DataType]):
-    """Over rows sorted by (row, tag, kind): a text's spans of bytes (kind 0) and
-    of words (kind 1) come before it."""
+    """What ``make`` makes of each text and its spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, spans = None, ([], [])
         for batch in batches:
-            row, tag, kind, lows, highs = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "tag", "kind", "low", "high"))
             data, offsets = text_buffer(batch.column("text"))
-            out = []
-            starts = group_starts(row, tag, kind)
-            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(row)]):
-                if at != (row[s], tag[s]):
-                    at, spans = (row[s], tag[s]), ([], [])
-                if kind[s] < 2:
-                    spans[kind[s]].append((lows[s:e], highs[s:e]))
-                    continue
-                out += [make(text, *_in_bytes(text, *spans)) for text in (data[offsets[x] : offsets[x + 1]] for x in range(s, e))]
-            rest = batch.column("rest").filter(pa.array(kind == 2))
-            made = [pa.array([x[k] for x in out], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([rest, *made], ["rest", *names])
+            spans = batch.column("spans")
+            ends = np.concatenate([[0], np.cumsum(spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            kind, low, high = (spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            at = zip(offsets, offsets[1:], ends, ends[1:])
+            out = [make(text, *_in_bytes(text, kind[x:y], low[x:y], high[x:y])) for text, x, y in ((data[a:b], x, y) for a, b, x, y in at)]
+            yield pa.RecordBatch.from_arrays([batch.column("rest"), *(pa.array([x[k] for x in out], t) for k, t in enumerate(types))], ["rest", *names])
 
     return run
 
@@ -258,19 +267,21 @@ def _whole_characters(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tu
 def _over(docs: DataFrame, text_col: str, id_col: str, settings: Settings, make, fields: str) -> DataFrame:
     """``rest`` (the other columns, in a struct) and ``fields`` for each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.col(text_col).isNull().alias("_null"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("row"), F.hash(text).alias("tag"), text.alias("text"), rest.alias("rest"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias(unused("none", docs.columns)))
+    rest = F.struct(others.alias("others"), F.col(text_col).isNull().alias("null"))
+    # rows without an id are told apart by their texts, so they don't meet in one task
+    row = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text))
+    rows = docs.select(row.alias("row"), F.hash(text).cast("long").alias("tag"), text.alias("text"), rest.alias("rest"))
     texts = rows.select("row", "tag", "text")
     spans = repeated_spans(texts, settings.width, settings.gram).withColumn("kind", F.lit(0))
     if settings.words:
-        spans = spans.union(repeated_spans(texts, settings.words, settings.word_gram, True).withColumn("kind", F.lit(1)))
+        spans = spans.union(repeated_spans(texts, settings.words, settings.word_gram, WORDS).withColumn("kind", F.lit(1)))
     kind_of = rows.schema["rest"].dataType
-    before = spans.select("row", "tag", "kind", "low", "high", F.lit(None).cast("string").alias("text"), F.lit(None).cast(kind_of).alias("rest"))
-    after = rows.select("row", "tag", F.lit(2).alias("kind"), F.lit(0).alias("low"), F.lit(0).alias("high"), "text", "rest")
+    found = spans.groupBy("row", "tag").agg(F.collect_list(F.struct("kind", "low", "high")).alias("spans"))
     names, types = zip(*(f.strip().split() for f in fields.split(",")))
     kinds = [{"long": pa.int64(), "string": pa.string()}[t] for t in types]
-    merged_rows = before.union(after).repartition("row").sortWithinPartitions("row", "tag", "kind")
-    return merged_rows.transform(arrow, _finish(make, list(names), kinds), f"rest {kind_of.simpleString()}, {fields}")
+    joined = rows.join(found, ["row", "tag"], "left").select("text", "rest", "spans")
+    return joined.transform(arrow, _finish(make, list(names), kinds), f"rest {kind_of.simpleString()}, {fields}")
 
 
 def repeat_report(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,7 +292,7 @@ def repeat_report(docs: DataFrame, settings: Settings = Settings(), id_col: str
     id, get a result each. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _over(docs, "text", "doc_id", settings, _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").select("rest.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
+    return _over(docs, "text", "doc_id", settings, _digest, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string").select("rest.others.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text")
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,5 +302,5 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings(), id_col: str
     whole. A null text stays null.
     """
     out = _over(docs, text_col, id_col, settings, _whole_characters, "kept_text string, n_removed long")
-    text = F.when(~F.col("rest._null"), F.col("kept_text"))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    text = F.when(~F.col("rest.null"), F.col("kept_text"))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"rest.others.`{c}`").alias(c) for c in docs.columns])

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.llm.common import unused
+
 #: A prime, far above 100 slots for each of ``SHARDS``.
 SLOTS = 65537
 SHARDS = tuple(f"shard-{i:03d}" for i in range(256))
@@ -63,9 +65,11 @@ def place(df: DataFrame, key: str = "doc_id", shards: Sequence[str] = SHARDS, sl
     """
     table = lookup_table(shards, slots)
     names = np.array(list(shards))[table]
-    lookup = df.sparkSession.createDataFrame(pa.table({"_slot": np.arange(slots), "_shard": pa.array(names.tolist())}))
-    rows = df.withColumn("_slot", slot_of(F.col(key), slots)).drop(slot_col, shard_col)
-    return rows.join(F.broadcast(lookup), "_slot").withColumnsRenamed({"_slot": slot_col, "_shard": shard_col})
+    slot, shard = unused("slot", df.columns), unused("shard", df.columns)
+    lookup = df.sparkSession.createDataFrame(pa.table({slot: np.arange(slots), shard: pa.array(names.tolist())}))
+    kept = [c for c in df.columns if c not in (slot_col, shard_col)]
+    rows = df.select(slot_of(F.col(f"`{key}`"), slots).alias(slot), *[F.col(f"`{c}`") for c in kept])
+    return rows.join(F.broadcast(lookup), slot).select(F.col(slot).alias(slot_col), *[F.col(f"`{c}`") for c in kept], F.col(shard).alias(shard_col))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: Sequence[str] = SHARDS, slots: int = SLOTS, parts: int = 4) -> None:
@@ -73,4 +77,4 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: Sequence
     shard with many rows isn't one task's."""
     rows = place(df, key, shards, slots)
     salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(parts))
-    rows.withColumn("_part", salt).repartition("shard", "_part").drop("_part").write.partitionBy("shard").parquet(path)
+    rows.repartition("shard", salt).write.partitionBy("shard").parquet(path)

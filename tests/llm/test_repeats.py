@@ -145,3 +145,23 @@ def test_sliding_least():
     values = np.random.default_rng(1).integers(0, 100, 57).astype(np.uint64)
     for m in (1, 2, 7, 57):
         assert sliding_least(values, m).tolist() == [values[i : i + m].min() for i in range(57 - m + 1)]
+
+
+def test_a_passage_in_thousands_of_contexts(spark, monkeypatch):
+    """More contexts than a shard is indexed with: dealt anew, twice."""
+    monkeypatch.setattr(repeats, "BLOCK", 64)
+    rng = random.Random(11)
+    letters = "abcdefghijklmnop "
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage = text(150)
+    rows = [(i, f"{text(40)}{passage}{text(40)}") for i in range(5000)]
+    got = sorted((tuple(r)[:5] for r in repeat_report(spark.createDataFrame(rows, "doc_id long, text string"), Settings(width=100, gram=12)).collect()), key=str)
+    assert got == brute(rows, 100) and all(150 <= r[2] <= 160 for r in got)
+
+
+def test_rows_without_an_id_and_columns_of_any_name(spark):
+    rows = [(None, f"text {i} of its own", i, "k", "r") for i in range(50)] + [(None, None, 1, "k", None), (3, "x" * 300, 2, None, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _null int, rest string, others string")
+    got = remove_repeats(df, Settings(width=40, gram=8))
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([*rows[:-1], (3, "", 2, None, "r")], key=str)
