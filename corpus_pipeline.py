@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import language_id, minhash, mixing, repeats, sentencepiece_codec
-from tessera.llm.common import stored
+from tessera.llm.common import tidied
 from tessera.llm.queries import PIECE_MODEL
 
 #: Learned models and seeded choices aren't SQL; tests compare with brute force.
@@ -52,8 +52,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stage's result is written and read again, so the next ones, which
-    read it several times, all get the same rows and nothing is made twice."""
+    read it several times, all get the same rows and nothing is made twice. A
+    stage's own tables are deleted when it is done."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        with tidied(spark) as kept:
+            docs = kept(stage(spark, docs, sf_dir))
     return docs
