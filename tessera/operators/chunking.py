@@ -45,22 +45,29 @@ def pack(texts: Column, limit: int = CHUNK, overlap: int = 0) -> Column:
     trailing paragraphs of together at most ``overlap`` tokens, at least one if
     ``overlap`` isn't 0, start the next. Returns array<array<string>>.
     """
-    n = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + T.token_count(x))
-    empty = F.array().cast("array<string>")
-    start = F.struct(empty.alias("open"), F.array().cast("array<array<string>>").alias("done"))
+    part = F.transform(texts, lambda x: F.struct(x.alias("x"), T.token_count(x).cast("int").alias("n")))
+    kind = "array<struct<x:string,n:int>>"
+    start = F.struct(F.array().cast(kind).alias("open"), F.lit(0).alias("n"), F.array().cast("array<array<string>>").alias("done"))
+    words = lambda xs: F.transform(xs, lambda p: p["x"])
 
     def tail(xs: Column) -> Column:
+        """The trailing paragraphs that start the next chunk, and their tokens."""
         if not overlap:
-            return empty
-        kept = F.aggregate(F.reverse(xs), F.struct(empty.alias("kept"), F.lit(False).alias("full")), lambda s, x: F.struct(F.when(~s["full"] & ((F.size(s["kept"]) == 0) | (n(s["kept"]) + T.token_count(x) <= overlap)), F.concat(F.array(x), s["kept"])).otherwise(s["kept"]).alias("kept"), (s["full"] | ((F.size(s["kept"]) > 0) & (n(s["kept"]) + T.token_count(x) > overlap))).alias("full")))
-        return kept["kept"]
+            return F.struct(F.array().cast(kind).alias("open"), F.lit(0).alias("n"))
+        first = F.struct(F.array().cast(kind).alias("open"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
-    def step(s: Column, x: Column) -> Column:
-        flush = (F.size(s["open"]) > 0) & (n(s["open"]) + T.token_count(x) > limit)
-        opened = F.when(flush, F.concat(tail(s["open"]), F.array(x))).otherwise(F.concat(s["open"], F.array(x)))
-        return F.struct(opened.alias("open"), F.when(flush, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"))
+        def grow(s: Column, p: Column) -> Column:
+            fits = ~s["full"] & ((F.size(s["open"]) == 0) | (s["n"] + p["n"] <= overlap))
+            return F.struct(F.when(fits, F.concat(F.array(p), s["open"])).otherwise(s["open"]).alias("open"), F.when(fits, s["n"] + p["n"]).otherwise(s["n"]).alias("n"), (~fits).alias("full"))
 
-    return F.aggregate(texts, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]))
+        return F.aggregate(F.reverse(xs), first, grow, lambda s: F.struct(s["open"].alias("open"), s["n"].alias("n")))
+
+    def step(s: Column, p: Column) -> Column:
+        flush = (F.size(s["open"]) > 0) & (s["n"] + p["n"] > limit)
+        kept = F.when(flush, tail(s["open"])).otherwise(F.struct(s["open"].alias("open"), s["n"].alias("n")))
+        return F.struct(F.concat(kept["open"], F.array(p)).alias("open"), (kept["n"] + p["n"]).cast("int").alias("n"), F.when(flush, F.concat(s["done"], F.array(words(s["open"])))).otherwise(s["done"]).alias("done"))
+
+    return F.aggregate(part, start, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(words(s["open"])))).otherwise(s["done"]))
 
 
 def hard_split(tokens: Column, size: int = CHUNK, step: int = CHUNK - OVERLAP) -> Column:

@@ -70,3 +70,26 @@ def adjacent_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
     before = rows.where(F.trim("text").rlike("^[a-z]")).select("qid", "doc", (F.col("page") - 1).alias("page"))
     found = after.union(before).distinct().join(pages.select("doc", "page"), ["doc", "page"], "left_semi")
     return found.join(hits, ["qid", "doc", "page"], "left_anti").select("qid", "doc", "page")
+
+
+def contained(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
+    """item_id, doc_id of the passages that are part of a document's text.
+
+    The words inside a passage (all but its first and last, which may be cut) are
+    words of the document too. So passages and documents meet in an equality join
+    on a hash of the first ``words`` inner words, or, for short passages, of the
+    first one; only ids travel until then, and only the texts of such pairs are
+    compared. Passages of one or two words have no inner word and are compared
+    with all texts.
+    """
+    asked = passages.select("item_id", F.col("text").alias("passage"), T.tokens(F.col("text")).alias("w")).where("passage is not null")
+    inner = asked.select("item_id", "passage", F.slice("w", 2, words).alias("w"), (F.size("w") - 2).alias("n"))
+    rows = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    long = rows.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(inner.where(F.col("n") >= words).select("item_id", F.xxhash64(F.array_join("w", " ")).alias("key")), "key")
+    short = rows.select("doc_id", F.explode(F.array_distinct("w")).alias("key")).join(inner.where((F.col("n") >= 1) & (F.col("n") < words)).select("item_id", F.col("w")[0].alias("key")), "key")
+    pairs = long.select("item_id", "doc_id").union(short.select("item_id", "doc_id")).distinct()
+    texts = docs.select("doc_id", "text")
+    found = pairs.join(asked.select("item_id", "passage"), "item_id").join(texts, "doc_id").where(F.contains("text", "passage"))
+    tiny = texts.join(inner.where("n < 1").select("item_id", "passage"), F.contains("text", "passage"))
+    return found.select("item_id", "doc_id").union(tiny.select("item_id", "doc_id")).distinct()

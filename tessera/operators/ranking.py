@@ -51,11 +51,27 @@ def pack_context(rows: DataFrame, budget: int, least: int = 40, by: str = "key",
 
 def dominated(df: DataFrame, better: list[str], id_col: str, by: list[str] | None = None) -> DataFrame:
     """Rows that another row of the group equals or beats in all measures and
-    beats in one. Left out of ``df`` they leave the Pareto frontier."""
-    a, b = df.alias("a"), df.alias("b")
-    on = [F.col(f"b.{m}") >= F.col(f"a.{m}") for m in better] + [reduce(lambda x, y: x | y, [F.col(f"b.{m}") > F.col(f"a.{m}") for m in better])]
-    on += [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by or []]
-    return a.join(b, on, "left_semi").select(id_col)
+    beats in one. Left out of ``df`` they leave the Pareto frontier. Rows with a
+    null measure neither beat nor are beaten.
+
+    Measures are first reduced to their distinct combinations. With one or two,
+    the best seen in order of the first tells; only more are compared by pairs,
+    within their group.
+    """
+    keys = by or []
+    points = df.where(" and ".join(f"`{m}` is not null" for m in better)).select(*keys, *better).distinct()
+    if len(better) <= 2:
+        # the best second measure for each value of the first, then a running maximum over better values
+        x, y = better[0], better[-1]
+        tops = points.groupBy(*keys, F.col(x).alias("x")).agg(F.max(y).alias("top"))
+        above = Window.partitionBy(*keys).orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1)
+        tops = tops.withColumn("above", F.max("top").over(above))
+        beaten = points.withColumn("x", F.col(x)).join(tops, [*keys, "x"]).where(f"above >= `{y}` or top > `{y}`").select(*keys, *better)
+    else:
+        a, b = points.alias("a"), points.alias("b")
+        on = [F.col(f"b.{m}") >= F.col(f"a.{m}") for m in better] + [reduce(lambda x, y: x | y, [F.col(f"b.{m}") > F.col(f"a.{m}") for m in better])]
+        beaten = a.join(b, on + [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "left_semi")
+    return df.join(beaten, [*keys, *better], "left_semi").select(id_col)
 
 
 def dedupe_first(df: DataFrame, keys: list[Column], order: list[str], per: list[str], n: int) -> DataFrame:
@@ -71,20 +87,23 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def similar_sets(rows: DataFrame, percent: int, id_col: str = "id", tokens_col: str = "tokens", longest_posting: int | None = None) -> DataFrame:
+def similar_sets(rows: DataFrame, percent: int, id_col: str = "id", tokens_col: str = "tokens") -> DataFrame:
     """a, b, common, jaccard of all pairs of token sets with at least ``percent``.
 
     Prefix filter: tokens are ordered from rare to frequent, and two sets that
     similar share a token among the first n - ceil(percent * n / 100) + 1 of
-    each, so only prefixes meet in the join; sizes prune the rest. Exact.
+    each, so only prefixes meet in the join; sizes, and what can still be common
+    after the places where the token stands, prune the rest. Exact. Tokens travel
+    as 64-bit hashes until the pairs are compared.
     """
     sets = rows.select(F.col(id_col).alias("id"), F.array_distinct(tokens_col).alias("t")).where(F.size("t") > 0)
-    flat = sets.select("id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    flat = sets.select("id", F.size("t").alias("n"), F.explode("t").alias("word")).select("id", "n", F.xxhash64("word").alias("term"))
     frequency = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     placed = flat.join(frequency, "term").withColumn("at", F.row_number().over(Window.partitionBy("id").orderBy("df", "term")))
-    prefix = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "n", "term")
-    x, y = prefix.toDF("a", "na", "term"), prefix.toDF("b", "nb", "term")
-    pairs = x.join(y, "term").where(f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    prefix = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "n", "at", "term")
+    x, y = prefix.toDF("a", "na", "ia", "term"), prefix.toDF("b", "nb", "ib", "term")
+    fits = f"a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb) and (100 + {percent}) * (1 + least(na - ia, nb - ib)) >= {percent} * (na + nb)"
+    pairs = x.join(y, "term").where(fits).groupBy("a", "b").agg(F.min("ia").alias("ia"))
     both = pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     both = both.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb") - common).alias("union"))

@@ -17,7 +17,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, dims: int = 64, depth: int = 1
     sparse = retrieval.top_k(retrieval.bm25(corpus, queries), depth)
     index = retrieval.hash_embedding(corpus, dims)
     probe = retrieval.hash_embedding(queries.select(F.col("qid").alias("id"), F.col("query").alias("text")), dims).toDF("qid", "idx", "q")
-    dense = index.join(F.broadcast(probe), "idx").groupBy("qid", "id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
+    dense = index.join(probe, "idx").groupBy("qid", "id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
     dense = retrieval.top_k(dense, depth)
     return retrieval.top_k(retrieval.rrf([(dense, dense_weight), (sparse, sparse_weight)]), k)
 

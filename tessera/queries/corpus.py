@@ -127,7 +127,7 @@ select query, count(*) as n from s where len(list_intersect(p, q)) < greatest(3,
 """)
 def training_triples(t: Tables) -> DataFrame:
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
-    rows = t.documents.crossJoin(F.broadcast(n)).join(F.broadcast(t.benchmark.select("item_id", F.col("text").alias("negative"))), F.expr("doc_id % n = item_id")).select(F.col("lang").alias("query"), F.col("text").alias("positive"), "negative")
+    rows = t.documents.crossJoin(F.broadcast(n)).join(t.benchmark.select("item_id", F.col("text").alias("negative")), F.expr("doc_id % n = item_id")).select(F.col("lang").alias("query"), F.col("text").alias("positive"), "negative")
     return mldata.training_triples([("first", rows), ("second", rows.withColumn("query", F.upper("query")))]).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,7 +11,7 @@ from tessera.queries.registry import Tables, query
 
 def values(t: Tables) -> DataFrame:
     """Fields of the orders' customers, long."""
-    rows = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("pages", F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("p1"))))
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("pages", F.when(F.col("c_custkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("p1"))))
     return registry.field_values(rows, "c_custkey", "c_custkey", ["c_name", "n_name", "c_mktsegment"], "pages")
 
 
@@ -297,5 +297,5 @@ def conflicts(t: Tables) -> DataFrame:
 select s_suppkey, n_name, regexp_matches(s_name, '[0-9]') as digits from supplier join nation on s_nationkey = n_nationkey
 """)
 def supplier_pages(t: Tables) -> DataFrame:
-    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return rows.select("s_suppkey", "n_name", T.any_match(F.col("s_name"), ["[0-9]"]).alias("digits"))

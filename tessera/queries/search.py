@@ -83,7 +83,7 @@ with q as (select c_custkey as qid, 'customer of ' || n_name || ' today' as quer
 select qid, query, array_to_string(list_sort(list(n_name)), '|') as extras from q join nation on n_regionkey = k and n_name <> n0 group by qid, query
 """)
 def alias_expand(t: Tables) -> DataFrame:
-    asked = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("qid"), F.concat(F.lit("customer of "), "n_name", F.lit(" today")).alias("query"))
+    asked = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("qid"), F.concat(F.lit("customer of "), "n_name", F.lit(" today")).alias("query"))
     clusters = t.nation.select(F.col("n_regionkey").alias("cluster"), F.col("n_name").alias("alias"))
     return R.alias_expansion(asked, clusters).withColumn("extras", F.array_join("extras", "|"))
 
@@ -124,7 +124,7 @@ select term, sum(w) as weight from x group by term having abs(sum(w)) > 1
 def token_weights(t: Tables) -> DataFrame:
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
     docs = t.documents.crossJoin(F.broadcast(n)).withColumn("k", F.col("doc_id") % F.col("n"))
-    rows = docs.join(F.broadcast(t.benchmark.select("item_id", F.col("text").alias("negative"))), F.col("k") == F.col("item_id"))
+    rows = docs.join(t.benchmark.select("item_id", F.col("text").alias("negative")), F.col("k") == F.col("item_id"))
     return R.token_weights(rows.select(F.col("lang").alias("query"), F.col("text").alias("positive"), "negative"), 0.5, 1.0)
 
 
@@ -135,10 +135,10 @@ parts as (select qid, id, 0.3 / (rank - 1 + 60) as part from sparse where rank <
 
 
 def overlap_hits(t: Tables, k: int = 120) -> DataFrame:
-    """Documents by the number of distinct query terms they hold."""
-    terms = passages(t).select("qid", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    hits = R.postings(corpus(t)).join(F.broadcast(terms), "term").groupBy("qid", "id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return R.top_k(hits, k)
+    """Documents by the number of distinct query terms they hold, from the scores'
+    own postings."""
+    hits = R.bm25(corpus(t), passages(t))
+    return R.top_k(hits.select("qid", "id", F.col("matched").cast("double").alias("score")), k)
 
 
 def fused_hits(t: Tables) -> DataFrame:
@@ -199,17 +199,7 @@ def must_include_topk(t: Tables) -> DataFrame:
 
 
 def contained(t: Tables) -> DataFrame:
-    """Exact containment of benchmark passages in documents. Passages and
-    documents that share the passage's first eight words meet in an equality
-    join; only those pairs are compared as texts."""
-    key = lambda c: F.array_join(F.slice(c, 1, 8), " ")
-    words = T.tokens(F.col("text"))
-    asked = t.benchmark.select("item_id", F.col("text").alias("passage"), key(F.slice(words, 2, 8)).alias("key"), F.size(words).alias("n"))
-    docs = t.documents.select("doc_id", "text", words.alias("w"))
-    grams = docs.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 7, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 8), " "))))).drop("w")
-    long = grams.join(F.broadcast(asked.where("n >= 10")), "key").where(F.contains("text", "passage"))
-    short = docs.drop("w").join(F.broadcast(asked.where("n < 10")), F.contains("text", "passage"))
-    return long.select("item_id", "doc_id").union(short.select("item_id", "doc_id")).distinct()
+    return grounding.contained(t.benchmark, t.documents)
 
 
 @query("JN-9 AG-21 GR-9", "select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)")
@@ -259,7 +249,7 @@ def page_score_agg(t: Tables) -> DataFrame:
 
 @query("RR-2 RR-1 RR-3")
 def heuristic_rerank(t: Tables) -> DataFrame:
-    hits = sparse_hits(t, 10).join(corpus(t), "id").join(F.broadcast(passages(t)), "qid")
+    hits = sparse_hits(t, 10).join(corpus(t), "id").join(passages(t), "qid")
     rows = ranking.with_heuristic_score(hits, "query", "text", F.array(F.col("source")), F.col("lang") == "en", F.col("rank") == 1)
     return ranking.best_per(rows, ["qid"], [F.desc("rerank"), F.asc("id")], 8).select("qid", "id", "rerank", "place")
 
@@ -288,7 +278,7 @@ def hard_negatives(t: Tables) -> DataFrame:
 
 @query("SRC-21 SRC-20", "select doc_id, n_chars from documents where doc_id in (select item_id from benchmark)")
 def fetch_by_ids(t: Tables) -> DataFrame:
-    return t.documents.join(F.broadcast(t.benchmark.select(F.col("item_id").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "n_chars")
+    return t.documents.join(t.benchmark.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_chars")
 
 
 @query("GR-3 GR-5 GR-14", f"""

@@ -44,7 +44,7 @@ select c_custkey as src, n_nationkey as dst from customer join nation on n_natio
 """)
 def title_mentions(t: Tables) -> DataFrame:
     names = t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
-    texts = t.customer.join(F.broadcast(names), F.col("c_nationkey") == F.col("k")).drop("k").withColumnRenamed("name", "one").join(F.broadcast(names), (F.col("c_nationkey") + 1) % 25 == F.col("k"))
+    texts = t.customer.join(names, F.col("c_nationkey") == F.col("k")).drop("k").withColumnRenamed("name", "one").join(names, (F.col("c_nationkey") + 1) % 25 == F.col("k"))
     texts = texts.select(F.col("c_custkey").alias("src"), F.concat(F.lit("amends "), "one", F.lit(" and then "), "name").alias("text"))
     return S.mentions(texts, t.nation.select(F.col("n_nationkey").alias("dst"), F.col("n_name").alias("title")))
 

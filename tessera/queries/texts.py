@@ -81,7 +81,7 @@ select n_nationkey, n_name || '|' || r_name as names, case when n_nationkey % 2
 from nation join region on n_regionkey = r_regionkey
 """)
 def coerce_names(t: Tables) -> DataFrame:
-    rows = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
     text = F.concat("n_name", F.lit(", "), F.lower("n_name"), F.lit(" and "), "r_name", F.lit("; "), "n_name")
     flag = T.coerce_answer(F.lit("boolean"), F.when(F.col("n_nationkey") % 2 == 0, "Yes, it is").otherwise("no"))["bool_v"]
     number = T.coerce_answer(F.lit("number"), F.concat(F.lit("it is "), F.col("n_nationkey").cast("string")))["num_v"]
