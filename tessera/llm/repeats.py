@@ -193,6 +193,7 @@ def repeated_spans(texts: DataFrame, width: int, gram: int, form: int = BYTES) -
     pieces = texts.join(wanted, ["row", "tag"]).select("row", "tag", "text", "wanted").transform(arrow, _cut(form), "shard long, content long, bytes binary")
     hot = stored(varied.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("shard"))
     again = gram < width and not hot.isEmpty()
+    pieces = stored(pieces) if again else pieces  # else the texts would be dealt out twice
     cool = pieces.join(hot, "shard", "left_anti") if again else pieces
     partial = cool.repartition("shard").sortWithinPartitions("shard", "content").transform(arrow, _index(width, form), "shard long, content long, low int, high int")
     whole = distinct.where("n > 1").select("shard", "content", F.lit(0).alias("low"), (F.col("length") - width + 1).alias("high"))
