@@ -69,6 +69,12 @@ def case_number(text: Column) -> Column:
     return F.when(text.rlike(plain), one).when(text.rlike(bracket), two)
 
 
+def plausible_case(number: Column, first_year: int = 1950, last_year: int = 2100, most: int = 9999) -> Column:
+    """Whether a case number as ``case_number`` gives it has a likely number and year."""
+    n, year = F.regexp_extract(number, r"([0-9]+)/", 1).cast("int"), F.regexp_extract(number, r"/([0-9]{4})$", 1).cast("int")
+    return F.coalesce(n.between(1, most) & year.between(first_year, last_year), F.lit(False))
+
+
 def extract_unique(text: Column, *patterns: str) -> Column:
     """All matches of the patterns, pattern by pattern, first occurrences only."""
     return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])))

@@ -92,6 +92,34 @@ def chunks(docs: DataFrame, limit: int = CHUNK, overlap: int = 0, delimiter: str
     return rows.select(chunk_ids(F.col("id"), F.lit(0), F.col("pos"), F.col("text")).alias("chunk_id"), "id", "pos", "text", T.token_count(F.col("text")).alias("tokens"))
 
 
+#: A heading of a segment: kind, number, title.
+HEADING = r"^(Article|Section|Schedule|Part|Chapter) ([0-9A-Z]+)[.:]? *(.*)$"
+#: Other lines that open a segment.
+OPENINGS = (("operative_order", "(?i)it is hereby ordered"), ("issued_by", "(?i)^issued by"), ("definition", r'"[^"]+" means'))
+
+
+def segments(pages: DataFrame, heading: str = HEADING, openings: tuple = OPENINGS, doc_col: str = "doc", page_col: str = "page", text_col: str = "text") -> DataFrame:
+    """doc, idx, kind, label, title, first_page, last_page, n_lines, text: a document's
+    lines from one boundary to the next, across its pages. What comes before the
+    first boundary belongs to none."""
+    lines = pages.select(F.col(doc_col).alias("doc"), F.col(page_col).alias("page"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line")).where("trim(line) <> ''")
+    kind = F.when(F.col("line").rlike(heading), F.lower(F.regexp_extract("line", heading, 1)))
+    for name, pattern in openings:
+        kind = kind.when(F.col("line").rlike(pattern), name)
+    lines = lines.withColumn("kind", kind)
+    idx = F.sum(F.col("kind").isNotNull().cast("int")).over(Window.partitionBy("doc").orderBy("page", "pos"))
+    parts = lines.withColumn("idx", idx).where("idx > 0").groupBy("doc", "idx").agg(
+        F.max("kind").alias("kind"),
+        F.max(F.when(F.col("line").rlike(heading), F.concat_ws(" ", F.regexp_extract("line", heading, 1), F.regexp_extract("line", heading, 2)))).alias("label"),
+        F.max(F.when(F.col("line").rlike(heading), F.trim(F.regexp_extract("line", heading, 3)))).alias("title"),
+        F.min("page").alias("first_page"),
+        F.max("page").alias("last_page"),
+        F.count(F.lit(1)).alias("n_lines"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "pos", "line"))), lambda x: x["line"]), "\n").alias("text"),
+    )
+    return parts.withColumn("label", F.coalesce("label", "kind"))
+
+
 def html_text(source: Column) -> Column:
     """Text of markup by tag stripping; scripts, styles and comments are removed."""
     t = F.regexp_replace(source, r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>", " ")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.functions import text as T
 from tessera.operators.retrieval import DIGITS
 
 
@@ -154,3 +157,90 @@ def text_noise(text: Column) -> Column:
     """Duplicate lines of a text: lines beyond the first of their kind."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     return F.size(lines) - F.size(F.array_distinct(lines))
+
+
+def selected_page_metrics(selected: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: hit_rate, weighted_hit_rate, compare_hit_rate, zero_rate (negative
+    questions without a selected page), mean_pages, mean_recall (of questions with
+    gold). ``selected`` has qid, pages; ``labels`` qid, gold, weight, scope, source."""
+    rows = labels.join(selected, "qid", "left").withColumn("pages", F.coalesce("pages", F.array().cast(selected.schema["pages"].dataType)))
+    hit = F.when(F.arrays_overlap("gold", "pages"), 1.0).otherwise(0.0)
+    asked = F.size("gold") > 0
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.round(F.avg(F.when(asked, hit)), DIGITS).alias("hit_rate"),
+        F.round(F.sum(F.when(asked, hit * F.col("weight"))) / F.sum(F.when(asked, F.col("weight"))), DIGITS).alias("weighted_hit_rate"),
+        F.round(F.avg(F.when(asked & (F.col("scope") == "compare"), hit)), DIGITS).alias("compare_hit_rate"),
+        F.round(F.avg(F.when(~asked, F.when(F.size("pages") == 0, 1.0).otherwise(0.0))), DIGITS).alias("zero_rate"),
+        F.round(F.avg(F.size("pages")), DIGITS).alias("mean_pages"),
+        F.round(F.avg(F.when(asked, F.size(F.array_intersect("gold", "pages")) / F.size("gold"))), DIGITS).alias("mean_recall"),
+    )
+
+
+def hit_rate_by_source(selected: DataFrame, labels: DataFrame) -> DataFrame:
+    """source, n, hit_rate of the questions with gold pages."""
+    rows = labels.where("size(gold) > 0").join(selected, "qid", "left")
+    hit = F.when(F.coalesce(F.arrays_overlap("gold", "pages"), F.lit(False)), 1.0).otherwise(0.0)
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), DIGITS).alias("hit_rate"))
+
+
+def slot_metrics(predicted: DataFrame, slots: DataFrame, most: int = 2) -> DataFrame:
+    """qid, slot_recall, complete, over_pruned, overbroad: share of a question's slots
+    (qid, slot, pages) that a predicted page fills, whether all are, whether fewer
+    pages than slots are predicted while one is unfilled, and whether a document has
+    more than ``most`` predicted pages. ``predicted`` has qid, doc, page."""
+    pages = predicted.groupBy("qid").agg(F.collect_set("page").alias("found"), F.count_distinct("page").alias("n"))
+    broad = predicted.groupBy("qid", "doc").agg(F.count_distinct("page").alias("m")).groupBy("qid").agg((F.max("m") > most).alias("overbroad"))
+    filled = F.coalesce(F.arrays_overlap("pages", "found"), F.lit(False)).cast("int")
+    rows = slots.join(pages, "qid", "left").groupBy("qid").agg(F.avg(filled).alias("recall"), F.min(filled).alias("all"), F.count(F.lit(1)).alias("slots"), F.max(F.coalesce("n", F.lit(0))).alias("n"))
+    out = rows.join(broad, "qid", "left")
+    return out.select("qid", F.round("recall", DIGITS).alias("slot_recall"), (F.col("all") == 1).alias("complete"), ((F.col("all") == 0) & (F.col("n") < F.col("slots"))).alias("over_pruned"), F.coalesce("overbroad", F.lit(False)).alias("overbroad"))
+
+
+def answer_anomalies(answer: Column, kind: Column, pages: Column, seconds: Column, slow: float = 5.0) -> Column:
+    """Names of what is odd about an answer, in order."""
+    empty = F.coalesce(T.unanswerable(answer), F.lit(True))
+    cited = F.coalesce(F.size(pages) > 0, F.lit(False))
+    shape = F.coalesce(F.when(kind == "boolean", ~F.lower(answer).isin("yes", "no", "true", "false")).when(kind == "number", T.coerce_number(answer).isNull()).when(kind == "date", T.coerce_date(answer).isNull()), F.lit(False))
+    flags = (("unanswered_with_pages", empty & cited), ("answered_without_pages", ~empty & ~cited), ("wrong_type", ~empty & shape), ("slow", F.coalesce(seconds > slow, F.lit(False))), ("citation_left_in", F.coalesce(F.contains(answer, F.lit("(cite:")), F.lit(False))))
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in flags]), lambda x: x.isNotNull())
+
+
+def repaired(answer: Column, pages: Column, flags: Column) -> Column:
+    """struct<answer, pages>: no pages for what isn't answered, no answer of the
+    wrong type, no citation marks in the text."""
+    wrong = F.array_contains(flags, "wrong_type")
+    text = F.when(wrong, F.lit(None)).when(F.array_contains(flags, "citation_left_in"), T.strip_citations(answer)).otherwise(answer)
+    none = F.array_contains(flags, "unanswered_with_pages") | wrong
+    return F.struct(text.alias("answer"), F.when(none, F.slice(pages, 1, 0)).otherwise(pages).alias("pages"))
+
+
+def judge_summary(cheap: DataFrame, strict: DataFrame, marks: tuple[str, ...] = ("accuracy", "grounding", "clarity")) -> DataFrame:
+    """One row: cases, pass_rate and the mean of each mark; a case's strict verdict
+    goes before its cheap one. Both have qid, passed and the marks."""
+    both = cheap.alias("c").join(strict.alias("s"), "qid", "full_outer")
+    own = lambda name: F.coalesce(F.col(f"s.{name}"), F.col(f"c.{name}"))
+    rows = both.select("qid", own("passed").alias("passed"), *[own(m).alias(m) for m in marks])
+    return rows.agg(F.count(F.lit(1)).alias("cases"), F.round(F.avg(F.col("passed").cast("double")), DIGITS).alias("pass_rate"), *[F.round(F.avg(m), DIGITS).alias(m) for m in marks])
+
+
+def composite_estimate(exact: Column, assistant: Column, grounding: Column, telemetry: Column, latency: Column, penalties: list[tuple[Column, float]], exact_share: float = 0.7) -> Column:
+    """(exact_share * exact + rest * assistant) * grounding * telemetry * latency,
+    less the penalties of the conditions that hold, not below 0."""
+    score = (exact_share * exact + round(1 - exact_share, 12) * assistant) * grounding * telemetry * latency
+    for condition, loss in penalties:
+        score = score - F.when(condition, loss).otherwise(0.0)
+    return F.round(F.greatest(score, F.lit(0.0)), DIGITS)
+
+
+def fold_of(key: Column, folds: int = 5, seed: int = 7) -> Column:
+    """Fold of a row by the hash of its key, the same in every run."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key.cast("string"))), 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+
+def cross_validation(rows: DataFrame, fit, key: str = "id", label: str = "label", folds: int = 5, threshold: float = 0.5) -> DataFrame:
+    """fold, n, accuracy, f1, auroc: each fold scored by ``fit(train)``, a function
+    from rows to rows with ``score``, fitted on the others. There are ``folds`` fits."""
+    placed = rows.withColumn("fold", fold_of(F.col(key), folds))
+    out = [binary_metrics(fit(placed.where(F.col("fold") != k))(placed.where(F.col("fold") == k)), label, "score", threshold).withColumn("fold", F.lit(k)) for k in range(folds)]
+    return reduce(DataFrame.unionByName, out).select("fold", "n", "accuracy", "f1", "auroc")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import text as T
@@ -85,3 +87,73 @@ def greedy_cover(pages: Column, least: int, most: int) -> Column:
         return F.struct(F.when(take, F.array_union(s["seen"], words)).otherwise(s["seen"]).alias("seen"), F.when(take, F.concat(s["kept"], F.array(s["at"]))).otherwise(s["kept"]).alias("kept"), (s["at"] + 1).alias("at"))
 
     return F.aggregate(pages, start, step)["kept"]
+
+
+#: Bonus of each source of hard negatives.
+BONUS = {"same_doc": 0.35, "alias": 0.25, "cross_doc": 0.10, "lexical": 0.0, "embedding": 0.45}
+
+
+def mined_negatives(sources: dict[str, DataFrame], gold: DataFrame, k: int = 5, false_positives: DataFrame | None = None) -> DataFrame:
+    """qid, page, source, score, place: the best ``k`` pages that aren't gold.
+
+    Each source (qid, page, overlap) adds its bonus; a page keeps its best source.
+    Pages that a run predicted wrongly (qid, page) go first, with a score of 100.
+    """
+    parts = [df.select("qid", "page", F.lit(name).alias("source"), F.round(F.col("overlap") + BONUS[name], DIGITS).alias("score")) for name, df in sources.items()]
+    if false_positives is not None:
+        parts.append(false_positives.select("qid", "page", F.lit("false_positive").alias("source"), F.lit(100.0).alias("score")))
+    rows = reduce(DataFrame.unionByName, parts).join(gold, ["qid", "page"], "left_anti")
+    once = best_per(rows, ["qid", "page"], [F.desc("score"), F.asc("source")], 1, "n").drop("n")
+    return best_per(once, ["qid"], [F.desc("score"), F.asc("page")], k).select("qid", "page", "source", "score", "place")
+
+
+def negative_triples(mined: DataFrame, queries: DataFrame, gold: DataFrame, texts: DataFrame) -> DataFrame:
+    """qid, positive_page, negative_page, source and the texts: a triple for each
+    gold page and mined negative that both have a text."""
+    t = texts.where("text <> ''")
+    rows = mined.select("qid", F.col("page").alias("negative_page"), "source").join(gold.select("qid", F.col("page").alias("positive_page")), "qid").join(queries, "qid")
+    rows = rows.join(t.select(F.col("page").alias("positive_page"), F.col("text").alias("positive")), "positive_page")
+    return rows.join(t.select(F.col("page").alias("negative_page"), F.col("text").alias("negative")), "negative_page").select("qid", "positive_page", "negative_page", "source", "query", "positive", "negative")
+
+
+def confusers(rows: DataFrame, most: int = 2) -> DataFrame:
+    """qid, other, page: first gold pages of other questions that share a token with
+    the question and aren't gold for it. ``rows`` has qid, query, gold (pages)."""
+    words = rows.select("qid", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    pairs = words.alias("a").join(words.alias("b"), "term").where("a.qid <> b.qid").groupBy(F.col("a.qid").alias("qid"), F.col("b.qid").alias("other")).agg(F.count(F.lit(1)).alias("shared"))
+    full = pairs.join(rows.select("qid", F.col("gold").alias("own")), "qid").join(rows.where("size(gold) > 0").select(F.col("qid").alias("other"), F.col("gold")[0].alias("page")), "other")
+    found = full.where("not array_contains(own, page)")
+    once = best_per(found, ["qid", "page"], [F.desc("shared"), F.asc("other")], 1, "n")
+    return best_per(once, ["qid"], [F.desc("shared"), F.asc("other"), F.asc("page")], most).select("qid", "other", "page")
+
+
+def router_examples(parts: list[tuple[str, DataFrame, float]]) -> DataFrame:
+    """sample_id, text, scope, budget, roles, weight, source: examples of all parts
+    (name, rows, weight); rows without any target, or without weight, are left out."""
+    made = [df.withColumn("w", F.lit(w) * (F.col("weight") if "weight" in df.columns else F.lit(1.0))).where(F.col("w") > 0).where("scope is not null or budget is not null or size(roles) > 0").select(F.col("sample_id").cast("string").alias("sample_id"), T.collapse(F.col("text")).alias("text"), "scope", "budget", "roles", F.col("w").alias("weight"), F.lit(name).alias("source")) for name, df, w in parts]
+    return reduce(DataFrame.unionByName, made)
+
+
+#: Templates of synthetic questions: family, field, kind of answer, question.
+TEMPLATES = (
+    ("single_field", "date", "date", "When was {name} issued?"),
+    ("amount", "amount", "number", "What amount does {name} state?"),
+    ("person", "person", "name", "Who is the official named in {name}?"),
+    ("status", "status", "name", "What is the status of {name}?"),
+)
+
+
+def synthetic_questions(facts: DataFrame, pages: DataFrame, most: int, templates: tuple = TEMPLATES) -> DataFrame:
+    """qid, family, kind, question, answer, page of facts (name, field, value, page)
+    whose value the page's text states; per family the ``most`` first by hash, and
+    pairs of names with equal and unequal values as comparisons."""
+    single = None
+    for family, field, kind, pattern in templates:
+        before, after = pattern.split("{name}")
+        part = facts.where(F.col("field") == field).select(F.lit(family).alias("family"), F.lit(kind).alias("kind"), F.concat(F.lit(before), "name", F.lit(after)).alias("question"), F.col("value").alias("answer"), "page")
+        single = part if single is None else single.unionByName(part)
+    following = facts.withColumn("next", F.lead(F.struct("name", "value")).over(Window.partitionBy("field", "page").orderBy("name", "value"))).where("next is not null and next.name <> name")
+    compare = following.select(F.lit("compare").alias("family"), F.lit("boolean").alias("kind"), F.concat(F.lit("Do "), "name", F.lit(" and "), "next.name", F.lit(" have the same "), "field", F.lit("?")).alias("question"), F.when(F.col("value") == F.col("next.value"), "Yes").otherwise("No").alias("answer"), "page")
+    stated = single.join(pages, "page").where(F.contains("text", "answer")).drop("text")
+    rows = stated.unionByName(compare).distinct().withColumn("qid", F.md5(F.concat_ws("|", "family", "question", F.col("page").cast("string"))))
+    return best_per(rows, ["family"], [F.asc("qid"), F.asc("answer")], most).drop("place")

@@ -91,7 +91,7 @@ def wilcoxon(t: Tables) -> DataFrame:
 
 @query("AG-31")
 def bootstrap_interval(t: Tables) -> DataFrame:
-    return metrics.bootstrap_mean(t.events.select("event_id", "value"), "value", rounds=100)
+    return metrics.bootstrap_mean(t.events.select("event_id", "value"), "value", rounds=5000)
 
 
 @query("", """
@@ -103,24 +103,7 @@ def binary_metrics(t: Tables) -> DataFrame:
     return metrics.binary_metrics(rows, "quality", "s", 0.2)
 
 
-@query("AG-20 AG-37 AG-25", """
-with x as (select doc_id % 10 as qid, max(quality) as hit, count(*) as pages, sum(toxic) as toxic from labels group by 1)
-select count(*) as n, round(avg(hit), 6) as hit_rate, round(avg(pages), 6) as mean_pages, round(avg(case when toxic = 0 then 1.0 else 0.0 end), 6) as zero_rate from x
-""")
-def selected_pages(t: Tables) -> DataFrame:
-    x = t.labels.groupBy((F.col("doc_id") % 10).alias("qid")).agg(F.max("quality").alias("hit"), F.count(F.lit(1)).alias("pages"), F.sum("toxic").alias("toxic"))
-    return x.agg(F.count(F.lit(1)).alias("n"), F.round(metrics.safe_mean(F.col("hit")), 6).alias("hit_rate"), F.round(F.avg("pages"), 6).alias("mean_pages"), F.round(F.avg(F.when(F.col("toxic") == 0, 1.0).otherwise(0.0)), 6).alias("zero_rate"))
-
-
-@query("AG-26 AG-32 AG-33", """
-select doc_id, concat_ws(',', case when quality = 0 then 'low' end, case when toxic = 1 then 'toxic' end) as flags, round((0.7 * quality + 0.3 * (1 - toxic)) * 0.9, 6) as estimate from labels
-""", doubles="estimate")
-def anomaly_flags(t: Tables) -> DataFrame:
-    flags = F.filter(F.array(F.when(F.col("quality") == 0, "low"), F.when(F.col("toxic") == 1, "toxic")), lambda x: x.isNotNull())
-    return t.labels.select("doc_id", F.array_join(flags, ",").alias("flags"), F.round((0.7 * F.col("quality") + 0.3 * (1 - F.col("toxic"))) * 0.9, 6).alias("estimate"))
-
-
-@query("WN-11 UDF-2 UDF-5", r"""
+@query("WN-11", r"""
 with x as (select conv_id, turn, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) as n from conversations), y as (select *, cast(sum(n) over (partition by conv_id order by turn) as bigint) as upto from x)
 select conv_id, turn, case when upto <= 120 then n when 120 - (upto - n) > 20 then 120 - (upto - n) end as kept from y where upto - n < 120 and (upto <= 120 or 120 - (upto - n) > 20) and n > 0
 """)
@@ -129,7 +112,7 @@ def context_pack(t: Tables) -> DataFrame:
     return ranking.pack_context(rows, 120, 20, by="conv_id", order="turn").select("conv_id", "turn", F.col("kept").cast("long").alias("kept"))
 
 
-@query("AG-2 GR-4 GR-2", """
+@query("AG-2 GR-4", """
 with s as (select l_orderkey as qid, l_linenumber as page, round(sum(case when l_returnflag = 'R' then 3.0 else 0.8 end), 6) as score from lineitem group by all)
 select qid, page, score from (select *, row_number() over (partition by qid order by score desc, page) as place from s) where place <= 2
 """, doubles="score")

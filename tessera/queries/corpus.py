@@ -65,7 +65,7 @@ def token_jaccard_pairs(t: Tables) -> DataFrame:
     return ranking.similar_sets(classes, 80).withColumn("common", F.col("common").cast("long"))
 
 
-@query("CH-8 TXT-12", r"""
+@query("TXT-12", r"""
 select page_id, len(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1))) as n_links, list_sort(list_distinct(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)))[1] as first_link, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages
 """)
 def html_links(t: Tables) -> DataFrame:
@@ -73,7 +73,7 @@ def html_links(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.size(links).cast("long").alias("n_links"), F.array_min(links).alias("first_link"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query("CH-8", r"""
+@query("SRC-4", r"""
 select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g')) as text from pages
 """)
 def html_text_extract(t: Tables) -> DataFrame:
@@ -89,7 +89,7 @@ def repeated_lines(t: Tables) -> DataFrame:
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
 
 
-@query("SRC-11 SRC-13 SRC-23", """
+@query("SRC-11", """
 select 'doc-' || doc_id as id, text, lang as kind from documents union all select 'bench-' || item_id, text, null from benchmark union all select 'conv-' || conv_id || '-' || turn, text, role from conversations
 """)
 def unified_records(t: Tables) -> DataFrame:
@@ -102,17 +102,20 @@ def unified_records(t: Tables) -> DataFrame:
 
 
 @query("INC-2 INC-4 INC-5 SRC-14", r"""
-with keep as (select doc_id, text from documents where doc_id % 5 <> 1) select count(*) as documents, count(distinct doc_id) as ids, 0 as changed_again from keep
+with now as (select doc_id, case when doc_id % 5 = 2 then text || ' more' else text end as text from documents where doc_id % 5 <> 1), plan as (select doc_id, case doc_id % 5 when 0 then 'new' when 1 then 'deleted' when 2 then case when text is null then 'unchanged' else 'changed' end else 'unchanged' end as status from documents),
+n as (select doc_id, len(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')) as lines, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+')) as tokens from now)
+select p.doc_id, status, coalesce(tokens, 0) as tokens, status <> 'deleted' as kept, 'unchanged' as again from plan p left join n using (doc_id)
 """)
 def incremental_ingest(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "text")
     old, new = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 <> 1").withColumn("text", F.when(F.col("doc_id") % 5 == 2, F.concat("text", F.lit(" more"))).otherwise(F.col("text")))
     empty_chunks, empty_manifest = chunking.chunks(docs.where("false")), docs.where("false").select("doc_id", F.lit("").alias("digest"))
     chunks, manifest, _ = pipeline.ingest(empty_chunks, empty_manifest, old)
-    chunks, manifest, _ = pipeline.ingest(chunks, manifest, new)
+    chunks, manifest, plan = pipeline.ingest(chunks, manifest, new)
     _, _, again = pipeline.ingest(chunks, manifest, new)
-    changed = again.agg(F.sum((F.col("status") != "unchanged").cast("int")).alias("changed_again"))
-    return manifest.agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("doc_id").alias("ids")).crossJoin(changed)
+    sums = chunks.groupBy(F.col("id").alias("doc_id")).agg(F.sum("tokens").alias("tokens"))
+    rows = plan.select("doc_id", "status").join(sums, "doc_id", "left").join(again.select("doc_id", F.col("status").alias("again")), "doc_id", "left")
+    return rows.select("doc_id", "status", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), (F.col("status") != "deleted").alias("kept"), F.coalesce("again", F.lit("unchanged")).alias("again"))
 
 
 @query("HYB-1 DEN-3 SPR-1 WN-11")
@@ -122,20 +125,24 @@ def hybrid_search(t: Tables) -> DataFrame:
 
 
 @query("ML-5", r"""
-with n as (select count(*) as n from benchmark), tri as (select lang as query, d.text as positive, b.text as negative from documents d cross join n join benchmark b on d.doc_id % n = b.item_id), once as (select distinct * from tri), s as (select *, list_distinct(regexp_extract_all(lower(positive), '[\p{L}\p{N}]+')) as p, list_distinct(regexp_extract_all(lower(negative), '[\p{L}\p{N}]+')) as q from once)
-select query, count(*) as n from s where len(list_intersect(p, q)) < greatest(3, floor(len(p) / 2)) group by query
+with n as (select count(*) as n from benchmark), tri as (select lang as query, d.text as positive, b.text as negative from documents d cross join n join benchmark b on d.doc_id % n = b.item_id), once as (select distinct * from tri where positive is not null and query is not null), s as (select *, list_distinct(regexp_extract_all(lower(positive), '[\p{L}\p{N}]+')) as p, list_distinct(regexp_extract_all(lower(negative), '[\p{L}\p{N}]+')) as q from once)
+select 'first' as source, query, md5(positive) as positive, md5(negative) as negative from s where len(list_intersect(p, q)) < greatest(3, floor(len(p) / 2))
 """)
 def training_triples(t: Tables) -> DataFrame:
     n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))
-    rows = t.documents.crossJoin(F.broadcast(n)).join(t.benchmark.select("item_id", F.col("text").alias("negative")), F.expr("doc_id % n = item_id")).select(F.col("lang").alias("query"), F.col("text").alias("positive"), "negative")
-    return mldata.training_triples([("first", rows), ("second", rows.withColumn("query", F.upper("query")))]).groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    rows = t.documents.where("text is not null and lang is not null").crossJoin(F.broadcast(n)).join(t.benchmark.select("item_id", F.col("text").alias("negative")), F.expr("doc_id % n = item_id")).select(F.col("lang").alias("query"), F.col("text").alias("positive"), "negative")
+    found = mldata.training_triples([("first", rows), ("second", rows.withColumn("query", F.upper("query")))])
+    return found.select("source", "query", F.md5("positive").alias("positive"), F.md5("negative").alias("negative"))
 
 
-@query("DEN-5", """
-with q as (select vec_id as qid, label as k, embedding from embeddings where vec_id % 20 = 0), p as (select vec_id as id, label as k, embedding from embeddings)
-select qid, id, round(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(q.embedding, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(p.embedding, lambda x: x::double * x::double)))), 6) as score from q join p using (k)
+PARTS = "select vec_id, label, pos, embedding[pos * 16 + 1 : pos * 16 + 16] as v from embeddings, range(4) r(pos)"
+
+
+@query("DEN-5", f"""
+with t as ({PARTS}), q as (select * from t where vec_id % 20 = 0), b as (select q.vec_id as qid, q.pos, t.vec_id as id, max(list_sum(list_transform(list_zip(q.v, t.v), lambda z: z[1]::double * z[2]::double)) / (sqrt(list_sum(list_transform(q.v, lambda x: x::double * x::double))) * sqrt(list_sum(list_transform(t.v, lambda x: x::double * x::double))))) as best from q join t on q.label = t.label group by all)
+select qid, id, round(avg(best), 6) as score from b group by qid, id
 """)
 def late_interaction(t: Tables) -> DataFrame:
-    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.lit(0).alias("pos"), F.col("embedding").alias("v"), F.col("label").alias("key"))
-    pages = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("key"))
-    return retrieval.max_sim(asked, pages).withColumn("score", F.round("score", 6))
+    parts = t.embeddings.select("vec_id", F.col("label").alias("key"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, 16))).alias("pos", "v"))
+    asked = parts.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "pos", "v", "key")
+    return retrieval.max_sim(asked, parts.select(F.col("vec_id").alias("id"), "v", "key")).withColumn("score", F.round("score", 6))

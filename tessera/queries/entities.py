@@ -58,7 +58,7 @@ def registry_merge(t: Tables) -> DataFrame:
     return registry.last_by_position(registry.merge_later_wins([base, later], "c_custkey").withColumn("pos", F.lit(1)), ["c_custkey"], "pos").drop("pos")
 
 
-@query("AG-7 TXT-35 SRC-22", """
+@query("AG-7 TXT-35", """
 select 'customer' as kind, trim(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', ' ', 'g')) as key, count(distinct c_nationkey) as n_sources, max(c_mktsegment) as alias from customer group by 2
 """)
 def alias_clusters(t: Tables) -> DataFrame:
@@ -133,7 +133,7 @@ def chain(t: Tables) -> DataFrame:
 CHAIN = "e as (select * from (select o_custkey, o_orderkey as src, lead(o_orderkey) over (partition by o_custkey order by o_orderdate, o_orderkey) as dst from orders) where dst is not null)"
 
 
-@query("GRF-8 GRF-1 DB-5", f"with {CHAIN} select o_custkey, src, dst from e")
+@query("GRF-8 GRF-1", f"with {CHAIN} select o_custkey, src, dst from e")
 def next_edges(t: Tables) -> DataFrame:
     return chain(t)
 

@@ -162,7 +162,7 @@ def surface_union(t: Tables) -> DataFrame:
     return R.surface_union([("sparse", sparse_hits(t)), ("overlap", overlap_hits(t, 10))]).withColumn("sources", F.array_join("sources", "|"))
 
 
-@query("HYB-9 HYB-10", f"with {BM25} select qid, id, round(score + case when lang = 'en' then 0.06 else 0 end + case when source = 'src0' then 0.15 else 0 end, 6) as score from sparse join documents on doc_id = id where rank <= 10")
+@query("HYB-9", f"with {BM25} select qid, id, round(score + case when lang = 'en' then 0.06 else 0 end + case when source = 'src0' then 0.15 else 0 end, 6) as score from sparse join documents on doc_id = id where rank <= 10")
 def payload_boost(t: Tables) -> DataFrame:
     hits = sparse_hits(t).join(corpus(t).select("id", "lang", "source"), "id")
     return R.boosted(hits, [(F.col("lang") == "en", 0.06), (F.col("source") == "src0", 0.15)]).select("qid", "id", F.round("score", 6).alias("score"))
@@ -174,13 +174,13 @@ def dup_title_suppress(t: Tables) -> DataFrame:
     return R.suppress_duplicate_titles(hits).select("qid", "id", "score")
 
 
-@query("HYB-15 HYB-16 WN-2 WN-10", f"with {BM25} select qid, source, id, place from (select qid, source, id, row_number() over (partition by qid, source order by score desc, id) as place from sparse join documents on doc_id = id where rank <= 40) where place <= 2")
+@query("HYB-15 WN-2", f"with {BM25} select qid, source, id, place from (select qid, source, id, row_number() over (partition by qid, source order by score desc, id) as place from sparse join documents on doc_id = id where rank <= 40) where place <= 2")
 def per_ref_topk(t: Tables) -> DataFrame:
     hits = sparse_hits(t, 40).join(corpus(t).select("id", "source"), "id")
     return ranking.best_per(hits, ["qid", "source"], [F.desc("score"), F.asc("id")], 2).select("qid", "source", "id", "place")
 
 
-@query("FLT-4 HYB-17", f"""
+@query("FLT-4", f"""
 with {BM25}, hits as (select qid, id, score, source, lang from sparse join documents on doc_id = id where rank <= 20), l as (select qid, id, 0 as level from hits where source = 'src1' and lang = 'fr' union all select qid, id, 1 from hits where source = 'src1' union all select qid, id, 2 from hits)
 select qid, id, level from l where level = (select min(level) from l m where m.qid = l.qid)
 """)
@@ -189,7 +189,7 @@ def fail_open_levels(t: Tables) -> DataFrame:
     return R.fail_open([hits.where("source = 'src1' and lang = 'fr'"), hits.where("source = 'src1'"), hits]).select("qid", "id", "level")
 
 
-@query("FLT-6 FLT-7", f"""
+@query("FLT-6", f"""
 with {BM25}, gold as (select item_id as qid, min(doc_id) as id from benchmark b join documents d on contains(d.text, b.text) group by all), cand as (select qid, id, 0 as part, 1 as spot from gold union all select qid, id, 1, rank from sparse where rank <= 10), once as (select qid, id, min(part * 1000 + spot) as o from cand group by all)
 select qid, id, slot from (select qid, id, row_number() over (partition by qid order by o, id) as slot from once) where slot <= 5
 """)
@@ -227,7 +227,7 @@ def mrr_hits(t: Tables) -> DataFrame:
     return metrics.hits_and_mrr(sparse_hits(t).join(gold, ["qid", "id"], "left"))
 
 
-@query("WN-4 WN-5 GR-7 FLT-5", f"with {BM25} select qid, round(max(case when rank = 1 then score end) - coalesce(max(case when rank = 2 then score end), 0), 6) as margin from sparse where rank <= 10 group by qid")
+@query("WN-4 WN-5", f"with {BM25} select qid, round(max(case when rank = 1 then score end) - coalesce(max(case when rank = 2 then score end), 0), 6) as margin from sparse where rank <= 10 group by qid")
 def rerank_margin(t: Tables) -> DataFrame:
     return ranking.margins(sparse_hits(t))
 
@@ -237,7 +237,7 @@ def rank_normalize(t: Tables) -> DataFrame:
     return sparse_hits(t).select("qid", "id", F.round(ranking.min_max(F.col("score"), ["qid"]), 5).alias("scaled"))
 
 
-@query("AG-1 HYB-8 WN-8", f"""
+@query("AG-1 HYB-8", f"""
 with {BM25}, c as (select qid, source as page, id, score as rerank, 1.0 / rank as retrieval from sparse join documents on doc_id = id where rank <= 40), p as (select *, row_number() over (partition by qid, page order by rerank desc, id) as place from c)
 select qid, page, round(round(max(case when place = 1 then rerank end) + 0.15 * max(case when place = 1 then retrieval end) + 0.05 * coalesce(max(case when place = 2 then rerank end), 0) + 0.01 * least(count(*), 3), 6), 4) as score from p group by all
 """)
@@ -247,7 +247,7 @@ def page_score_agg(t: Tables) -> DataFrame:
     return scores.withColumn("score", F.round("score", 4))
 
 
-@query("RR-2 RR-1 RR-3")
+@query("RR-2 RR-1")
 def heuristic_rerank(t: Tables) -> DataFrame:
     hits = sparse_hits(t, 10).join(corpus(t), "id").join(passages(t), "qid")
     rows = ranking.with_heuristic_score(hits, "query", "text", F.array(F.col("source")), F.col("lang") == "en", F.col("rank") == 1)
@@ -276,7 +276,7 @@ def hard_negatives(t: Tables) -> DataFrame:
     return mldata.hard_negatives(overlaps, gold)
 
 
-@query("SRC-21 SRC-20", "select doc_id, n_chars from documents where doc_id in (select item_id from benchmark)")
+@query("SRC-21", "select doc_id, n_chars from documents where doc_id in (select item_id from benchmark)")
 def fetch_by_ids(t: Tables) -> DataFrame:
     return t.documents.join(t.benchmark.select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_chars")
 

@@ -122,7 +122,7 @@ def largest_amount(t: Tables) -> DataFrame:
     return S.largest_amount(t.orders.select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("pos"), text.alias("text")))
 
 
-@query("DB-9 TXT-36 TXT-14", r"""
+@query("DB-9", r"""
 with f as (select doc_id as id, 'mail' as kind, unnest(list_distinct(regexp_extract_all(text, '[a-z]+[0-9.]*[0-9]+@[a-z0-9.]+[a-z]'))) as value from documents union all select doc_id, 'number', unnest(list_distinct(regexp_extract_all(text, '[0-9]{2,}'))) from documents)
 select id, kind, value from f
 """)
@@ -159,7 +159,7 @@ def twin_effect(t: Tables) -> DataFrame:
     return S.twin_effect(rows)
 
 
-@query("ML-16 ML-10 ML-6", r"""
+@query("ML-16", r"""
 with h as (select 'mail' as rule from documents where regexp_matches(text, '@') union all select 'digits' from documents where regexp_matches(text, '[0-9]'))
 select rule, count(*) as support, count(*) >= 20 as promoted from h group by rule
 """)

@@ -138,7 +138,7 @@ def page_top_structure(t: Tables) -> DataFrame:
 PATTERNS = [("english", r"(?:^|[^\p{L}])(?:the|of|and)(?:[^\p{L}]|$)"), ("french", r"(?:^|[^\p{L}])(?:de|la|les)(?:[^\p{L}]|$)"), ("german", r"(?:^|[^\p{L}])(?:der|die|und)(?:[^\p{L}]|$)")]
 
 
-@query("CLS-1 CLS-2 CLS-3 CLS-4 CLS-5", r"""
+@query("CLS-1 CLS-2", r"""
 with c as (select doc_id, source, len(regexp_extract_all(text, '(?:^|[^\p{L}])(?:the|of|and)(?:[^\p{L}]|$)')) as e, len(regexp_extract_all(text, '(?:^|[^\p{L}])(?:de|la|les)(?:[^\p{L}]|$)')) as f, len(regexp_extract_all(text, '(?:^|[^\p{L}])(?:der|die|und)(?:[^\p{L}]|$)')) as g from documents)
 select doc_id, case when e = greatest(e, f, g) and greatest(e, f, g) >= 2 then 'english' when f = greatest(e, f, g) and greatest(e, f, g) >= 2 then 'french' when g = greatest(e, f, g) and greatest(e, f, g) >= 2 then 'german' else 'other' end as kind,
  case when regexp_matches(source, '[05]$') then 'north' when regexp_matches(source, '[16]$') then 'south' else 'none' end as region from c
@@ -147,7 +147,7 @@ def doc_type_vote(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", C.by_most_matches(F.col("text"), PATTERNS).alias("kind"), C.by_mention(F.col("source"), [("[05]$", "north"), ("[16]$", "south")], "none").alias("region"))
 
 
-@query("CLS-7 AG-27 AG-28 SRC-24", r"""
+@query("AG-27 AG-28", r"""
 with r as (select doc_id, length(text) < 100 as short, regexp_matches(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+[a-z]') as mail, regexp_matches(text, '(AKIA[0-9A-Z]{8}|sk-[A-Za-z0-9]{8}|ghp_[A-Za-z0-9]{8}|api_key)') as secret,
  case when length(text) > 0 then (length(text) - length(regexp_replace(text, '[\p{L}]', '', 'g'))) / length(text) else 0.0 end as letters from documents)
 select doc_id, array_to_string(list_filter([case when short then 'short' end, case when mail then 'contact' end, case when secret then 'secret' end, case when letters < 0.7 then 'symbols' end], lambda x: x is not null), ',') as reasons,
@@ -161,7 +161,7 @@ def anomaly_score(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(names, ",").alias("reasons"), score.alias("score"), F.round(letters, 6).alias("letters"))
 
 
-@query("CLS-8 CLS-12 CLS-13 CLS-15", r"""
+@query("CLS-8", r"""
 select conv_id, turn, length(text) > 150 or len(regexp_extract_all(text, '\b(?:compare|difference|between|both|and)\b')) >= 2 or len(regexp_extract_all(text, '[A-Z][a-z]+ [A-Z][a-z]+')) >= 2 or regexp_matches(text, '\?.*\?') as complex from conversations
 """)
 def query_complexity(t: Tables) -> DataFrame:

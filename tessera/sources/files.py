@@ -121,3 +121,59 @@ def write_results(results: DataFrame, path: str, id_col: str = "question_id") ->
     """Results as JSON lines, one object with the id and the rest."""
     rest = [c for c in results.columns if c != id_col]
     results.select(F.to_json(F.struct(F.col(id_col), F.struct(*rest).alias("result"))).alias("value")).write.text(path)
+
+
+def _normal(name: str, sample: Column, text: Column, question: Column, kind: str, role: Column, scope: Column, support: Column, **more: Column) -> list[Column]:
+    given = F.when(F.trim(sample.cast("string")) != "", F.trim(sample.cast("string")))
+    own = F.concat(F.lit(f"{name}-"), T.short_hash(F.concat_ws("|", question, text), 12))
+    values = {"source_dataset": F.lit(name), "sample_id": F.coalesce(given, own), "text": F.coalesce(text, F.lit("")), "question": F.trim(F.coalesce(question, F.lit(""))), "label_type": F.lit(kind), "role_label": role, "scope_label": scope, "support_label": support, "metadata": F.to_json(F.struct(*[c.alias(n) for n, c in more.items()]))}
+    return [c.alias(n) for n, c in values.items()]
+
+
+def normalise_passages(records: DataFrame, name: str, split: str) -> DataFrame:
+    """Records (id, question, passages array<struct<id, doc, text>>) as normal rows."""
+    text = F.array_join(F.transform("passages", lambda p: F.trim(F.concat(F.lit("["), p["id"].cast("string"), F.lit("] "), F.coalesce(p["text"], F.lit(""))))), "\n\n")
+    n = F.coalesce(F.size("passages"), F.lit(0))
+    scope = F.when(n > 1, "multi_passage_support").otherwise("single_field_single_doc")
+    return records.select(*_normal(name, F.col("id"), text, F.col("question"), "support_scope", F.lit(""), scope, F.lit("supported"), split=F.lit(split), passages=n))
+
+
+def normalise_spans(records: DataFrame, name: str, split: str) -> DataFrame:
+    """Records (id, question, context, answers array<string>); the role is what the
+    question quotes."""
+    answers = F.filter(F.coalesce("answers", F.array().cast("array<string>")), lambda a: F.trim(a) != "")
+    role = F.regexp_extract("question", r'"([^"]+)"', 1)
+    support = F.when(F.size(answers) > 0, "supported").otherwise("unanswerable")
+    return records.select(*_normal(name, F.col("id"), F.col("context"), F.col("question"), "role_label", role, F.lit("single_field_single_doc"), support, split=F.lit(split), answers=F.size(answers)))
+
+
+def normalise_entailment(records: DataFrame, name: str, split: str, labels: tuple[str, ...]) -> DataFrame:
+    """Records (id, premise, hypothesis, label number); ``labels`` name the numbers."""
+    names = F.array(*[F.lit(x) for x in labels])
+    label = F.coalesce(F.get(names, F.col("label").cast("int")), F.lit("unknown"))
+    return records.select(*_normal(name, F.col("id"), F.col("premise"), F.col("hypothesis"), "support", F.lit(""), F.lit("single_field_single_doc"), label, split=F.lit(split)))
+
+
+def normalise_labelled(records: DataFrame, name: str, split: str) -> DataFrame:
+    """Records (id, text, labels array<string>) without a question."""
+    labels = F.array_sort(F.coalesce("labels", F.array().cast("array<string>")))
+    return records.select(*_normal(name, F.col("id"), F.col("text"), F.lit(""), "role_label", F.array_join(labels, ","), F.lit(""), F.lit(""), split=F.lit(split), labels=F.size(labels)))
+
+
+def read_checked_golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Golden cases that are whole, and the others with what is wrong with each."""
+    rows = read_golden(spark, path)
+    wrong = F.filter(F.array(F.when(F.coalesce(F.trim("question"), F.lit("")) == "", "no question"), F.when(~F.col("answer_type").isin("boolean", "number", "date", "name", "names", "free_text"), "unknown answer type"), F.when(F.exists("gold_chunk_ids", lambda g: F.trim(g) == ""), "empty chunk id")), lambda x: x.isNotNull())
+    told = rows.withColumn("wrong", wrong)
+    return told.where("size(wrong) = 0").drop("wrong"), told.where("size(wrong) > 0")
+
+
+def markdown_rows(rows: DataFrame, columns: list[str], order: str) -> DataFrame:
+    """place, line: a Markdown table of a report, head first; bars are escaped."""
+    cells = lambda xs: F.concat(F.lit("| "), F.array_join(F.array(*xs), " | "), F.lit(" |"))
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    spark = rows.sparkSession
+    head = spark.range(1).select(F.lit(-2).cast("long").alias("place"), cells([F.lit(c) for c in columns]).alias("line"))
+    rule = spark.range(1).select(F.lit(-1).cast("long").alias("place"), cells([F.lit("---") for _ in columns]).alias("line"))
+    body = rows.select(F.col(order).cast("long").alias("place"), cells([cell(c) for c in columns]).alias("line"))
+    return head.union(rule).union(body)
