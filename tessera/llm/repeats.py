@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.common import U64, arrow, binary_column, group_starts, mix64, portions, prefix_hash, ragged, span_hash, stored, text_buffer, unused, whole_groups, word_spans
 from tessera.llm.run_index import SEPARATOR, repeated_starts
@@ -201,12 +201,22 @@ def repeated_spans(texts: DataFrame, width: int, gram: int, form: int = BYTES) -
     if again:
         longer = width - width // 24
         parts = stored(pieces.join(hot, "shard").select(F.col("shard").alias("row"), F.col("content").alias("tag"), F.col("bytes").alias("text")).dropDuplicates(["row", "tag"]))
-        found = repeated_spans(parts, width, longer if gram < longer else width, BYTES if form == BYTES else HASHES)
+        found = _runs(repeated_spans(parts, width, longer if gram < longer else width, BYTES if form == BYTES else HASHES))
         strings = strings.union(found.select("row", "tag", "low", F.col("high") - width + 1))
     strings = stored(strings.distinct())
     return kept.join(strings, ["shard", "content"]).select("row", "tag", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + width).alias("high"))
 
 
+def _runs(spans: DataFrame) -> DataFrame:
+    """Spans that cover the same, none touching another of its text: the last
+    round has one for each string."""
+    order = Window.partitionBy("row", "tag").orderBy("low")
+    upto = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = spans.distinct().withColumn("first", F.coalesce(F.col("low") > upto, F.lit(True)).cast("int"))
+    runs = marked.withColumn("run", F.sum("first").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("row", "tag", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
 def merged(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted disjoint spans that cover the same bytes; touching spans are one."""
     order = np.argsort(low, kind="stable")
