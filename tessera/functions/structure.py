@@ -128,3 +128,28 @@ def signature(block: Column) -> Column:
         F.trim(F.regexp_extract(block, r"(?i)(chief justice|justice|judge|registrar)", 1)).alias("authority"),
         F.regexp_extract(block, r"([0-9]{1,2} [A-Z][a-z]+ [0-9]{4})", 1).alias("date"),
     )
+
+
+def template_family(family: Column, first_page: Column) -> Column:
+    """What kind of template a document of this family follows, by its first page's top."""
+    low = F.lower(F.coalesce(first_page, F.lit("")))
+    captioned = low.rlike(r"\b(between|v|vs|versus|claimant|respondent)\b")
+    titled = low.rlike(r"\blaw no\b") | F.coalesce(first_page, F.lit("")).rlike(r"(?m)^[A-Z][A-Z ]{5,}$")
+    return F.when(family.isin("judgment", "order") & captioned, "captioned_case_file").when(family.isin("consolidated_law", "amendment_law", "regulations", "law") & titled, "issued_law_instrument").when(family == "enactment_notice", "enactment_notice").when(family == "tracked_changes_amendment", "tracked_change_markup").otherwise(family)
+
+
+# How official a page is, and how likely a source and not a reference.
+PRIORS = (
+    (r"\b(table of contents|list of references|bibliography)\b|^\s*contents", "duplicate_or_reference", 0.10, 0.05),
+    (r"\b(issued by|date of issue|published by)\b", "issued_by_authority", 0.95, 0.97),
+    (r"it is hereby ordered", "operative_order", 0.90, 0.92),
+    (r"\b(schedule|annex|appendix)\b", "schedule", 0.55, 0.60),
+)
+
+
+def page_prior(text: Column, opening: int = 600) -> Column:
+    """struct<template, officialness, source_prior> by the first rule that the page's
+    opening matches; a plain page is 0.40 and 0.55."""
+    head = F.lower(F.substring(F.coalesce(text, F.lit("")), 1, opening))
+    pick = lambda k, other: first_rule([(head.rlike(rule[0]), rule[k]) for rule in PRIORS], other)
+    return F.struct(pick(1, "plain").alias("template"), pick(2, 0.40).alias("officialness"), pick(3, 0.55).alias("source_prior"))

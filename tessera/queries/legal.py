@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions import structure as S, text as T
-from tessera.operators import answers, chunking, metrics, mldata, retrieval as R
+from tessera.operators import answers, assembly, chunking, metrics, mldata, retrieval as R
 from tessera.queries.registry import Tables, query
 from tessera.queries.search import BM25, contained, corpus, passages, sparse_hits
 from tessera.sources import files
@@ -324,3 +324,97 @@ def notice_fields(t: Tables) -> DataFrame:
     rows = t.orders.select(F.col("o_orderkey").alias("id"), F.expr(CLAUSE).alias("text"), F.expr(CAPTION).alias("title"))
     number = F.regexp_extract(T.case_number(F.col("title")), "([0-9]+)/", 1)
     return rows.select("id", F.regexp_extract("text", r"Law No\. ([0-9]+)", 1).alias("law"), F.regexp_extract("text", r"Article ([0-9]+)", 1).cast("long").alias("article"), number.alias("number"), T.plausible_case(T.case_number(F.col("title")), most=7).alias("plausible"))
+
+
+HEADS = "concat(case o_orderkey % 5 when 0 then concat('Contents', chr(10)) when 1 then 'Issued by the ministry; see Schedule 1' when 2 then 'IT IS HEREBY ORDERED between A and B' when 3 then 'Annex to Law No 3' else 'plain' end, ' ', cast(o_orderkey as string))"
+
+
+@query("CLS-7", """
+with x as (select o_orderkey as id, o_orderkey % 5 as k from orders)
+select id, list_extract(['duplicate_or_reference', 'issued_by_authority', 'operative_order', 'schedule', 'plain'], cast(k + 1 as bigint)) as template, list_extract([0.10, 0.95, 0.90, 0.55, 0.40], cast(k + 1 as bigint))::double as officialness, list_extract([0.05, 0.97, 0.92, 0.60, 0.55], cast(k + 1 as bigint))::double as source_prior, case k when 2 then 'captioned_case_file' when 3 then 'issued_law_instrument' else 'other' end as family from x
+""")
+def page_priors(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.expr(HEADS).alias("text"))
+    prior, family = S.page_prior(F.col("text")), S.template_family(S.document_family(F.lit("T"), F.col("text")), F.col("text"))
+    return rows.select("id", prior["template"].alias("template"), prior["officialness"].alias("officialness"), prior["source_prior"].alias("source_prior"), family.alias("family"))
+
+
+@query("WN-8", HITS + ", x as (select *, row_number() over (partition by qid, page order by rank) > 1 as again from hits where rank <= 12) select qid, id, page, row_number() over (partition by qid order by again, rank) as slot from x")
+def unique_pages_first(t: Tables) -> DataFrame:
+    return assembly.unique_pages_first(paged_hits(t, 12)).select("qid", "id", "page", "slot")
+
+
+@query("GR-2", HITS + ", m as (select item_id as qid, case item_id % 3 when 0 then 'compare' when 1 then 'all' else 'single' end as mode from benchmark), d as (select qid, doc, round(sum(score), 6) as score from hits group by all), p as (select *, row_number() over (partition by qid order by score desc, doc) as place from d) select qid, doc, place from p join m using (qid) where place <= case mode when 'compare' then 2 when 'all' then 6 else 1 end")
+def document_scope(t: Tables) -> DataFrame:
+    mode = F.when(F.col("item_id") % 3 == 0, "compare").when(F.col("item_id") % 3 == 1, "all").otherwise("single")
+    return assembly.document_scope(paged_hits(t, 30), t.benchmark.select(F.col("item_id").alias("qid"), mode.alias("mode")), {"compare": 2, "all": 6}).select("qid", "doc", "place")
+
+
+@query("SRC-22", """
+with r as (select o_custkey as doc, unnest(['Law ' || o_orderkey % 7, 'old ' || o_orderkey % 3]) as ref from orders), g as (select doc, array_to_string(list_sort(list(distinct ref)), ',') as refs from r group by doc) select o_orderkey as id, refs from orders join g on doc = o_custkey
+""")
+def document_references(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    chunks = t.orders.select(k.alias("id"), F.col("o_custkey").alias("doc"), F.concat(F.lit("see Law "), (k % 7).cast("string"), F.lit(".")).alias("text"), F.array(F.concat(F.lit("old "), (k % 3).cast("string"))).alias("refs"))
+    return assembly.with_references(chunks, "Law [0-9]+").select("id", F.array_join("refs", ",").alias("refs"))
+
+
+@query("SRC-23", """
+with x as (select o_orderkey as id, o_orderkey % 3 as k, o_custkey % 4 as p from orders)
+select id as question_id, '{"answer":' || case k when 0 then 'null' when 1 then '"true"' else '"text"' end || ',"sources":' || case when k = 0 then '[]' when p = 0 then '[{"doc":"a","pages":[1]}]' else '[{"doc":"a","pages":[1' || case when p <> 1 then ',' || p else '' end || ']},{"doc":"b","pages":[' || p || ']}]' end || ',"total_ms":' || p * 500 || '}' as payload from x
+""")
+def submission_rows(t: Tables) -> DataFrame:
+    k, p = F.col("o_orderkey") % 3, (F.col("o_custkey") % 4).cast("string")
+    pages = F.when(p == "0", F.array(F.lit("a_1"))).otherwise(F.array(F.concat(F.lit("a_"), p), F.concat(F.lit("b_"), p), F.lit("a_1")))
+    rows = t.orders.select(F.col("o_orderkey").alias("qid"), F.when(k == 1, "boolean").otherwise("free_text").alias("kind"), F.when(k == 0, "n/a").when(k == 1, "Yes").otherwise("text").alias("answer"), pages.alias("pages"), ((F.col("o_custkey") % 4) / 2).alias("seconds"))
+    return assembly.submission(rows)
+
+
+@query("UDF-2 RR-3", HITS + """, c as (select qid, string_agg('[' || rank || '] ' || id || case when coalesce(doc, '') <> '' then ' | ' || doc else '' end || chr(10) || 'page ' || page, chr(10) || chr(10) order by rank) as context from hits where rank <= 3 group by qid)
+select qid, md5('Use only these passages.' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text || chr(10) || chr(10) || case when qid % 2 = 0 then 'Answer with a number alone.' else 'Answer in at most 50 words and cite passages by number.' end) as prompt, md5(case when qid % 2 = 0 then 'Find the passage that states the number' || chr(10) else '' end || 'Prefer passages of: r1; r2' || chr(10) || text) as asked from c join benchmark on item_id = qid""")
+def prompts(t: Tables) -> DataFrame:
+    rows = paged_hits(t, 3).select("qid", F.col("rank").alias("pos"), "id", F.col("doc").alias("title"), F.concat(F.lit(" page "), F.col("page").cast("string")).alias("text"))
+    kind = F.when(F.col("qid") % 2 == 0, "number").otherwise("free_text")
+    made = assembly.context_text(rows).join(passages(t), "qid")
+    return made.select("qid", F.md5(assembly.prompt(F.col("query"), F.col("context"), kind, 50)).alias("prompt"), F.md5(assembly.instructed_query(F.col("query"), kind, F.array(F.lit("r1"), F.lit("r2")))).alias("asked"))
+
+
+@query("UDF-5 UDF-3", """
+with x as (select *, row_number() over (partition by conv_id order by turn) as place, coalesce(text, '') as b from conversations), y as (select *, sum(length(b)) over (partition by conv_id order by place) - length(b) as before from x where place <= 4)
+select conv_id as qid, md5(string_agg('--- ' || turn || chr(10) || substr(b, 1, cast(300 - before as bigint)), chr(10) order by place)) as sources from y where before < 300 group by conv_id
+""")
+def capped_sources(t: Tables) -> DataFrame:
+    rows = t.conversations.select(F.col("conv_id").alias("qid"), F.col("turn").alias("pos"), F.col("turn").alias("page"), "text")
+    return assembly.capped_sources(rows, 4, 300).select("qid", F.md5("sources").alias("sources"))
+
+
+@query("UDF-3", """
+with r as (select o_custkey as qid, list_sort(list(distinct o_orderpriority)) as p from orders group by 1) select qid, 'They are:' || chr(10) || array_to_string(list_transform(range(1, len(p) + 1), lambda i: i || '. ' || trim(p[i])), chr(10)) as answer from r
+""")
+def numbered_answers(t: Tables) -> DataFrame:
+    items = t.orders.groupBy(F.col("o_custkey").alias("qid")).agg(F.array_sort(F.collect_list("o_orderpriority")).alias("p"))
+    return items.select("qid", assembly.numbered_list(F.concat(F.col("p"), F.array(F.lit(" "), F.lit(None))), "They are:\n").alias("answer"))
+
+
+@query("CLS-15", r"""
+with x as (select conv_id, turn, len(list_distinct(regexp_extract_all(text, '[A-Z][a-z]+'))) as names, len(list_distinct(regexp_extract_all(text, '[0-9]+'))) as numbers, len(regexp_extract_all(text, '[\p{L}\p{N}]+')) > 20 as long, len(regexp_extract_all(text, '\?')) > 1 as twice from conversations where text is not null)
+select conv_id, turn, names, numbers, (names > 0)::bigint + (numbers > 0)::bigint + long::bigint + twice::bigint as complexity from x
+""")
+def question_profiles(t: Tables) -> DataFrame:
+    p = assembly.profile(F.col("text"), {"names": "[A-Z][a-z]+", "numbers": "[0-9]+"})
+    rows = t.conversations.where("text is not null").select("conv_id", "turn", p.alias("p"))
+    return rows.select("conv_id", "turn", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("names", "numbers", "complexity")])
+
+
+@query("RR-4 UDF-6", f"with {BM25} select qid, id, round(length(text) / (1.0 + rank), 6) as rerank from sparse join documents on doc_id = id where rank <= 5")
+def plugged_scorer(t: Tables) -> DataFrame:
+    """Any function of query and text; here one that needs no model."""
+    hits = sparse_hits(t, 5).join(corpus(t).select("id", "text"), "id").withColumn("query", F.col("rank").cast("string"))
+    return assembly.rescored(hits, lambda q, x: F.length(x) / (1.0 + q.cast("int"))).select("qid", "id", "rerank")
+
+
+@query("DEN-2 ST-5", "select doc_id, length(text) as size, md5(text) as digest from documents")
+def encoded_texts(t: Tables) -> DataFrame:
+    """A plugged encoder sees each different text once."""
+    encoder = lambda x: F.struct(F.length(x).cast("long").alias("size"), F.md5(x).alias("digest"))
+    return assembly.encoded(t.documents.select("doc_id", "text"), encoder).select("doc_id", "vector.size", "vector.digest")

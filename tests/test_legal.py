@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import structure as S, text as T
-from tessera.operators import answers, chunking, grounding, metrics, mldata, ranking, retrieval as R
+from tessera.operators import answers, assembly, chunking, grounding, metrics, mldata, ranking, retrieval as R
 from tessera.sources import files
 
 
@@ -188,3 +188,41 @@ def test_normal_records_and_golden_rows(spark, tmp_path):
     good, bad = files.read_checked_golden(spark, str(tmp_path / "g.json"))
     assert good.count() == 1 and bad.first().wrong == ["no question", "unknown answer type", "empty chunk id"]
     assert one(spark, T.plausible_case(F.col("x")), x="CFI 012/2019") and not one(spark, T.plausible_case(F.col("x")), x="CFI 012/1019")
+
+
+def test_plugged_models(spark, tmp_path):
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def overlap(q: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([len(set(a.split()) & set(b.split())) / 3 for a, b in zip(q, t)])
+
+    rows = spark.createDataFrame([(1, "a b", "b c"), (2, None, "x"), (3, "a", None), (4, "z", "y")], "id int, query string, text string")
+    assert {r.id: r.rerank for r in assembly.rescored(rows, overlap).collect()} == {1: 0.333333, 2: None, 3: None, 4: 0.0}
+
+    folder = str(tmp_path)
+
+    @pandas_udf("array<double>")
+    def encoder(x: pd.Series) -> pd.Series:
+        with open(f"{folder}/{random.random()}", "w") as f:
+            f.write("\n".join(x))
+        return x.map(lambda t: [float(len(t))])
+
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(["one", "three", "one", None, "one"])], "id int, text string")
+    out = {r.id: r.vector for r in assembly.encoded(texts, encoder).collect()}
+    assert out == {0: [3.0], 1: [5.0], 2: [3.0], 3: None, 4: [3.0]}
+    assert sorted(line for p in tmp_path.iterdir() for line in p.read_text().split("\n") if line) == ["one", "three"]
+
+
+def test_assembled_texts(spark):
+    rows = spark.createDataFrame([(1, 2, "b", "", "second "), (1, 1, "a", "T", "first"), (2, 1, "c", None, None)], "qid int, pos int, id string, title string, text string")
+    got = {r.qid: r.context for r in assembly.context_text(rows).collect()}
+    assert got == {1: "[1] a | T\nfirst\n\n[2] b\nsecond", 2: "[1] c\n"}
+    assert one(spark, assembly.numbered_list(F.array(F.col("x"), F.lit(None), F.lit(" b "), F.col("x")), "L: "), x="a") == "L: 1. a\n2. b"
+    assert one(spark, assembly.numbered_list(F.array(F.col("x"))), x="  ") == ""
+    pages = spark.createDataFrame([(1, 1, "p", "abcdef"), (1, 2, "q", "ghij"), (1, 3, "r", "x")], "qid int, pos int, page string, text string")
+    assert [r.sources for r in assembly.capped_sources(pages, 2, 8).collect()] == ["--- p\nabcdef\n--- q\ngh"]
+    assert [r.sources for r in assembly.capped_sources(pages, 9, 6).collect()] == ["--- p\nabcdef"]
+    chunks = spark.createDataFrame([(1, "d", "Law 2", ["Law 9"]), (2, "d", None, None), (3, "e", "none", None)], "id int, doc string, text string, refs array<string>")
+    assert {r.id: r.refs for r in assembly.with_references(chunks, "Law [0-9]+").collect()} == {1: ["Law 2", "Law 9"], 2: ["Law 2", "Law 9"], 3: []}
