@@ -45,8 +45,9 @@ def _own_scratch() -> str:
     return tempfile.mkdtemp(prefix="tessera-")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back; in few files
+    if it is known to have at most some ``rows``.
 
     The lineage is cut, so a lost executor costs a reread and not a
     recomputation. The table stays until an enclosing ``tidied`` deletes it.
@@ -56,10 +57,12 @@ def stored(df: DataFrame) -> DataFrame:
     for made in _made[-1:]:
         made.append(path)
     schema = df.schema
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(1 + rows // ROWS)).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows of a task that writes a table of a known size.
+ROWS = 1 << 16
 _made: list[list[str]] = []
 
 

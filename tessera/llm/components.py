@@ -43,7 +43,7 @@ def components(links: DataFrame) -> DataFrame:
         if not now[0] or now == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before = now
-        e = stored(_small(_large(e)))
+        e = stored(_small(_large(e)), now[0])  # a round adds no links
 
 
 def least_ids(joined: DataFrame, ids: DataFrame) -> DataFrame:

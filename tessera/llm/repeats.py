@@ -178,33 +178,34 @@ def apart(shard: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[
         yield int(edges[i]), int(edges[j])
 
 
-def repeated_spans(texts: DataFrame, width: int, gram: int, form: int = BYTES) -> DataFrame:
+def repeated_spans(texts: DataFrame, width: int, gram: int, form: int = BYTES, size: int | None = None) -> DataFrame:
     """row, tag, low, high: bytes (or words, by number) [low, high) of
     ``texts(row, tag, text)`` are in a repeat of ``width`` of them. Spans may
-    overlap and repeat; (row, tag) stands for one text."""
-    seen = stored(texts.transform(arrow, _scan(width, gram, form), "shard long, content long, row long, tag long, start int, length int, twice boolean"))
+    overlap and repeat; (row, tag) stands for one text. ``size`` is at least the
+    number of segments, where it is known."""
+    seen = stored(texts.transform(arrow, _scan(width, gram, form), "shard long, content long, row long, tag long, start int, length int, twice boolean"), size)
     shared = seen.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("one"), F.max("content").alias("two"), F.max("twice").alias("self")).where("n > 1 or self")
-    kept = stored(seen.drop("twice").join(shared.select("shard", F.expr("one <> two or self").alias("varied")), "shard"))
+    kept = stored(seen.drop("twice").join(shared.select("shard", F.expr("one <> two or self").alias("varied")), "shard"), size)
     distinct = kept.groupBy("shard", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "tag", "start", "length")).alias("at"), F.first("varied").alias("varied"))
-    distinct = stored(distinct.select("shard", "content", "n", "varied", "at.*"))
+    distinct = stored(distinct.select("shard", "content", "n", "varied", "at.*"), size)
 
     varied = distinct.where("varied")
     wanted = varied.groupBy("row", "tag").agg(F.collect_list(F.struct("start", "length", "shard", "content")).alias("wanted"))
     pieces = texts.join(wanted, ["row", "tag"]).select("row", "tag", "text", "wanted").transform(arrow, _cut(form), "shard long, content long, bytes binary")
-    hot = stored(varied.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK).select("shard"))
-    again = gram < width and not hot.isEmpty()
-    pieces = stored(pieces) if again else pieces  # else the texts would be dealt out twice
+    hot = varied.groupBy("shard").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > BLOCK)
+    many = (hot.agg(F.sum("m")).first()[0] or 0) if gram < width else 0
+    again, hot = many > 0, hot.select("shard")
+    pieces = stored(pieces, size) if again else pieces  # else the texts would be dealt out twice
     cool = pieces.join(hot, "shard", "left_anti") if again else pieces
     partial = cool.repartition("shard").sortWithinPartitions("shard", "content").transform(arrow, _index(width, form), "shard long, content long, low int, high int")
     whole = distinct.where("n > 1").select("shard", "content", F.lit(0).alias("low"), (F.col("length") - width + 1).alias("high"))
     strings = partial.union(whole)
     if again:
         longer = width - width // 24
-        parts = stored(pieces.join(hot, "shard").select(F.col("shard").alias("row"), F.col("content").alias("tag"), F.col("bytes").alias("text")).dropDuplicates(["row", "tag"]))
-        found = _runs(repeated_spans(parts, width, longer if gram < longer else width, BYTES if form == BYTES else HASHES))
+        parts = stored(pieces.join(hot, "shard").select(F.col("shard").alias("row"), F.col("content").alias("tag"), F.col("bytes").alias("text")).dropDuplicates(["row", "tag"]), many)
+        found = _runs(repeated_spans(parts, width, longer if gram < longer else width, BYTES if form == BYTES else HASHES, many * width))
         strings = strings.union(found.select("row", "tag", "low", F.col("high") - width + 1))
-    strings = stored(strings.distinct())
-    return kept.join(strings, ["shard", "content"]).select("row", "tag", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + width).alias("high"))
+    return kept.join(strings.distinct(), ["shard", "content"]).select("row", "tag", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high") - 1 + width).alias("high"))
 
 
 def _runs(spans: DataFrame) -> DataFrame:
