@@ -142,9 +142,3 @@ def with_heuristic_score(rows: DataFrame, query: str, text: str, references: Col
     refs = F.when(F.size(references) > 0, F.size(F.filter(references, lambda r: F.contains(F.lower(text), F.lower(r)))) / F.size(references)).otherwise(0.0)
     weighted = ((0.28, share_of(q, t)), (0.18, share_of(bigrams(q), bigrams(t))), (0.16, ordered_overlap(q, t)), (0.18, phrase), (0.12, refs), (0.08, flag(same_family)), (0.05, flag(same_page)))
     return rows.withColumn(name, F.round(reduce(lambda a, b: a + b, [w * x for w, x in weighted]), DIGITS)).drop("_p")
-
-
-def escalate(levels: list[DataFrame], by: list[str]) -> DataFrame:
-    """Rows of all levels, each key at its first level; initial rows stay."""
-    union = reduce(DataFrame.unionByName, [d.withColumn("level", F.lit(i)) for i, d in enumerate(levels)])
-    return best_per(union, by, [F.asc("level")]).drop("place")

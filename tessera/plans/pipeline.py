@@ -11,14 +11,13 @@ from tessera.operators import chunking, ranking, registry, retrieval
 def hybrid(corpus: DataFrame, queries: DataFrame, dims: int = 64, depth: int = 120, k: int = 10, dense_weight: float = 0.7, sparse_weight: float = 0.3) -> DataFrame:
     """qid, id, score, rank: BM25 and hashed-embedding rankings fused by RRF.
 
-    ``corpus`` has id and text, ``queries`` qid and query. Both rankings score
-    only documents that share a term or a hashed dimension with the query.
+    ``corpus`` has id and text, ``queries`` qid and query. BM25 scores documents that
+    share a term with the query; of the vectors the nearest are found by blocks of
+    queries, of which only the ``depth`` best of a batch leave a task.
     """
     sparse = retrieval.top_k(retrieval.bm25(corpus, queries), depth)
-    index = retrieval.hash_embedding(corpus, dims)
-    probe = retrieval.hash_embedding(queries.select(F.col("qid").alias("id"), F.col("query").alias("text")), dims).toDF("qid", "idx", "q")
-    dense = index.join(probe, "idx").groupBy("qid", "id").agg(F.sum(F.col("value") * F.col("q")).alias("score"))
-    dense = retrieval.top_k(dense, depth)
+    probe = retrieval.hash_vectors(queries.select(F.col("qid").alias("id"), F.col("query").alias("text")), dims).toDF("qid", "query")
+    dense = retrieval.dense_top_k(retrieval.hash_vectors(corpus, dims), probe, depth, id_col="id", vector_col="vector")
     return retrieval.top_k(retrieval.rrf([(dense, dense_weight), (sparse, sparse_weight)]), k)
 
 

@@ -8,6 +8,7 @@ from tessera.functions import text as T
 from tessera.operators import chunking, mldata, ranking, retrieval
 from tessera.plans import pipeline
 from tessera.queries.registry import Tables, query
+from tessera.queries.search import BM25, TOKENS
 from tessera.sources import files
 
 
@@ -118,7 +119,19 @@ def incremental_ingest(t: Tables) -> DataFrame:
     return rows.select("doc_id", "status", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), (F.col("status") != "deleted").alias("kept"), F.coalesce("again", F.lit("unchanged")).alias("again"))
 
 
-@query("HYB-1 DEN-3 SPR-1 WN-11")
+HASHED = rf"""
+h as (select id, cast('0x' || substr(sha1(term), 1, 8) as bigint) % 64 as idx, case when cast('0x' || substr(sha1(term), 9, 2) as bigint) % 2 = 0 then 1 else -1 end as sign from (select -1 - item_id as id, unnest({TOKENS}) as term from benchmark union all select doc_id, unnest({TOKENS}) from documents)),
+sums as (select id, idx, sum(sign)::double as s from h group by all), lengths2 as (select id, sqrt(sum(s * s)) as l from sums group by id),
+cosines as (select -1 - q.id as qid, d.id, round(sum(q.s * d.s) / (ql.l * dl.l), 6) as score from sums q join sums d on q.idx = d.idx and q.id < 0 and d.id >= 0 join lengths2 ql on ql.id = q.id join lengths2 dl on dl.id = d.id group by q.id, d.id, ql.l, dl.l),
+near as (select *, row_number() over (partition by qid order by score desc, id) as rank from cosines)
+"""
+
+
+@query("HYB-1 DEN-3 SPR-1", f"""
+with {BM25}, {HASHED}, parts as (select qid, id, 0.3 / (rank - 1 + 60) as part from sparse where rank <= 120 union all select qid, id, 0.7 / (rank - 1 + 60) from near where rank <= 120),
+fused as (select qid, id, round(sum(part), 6) as score from parts group by all)
+select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from fused) where rank <= 10
+""")
 def hybrid_search(t: Tables) -> DataFrame:
     docs = t.documents.select(F.col("doc_id").alias("id"), "text")
     return pipeline.hybrid(docs, t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))).select("qid", "id", "score", "rank")

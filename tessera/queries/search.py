@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions import text as T
-from tessera.operators import graph, grounding, metrics, mldata, ranking, retrieval as R
+from tessera.operators import graph, grounding, index, metrics, mldata, ranking, retrieval as R
 from tessera.queries.registry import Tables, query
+from tessera.session import scratch_path, stored
 
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
@@ -32,8 +33,13 @@ def passages(t: Tables) -> DataFrame:
     return t.benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 
 
-def sparse_hits(t: Tables, k: int = 10) -> DataFrame:
-    return R.top_k(R.bm25(corpus(t), passages(t)), k)
+def all_hits(t: Tables) -> DataFrame:
+    """Every document that shares a term with a passage, scored once for all who rank them."""
+    return stored(R.bm25(corpus(t), passages(t)))
+
+
+def sparse_hits(t: Tables, k: int = 10, hits: DataFrame | None = None) -> DataFrame:
+    return R.top_k(R.bm25(corpus(t), passages(t)) if hits is None else hits, k)
 
 
 def asked_vectors(t: Tables) -> DataFrame:
@@ -46,7 +52,22 @@ def bm25_topk(t: Tables) -> DataFrame:
     return sparse_hits(t).select("qid", "id", "score", "rank")
 
 
-@query("SPR-1 SRC-25", rf"with w as (select doc_id, unnest({TOKENS}) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from w group by term")
+@query("SRC-25 SPR-1 SPR-3", f"with {BM25} select qid, id, score, rank from sparse where rank <= 10")
+def indexed_topk(t: Tables) -> DataFrame:
+    """Saved, loaded and searched: the corpus is read once, to build the index."""
+    path = scratch_path(t.spark, "index")
+    index.save(corpus(t), path, cluster="lang")
+    return index.search(index.load(t.spark, path), passages(t), 10).select("qid", "id", "score", "rank")
+
+
+@query("SRC-25", rf"with w as (select doc_id, unnest({TOKENS}) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from w group by term")
+def indexed_terms(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "index")
+    index.save(corpus(t), path, size=256, shards=8)
+    return index.term_statistics(index.load(t.spark, path))
+
+
+@query("SPR-1", rf"with w as (select doc_id, unnest({TOKENS}) as term from documents) select term, count(distinct doc_id) as df, count(*) as cf from w group by term")
 def bm25_term_stats(t: Tables) -> DataFrame:
     return R.term_statistics(R.postings(corpus(t)))
 
@@ -134,15 +155,14 @@ parts as (select qid, id, 0.3 / (rank - 1 + 60) as part from sparse where rank <
 """
 
 
-def overlap_hits(t: Tables, k: int = 120) -> DataFrame:
-    """Documents by the number of distinct query terms they hold, from the scores'
-    own postings."""
-    hits = R.bm25(corpus(t), passages(t))
+def overlap_hits(hits: DataFrame, k: int = 120) -> DataFrame:
+    """Documents by the number of distinct query terms they hold."""
     return R.top_k(hits.select("qid", "id", F.col("matched").cast("double").alias("score")), k)
 
 
 def fused_hits(t: Tables) -> DataFrame:
-    return R.rrf([(sparse_hits(t, 120), 0.3), (overlap_hits(t), 0.7)])
+    hits = all_hits(t)
+    return R.rrf([(sparse_hits(t, 120, hits), 0.3), (overlap_hits(hits), 0.7)])
 
 
 @query("HYB-1 HYB-2 HYB-4 HYB-14", FUSED + "select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from fused) where rank <= 10")
@@ -152,14 +172,16 @@ def rrf_weighted(t: Tables) -> DataFrame:
 
 @query("HYB-3", FUSED + ", input as (select qid, id, rank as pos from sparse where rank <= 20) select qid, id, row_number() over (partition by qid order by s desc, pos, id) as rank from (select input.qid, input.id, pos, coalesce(score, 0) as s from input left join (select qid, id, round(0.7 / (rank - 1 + 60), 6) as score from exact where rank <= 120) e on e.qid = input.qid and e.id = input.id)")
 def rrf_rerank(t: Tables) -> DataFrame:
-    rows = sparse_hits(t, 20).select("qid", "id", F.col("rank").alias("pos"))
-    return R.rrf_rerank(rows, [(overlap_hits(t), 0.7)]).select("qid", "id", "rank")
+    hits = all_hits(t)
+    rows = sparse_hits(t, 20, hits).select("qid", "id", F.col("rank").alias("pos"))
+    return R.rrf_rerank(rows, [(overlap_hits(hits), 0.7)]).select("qid", "id", "rank")
 
 
 @query("HYB-7 HYB-18 SET-1", FUSED + """, surfaces as (select qid, id, score, 'sparse' as source from sparse where rank <= 10 union all select qid, id, cast(cnt as double), 'overlap' from (select qid, tf.id, count(*) as cnt from asked join tf using (term) group by all) x where (qid, id) in (select (qid, id) from exact where rank <= 10))
 select qid, id, max(score) as score, array_to_string(list_sort(list(distinct source)), '|') as sources from surfaces group by qid, id""")
 def surface_union(t: Tables) -> DataFrame:
-    return R.surface_union([("sparse", sparse_hits(t)), ("overlap", overlap_hits(t, 10))]).withColumn("sources", F.array_join("sources", "|"))
+    hits = all_hits(t)
+    return R.surface_union([("sparse", sparse_hits(t, 10, hits)), ("overlap", overlap_hits(hits, 10))]).withColumn("sources", F.array_join("sources", "|"))
 
 
 @query("HYB-9", f"with {BM25} select qid, id, round(score + case when lang = 'en' then 0.06 else 0 end + case when source = 'src0' then 0.15 else 0 end, 6) as score from sparse join documents on doc_id = id where rank <= 10")
@@ -247,7 +269,14 @@ def page_score_agg(t: Tables) -> DataFrame:
     return scores.withColumn("score", F.round("score", 4))
 
 
-@query("RR-2 RR-1")
+@query("RR-2", rf"""
+with {BM25}, x as (select qid, s.id, rank, b.text as query, d.text, source, lang, regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+') as q, regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}]+') as t from sparse s join benchmark b on item_id = qid join documents d on doc_id = s.id where rank <= 10),
+y as (select *, list_distinct(list_transform(range(len(q) - 1), lambda i: q[i + 1] || ' ' || q[i + 2])) as q2, list_transform(range(len(t) - 1), lambda i: t[i + 1] || ' ' || t[i + 2]) as t2 from x),
+z as (select qid, id, round(0.28 * (len(list_intersect(list_distinct(q), t)) / len(list_distinct(q))) + 0.18 * case when len(q2) > 0 then len(list_intersect(q2, t2)) / len(q2) else 0 end
+ + 0.16 * (list_reduce(range(len(t)), lambda found, i: case when q[found + 1] = t[i + 1] then found + 1 else found end, 0::bigint) / len(q)) + 0.18 * case when contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') then 1 else 0 end
+ + 0.12 * case when contains(lower(text), lower(source)) then 1 else 0 end + 0.08 * case when lang = 'en' then 1 else 0 end + 0.05 * case when rank = 1 then 1 else 0 end, 6) as rerank from y)
+select qid, id, rerank, place from (select *, row_number() over (partition by qid order by rerank desc, id) as place from z) where place <= 8
+""")
 def heuristic_rerank(t: Tables) -> DataFrame:
     hits = sparse_hits(t, 10).join(corpus(t), "id").join(passages(t), "qid")
     rows = ranking.with_heuristic_score(hits, "query", "text", F.array(F.col("source")), F.col("lang") == "en", F.col("rank") == 1)

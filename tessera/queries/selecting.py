@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.functions import classify as C, text as T
 from tessera.operators import mldata, selection as S
 from tessera.queries.registry import Tables, query
-from tessera.queries.search import BM25, corpus, overlap_hits, sparse_hits
+from tessera.queries.search import BM25, all_hits, corpus, overlap_hits, sparse_hits
 
 
 @query("HYB-12", f"""
@@ -73,7 +73,8 @@ with {BM25}, o as (select qid, id, row_number() over (partition by qid order by
 select s.qid, count(other) as common, cast(sum(case when other <> rank then 1 else 0 end) as bigint) as moved from sparse s left join (select * from o where other <= 10) o using (qid, id) where rank <= 10 group by s.qid
 """)
 def shadow_rerank(t: Tables) -> DataFrame:
-    return S.rank_overlap(sparse_hits(t), overlap_hits(t, 10), 10)
+    hits = all_hits(t)
+    return S.rank_overlap(sparse_hits(t, 10, hits), overlap_hits(hits, 10), 10)
 
 
 @query("RR-6 RR-9 GR-13", r"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -29,11 +30,25 @@ def _own() -> str:
     return tempfile.mkdtemp(prefix="tessera-")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A
+    temporary one is used only where that isn't set and everything runs in one
+    process; on a cluster its absence is an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (where or _own()).rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str = "step") -> str:
+    """A new path in that folder."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names (a
-    temporary one only where it isn't set), without its lineage."""
+    """``df`` as a table in the shared folder, without its lineage."""
     spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or _own()).rstrip('/')}/step-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
