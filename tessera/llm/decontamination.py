@@ -58,12 +58,14 @@ def windows(items: DataFrame, settings: Settings = Settings(), id_col: str = "it
     return each.select("item", "n", F.explode(runs).alias("window")).distinct()
 
 
-def _map(shingles: DataFrame) -> DataFrame:
-    """One row: an array of ``LONGS`` longs with the bits of the shingles set."""
-    place = F.shiftright("h", 6).bitwiseAND(LONGS - 1)
-    bits = shingles.groupBy(place.alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    every = shingles.sparkSession.range(LONGS).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
-    return every.agg(F.sort_array(F.collect_list("x")).alias("all")).select(F.col("all.bits").alias("map"))
+def _known(hashes: DataFrame, h: str) -> Column:
+    """Whether the bit of column ``h`` is set by one of ``hashes(h)``: true for all of
+    these and few others. The map is an array of ``LONGS`` longs, however many set it."""
+    place = F.shiftright(h, 6).bitwiseAND(LONGS - 1)
+    bits = hashes.groupBy(place.alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({h} & 63 as int))")).alias("bits"))
+    every = hashes.sparkSession.range(LONGS).join(bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    known = stored(every.agg(F.sort_array(F.collect_list("x")).alias("all")).select(F.col("all.bits").alias("map")))
+    return F.getbit(F.element_at(known.scalar(), place.cast("int") + 1), F.col(h).bitwiseAND(63).cast("int")) == 1
 
 
 def _row_keys(id_col: str, text_col: str) -> list[Column]:
@@ -91,13 +93,11 @@ def passages(docs: DataFrame, items: DataFrame, settings: Settings = Settings(),
     keys = _row_keys(id_col, text_col)
     texts = docs.where(F.col(text_col).isNotNull()).select(*keys, F.col(text_col).alias("text"))
     split = texts.select("k1", "k2", _words(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
-    known = stored(_map(every.select("h").distinct())).scalar()
-    here = F.getbit(F.element_at(known, F.shiftright("h", 6).bitwiseAND(LONGS - 1).cast("int") + 1), F.col("h").bitwiseAND(63).cast("int")) == 1
     places = [split.select("k1", "k2", "n_words", F.posexplode(_shingles(F.col("words"), k)).alias("pos", "h")) for k in sizes]
     seen = places[0]
     for more in places[1:]:
         seen = seen.union(more)
-    seen = stored(seen.where(here))
+    seen = stored(seen.where(_known(every, "h")))
 
     counts = seen.groupBy("h").agg(F.count(F.lit(1)).alias("m"))
     rarest = every.join(counts, "h", "left").groupBy("wid", "n").agg(F.count("m").alias("found"), F.count(F.lit(1)).alias("all"), F.min(F.struct("m", "h", "at")).alias("first"))
@@ -105,7 +105,8 @@ def passages(docs: DataFrame, items: DataFrame, settings: Settings = Settings(),
     starts = seen.join(anchors, "h").select("k1", "k2", (F.col("pos") - F.col("at")).alias("start"), "n", "n_words").where("start >= 0 and start + n <= n_words")
     starts = stored(starts.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("starts")))
 
-    split = texts.join(starts, ["k1", "k2"]).select("k1", "k2", "starts", _words(F.col("text")).alias("words"))
+    # few texts but those that have starts leave the scan
+    split = texts.where(_known(starts, "k1")).join(starts, ["k1", "k2"]).select("k1", "k2", "starts", _words(F.col("text")).alias("words"))
     there = lambda s: F.when(F.size("words") >= s["start"] + s["n"], F.array_join(F.slice("words", s["start"] + 1, s["n"]), " "))
     cut = split.select("k1", "k2", F.inline(F.transform("starts", lambda s: F.struct(s["start"].alias("start"), there(s).alias("window")))))
     return cut.join(distinct, "window").select("k1", "k2", "start", "n", "wid"), held.join(distinct, "window").select(*named)
