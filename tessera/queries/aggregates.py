@@ -129,18 +129,6 @@ def necessary_pages(t: Tables) -> DataFrame:
     return grounding.necessary(t.lineitem.select(F.col("l_orderkey").alias("qid"), (F.col("l_suppkey") % 3).alias("slot"), F.col("l_linenumber").alias("page")))
 
 
-@query("GR-9 GR-10 GR-11", r"""
-with s as (select conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') as cs from conversations where role = 'assistant')
-select conv_id, turn, 1.0 as coverage, len(cs) as n from s where len(cs) > 0
-""", doubles="coverage")
-def claim_coverage(t: Tables) -> DataFrame:
-    rows = t.conversations.where("role = 'assistant'").select(F.struct("conv_id", "turn").alias("qid"), F.col("text").alias("answer"))
-    claims = grounding.claims(rows).join(rows.withColumnRenamed("answer", "source"), "qid")
-    proof = claims.withColumn("support", grounding.support_class(F.col("claim"), F.col("source")))
-    out = grounding.compile_proof(proof).join(proof.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid")
-    return out.select("qid.conv_id", "qid.turn", F.col("coverage"), "n")
-
-
 @query("RR-11 ML-12 ML-13")
 def page_scorer(t: Tables) -> DataFrame:
     text = F.col("text")
