@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.queries import aggregates, corpus, entities, evidence, flow, legal, search, selecting, texts  # noqa: F401
+from tessera.queries import aggregates, corpus, entities, evidence, flow, ingest, legal, search, selecting, texts  # noqa: F401
 from tessera.queries.registry import QUERIES as REGISTERED
 
 QUERIES = {name: q.build for name, q in REGISTERED.items()}

@@ -6,17 +6,12 @@ not held up by them.
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tessera.functions import text as T
+from tessera.functions import structure as S, text as T
+from tessera.sources import folders
+from tessera.sources.folders import SUFFIXES
 
-SUFFIXES = ("txt", "md", "json", "docx")
 LEAST_CHARS, LEAST_WORDS = 400, 80
 
 
@@ -32,34 +27,13 @@ def fingerprints(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = S
     return files.select("path", F.sha2("content", 256).alias("sha256"), "length", F.col("modificationTime").alias("modified"))
 
 
-def docx_text(content: bytes) -> str:
-    """Paragraphs of a DOCX file, one to a line."""
-    import xml.etree.ElementTree as tree
-
-    name = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    body = tree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
-    return "\n".join("".join(t.text or "" for t in p.iter(f"{name}t")) for p in body.iter(f"{name}p"))
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, errors = [], []
-        for suffix, content in zip(batch.column("suffix").to_pylist(), batch.column("content").to_pylist()):
-            try:
-                texts.append(docx_text(content) if suffix == "docx" else content.decode("utf-8-sig"))
-                errors.append(None)
-            except Exception as error:  # a row of its own, see the module
-                texts.append(None)
-                errors.append(f"{type(error).__name__}: {error}"[:500])
-        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("suffix"), pa.array(texts, pa.string()), pa.array(errors, pa.string())], ["path", "suffix", "text", "error"])
-
-
 def read_documents(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """doc_id (file name), path, suffix, title, text, error of each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(folder)
-    rows = files.select("path", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("suffix"), "content").mapInArrow(_parse, "path string, suffix string, text string, error string")
-    name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
-    return rows.select(name.alias("doc_id"), "path", "suffix", title(F.col("text"), name).alias("title"), "text", "error")
+    """doc_id (file name), path, suffix, title, type, jurisdiction, text, pages, read,
+    error of each file; see ``folders.parsed``."""
+    rows = folders.documents(spark, folder, suffixes)
+    kind = S.document_type(S.document_family(F.col("title"), F.coalesce(F.get("pages", F.lit(0)), F.col("text"))))
+    rows = rows.withColumn("title", title(F.col("text"), F.col("doc_id")))
+    return rows.select("doc_id", "path", "suffix", "title", kind.alias("type"), folders.jurisdiction(F.col("text")).alias("jurisdiction"), "text", "pages", "read", "error")
 
 
 def title(text: Column, fallback: Column, longest: int = 200) -> Column:
