@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.functions import text as T
+from tessera.operators import skyline
 from tessera.operators.retrieval import DIGITS
 
 
@@ -55,8 +56,7 @@ def dominated(df: DataFrame, better: list[str], id_col: str, by: list[str] | Non
     null measure neither beat nor are beaten.
 
     Measures are first reduced to their distinct combinations. With one or two,
-    the best seen in order of the first tells; only more are compared by pairs,
-    within their group.
+    the best seen in order of the first tells; more go through ``skyline.frontier``.
     """
     keys = by or []
     points = df.where(" and ".join(f"`{m}` is not null" for m in better)).select(*keys, *better).distinct()
@@ -68,9 +68,7 @@ def dominated(df: DataFrame, better: list[str], id_col: str, by: list[str] | Non
         tops = tops.withColumn("above", F.max("top").over(above))
         beaten = points.withColumn("x", F.col(x)).join(tops, [*keys, "x"]).where(f"above >= `{y}` or top > `{y}`").select(*keys, *better)
     else:
-        a, b = points.alias("a"), points.alias("b")
-        on = [F.col(f"b.{m}") >= F.col(f"a.{m}") for m in better] + [reduce(lambda x, y: x | y, [F.col(f"b.{m}") > F.col(f"a.{m}") for m in better])]
-        beaten = a.join(b, on + [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "left_semi")
+        beaten = points.join(skyline.frontier(points, better, by), [*keys, *better], "left_anti")
     return df.join(beaten, [*keys, *better], "left_semi").select(id_col)
 
 

@@ -210,6 +210,20 @@ def pareto(t: Tables) -> DataFrame:
     return rows.join(ranking.dominated(rows, ["a", "b"], "id", ["g"]), "id", "left_anti").select("id")
 
 
+@query("WN-13", """
+with x as (select o_orderpriority as g, o_orderkey as id, sum(l_quantity)::double as a, -min(l_extendedprice)::double as b, max(l_discount)::double as c, -max(l_tax)::double as d, count(*)::double as e, -(min(l_partkey) % 97)::double as f, max(l_suppkey % 13)::double as h from orders join lineitem on o_orderkey = l_orderkey group by all)
+select g, id from x where not exists (select 1 from x y where y.g = x.g and y.a >= x.a and y.b >= x.b and y.c >= x.c and y.d >= x.d and y.e >= x.e and y.f >= x.f and y.h >= x.h and (y.a > x.a or y.b > x.b or y.c > x.c or y.d > x.d or y.e > x.e or y.f > x.f or y.h > x.h))
+""")
+def pareto_seven(t: Tables) -> DataFrame:
+    """Orders of each priority that no other beats in seven measures."""
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = lines.groupBy(F.col("o_orderpriority").alias("g"), F.col("o_orderkey").alias("id")).agg(
+        F.sum("l_quantity").alias("a"), (-F.min("l_extendedprice")).alias("b"), F.max("l_discount").alias("c"), (-F.max("l_tax")).alias("d"),
+        F.count(F.lit(1)).alias("e"), (-(F.min("l_partkey") % 97)).alias("f"), F.max(F.col("l_suppkey") % 13).alias("h"),
+    )
+    return rows.join(ranking.dominated(rows, ["a", "b", "c", "d", "e", "f", "h"], "id", ["g"]), "id", "left_anti").select("g", "id")
+
+
 @query("WN-12 WN-2", """
 with d as (select p_partkey, p_brand, lower(p_name) as k, row_number() over (partition by lower(p_name) order by p_partkey) as r from part), f as (select *, row_number() over (partition by p_brand order by p_partkey) as n from d where r = 1)
 select p_partkey, p_brand from f where n <= 5
