@@ -114,3 +114,12 @@ def profile(text: Column, kinds: dict[str, str]) -> Column:
     for c in counts.values():
         score = score + F.when(c > 0, 1).otherwise(0)
     return F.struct(*[c.alias(n) for n, c in counts.items()], score.cast("int").alias("complexity"))
+
+
+def merge_slots(order: Column, ranked: Column, candidates: Column) -> Column:
+    """``order`` with its candidates in the order of ``ranked``, each at a place that a
+    candidate held; the others stay where they are. Null unless ``ranked`` names every
+    candidate of ``order`` once and nothing else, and null where an input is."""
+    held = F.filter(order, lambda x: F.array_contains(candidates, x))
+    same = (F.array_sort(ranked) == F.array_sort(held)) & (F.size(F.array_distinct(ranked)) == F.size(ranked))
+    return F.when(same, F.transform(order, lambda x: F.coalesce(F.get(ranked, F.array_position(held, x).cast("int") - 1), x)))

@@ -1,10 +1,12 @@
 """A stored inverted index: BM25 without a scan of the corpus.
 
-Documents are dealt to ranges of about ``size`` by a hash of their id (and apart by a
+Documents that a task reads together are ranges of at most ``size`` (apart by a
 ``cluster`` column, say the language). A block holds a term's postings of one range,
 so it is bounded however frequent the term is, with the largest saturated frequency
-in it. Blocks lie in folders by term hash and are sorted by term, so a search reads
-the folders of its terms alone, and of most blocks only term, range and bound.
+in it; it is whole when it leaves the task that read its documents, so only finished
+blocks are shuffled. Blocks lie in folders by term hash and are sorted by term: a
+search reads the folders of its terms alone, and of most blocks only term, range and
+bound.
 
 A search sums the bounds of a query's terms by range: no document of a range can
 score more. The ranges of the highest sums are scored first; the k-th best score
@@ -17,8 +19,12 @@ was cut short has no ``about`` and isn't loaded.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from tessera.functions import text as T
@@ -37,7 +43,7 @@ class Index:
     blocks: DataFrame
 
 
-def _saturated(tf: Column, dl: Column, avgdl: float, k1: float, b: float) -> Column:
+def _saturated(tf, dl, avgdl: float, k1: float, b: float):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
 
 
@@ -45,26 +51,50 @@ def _shard(term: Column, shards: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(shards)).cast("int")
 
 
-def save(corpus: DataFrame, path: str, cluster: str | None = None, size: int = 128, shards: int = 16, files: int = 2, k1: float = R.K1, b: float = R.B, id_col: str = "id", text_col: str = "text", mode: str = "error") -> None:
+def _blocks(size: int, avgdl: float, k1: float, b: float):
+    """Finished blocks of the ranges of a task: its documents as they come, apart by cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            apart = batch.column("apart").to_numpy()
+            order = np.argsort(apart, kind="stable")
+            edges = [0, *(np.flatnonzero(np.diff(apart[order])) + 1).tolist(), len(order)]
+            for low, high in zip(edges, edges[1:]):
+                for a in range(low, high, size):
+                    part = batch.take(pa.array(order[a : min(a + size, high)]))
+                    n = part.num_rows
+                    dl = part.column("tokens").value_lengths().to_numpy()
+                    found = part.column("tokens").flatten().dictionary_encode()
+                    both, tf = np.unique(found.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), dl), return_counts=True)
+                    term, doc = both // n, both % n
+                    starts = np.flatnonzero(np.diff(term, prepend=-1))
+                    ends = pa.array(np.append(starts, len(term)).astype(np.int32))
+                    top = np.maximum.reduceat(_saturated(tf.astype(float), dl[doc], avgdl, k1, b), starts) if len(starts) else np.zeros(0)
+                    lists = [pa.ListArray.from_arrays(ends, x) for x in (part.column("id").take(pa.array(doc)), pa.array(tf.astype(np.int32)), pa.array(dl[doc].astype(np.int32)))]
+                    yield pa.RecordBatch.from_arrays([found.dictionary.take(pa.array(term[starts])), pa.array(np.full(len(starts), number)), pa.array(top), *lists], ["term", "range", "top", "ids", "tfs", "dls"])
+                    number += 1
+
+    return run
+
+
+def save(corpus: DataFrame, path: str, cluster: str | None = None, size: int = 1024, shards: int = 16, files: int = 2, k1: float = R.K1, b: float = R.B, id_col: str = "id", text_col: str = "text", mode: str = "error") -> None:
     """Write the index of ``corpus`` to ``path``.
 
     A shard is a folder of ``files`` files; for a large corpus take so many that a
-    file holds some hundred MB.
-    ``mode`` is ``error`` or ``overwrite``. Documents without an id or without
-    tokens are in no block but count for the mean length, as in ``bm25``.
+    file holds some hundred MB. ``mode`` is ``error`` or ``overwrite``. Documents
+    without an id or without tokens are in no block but count for the mean length, as
+    in ``bm25``.
     """
     spark = corpus.sparkSession
     n, avgdl = R.corpus_size(corpus, text_col).first()
-    own = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // size))))
-    of = corpus.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.xxhash64(F.lit(0)) if cluster is None else F.xxhash64(F.col(cluster))).alias("apart"))
-    words = of.select("id", "apart", T.tokens(F.col("text")).alias("all")).select("id", "apart", F.size("all").alias("dl"), F.explode("all").alias("term"))
-    found = words.groupBy("term", "id", "apart", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    top = _saturated(F.col("tf"), F.col("dl"), avgdl or 1.0, k1, b)
-    found = found.select("term", F.xxhash64("apart", own).alias("range"), "id", "tf", "dl", top.alias("top"))
-    blocks = found.groupBy("term", "range").agg(F.max("top").alias("top"), F.sort_array(F.collect_list(F.struct("id", "tf", "dl"))).alias("docs"))
-    blocks = blocks.select(_shard(F.col("term"), shards).alias("shard"), "term", "range", "top", *[F.col(f"docs.{c}").alias(f"{c}s") for c in ("id", "tf", "dl")])
+    apart = F.lit(0).cast("long") if cluster is None else F.xxhash64(F.col(cluster))
+    of = corpus.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), apart.alias("apart"), T.tokens(F.col(text_col)).alias("tokens"))
+    kind = of.schema["id"].dataType.simpleString()
+    blocks = of.mapInArrow(_blocks(size, avgdl or 1.0, k1, b), f"term string, range long, top double, ids array<{kind}>, tfs array<int>, dls array<int>")
+    blocks = blocks.select(_shard(F.col("term"), shards).alias("shard"), "term", "range", "top", "ids", "tfs", "dls")
     # the ranges of a term spread over a shard's files, so a frequent term is in no single task
-    dealt = blocks.repartition("shard", F.pmod(F.col("range"), F.lit(files))).sortWithinPartitions("shard", "term")
+    dealt = blocks.repartition("shard", F.pmod(F.xxhash64("range"), F.lit(files))).sortWithinPartitions("shard", "term")
     dealt.write.mode(mode).partitionBy("shard").parquet(f"{path}/blocks")
     held = spark.read.parquet(f"{path}/blocks").select("shard", "term", F.size("ids").cast("long").alias("df"), F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("cf"))
     terms = held.groupBy("shard", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))

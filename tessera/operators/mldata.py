@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.functions import text as T
 from tessera.operators.ranking import best_per
 from tessera.operators.retrieval import DIGITS
+from tessera.session import stored
 
 
 def _order(seed: int, key: Column) -> Column:
@@ -157,3 +158,69 @@ def synthetic_questions(facts: DataFrame, pages: DataFrame, most: int, templates
     stated = single.join(pages, "page").where(F.contains("text", "answer")).drop("text")
     rows = stated.unionByName(compare).distinct().withColumn("qid", F.md5(F.concat_ws("|", "family", "question", F.col("page").cast("string"))))
     return best_per(rows, ["family"], [F.asc("qid"), F.asc("answer")], most).drop("place")
+
+
+def in_order(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with ``place``, from 0, in the given total order: sorted in ranges over
+    all tasks, and numbered by the counts of the ranges before."""
+    held = stored(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = held.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.expr("sum(_n) over (order by _part) - _n")).drop("_n")
+    # a row for each range of the sort
+    placed = held.join(F.broadcast(before), F.shiftright("_at", 33) == F.col("_part"))
+    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
+def _seeded(seed: int, key: Column) -> Column:
+    """48 bits of the MD5 of seed and key."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"))), 1, 12), 16, 10).cast("long")
+
+
+def nearest_sets(questions: DataFrame, docs: DataFrame, levels: tuple[float, ...] = (0.5, 0.2)) -> DataFrame:
+    """qid, id, similarity: for each question (qid, items) the document (id, items) of
+    the largest Jaccard similarity above 0, of several the one with the smallest id.
+
+    Equal sets are one. A document that shares a single item is best if it is the
+    smallest with that item: a minimum for each item finds it. Any better one shares
+    two items or more, so one of a question's rarest items but the commonest; the
+    similarity reached so far, and falling ``levels``, say how many of them must be
+    joined and which sizes can matter. Empty sets are near nothing.
+    """
+    asked = questions.select("qid", F.array_sort(F.array_distinct("items")).alias("q")).where("size(q) > 0")
+    sets = docs.select("id", F.array_sort(F.array_distinct("items")).alias("d")).where("size(d) > 0").groupBy("d").agg(F.min("id").alias("id"))
+    sets = stored(sets.withColumn("m", F.size("d")))
+    index = sets.select("id", "m", F.explode("d").alias("item"))
+    smallest = stored(index.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min(F.struct("m", "id")).alias("top")))
+    known = asked.select("qid", F.size("q").alias("n"), F.explode("q").alias("item")).join(smallest, "item")
+    one = F.struct((-(1 / (F.col("n") + F.col("top.m") - 1))).alias("less"), F.col("top.id").alias("id"))
+    known = known.groupBy("qid", "n").agg(F.min(one).alias("best"), F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items"))
+    left = stored(known.join(asked, "qid"))
+    done = []
+    for level in (*levels, 0.0):
+        least = F.greatest(F.lit(level), -F.col("best.less"))
+        need = F.greatest(F.lit(2), F.ceil(least * F.col("n") - 1e-9)).cast("int")
+        probe = left.withColumn("least", least).select("qid", "q", "n", "least", F.explode(F.slice("items", 1, F.greatest(F.size("items") - need + 1, F.lit(0)))["item"]).alias("item"))
+        pairs = probe.join(index, "item").where("m >= least * n - 1e-9 and m * least <= n + 1e-9").select("qid", "q", "id").distinct()
+        both = pairs.join(sets, "id").withColumn("o", F.size(F.array_intersect("q", "d"))).select("qid", F.struct((-(F.col("o") / (F.size("q") + F.col("m") - F.col("o")))).alias("less"), "id").alias("best"))
+        left = stored(left.join(both.groupBy("qid").agg(F.min("best").alias("found")), "qid", "left").withColumn("best", F.least("best", F.coalesce("found", "best"))).drop("found"))
+        done.append(left.where(-F.col("best.less") >= level).select("qid", F.col("best.id").alias("id"), (-F.col("best.less")).alias("similarity")))
+        left = left.where(-F.col("best.less") < level)
+    return reduce(DataFrame.unionByName, done)
+
+
+def weak_triples(questions: DataFrame, docs: DataFrame, seed: int = 42) -> DataFrame:
+    """qid, positive, negative, similarity: the document nearest to the question by its
+    items, and a seeded other one. Questions without a near document have no row, nor
+    has any where there is but one document. ``docs`` has unique ids.
+
+    Documents stand in the order of a seeded hash; a question's hash names a place,
+    and the next one if that is its positive's.
+    """
+    ring = stored(in_order(docs.select("id").distinct().withColumn("h", _seeded(seed, F.col("id"))), ["h", "id"]).select("id", "place"))
+    n = ring.count()
+    if n < 2:
+        return nearest_sets(questions, docs).limit(0).selectExpr("qid", "id as positive", "id as negative", "similarity")
+    found = nearest_sets(questions, docs).join(ring.withColumnRenamed("place", "own"), "id")
+    place = F.pmod(_seeded(seed, F.col("qid")), F.lit(n))
+    found = found.withColumn("place", F.when(place == F.col("own"), F.pmod(place + 1, F.lit(n))).otherwise(place))
+    return found.join(ring.withColumnRenamed("id", "negative"), "place").select("qid", F.col("id").alias("positive"), "negative", "similarity")

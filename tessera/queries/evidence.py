@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions import text as T
-from tessera.operators import aliases as A, grounding, spans
+from tessera.operators import aliases as A, assembly, grounding, mldata, regions as P, spans
 from tessera.queries.registry import Tables, query
 
 
@@ -83,3 +83,65 @@ def alias_resolution(t: Tables) -> DataFrame:
     known = known.union(t.region.select(F.lit("person"), "r_name", F.col("r_regionkey") + 100)).union(t.region.select(F.lit("organisation"), "r_name", F.col("r_regionkey") + 200))
     keyed = A.keyed(names, keys).withColumn("key", F.coalesce("key", keys["organisation"]))
     return A.resolve(keyed, A.keyed(known, keys)).select("id", "kind", "entity")
+
+
+@query("JN-13", """
+with h as (select l_orderkey as qid, list(l_linenumber order by l_extendedprice desc, l_linenumber) as h, list(l_linenumber order by l_linenumber) filter (l_linenumber % 3 <> 0) as c, list(l_linenumber order by l_quantity desc, l_linenumber) filter (l_linenumber % 3 <> 0) as r from lineitem group by 1),
+x as (select qid, h, c, case qid % 5 when 1 then list_append(r, 3) when 2 then r[2:] when 3 then list_append(r[2:], r[2]) else r end as r from h where c is not null),
+y as (select *, list_filter(h, lambda p: list_contains(c, p)) as own from x)
+select qid, case when list_sort(r) = list_sort(own) and len(list_distinct(r)) = len(r) then array_to_string(list_transform(h, lambda p: case when list_contains(c, p) then r[list_position(own, p)] else p end), ',') end as merged from y
+""")
+def slot_merge(t: Tables) -> DataFrame:
+    """The lines of an order by price, two in three of them put in the order of their
+    quantity; in three orders of five the ranked lines aren't those."""
+    by = lambda key, some: F.transform(F.array_sort(F.collect_list(F.when(some, F.struct(key, "l_linenumber")))), lambda x: x["l_linenumber"])
+    third = F.col("l_linenumber") % 3 != 0
+    rows = t.lineitem.groupBy(F.col("l_orderkey").alias("qid")).agg(by((-F.col("l_extendedprice")).alias("k"), F.lit(True)).alias("h"), by(F.col("l_linenumber").alias("k"), third).alias("c"), by((-F.col("l_quantity")).alias("k"), third).alias("r")).where("size(c) > 0")
+    rows = rows.withColumn("r", F.expr("case qid % 5 when 1 then array_append(r, 3) when 2 then slice(r, 2, size(r)) when 3 then if(size(r) > 1, array_append(slice(r, 2, size(r)), r[1]), array(null)) else r end"))
+    return rows.select("qid", F.array_join(assembly.merge_slots(F.col("h"), F.col("r"), F.col("c")), ",").alias("merged"))
+
+
+WORDS = r"list_distinct(list_filter(regexp_extract_all(lower(substr(text, 1, 240)), '[\p{L}]+'), lambda w: length(w) > 3))"
+
+
+@query("ML-15", f"""
+with q as (select conv_id * 1000 + turn as qid, {WORDS} as items from conversations where role = 'user'), d as (select conv_id * 1000 + turn as id, {WORDS} as items from conversations where role = 'assistant'),
+pairs as (select qid, id, len(list_intersect(q.items, d.items)) as o, len(q.items) + len(d.items) as n from q, d),
+best as (select qid, id as positive, round(o / (n - o), 6) as similarity, row_number() over (partition by qid order by o / (n - o) desc, id) as r from pairs where o > 0),
+ring as (select id, row_number() over (order by cast('0x' || substr(md5('42:' || id), 1, 12) as bigint), id) - 1 as place, count(*) over () as n from d),
+x as (select qid, positive, similarity, ring.place as own, n, cast('0x' || substr(md5('42:' || qid), 1, 12) as bigint) % n as p from best join ring on positive = ring.id where r = 1)
+select qid, positive, ring.id as negative, similarity from x join ring on ring.place = case when p = own then (p + 1) % x.n else p end
+""")
+def weak_triples(t: Tables) -> DataFrame:
+    """Users' turns with the assistant's turn that shares most of their longer words."""
+    words = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.substring("text", 1, 240)), F.lit(r"[\p{L}]+"), F.lit(0)), lambda w: F.length(w) > 3))
+    rows = t.conversations.where("text is not null").select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), words.alias("items"))
+    asked = rows.where("role = 'user'").select(F.col("id").alias("qid"), "items")
+    return mldata.weak_triples(asked, rows.where("role = 'assistant'").select("id", "items")).withColumn("similarity", F.round("similarity", 6))
+
+
+def order_pages(t: Tables) -> DataFrame:
+    """A page for each order: caption, table of its lines, prose, a table with bars and
+    a signature."""
+    line = F.concat(F.rpad(F.concat(F.lit("part "), "l_partkey"), 14, " "), F.rpad(F.concat(F.lit("x"), F.col("l_quantity").cast("int")), 8, " "), F.col("l_returnflag"))
+    rows = t.lineitem.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("line")))), lambda x: x["line"]), "\n").alias("rows"))
+    text = F.concat(F.lit("The claimant "), "o_custkey", F.lit(" against the other side\n\nItem          Count   Flag\n"), "rows", F.lit("\nplain words after the lines\nof the list\n  \n| name | price |\n|---|---|\n| all | "), "o_orderstatus", F.lit(" |\n\nSigned by: Clerk "), "o_custkey", F.lit(", Justice on 3 March 2020"))
+    return t.orders.join(rows, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("page_id"), text.alias("text"))
+
+
+@query("CH-8", """
+with i as (select *, rpad('part ' || l_partkey, 14, ' ') || rpad('x' || cast(l_quantity as int), 8, ' ') || l_returnflag as line from lineitem),
+l as (select l_orderkey, list('part ' || l_partkey || ';x' || cast(l_quantity as int) || ';' || l_returnflag order by l_linenumber, line) as rows, list(length(line)) as sizes from i group by 1),
+x as (select o_orderkey as id, 'The claimant ' || o_custkey || ' against the other side' as caption, rows, cast(list_sum(sizes) + len(sizes) as bigint) as body, o_orderstatus as p, 'Clerk ' || o_custkey as clerk from orders join l on o_orderkey = l_orderkey),
+y as (select *, length(caption) + 2 as a, length(caption) + 2 + 26 + 1 + body as b from x),
+z as (select *, b + 27 + 1 + 11 + 1 + 2 + 1 as c from y),
+w as (select *, c + 16 + 1 + 9 + 1 + length('| all | ' || p || ' |') + 2 as e from z)
+select id, 0 as region, 'caption' as kind, 0 as start, length(caption) as end, 1 as n_lines, null as cells, null as signer from w
+union all select id, 1, 'table', a, b - 1, len(rows) + 1, 'Item;Count;Flag/' || array_to_string(rows, '/'), null from w
+union all select id, 2, 'text', b, b + 39, 2, null, null from w
+union all select id, 3, 'table', c, e - 2, 2, 'name;price/all;' || p, null from w
+union all select id, 4, 'signature', e, e + length('Signed by: ' || clerk || ', Justice on 3 March 2020'), 1, null, clerk from w
+""")
+def page_regions(t: Tables) -> DataFrame:
+    cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, ";")), "/")
+    return P.regions(order_pages(t)).select("id", "region", "kind", "start", "end", "n_lines", cells.alias("cells"), F.col("signed.signer").alias("signer"))

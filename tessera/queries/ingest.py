@@ -5,8 +5,11 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tessera.functions import text as T
+from tessera.operators import compiling, registry
 from tessera.queries.registry import Tables, query
-from tessera.sources import folders, pdf
+from tessera.session import scratch_path
+from tessera.sources import folders, logs, manifest, pdf
 
 LINE = r"[^\p{L}\p{N}.,;:!?]+"
 
@@ -38,3 +41,76 @@ select doc_id, len(pages) as n_pages, case when enough then 'stream' when len(li
 def pdf_documents(t: Tables) -> DataFrame:
     """Written as PDF files and read back, those short of text by their layout."""
     return folders.parsed(as_pdf(t)).select("doc_id", F.size("pages").cast("long").alias("n_pages"), "read", F.md5("text").alias("digest"))
+
+
+@query("INC-3 INC-1", """
+with c as (select doc_id, doc_id % 2 = 0 as old, doc_id % 10 = 0 as edited from documents),
+s as (select doc_id, old, edited, unnest(['same', 'ingest', 'schema', 'missing', 'after_a_lost_run', 'again']) as run from c)
+select run, case run when 'ingest' then 'ingest' when 'schema' then 'schema' when 'missing' then 'missing' else 'ok' end as state, case when run in ('ingest', 'schema', 'missing') or run <> 'again' and not old then 'new' when run <> 'again' and edited then 'changed' else 'unchanged' end as status, count(*) as n from s group by all
+""")
+def guarded_manifest(t: Tables) -> DataFrame:
+    """What is to be ingested by a manifest of half the documents, one in ten of them
+    edited since: under the same versions, under others, without one, after a run that
+    died while writing, and after the next commit."""
+    spark, path, schema = t.spark, scratch_path(t.spark, "manifest"), "doc_id long, digest string"
+    now = t.documents.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    old = now.where("doc_id % 2 = 0").withColumn("digest", F.when(F.col("doc_id") % 10 == 0, "edited since").otherwise(F.col("digest")))
+    runs: list[tuple[str, DataFrame, str]] = []
+
+    def planned(run: str, where: str, *versions) -> None:
+        held, state, _ = manifest.load(spark, where, schema, *versions)
+        runs.append((run, registry.change_plan(held, now, "doc_id", "digest"), state))
+
+    first = manifest.save(old, path, 2, "a")
+    planned("same", path, 2, "a")
+    planned("ingest", path, 2, "b")
+    planned("schema", path, 3, "a")
+    planned("missing", scratch_path(spark, "manifest"), 2, "a")
+    now.limit(1).write.parquet(f"{path}/versions/lost")
+    planned("after_a_lost_run", path, 2, "a")
+    manifest.save(now, path, 2, "a", after=first)
+    planned("again", path, 2, "a")
+    parts = [plan.groupBy("status").agg(F.count(F.lit(1)).alias("n")).select(F.lit(run).alias("run"), F.lit(state).alias("state"), "status", "n") for run, plan, state in runs]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("ST-10", r"""
+select conv_id, turn, case when conv_id % 7 > 0 then role end as role, case when conv_id % 7 = 0 then 'cut off' end as error, md5('[' || conv_id || ':' || turn || '] ' || case when conv_id % 7 > 0 then 'role=' || role else '' end || chr(10) || coalesce(text, '')) as digest from conversations
+""")
+def log_records(t: Tables) -> DataFrame:
+    """Conversations as log files whose records span lines, written and read back; one
+    in seven lacks its role."""
+    path = scratch_path(t.spark, "log")
+    head = F.concat(F.lit("["), "conv_id", F.lit(":"), "turn", F.lit("] "), F.when(F.col("conv_id") % 7 > 0, F.concat(F.lit("role="), "role")).otherwise(""))
+    t.conversations.select(F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))).alias("value")).write.option("lineSep", "\n").text(path)
+    form = logs.Format(r"^\[[0-9]+:[0-9]+\] ", {"conv_id": ("long", (r"^\[([0-9]+):",)), "turn": ("long", (r"^\[[0-9]+:([0-9]+)\]",)), "role": ("string", (r"^[^\n]* role=(\w+)\n",))}, ("role",))
+    return logs.parsed(logs.records(t.spark, path, form.start), form).select("conv_id", "turn", "role", "error", F.md5("text").alias("digest"))
+
+
+def law_pages(t: Tables) -> DataFrame:
+    """Three pages for each order: a law, a case, an order, a practice direction, an
+    amendment or something else."""
+    o = t.orders.selectExpr("o_orderkey as doc", "o_orderkey % 6 as k", "o_orderkey % 9000 + 1 as n", "o_custkey as c", "o_orderkey % 28 + 1 as d", "o_orderkey % 4 as v")
+    case = "concat('ABC ', n, '/2020')"
+    first = f"case k when 0 then concat('Data Law\nLaw No. ', n, ' of 2019\nIssued by: Office ', c) when 1 then concat('Smith v Jones {{', '}} ', {case}, '\nClaimant: Firm ', c, '\nRespondent: Firm ', c + 1) when 2 then concat('Order of the court\n', {case}, ' on ', d, ' May 2021') when 3 then concat('Directions\nThis practice direction is issued by: Registry ', c) when 4 then concat('Amendment Law\nLaw No. ', n, ' of 2020\nIt amends the Data Law. It amends the Fee Code') else concat('Notes\nplain ', c) end"
+    second = "case k when 0 then concat('This may be cited as the Data Act ', n, '. It comes into force on ', d, ' March 2020') when 1 then concat('Before Justice Ann Lee and Judge Bo\nIt is ordered that the claim ', n, ' is dismissed. dated ', d, ' June 2022, see XY 7/2001') when 2 then 'It is hereby ordered that costs are paid. Justice Ann Lee' when 3 then concat('dated ', d, ' July 2020') when 4 then concat('Enacted by the Ruler ', c, ' on ', d, ' April 2021') end"
+    third = "case when v = 0 then concat('Corrected number: N-', n) when v = 1 then concat('Corrected date: ', d, ' January 2023; ABC ', n, '/2020') else 'nothing' end"
+    return o.selectExpr("doc", f"inline(array(named_struct('page', 1L, 'text', {first}), named_struct('page', 2L, 'text', {second}), named_struct('page', 3L, 'text', {third})))")
+
+
+@query("DB-4", """
+with o as (select o_orderkey as doc, o_orderkey % 6 as k, o_orderkey % 9000 + 1 as n, o_custkey as c, o_orderkey % 28 + 1 as d, o_orderkey % 4 as v from orders), y as (select *, 'ABC ' || n || '/2020' as cn from o)
+select doc, ['law', 'case', 'order', 'practice_direction', 'amendment', 'other'][k + 1] as type, case when v = 0 then 'N-' || n when k in (0, 4) then cast(n as varchar) when k in (1, 2) then cn when v = 1 and k = 3 then cn end as number,
+ case when v = 0 then '3' when k in (0, 4) then '1' when k = 1 then case when v = 1 then '1,3' else '1' end when k = 2 then case when v = 1 then '1,3' else '1' end when v = 1 and k = 3 then '3' end as number_pages,
+ case when v = 1 then d || ' January 2023' when k = 0 then d || ' March 2020' when k = 1 then d || ' June 2022' when k = 2 then d || ' May 2021' when k = 3 then d || ' July 2020' when k = 4 then d || ' April 2021' end as date,
+ case when k = 0 then 'Office ' || c when k = 3 then 'Registry ' || c when k = 4 then 'the Ruler ' || c end as issued_by, case k when 1 then 'Ann Lee|Bo' when 2 then 'Ann Lee' end as judges, case when k = 1 then 'Firm ' || c || '|Firm ' || (c + 1) end as parties,
+ case k when 1 then 'the claim ' || n || ' is dismissed' when 2 then 'costs are paid' end as outcome, case when k = 4 then 'Data Law|Fee Code' end as amends, case when k = 1 then cn || '|XY 7/2001' when k = 2 or v = 1 then cn end as cites from y
+""")
+def compiled_records(t: Tables) -> DataFrame:
+    rows = compiling.compile_records(law_pages(t))
+    value = lambda f: F.col("fields")[f]["value"]
+    each = lambda f: F.array_join(F.transform(F.col("lists")[f], lambda x: x["value"]), "|")
+    return rows.select("doc", "type", value("number").alias("number"), F.array_join(F.col("fields")["number"]["pages"].cast("array<string>"), ",").alias("number_pages"), value("date").alias("date"), value("issued_by").alias("issued_by"), each("judges").alias("judges"), each("parties").alias("parties"), value("outcome").alias("outcome"), each("amends").alias("amends"), each("cites").alias("cites"))
