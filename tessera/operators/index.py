@@ -96,19 +96,24 @@ def save(corpus: DataFrame, path: str, cluster: str | None = None, size: int = 1
     # the ranges of a term spread over a shard's files, so a frequent term is in no single task
     dealt = blocks.repartition("shard", F.pmod(F.xxhash64("range"), F.lit(files))).sortWithinPartitions("shard", "term")
     dealt.write.mode(mode).partitionBy("shard").parquet(f"{path}/blocks")
-    held = spark.read.parquet(f"{path}/blocks").select("shard", "term", F.size("ids").cast("long").alias("df"), F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("cf"))
+    held = _read(spark, path, "blocks", kind).select("shard", "term", F.size("ids").cast("long").alias("df"), F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x).alias("cf"))
     terms = held.groupBy("shard", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     terms.repartition("shard").sortWithinPartitions("shard", "term").write.mode(mode).partitionBy("shard").parquet(f"{path}/terms")
-    about = spark.range(1).select(*[F.lit(v).alias(k) for k, v in {"format": FORMAT, "n": n, "avgdl": avgdl, "k1": k1, "b": b, "shards": shards, "size": size}.items()])
+    about = spark.range(1).select(*[F.lit(v).alias(k) for k, v in {"format": FORMAT, "n": n, "avgdl": avgdl or 0.0, "k1": k1, "b": b, "shards": shards, "size": size, "id_type": kind}.items()])
     about.write.mode(mode).parquet(f"{path}/about")
 
 
 def load(spark: SparkSession, path: str) -> Index:
     """The index at ``path``; an error if it isn't whole or of another format."""
-    about = spark.read.parquet(f"{path}/about").first()
+    about = spark.read.schema("format int, n long, avgdl double, k1 double, b double, shards int, size int, id_type string").parquet(f"{path}/about").first()
     if about is None or about["format"] != FORMAT:
         raise ValueError(f"{path} holds no index of format {FORMAT}")
-    return Index(about, spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/blocks"))
+    return Index(about, _read(spark, path, "terms", about["id_type"]), _read(spark, path, "blocks", about["id_type"]))
+
+
+def _read(spark: SparkSession, path: str, name: str, kind: str) -> DataFrame:
+    columns = {"terms": "term string, df long, cf long", "blocks": f"term string, range long, top double, ids array<{kind}>, tfs array<int>, dls array<int>"}
+    return spark.read.schema(f"{columns[name]}, shard int").parquet(f"{path}/{name}")
 
 
 def term_statistics(index: Index) -> DataFrame:

@@ -68,6 +68,7 @@ def dominated(df: DataFrame, better: list[str], id_col: str, by: list[str] | Non
         tops = tops.withColumn("above", F.max("top").over(above))
         beaten = points.withColumn("x", F.col(x)).join(tops, [*keys, "x"]).where(f"above >= `{y}` or top > `{y}`").select(*keys, *better)
     else:
+        points = points.where(" and ".join(f"not isnan(cast(`{m}` as double))" for m in better))
         beaten = points.join(skyline.frontier(points, better, by), [*keys, *better], "left_anti")
     return df.join(beaten, [*keys, *better], "left_semi").select(id_col)
 
