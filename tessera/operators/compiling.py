@@ -90,3 +90,52 @@ def compile_records(pages: DataFrame, passes: tuple[tuple[Rule, ...], ...] = PAS
     empty = {"fields": "map<string,struct<value:string,pass:int,pages:array<bigint>>>", "lists": "map<string,array<struct<value:string,pages:array<bigint>>>>"}
     out = docs.join(one, "doc", "left").join(many, "doc", "left")
     return out.select("doc", "type", "title", "n_pages", *[F.coalesce(F.col(c), F.create_map()).cast(t).alias(c) for c, t in empty.items()])
+
+
+def field_pages(values: DataFrame, pages: DataFrame, fallback: tuple[str, ...] = ("title", "number")) -> DataFrame:
+    """doc, field, value and pages: those of the document whose text has the value, in
+    any case and with any white space between its words; for ``fallback`` fields that no
+    page has, its first page. Null and empty values have no row.
+
+    ``values`` has doc, field and value, ``pages`` doc, page and text; a document's own
+    pages are the only ones that are read for it.
+    """
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    wanted = values.where(F.trim("value") != "").select("doc", "field", "value").distinct()
+    rows = wanted.join(pages.select("doc", "page", flat(F.col("text")).alias("_text")), "doc", "left")
+    held = rows.groupBy("doc", "field", "value").agg(F.array_sort(F.collect_set(F.when(F.contains("_text", flat(F.col("value"))), F.col("page")))).alias("pages"), F.min("page").alias("_first"))
+    first = F.when(F.col("field").isin(*fallback) & F.col("_first").isNotNull(), F.array("_first")).otherwise(F.col("pages"))
+    return held.select("doc", "field", "value", F.when(F.size("pages") > 0, F.col("pages")).otherwise(first).alias("pages"))
+
+
+#: Facts that records tell: kind, the types that have it, field, and how it is said.
+FACTS = (
+    ("law_number", ("law", "amendment"), "number", "%s is Law No. %s"),
+    ("law_authority", ("law", "amendment"), "issued_by", "%s was issued by %s"),
+    ("law_commencement", ("law", "amendment"), "date", "%s came into force on %s"),
+    ("law_short_title", ("law", "amendment"), "short_title", "%s may be cited as %s"),
+    ("amendment_target", ("amendment",), "amends", "%s amends %s"),
+    ("case_number", ("case",), "number", "%s has the case number %s"),
+    ("case_judge", ("case", "order"), "judges", "%s was heard by %s"),
+    ("case_party", ("case",), "parties", "%s has the party %s"),
+    ("case_outcome", ("case", "order"), "outcome", "In %s it was ordered that %s"),
+    ("case_date", ("case", "order", "practice_direction", "enactment_notice"), "date", "%s is dated %s"),
+    ("order_authority", ("order", "practice_direction", "enactment_notice"), "issued_by", "%s was issued by %s"),
+    ("citation", ("law", "amendment", "case", "order", "practice_direction", "enactment_notice", "other"), "cites", "%s refers to %s"),
+)
+
+
+def bridge_facts(records: DataFrame, facts: tuple = FACTS) -> DataFrame:
+    """doc, kind, text and pages: a sentence for each field, or each value of a list, of
+    ``compile_records`` that ``facts`` name for its type. A document's title stands for
+    it, or its id where it has none."""
+    name = F.when(F.col("title") != "", F.col("title")).otherwise(F.col("doc").cast("string"))
+    one = F.array(F.struct(F.lit("").alias("value"), F.array().cast("array<bigint>").alias("pages")))
+    none = F.slice(one, 1, 0)
+
+    def told(kind: str, types: tuple[str, ...], field: str, form: str) -> Column:
+        single = F.when(F.col("fields")[field].isNotNull(), F.array(F.struct(F.col("fields")[field]["value"].alias("value"), F.col("fields")[field]["pages"].alias("pages")))).otherwise(none)
+        values = F.when(F.col("type").isin(*types), F.concat(single, F.coalesce(F.col("lists")[field], none))).otherwise(none)
+        return F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), F.format_string(form, F.col("_name"), x["value"]).alias("text"), x["pages"].alias("pages")))
+
+    return records.withColumn("_name", name).select("doc", F.inline(F.flatten(F.array(*[told(*f) for f in facts]))))

@@ -130,14 +130,27 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def bootstrap_mean(df: DataFrame, value: str, rounds: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Mean and bootstrap interval: in each round a row counts as often as a
-    Poisson draw from the hash of (seed, round, row) says, so reruns agree."""
-    uniform = (F.pmod(F.xxhash64(F.lit(seed), "round", "row"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    times = F.lit(0)
-    for limit in (0.36787944, 0.73575888, 0.9196986, 0.98101184, 0.99634015, 0.99940582):
-        times = times + (uniform > limit).cast("int")
-    rows = df.select(F.col(value).alias("x"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("row")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    means = rows.withColumn("times", times).groupBy("round").agg((F.sum(F.col("x") * F.col("times")) / F.sum("times")).alias("m"))
+    """Mean and bootstrap interval: in each round a row counts as often as a Poisson
+    draw says. Rows that are equal in all columns draw together, as many as they are,
+    from a generator seeded by (seed, row), so reruns agree. A task adds up its rows by
+    round; only these sums leave it. Null values don't count.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        sums, weights = np.zeros(rounds), np.zeros(rounds)
+        for batch in batches:
+            for x, row, n in zip(*(batch.column(c).to_pylist() for c in ("x", "row", "n"))):
+                times = np.random.default_rng([seed, row & (1 << 64) - 1]).poisson(n, rounds)
+                sums += x * times
+                weights += times
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()]), pa.array([weights.tolist()])], ["sums", "weights"])
+
+    rows = df.select(F.col(value).cast("double").alias("x"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("row")).where("x is not null").groupBy("x", "row").agg(F.count(F.lit(1)).alias("n"))
+    parts = rows.mapInArrow(run, "sums array<double>, weights array<double>")
+    each = parts.select(F.posexplode(F.arrays_zip("sums", "weights")).alias("round", "s")).groupBy("round").agg((F.sum("s.sums") / F.nullif(F.sum("s.weights"), F.lit(0.0))).alias("m"))
+    means = each.where("m is not null")
     tail = (1 - level) / 2
     return means.agg(F.round(F.avg("m"), DIGITS).alias("mean"), F.round(F.percentile("m", F.lit(tail)), DIGITS).alias("low"), F.round(F.percentile("m", F.lit(1 - tail)), DIGITS).alias("high"))
 
@@ -244,3 +257,14 @@ def cross_validation(rows: DataFrame, fit, key: str = "id", label: str = "label"
     placed = rows.withColumn("fold", fold_of(F.col(key), folds))
     out = [binary_metrics(fit(placed.where(F.col("fold") != k))(placed.where(F.col("fold") == k)), label, "score", threshold).withColumn("fold", F.lit(k)) for k in range(folds)]
     return reduce(DataFrame.unionByName, out).select("fold", "n", "accuracy", "f1", "auroc")
+
+
+def reference_hit_rate(references: DataFrame, contexts: DataFrame) -> DataFrame:
+    """qid, n_refs, n_hit and rate: the share of a question's distinct references
+    (qid, refs) that its context chunks (qid, citations) cite between them; 1 without
+    references. References and citations are compared trimmed and in lower case."""
+    clean = lambda c: F.array_distinct(F.filter(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
+    cited = contexts.select("qid", F.explode(clean("citations")).alias("ref")).distinct().withColumn("hit", F.lit(1))
+    wanted = references.select("qid", F.explode_outer(clean("refs")).alias("ref")).distinct()
+    rows = wanted.join(cited, ["qid", "ref"], "left").groupBy("qid").agg(F.count("ref").alias("n_refs"), F.count("hit").alias("n_hit"))
+    return rows.withColumn("rate", F.when(F.col("n_refs") > 0, F.round(F.col("n_hit") / F.col("n_refs"), DIGITS)).otherwise(1.0))

@@ -224,3 +224,22 @@ def weak_triples(questions: DataFrame, docs: DataFrame, seed: int = 42) -> DataF
     place = F.pmod(_seeded(seed, F.col("qid")), F.lit(n))
     found = found.withColumn("place", F.when(place == F.col("own"), F.pmod(place + 1, F.lit(n))).otherwise(place))
     return found.join(ring.withColumnRenamed("id", "negative"), "place").select("qid", F.col("id").alias("positive"), "negative", "similarity")
+
+
+def labelled_candidates(legacy: DataFrame, sidecar: DataFrame, labels: DataFrame) -> DataFrame:
+    """qid, page, legacy_rank, sidecar_rank, label, labelled, n_candidates: the pages that
+    either run named for a question, from ``legacy`` and ``sidecar`` (qid, pages array in
+    order), with whether ``labels`` (qid, pages) has them.
+
+    Ranks are from 1, of the first place of a repeated page; null where that run didn't
+    name it. The label is null for questions without labels; labelled pages that no run
+    named are rows without ranks.
+    """
+    def ranked(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select("qid", F.posexplode("pages").alias("_at", "page")).groupBy("qid", "page").agg((F.min("_at") + 1).alias(name))
+
+    gold = labels.select("qid", F.explode_outer("pages").alias("page")).distinct()
+    known = gold.select("qid").distinct().withColumn("labelled", F.lit(True))
+    rows = ranked(legacy, "legacy_rank").join(ranked(sidecar, "sidecar_rank"), ["qid", "page"], "full").join(gold.where("page is not null").withColumn("_gold", F.lit(1)), ["qid", "page"], "full").join(known, "qid", "left")
+    label = F.when(F.col("labelled"), F.coalesce("_gold", F.lit(0)))
+    return rows.select("qid", "page", "legacy_rank", "sidecar_rank", label.alias("label"), F.coalesce("labelled", F.lit(False)).alias("labelled"), F.count(F.lit(1)).over(Window.partitionBy("qid")).alias("n_candidates"))

@@ -154,3 +154,18 @@ def activated_rules(rows: DataFrame, rules: list[tuple[str, str]], least: int) -
     """rule, support, promoted: rows that match each rule's pattern."""
     hit = F.explode(F.filter(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in rules]), lambda x: x.isNotNull()))
     return rows.select(hit.alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("support")).withColumn("promoted", F.col("support") >= least)
+
+
+def document_shortlist(chunks: DataFrame, keep: DataFrame | None = None, per: int = 2, references: int = 4) -> DataFrame:
+    """The chunks (qid, ref, pos, doc, id, doc_score, score) of a question's shortlisted
+    documents.
+
+    For each of a question's first ``references`` references (by ``pos``) the ``per``
+    documents with the highest score above 0, then the best chunk, then the last id;
+    and the documents of ``keep`` (qid, doc). A question without any keeps all rows.
+    """
+    docs = chunks.where(F.col("pos") < references).groupBy("qid", "pos", "doc").agg(F.max("doc_score").alias("doc_score"), F.max("score").alias("best")).where("doc_score > 0")
+    chosen = best_per(docs, ["qid", "pos"], [F.desc("doc_score"), F.desc("best"), F.desc("doc")], per).select("qid", "doc")
+    chosen = (chosen if keep is None else chosen.unionByName(keep.select("qid", "doc"))).distinct()
+    some = chosen.select("qid").distinct()
+    return chunks.join(chosen, ["qid", "doc"], "left_semi").unionByName(chunks.join(some, "qid", "left_anti").select(*chunks.columns), allowMissingColumns=False).select(*chunks.columns)

@@ -129,7 +129,7 @@ def necessary_pages(t: Tables) -> DataFrame:
     return grounding.necessary(t.lineitem.select(F.col("l_orderkey").alias("qid"), (F.col("l_suppkey") % 3).alias("slot"), F.col("l_linenumber").alias("page")))
 
 
-@query("RR-11 ML-12 ML-13")
+@query("RR-11 ML-12")
 def page_scorer(t: Tables) -> DataFrame:
     text = F.col("text")
     rows = t.labels.join(t.documents, "doc_id").select("doc_id", F.col("quality").cast("double").alias("label"), F.length("text").cast("double").alias("n_chars"), T.token_count(text).cast("double").alias("n_tokens"), T.char_ratio(text, r"[\p{L}]").alias("letters"), metrics.text_noise(text).cast("double").alias("noise"))

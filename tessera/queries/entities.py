@@ -23,7 +23,7 @@ def field_values(t: Tables) -> DataFrame:
     return values(t).select("id", "field", "value", "confidence")
 
 
-@query("JN-11 DB-1 DB-3", f"""
+@query("JN-11 DB-1", f"""
 with {VALUES}, q as (select o_orderkey as qid, o_custkey as a, o_custkey + 1 as b from orders), x as (select q.*, va.confidence >= 0.85 as oka, vb.confidence >= 0.85 as okb, va.n_name as na, vb.n_name as nb from q left join v va on va.id = a left join v vb on vb.id = b)
 select qid, case when oka then a when okb then b end as found_id, case when oka then na when okb then nb end as value from x
 """)
@@ -50,12 +50,15 @@ def attribute_compare(t: Tables) -> DataFrame:
 
 
 @query("AG-6 AG-9", """
-select c_custkey, case when c_custkey % 2 = 0 then 'merged' else c_mktsegment end as segment from customer
+with x as (select c_custkey, c_mktsegment as segment, unnest(range(c_custkey % 3 + 1)) as k from customer)
+select c_custkey, case when c_custkey % 2 = 0 then 'merged' else arg_max(segment || k, (k * 7) % 3) end as segment from x group by c_custkey
 """)
 def registry_merge(t: Tables) -> DataFrame:
-    base = t.customer.select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    """The last of a customer's rows by position, and over it the later table's."""
+    rows = t.customer.select("c_custkey", F.explode(F.expr("sequence(0, c_custkey % 3)")).alias("k"), F.col("c_mktsegment").alias("segment"))
+    base = registry.last_by_position(rows.select("c_custkey", F.concat("segment", "k").alias("segment"), (F.col("k") * 7 % 3).alias("pos")), ["c_custkey"], "pos").drop("pos")
     later = t.customer.where("c_custkey % 2 = 0").select("c_custkey", F.lit("merged").alias("segment"))
-    return registry.last_by_position(registry.merge_later_wins([base, later], "c_custkey").withColumn("pos", F.lit(1)), ["c_custkey"], "pos").drop("pos")
+    return registry.merge_later_wins([base, later], "c_custkey")
 
 
 @query("AG-7 TXT-35", """
@@ -66,7 +69,7 @@ def alias_clusters(t: Tables) -> DataFrame:
     return registry.alias_clusters(rows, "kind", "name", "source").select("kind", "key", F.size("sources").cast("long").alias("n_sources"), F.array_max("aliases").alias("alias"))
 
 
-@query("AG-8 DB-8", """
+@query("AG-8", """
 select 'order' as kind, min(o_orderstatus || o_orderpriority) as text, count(distinct o_custkey) as n_pages from orders group by lower(o_orderstatus || o_orderpriority)
 """)
 def dedupe_facts(t: Tables) -> DataFrame:
@@ -192,7 +195,7 @@ def run_diff(t: Tables) -> DataFrame:
     return metrics.run_diff(a, b, "qid", "answer", "pages")
 
 
-@query("JN-6 FLT-8 JN-7", """
+@query("JN-6 FLT-8", """
 select o_orderkey as qid, o_orderstatus as answer, case when o_orderkey % 5 = 0 and o_orderkey % 13 <> 0 then case when o_orderkey % 3 = 0 then 2 else 0 end else 1 end as n_pages from orders where o_orderkey % 11 <> 0
 """)
 def answer_stable_merge(t: Tables) -> DataFrame:
@@ -288,7 +291,7 @@ def supervision(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", label["source"].alias("source"), label["weight"].alias("weight"))
 
 
-@query("SET-2 SET-4 ML-15", """
+@query("SET-2 SET-4", """
 with p as (select l_orderkey as k, list(distinct l_partkey) as a, list(distinct l_suppkey) as b from lineitem group by 1)
 select k, len(list_intersect(a, b)) as common, len(a) - len(list_intersect(a, b)) as only_a, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) as jaccard from p
 """)
@@ -297,7 +300,7 @@ def set_algebra(t: Tables) -> DataFrame:
     return p.select("k", F.size(F.array_intersect("a", "b")).cast("long").alias("common"), F.size(F.array_except("a", "b")).cast("long").alias("only_a"), F.round(ranking.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
 
-@query("JN-10 JN-13", """
+@query("JN-10", """
 with p as (select o_custkey as k, o_orderkey as id, o_orderstatus as s, row_number() over (partition by o_custkey order by o_orderkey) as pos from orders), x as (select a.k, a.id as a, b.id as b, row_number() over (partition by a.k order by a.pos, b.pos) as r from p a join p b on a.k = b.k and a.pos < b.pos and b.pos <= 8 and a.s <> b.s)
 select k, a, b from x where r <= 3
 """)
@@ -307,7 +310,7 @@ def conflicts(t: Tables) -> DataFrame:
     return ranking.best_per(a.join(b, "k").where("pa < pb and sa <> sb"), ["k"], [F.asc("pa"), F.asc("pb")], 3).select("k", "a", "b")
 
 
-@query("TXT-2 DB-6", """
+@query("TXT-2", """
 select s_suppkey, n_name, regexp_matches(s_name, '[0-9]') as digits from supplier join nation on s_nationkey = n_nationkey
 """)
 def supplier_pages(t: Tables) -> DataFrame:

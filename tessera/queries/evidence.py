@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tessera.functions import text as T
-from tessera.operators import aliases as A, assembly, grounding, mldata, regions as P, spans
+from tessera.operators import aliases as A, assembly, grounding, metrics, mldata, regions as P, selection as S, spans
 from tessera.queries.registry import Tables, query
 
 
@@ -145,3 +145,43 @@ union all select id, 4, 'signature', e, e + length('Signed by: ' || clerk || ',
 def page_regions(t: Tables) -> DataFrame:
     cells = F.array_join(F.transform("rows", lambda r: F.array_join(r, ";")), "/")
     return P.regions(order_pages(t)).select("id", "region", "kind", "start", "end", "n_lines", cells.alias("cells"), F.col("signed.signer").alias("signer"))
+
+
+@query("JN-7", """
+with x as (select l_orderkey as qid, l_linenumber as page, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_linenumber) as p, row_number() over (partition by l_orderkey order by l_quantity, l_linenumber) as q, l_returnflag as f from lineitem),
+legacy as (select qid, page, min(p) as legacy_rank from x where p <= 2 group by all), sidecar as (select qid, page, min(q) as sidecar_rank from x where q <= 3 and qid % 4 > 0 group by all), gold as (select distinct qid, page from x where f = 'R' and qid % 3 > 0), known as (select distinct qid from x where qid % 3 > 0),
+pages as (select qid, page from legacy union select qid, page from sidecar union select qid, page from gold)
+select qid, page, legacy_rank, sidecar_rank, case when k.qid is not null then case when g.qid is not null then 1 else 0 end end as label, k.qid is not null as labelled, count(*) over (partition by qid) as n_candidates
+from pages left join legacy using (qid, page) left join sidecar using (qid, page) left join (select qid, page, 1 as one from gold) g using (qid, page) left join known k using (qid)
+""".replace("case when k.qid is not null then case when g.qid is not null then 1 else 0 end end", "case when k.there then coalesce(g.one, 0) end").replace("k.qid is not null as labelled", "coalesce(k.there, false) as labelled").replace("known as (select distinct qid from", "known as (select distinct qid, true as there from"))
+def labelled_candidates(t: Tables) -> DataFrame:
+    """An order's dearest lines, its smallest, and those that came back, in one table."""
+    rows = t.lineitem.select(F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("page"), "l_extendedprice", "l_quantity", "l_returnflag")
+    pages = lambda df, key: df.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct(key, "page"))), lambda x: x["page"]).alias("pages"))
+    legacy = pages(rows, (-F.col("l_extendedprice")).alias("k")).withColumn("pages", F.slice("pages", 1, 2))
+    sidecar = pages(rows.where("qid % 4 > 0"), F.col("l_quantity").alias("k")).withColumn("pages", F.slice("pages", 1, 3))
+    labels = rows.where("qid % 3 > 0").groupBy("qid").agg(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("page"))).alias("pages"))
+    return mldata.labelled_candidates(legacy, sidecar, labels)
+
+
+@query("WN-10", """
+with c as (select l_orderkey as qid, l_partkey % 6 as pos, l_suppkey % 5 as doc, l_linenumber as id, cast(l_quantity as bigint) % 4 as doc_score, l_extendedprice as score from lineitem),
+d as (select qid, pos, doc, max(doc_score) as ds, max(score) as best from c where pos < 4 group by all having max(doc_score) > 0), k as (select *, row_number() over (partition by qid, pos order by ds desc, best desc, doc desc) as r from d),
+chosen as (select qid, doc from k where r <= 2 union select qid, doc from c where qid % 7 = 0 and id = 1)
+select qid, pos, doc, id, score from c where (qid, doc) in (select (qid, doc) from chosen) or qid not in (select qid from chosen)
+""")
+def document_shortlist(t: Tables) -> DataFrame:
+    rows = t.lineitem.selectExpr("l_orderkey as qid", "l_partkey % 6 as pos", "l_suppkey % 5 as doc", "l_linenumber as id", "cast(l_quantity as bigint) % 4 as doc_score", "l_extendedprice as score")
+    return S.document_shortlist(rows, rows.where("qid % 7 = 0 and id = 1").select("qid", "doc")).select("qid", "pos", "doc", "id", "score")
+
+
+@query("AG-21", """
+with r as (select o_custkey as qid, list_distinct(list('part ' || l_partkey)) as refs from orders join lineitem on l_orderkey = o_orderkey where l_linenumber <= 2 group by 1), c as (select o_custkey as qid, list_distinct(list('part ' || l_partkey)) as held from orders join lineitem on l_orderkey = o_orderkey where l_quantity > 25 group by 1)
+select c_custkey as qid, coalesce(len(refs), 0) as n_refs, coalesce(len(list_intersect(refs, held)), 0) as n_hit, case when refs is null then 1.0 else round(coalesce(len(list_intersect(refs, held)), 0) / len(refs), 6) end as rate from customer left join r on r.qid = c_custkey left join c on c.qid = c_custkey
+""", doubles="rate")
+def reference_hits(t: Tables) -> DataFrame:
+    """The share of the parts that a customer's first lines name in the larger lines."""
+    lines = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("qid"), "l_linenumber", "l_quantity", F.concat(F.lit("Part "), "l_partkey").alias("ref"))
+    refs = lines.where("l_linenumber <= 2").groupBy("qid").agg(F.collect_list("ref").alias("refs"))
+    asked = t.customer.select(F.col("c_custkey").alias("qid")).join(refs, "qid", "left")
+    return metrics.reference_hit_rate(asked, lines.where("l_quantity > 25").select("qid", F.array(F.concat(F.lit(" "), F.lower("ref"))).alias("citations")))

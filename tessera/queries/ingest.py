@@ -9,7 +9,7 @@ from tessera.functions import text as T
 from tessera.operators import compiling, registry
 from tessera.queries.registry import Tables, query
 from tessera.session import scratch_path
-from tessera.sources import folders, logs, manifest, pdf
+from tessera.sources import files, folders, logs, manifest, pdf
 
 LINE = r"[^\p{L}\p{N}.,;:!?]+"
 
@@ -95,7 +95,7 @@ def law_pages(t: Tables) -> DataFrame:
     amendment or something else."""
     o = t.orders.selectExpr("o_orderkey as doc", "o_orderkey % 6 as k", "o_orderkey % 9000 + 1 as n", "o_custkey as c", "o_orderkey % 28 + 1 as d", "o_orderkey % 4 as v")
     case = "concat('ABC ', n, '/2020')"
-    first = f"case k when 0 then concat('Data Law\nLaw No. ', n, ' of 2019\nIssued by: Office ', c) when 1 then concat('Smith v Jones {{', '}} ', {case}, '\nClaimant: Firm ', c, '\nRespondent: Firm ', c + 1) when 2 then concat('Order of the court\n', {case}, ' on ', d, ' May 2021') when 3 then concat('Directions\nThis practice direction is issued by: Registry ', c) when 4 then concat('Amendment Law\nLaw No. ', n, ' of 2020\nIt amends the Data Law. It amends the Fee Code') else concat('Notes\nplain ', c) end"
+    first = f"case k when 0 then concat('Data Law\nLaw No. ', n, ' of 2019\nIssued by: Office ', c) when 1 then concat('Smith v Jones ', {case}, '\nClaimant: Firm ', c, '\nRespondent: Firm ', c + 1) when 2 then concat('Order of the court\n', {case}, ' on ', d, ' May 2021') when 3 then concat('Directions\nThis practice direction is issued by: Registry ', c) when 4 then concat('Amendment Law\nLaw No. ', n, ' of 2020\nIt amends the Data Law. It amends the Fee Code') else concat('Notes\nplain ', c) end"
     second = "case k when 0 then concat('This may be cited as the Data Act ', n, '. It comes into force on ', d, ' March 2020') when 1 then concat('Before Justice Ann Lee and Judge Bo\nIt is ordered that the claim ', n, ' is dismissed. dated ', d, ' June 2022, see XY 7/2001') when 2 then 'It is hereby ordered that costs are paid. Justice Ann Lee' when 3 then concat('dated ', d, ' July 2020') when 4 then concat('Enacted by the Ruler ', c, ' on ', d, ' April 2021') end"
     third = "case when v = 0 then concat('Corrected number: N-', n) when v = 1 then concat('Corrected date: ', d, ' January 2023; ABC ', n, '/2020') else 'nothing' end"
     return o.selectExpr("doc", f"inline(array(named_struct('page', 1L, 'text', {first}), named_struct('page', 2L, 'text', {second}), named_struct('page', 3L, 'text', {third})))")
@@ -114,3 +114,69 @@ def compiled_records(t: Tables) -> DataFrame:
     value = lambda f: F.col("fields")[f]["value"]
     each = lambda f: F.array_join(F.transform(F.col("lists")[f], lambda x: x["value"]), "|")
     return rows.select("doc", "type", value("number").alias("number"), F.array_join(F.col("fields")["number"]["pages"].cast("array<string>"), ",").alias("number_pages"), value("date").alias("date"), value("issued_by").alias("issued_by"), each("judges").alias("judges"), each("parties").alias("parties"), value("outcome").alias("outcome"), each("amends").alias("amends"), each("cites").alias("cites"))
+
+
+@query("DB-6", """
+with p as (select o_orderkey as doc, o_orderkey % 9000 + 1 as n, o_custkey as c, o_orderkey % 6 as k from orders)
+select doc, 'number' as field, cast(n as varchar) as value, '1' as pages from p where k = 0
+union all select doc, 'issued_by', 'OFFICE ' || c, '1' from p where k = 0 union all select doc, 'short_title', 'data   act', '2' from p where k = 0 union all select doc, 'title', 'No Such Title', '1' from p where k = 0 union all select doc, 'judge', 'Nobody Known', '' from p where k = 0
+""")
+def field_pages(t: Tables) -> DataFrame:
+    """The pages of the laws that tell given values, some in other words' case and
+    spacing, some told nowhere."""
+    law = t.orders.where("o_orderkey % 6 = 0")
+    told = "inline(array(named_struct('field', 'number', 'value', cast(o_orderkey % 9000 + 1 as string)), named_struct('field', 'issued_by', 'value', concat('OFFICE ', o_custkey)), named_struct('field', 'short_title', 'value', 'data   act'), named_struct('field', 'title', 'value', 'No Such Title'), named_struct('field', 'judge', 'value', 'Nobody Known'), named_struct('field', 'none', 'value', ' ')))"
+    pages = law_pages(t).withColumn("text", F.when((F.col("page") == 1) | F.col("text").rlike("cited"), F.regexp_replace("text", r"(Act) [0-9]+\. .*", "$1")))
+    return compiling.field_pages(law.selectExpr("o_orderkey as doc", told), pages).select("doc", "field", "value", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"))
+
+
+@query("DB-8", """
+with o as (select o_orderkey as doc, o_orderkey % 6 as k, o_orderkey % 9000 + 1 as n, o_custkey as c, o_orderkey % 28 + 1 as d, o_orderkey % 4 as v from orders), y as (select *, 'ABC ' || n || '/2020' as cn, case when v = 0 then 'N-' || n end as fixed, case when v = 1 then d || ' January 2023' end as late from o),
+f as (
+ select doc, 'law_number' as kind, case k when 0 then 'Data Law' else 'Amendment Law' end || ' is Law No. ' || coalesce(fixed, cast(n as varchar)) as text from y where k in (0, 4)
+ union all select doc, 'law_authority', case k when 0 then 'Data Law was issued by Office ' || c else 'Amendment Law was issued by the Ruler ' || c end from y where k in (0, 4)
+ union all select doc, 'law_commencement', case k when 0 then 'Data Law came into force on ' || coalesce(late, d || ' March 2020') else 'Amendment Law came into force on ' || coalesce(late, d || ' April 2021') end from y where k in (0, 4)
+ union all select doc, 'law_short_title', 'Data Law may be cited as Data Act ' || n from y where k = 0
+ union all select doc, 'amendment_target', 'Amendment Law amends ' || unnest(['Data Law', 'Fee Code']) from y where k = 4
+ union all select doc, 'case_number', 'Smith v Jones ' || cn || ' has the case number ' || coalesce(fixed, cn) from y where k = 1
+ union all select doc, 'case_judge', 'Smith v Jones ' || cn || ' was heard by ' || unnest(['Ann Lee', 'Bo']) from y where k = 1
+ union all select doc, 'case_judge', 'Order of the court was heard by Ann Lee' from y where k = 2
+ union all select doc, 'case_party', 'Smith v Jones ' || cn || ' has the party Firm ' || unnest([c, c + 1]) from y where k = 1
+ union all select doc, 'case_outcome', 'In Smith v Jones ' || cn || ' it was ordered that the claim ' || n || ' is dismissed' from y where k = 1
+ union all select doc, 'case_outcome', 'In Order of the court it was ordered that costs are paid' from y where k = 2
+ union all select doc, 'case_date', case k when 1 then 'Smith v Jones ' || cn || ' is dated ' || coalesce(late, d || ' June 2022') when 2 then 'Order of the court is dated ' || coalesce(late, d || ' May 2021') else 'Directions is dated ' || coalesce(late, d || ' July 2020') end from y where k in (1, 2, 3)
+ union all select doc, 'order_authority', 'Directions was issued by Registry ' || c from y where k = 3
+ union all select doc, 'citation', 'Smith v Jones ' || cn || ' refers to ' || unnest([cn, 'XY 7/2001']) from y where k = 1
+ union all select doc, 'citation', ['Data Law', '', 'Order of the court', 'Directions', 'Amendment Law', 'Notes'][k + 1] || ' refers to ' || cn from y where k = 2 or v = 1 and k <> 1)
+select doc, kind, text from f
+""")
+def bridge_facts(t: Tables) -> DataFrame:
+    return compiling.bridge_facts(compiling.compile_records(law_pages(t))).select("doc", "kind", "text")
+
+
+@query("SRC-10", """
+select conv_id, turn, role, false as bad, null as line from conversations where conv_id % 5 > 0 and role is not null
+union all select null, null, null, true, md5('{"conv_id":' || conv_id || ',"turn":' || turn || ',"ro') from conversations where conv_id % 5 = 0 and role is not null
+""")
+def jsonl_rows(t: Tables) -> DataFrame:
+    """Conversations written as JSON lines, one in five cut off, and read back."""
+    path = scratch_path(t.spark, "jsonl")
+    rows = t.conversations.where("role is not null")
+    whole = F.to_json(F.struct("conv_id", "turn", "role"))
+    cut = F.concat(F.lit('{"conv_id":'), "conv_id", F.lit(',"turn":'), "turn", F.lit(',"ro'))
+    rows.select(F.when(F.col("conv_id") % 5 > 0, whole).otherwise(cut).alias("value")).write.text(path)
+    good, bad = files.read_jsonl(t.spark, path, "conv_id long, turn long, role string")
+    nothing = [F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role")]
+    return good.select("conv_id", "turn", "role", F.lit(False).alias("bad"), F.lit(None).cast("string").alias("line")).unionByName(bad.select(*nothing, F.lit(True).alias("bad"), F.md5("value").alias("line")))
+
+
+@query("SRC-12", """
+select case when p_partkey % 2 = 0 then 'part ' || p_partkey else p_name end as name, case when p_partkey % 2 = 0 then 'http://x/' || p_partkey end as url, case when p_partkey % 3 > 0 then p_size * 1.0 end as score from part
+""", doubles="score")
+def benchmark_rows(t: Tables) -> DataFrame:
+    """Parts written as CSV, half of the names as links, a third of the scores no numbers."""
+    path = scratch_path(t.spark, "csv")
+    name = F.when(F.col("p_partkey") % 2 == 0, F.format_string("[part %d](http://x/%d)", "p_partkey", "p_partkey")).otherwise(F.col("p_name"))
+    score = F.when(F.col("p_partkey") % 3 > 0, F.concat(F.col("p_size"), F.lit("%"))).otherwise("n/a")
+    t.part.select(name.alias("model"), score.alias("score")).write.csv(path, header=True)
+    return files.read_benchmark_csv(t.spark, path)

@@ -126,7 +126,7 @@ def title_boost(t: Tables) -> DataFrame:
     return hits.select("qid", "id", F.round(F.col("score") + boost, 6).alias("score"))
 
 
-@query("HYB-16 WN-10", HITS + """, placed as (select *, row_number() over (partition by qid, doc order by score desc, id) as own from hits), slots as (select *, row_number() over (partition by qid order by own > 1, score desc, id) as slot from placed)
+@query("HYB-16", HITS + """, placed as (select *, row_number() over (partition by qid, doc order by score desc, id) as own from hits), slots as (select *, row_number() over (partition by qid order by own > 1, score desc, id) as slot from placed)
 select qid, doc, id, slot from slots where slot <= 5 or own = 1""")
 def one_of_each_reference(t: Tables) -> DataFrame:
     return R.one_of_each(paged_hits(t, 30), 5, "doc").select("qid", "doc", "id", "slot")
@@ -221,12 +221,20 @@ def composite_estimate(t: Tables) -> DataFrame:
 
 
 @query("AG-36", """
-select cast(('0x' || substr(md5('7:' || doc_id), 1, 8)) as bigint) % 5 as fold, count(*) as n, round(avg(case when (length(text) >= 2000) = (quality = 1) then 1.0 else 0.0 end), 6) as accuracy from labels join documents using (doc_id) group by fold
+with x as (select cast(('0x' || substr(md5('7:' || doc_id), 1, 8)) as bigint) % 5 as fold, quality, ln(1 + coalesce(length(text), 0)) as s from labels join documents using (doc_id) where quality is not null),
+m as (select f.fold, (avg(case when quality = 1 then s end) + avg(case when quality = 0 then s end)) / 2 as middle, avg(case when quality = 1 then s end) >= avg(case when quality = 0 then s end) as up from (select distinct fold from x) f join x on x.fold <> f.fold group by f.fold)
+select fold, count(*) as n, round(avg(case when ((s >= middle) = up) = (quality = 1) then 1.0 else 0.0 end), 6) as accuracy from x join m using (fold) group by fold
 """)
 def cross_validation(t: Tables) -> DataFrame:
-    rows = t.labels.join(t.documents.select("doc_id", (F.length("text") / 4000).alias("s")), "doc_id")
-    scored = lambda train: lambda test: test.withColumn("score", F.col("s"))
-    return metrics.cross_validation(rows, scored, "doc_id", "quality", 5, 0.5).select(F.col("fold").cast("long").alias("fold"), "n", "accuracy")
+    """The middle between the mean lengths of good and bad texts, fitted on four folds."""
+    rows = t.labels.where("quality is not null").join(t.documents.select("doc_id", F.log(1 + F.coalesce(F.length("text"), F.lit(0))).alias("s")), "doc_id")
+
+    def fit(train: DataFrame):
+        mean = lambda k: F.avg(F.when(F.col("quality") == k, F.col("s")))
+        model = train.agg(((mean(1) + mean(0)) / 2).alias("middle"), (mean(1) >= mean(0)).alias("up"))  # one row
+        return lambda test: test.crossJoin(F.broadcast(model)).withColumn("score", F.when((F.col("s") >= F.col("middle")) == F.col("up"), 1.0).otherwise(0.0))
+
+    return metrics.cross_validation(rows, fit, "doc_id", "quality", 5, 0.5).select(F.col("fold").cast("long").alias("fold"), "n", "accuracy")
 
 
 MINED = f"""with {BM25}, gold as (select distinct item_id as qid, doc_id as page from benchmark b join documents d on contains(d.text, b.text)), s as (select qid, id as page, rank, round(score, 4) as overlap, source from sparse join documents on doc_id = id where rank <= 20),
@@ -406,11 +414,15 @@ def question_profiles(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", *[F.col(f"p.{c}").cast("long").alias(c) for c in ("names", "numbers", "complexity")])
 
 
-@query("RR-4 UDF-6", f"with {BM25} select qid, id, round(length(text) / (1.0 + rank), 6) as rerank from sparse join documents on doc_id = id where rank <= 5")
+@query("RR-4 UDF-6", rf"""
+with {BM25}, x as (select qid, id, list_distinct(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+')) as q, list_distinct(regexp_extract_all(lower(d.text), '[\p{{L}}\p{{N}}]+')) as t from sparse join documents d on doc_id = id join benchmark b on item_id = qid where rank <= 5)
+select qid, id, round(len(list_intersect(q, t)) / sqrt(len(q) * len(t)), 6) as rerank from x
+""")
 def plugged_scorer(t: Tables) -> DataFrame:
-    """Any function of query and text; here one that needs no model."""
-    hits = sparse_hits(t, 5).join(corpus(t).select("id", "text"), "id").withColumn("query", F.col("rank").cast("string"))
-    return assembly.rescored(hits, lambda q, x: F.length(x) / (1.0 + q.cast("int"))).select("qid", "id", "rerank")
+    """Any function of query and text; here the cosine of their sets of words."""
+    hits = sparse_hits(t, 5).join(corpus(t).select("id", "text"), "id").join(passages(t), "qid")
+    words = lambda c: F.array_distinct(T.tokens(c))
+    return assembly.rescored(hits, lambda q, x: F.size(F.array_intersect(words(q), words(x))) / F.sqrt(F.size(words(q)) * F.size(words(x)).cast("double"))).select("qid", "id", "rerank")
 
 
 @query("DEN-2 ST-5", "select doc_id, length(text) as size, md5(text) as digest from documents")

@@ -39,7 +39,7 @@ def segment_of_chunk(t: Tables) -> DataFrame:
     return S.first_segment(chunks, segments)
 
 
-@query("JN-3 DB-6", """
+@query("JN-3", """
 select c_custkey as src, n_nationkey as dst from customer join nation on n_nationkey in (c_nationkey, (c_nationkey + 1) % 25) where c_custkey <> n_nationkey
 """)
 def title_mentions(t: Tables) -> DataFrame:
