@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings as limits, strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators import aliases as A, assembly, mldata, ranking, regions, skyline, spans
+from tessera.operators import aliases as A, assembly, compiling, metrics, mldata, ranking, regions, selection, skyline, spans
 from tessera.queries import evidence
 from tessera.queries.registry import Tables
 
@@ -209,3 +209,49 @@ def test_weak_triples(spark):
     assert mldata.weak_triples(questions, docs.limit(1)).count() == 0
     places = sorted((r.place, r.id) for r in mldata.in_order(docs.repartition(7), [F.desc("id")]).collect())
     assert places == [(k, 29 - k) for k in range(30)]
+
+
+# ------------------------------------------------------------ joins and metrics
+
+
+def test_document_shortlist(spark):
+    rows = [(1, 0, "a", 1, 5, 0.1), (1, 0, "b", 2, 5, 0.9), (1, 0, "c", 3, 4, 0.9), (1, 5, "z", 4, 9, 0.9), (1, 1, "d", 5, 0, 0.9), (1, 0, "c", 6, 4, None), (2, 0, "a", 7, 0, 0.5), (3, 9, "a", 8, 3, 0.5), (4, 0, "a", 9, 2, 0.1), (4, 0, "b", 10, 2, 0.1), (4, 0, "c", 11, 2, 0.1)]
+    chunks = spark.createDataFrame(rows, "qid int, pos int, doc string, id int, doc_score int, score double")
+    keep = spark.createDataFrame([(1, "d"), (1, "d")], "qid int, doc string")
+    got = lambda k: sorted(r.id for r in selection.document_shortlist(chunks, k).collect())
+    assert got(keep) == [1, 2, 5, 7, 8, 10, 11] and got(None) == [1, 2, 7, 8, 10, 11]
+    assert selection.document_shortlist(chunks.limit(0), keep).count() == 0
+
+
+def test_labelled_candidates(spark):
+    run = lambda rows: spark.createDataFrame(rows, "qid int, pages array<string>")
+    out = mldata.labelled_candidates(run([(1, ["a", "b", "a"]), (2, ["x"]), (3, None)]), run([(1, ["b"]), (4, ["q"])]), run([(1, ["b", "c"]), (4, []), (5, None)]))
+    got = sorted((r.qid, r.page, r.legacy_rank, r.sidecar_rank, r.label, r.labelled, r.n_candidates) for r in out.collect())
+    assert got == [(1, "a", 1, None, 0, True, 3), (1, "b", 2, 1, 1, True, 3), (1, "c", None, None, 1, True, 3), (2, "x", 1, None, None, False, 1), (4, "q", None, 1, 0, True, 1)]
+
+
+def test_reference_hits(spark):
+    refs = spark.createDataFrame([(1, ["A ", "a", "B"]), (2, []), (3, None), (4, ["", "x"])], "qid int, refs array<string>")
+    cited = spark.createDataFrame([(1, ["a"]), (1, [" A"]), (4, None), (9, ["x"])], "qid int, citations array<string>")
+    assert {r.qid: (r.n_refs, r.n_hit, r.rate) for r in metrics.reference_hit_rate(refs, cited).collect()} == {1: (2, 1, 0.5), 2: (0, 0, 1.0), 3: (0, 0, 1.0), 4: (1, 0, 0.0)}
+
+
+def test_bootstrap(spark):
+    rng = random.Random(0)
+    rows = [(i, rng.gauss(10, 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x double")
+    one = metrics.bootstrap_mean(df, "x", rounds=2000).first()
+    assert one == metrics.bootstrap_mean(df.repartition(7), "x", rounds=2000).first()
+    assert abs(one.mean - 10) < 0.3 and 0.3 < one.high - one.low < 0.5  # 2 * 1.96 * 2 / 20
+    # rows that are equal in all columns are rows of their own
+    same = metrics.bootstrap_mean(df.selectExpr("cast(x as int) * 1.0D as x"), "x", rounds=2000).first()
+    assert 0.3 < same.high - same.low < 0.55
+    assert metrics.bootstrap_mean(df.selectExpr("cast(null as double) as x"), "x", rounds=10).first() == (None, None, None)
+
+
+def test_bridge_facts_and_field_pages(spark):
+    pages = spark.createDataFrame([(1, 1, "Order\nABC 1/2020"), (1, 2, "It is hereby ordered that costs\t follow. See ABC 1/2020"), (2, 1, None)], "doc long, page long, text string")
+    got = sorted((r.doc, r.kind, r.text, r.pages) for r in compiling.bridge_facts(compiling.compile_records(pages)).collect())
+    assert got == [(1, "case_outcome", "In Order it was ordered that costs\t follow", [2]), (1, "citation", "Order refers to ABC 1/2020", [1, 2])]
+    values = spark.createDataFrame([(1, "outcome", "that COSTS follow"), (1, "title", "nowhere"), (1, "x", "nowhere"), (1, "y", None), (9, "title", "z")], "doc long, field string, value string")
+    assert sorted((r.doc, r.field, r.pages) for r in compiling.field_pages(values, pages).collect()) == [(1, "outcome", [2]), (1, "title", [1]), (1, "x", []), (9, "title", [])]
