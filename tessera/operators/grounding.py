@@ -93,3 +93,24 @@ def contained(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame
     found = pairs.join(asked.select("item_id", "passage"), "item_id").join(texts, "doc_id").where(F.contains("text", "passage"))
     tiny = texts.join(inner.where("n < 1").select("item_id", "passage"), F.contains("text", "passage"))
     return found.select("item_id", "doc_id").union(tiny.select("item_id", "doc_id")).distinct()
+
+
+def escalation(family: Column, success: Column, n_pages: Column, n_selected: Column, strong: Column, margin: Column, failed: Column, compares: Column, laws: Column, page_scores: Column, authority: Column, least_margin: float = 0.06, least_page_margin: float = 0.2, least_authority: float = 0.95) -> Column:
+    """struct<escalate, reasons>: whether the search for evidence should go on, and why.
+
+    It never does for questions without a ``family``, nor where the audit succeeded
+    and there are no other pages or the selected ones are ``strong``. Reasons in order:
+    the rerank ``margin`` is small; typed slots ``failed``, among them a side of a
+    comparison; pages of several ``laws`` compete; the best two ``page_scores`` are
+    close; no page has enough ``authority``.
+    """
+    done = F.coalesce(success, F.lit(False)) & ((n_pages <= F.greatest(n_selected, F.lit(1))) | F.coalesce(strong, F.lit(False)))
+    best = F.sort_array(page_scores, asc=False)
+    close = (F.size(best) > 1) & (F.get(best, F.lit(0)) - F.get(best, F.lit(1)) < least_page_margin) & ~(F.coalesce(F.array_max(authority), F.lit(0.0)) >= least_authority)
+    found = (
+        ("low_rerank_confidence", margin < least_margin), ("typed_slots_missing", F.size(failed) > 0), ("compare_missing_side", compares & F.array_contains(failed, "compare_docs")),
+        ("law_family_ambiguous", F.size(F.array_distinct(laws)) > 1), ("page_margin_close", close), ("no_strong_authoritative_hit", ~F.coalesce(F.array_max(authority) >= least_authority, F.lit(False))),
+    )
+    open_ = F.coalesce(family, F.lit("")) != ""
+    reasons = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)) & open_ & ~done, F.lit(n)) for n, c in found]), lambda x: x.isNotNull())
+    return F.struct((F.size(reasons) > 0).alias("escalate"), reasons.alias("reasons"))

@@ -268,3 +268,36 @@ def reference_hit_rate(references: DataFrame, contexts: DataFrame) -> DataFrame:
     wanted = references.select("qid", F.explode_outer(clean("refs")).alias("ref")).distinct()
     rows = wanted.join(cited, ["qid", "ref"], "left").groupBy("qid").agg(F.count("ref").alias("n_refs"), F.count("hit").alias("n_hit"))
     return rows.withColumn("rate", F.when(F.col("n_refs") > 0, F.round(F.col("n_hit") / F.col("n_refs"), DIGITS)).otherwise(1.0))
+
+
+def item_coverage(answer: Column, items: Column) -> Column:
+    """Share of the gold items whose words the answer has, one after another, whatever
+    their case and signs; null without items, 0 for an empty answer."""
+    key = lambda c: F.concat(F.lit(" "), T.lookup_key(c), F.lit(" "))
+    told = F.coalesce(key(answer), F.lit(""))
+    held = F.filter(items, lambda x: (T.lookup_key(x) != "") & F.contains(told, key(x)))
+    return F.when(F.size(items) > 0, F.round(F.size(held) / F.size(items), DIGITS))
+
+
+def support_shape(used: DataFrame, retrieved: DataFrame, gold: DataFrame, wants: DataFrame, most: int = 2) -> DataFrame:
+    """qid, over_budget, overbroad and weak_anchor of the questions with used pages.
+
+    ``over_budget``: some document has more than ``most`` used pages. ``overbroad``:
+    more pages are used than gold ones and one more, at least 2 and at most 4 being
+    allowed. ``weak_anchor``: of a document with a used page, a gold page was retrieved
+    and not used; or page 1 (2, the last one retrieved) that the question ``wants``
+    (qid, title, second, outcome) was, and isn't among the gold pages. All other tables
+    have qid, doc and page.
+    """
+    u, r, g = (t.select("qid", "doc", "page").distinct() for t in (used, retrieved, gold))
+    docs = u.groupBy("qid", "doc").agg(F.count(F.lit(1)).alias("n"))
+    own = docs.groupBy("qid").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    allowed = F.least(F.lit(4), F.greatest(F.lit(2), F.coalesce("n_gold", F.lit(0)) + 1))
+    ends = r.groupBy("qid", "doc").agg(F.max("page").alias("last"))
+    missed = r.join(docs.select("qid", "doc"), ["qid", "doc"], "left_semi").join(u, ["qid", "doc", "page"], "left_anti")
+    is_gold = g.withColumn("gold", F.lit(True))
+    missed = missed.join(is_gold, ["qid", "doc", "page"], "left").join(ends, ["qid", "doc"]).join(wants, "qid", "left")
+    wanted = (F.col("title") & (F.col("page") == 1)) | (F.col("second") & (F.col("page") == 2)) | (F.col("outcome") & (F.col("page") == F.col("last")))
+    weak = missed.where(F.coalesce("gold", F.lit(False)) | F.coalesce(wanted, F.lit(False))).select("qid").distinct().withColumn("weak", F.lit(True))
+    out = own.join(g.groupBy("qid").agg(F.count(F.lit(1)).alias("n_gold")), "qid", "left").join(weak, "qid", "left")
+    return out.select("qid", (F.col("most") > most).alias("over_budget"), (F.col("n") > allowed).alias("overbroad"), F.coalesce("weak", F.lit(False)).alias("weak_anchor"))

@@ -169,3 +169,14 @@ def document_shortlist(chunks: DataFrame, keep: DataFrame | None = None, per: in
     chosen = (chosen if keep is None else chosen.unionByName(keep.select("qid", "doc"))).distinct()
     some = chosen.select("qid").distinct()
     return chunks.join(chosen, ["qid", "doc"], "left_semi").unionByName(chunks.join(some, "qid", "left_anti").select(*chunks.columns), allowMissingColumns=False).select(*chunks.columns)
+
+
+def promotion(reversible: Column, runs: Column, score: Column, gain: Column, overall_gain: Column, safe: Column, false_positives: Column, tokens: Column, least_score: float = 0.65, least_runs: int = 2, most_false: float = 0.15, most_tokens: int = 120) -> Column:
+    """struct<status, reason>: whether a rule that was tried may be kept. ``pending``
+    until it ran often enough; ``rejected`` for the first thing that speaks against it;
+    else ``accepted``. Null counts as not reversible, 0 or safe."""
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    told = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+    out = F.when(~F.coalesce(reversible, F.lit(False)), told("rejected", "not reversible")).when(zero(runs) < least_runs, told("pending", "too few runs")).when(zero(score) < least_score, told("rejected", "score"))
+    out = out.when((zero(gain) <= 0) & (zero(overall_gain) <= 0), told("rejected", "no gain")).when(~F.coalesce(safe, F.lit(True)), told("rejected", "not safe"))
+    return out.when(zero(false_positives) > most_false, told("rejected", "false positives")).when(zero(tokens) > most_tokens, told("rejected", "size")).otherwise(told("accepted", ""))

@@ -185,3 +185,58 @@ def reference_hits(t: Tables) -> DataFrame:
     refs = lines.where("l_linenumber <= 2").groupBy("qid").agg(F.collect_list("ref").alias("refs"))
     asked = t.customer.select(F.col("c_custkey").alias("qid")).join(refs, "qid", "left")
     return metrics.reference_hit_rate(asked, lines.where("l_quantity > 25").select("qid", F.array(F.concat(F.lit(" "), F.lower("ref"))).alias("citations")))
+
+
+@query("AG-20", r"""
+with x as (select o_orderkey as qid, 'Answer: PART ' || string_agg(cast(l_partkey as varchar), ', part-' order by l_linenumber, l_partkey) filter (l_linenumber % 2 = 1) || '.' as answer, list('Part ' || l_partkey) as items from orders join lineitem on l_orderkey = o_orderkey group by 1),
+k as (select qid, items, ' ' || trim(regexp_replace(lower(coalesce(answer, '')), '[^\p{L}\p{N}]+', ' ', 'g')) || ' ' as told from x)
+select qid, round(len(list_filter(items, lambda i: contains(told, ' ' || lower(i) || ' '))) / len(items), 6) as coverage from k
+""")
+def item_coverage(t: Tables) -> DataFrame:
+    """Answers that name every other line's part, against the parts of all lines."""
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("qid")).agg(F.array_sort(F.collect_list(F.when(F.col("l_linenumber") % 2 == 1, F.struct("l_linenumber", "l_partkey")))).alias("odd"), F.collect_list(F.concat(F.lit("Part "), "l_partkey")).alias("items"))
+    answer = F.when(F.size("odd") > 0, F.concat(F.lit("Answer: PART "), F.array_join(F.transform("odd", lambda x: x["l_partkey"].cast("string")), ", part-"), F.lit(".")))
+    return lines.select("qid", metrics.item_coverage(answer, F.col("items")).alias("coverage"))
+
+
+@query("AG-25", """
+with x as (select l_orderkey as qid, l_suppkey % 3 as doc, l_linenumber as page, l_returnflag as f, l_quantity as q from lineitem), u as (select distinct qid, doc, page from x where q > 12), r as (select distinct qid, doc, page from x), g as (select distinct qid, doc, page from x where f = 'R' and page % 2 = 0),
+d as (select qid, doc, count(*) as n from u group by all), o as (select qid, max(n) as most, sum(n) as n from d group by qid), ng as (select qid, count(*) as n_gold from g group by qid), e as (select qid, doc, max(page) as last from r group by all),
+w as (select distinct r.qid from r join d on d.qid = r.qid and d.doc = r.doc join e on e.qid = r.qid and e.doc = r.doc left join g on g.qid = r.qid and g.doc = r.doc and g.page = r.page left join u on u.qid = r.qid and u.doc = r.doc and u.page = r.page
+ where u.qid is null and (g.qid is not null or r.qid % 5 = 1 and r.page = 1 or r.qid % 5 = 2 and r.page = 2 or r.qid % 5 = 3 and r.page = e.last))
+select o.qid, most > 2 as over_budget, n > least(4, greatest(2, coalesce(n_gold, 0) + 1)) as overbroad, w.qid is not null as weak_anchor from o left join ng on ng.qid = o.qid left join w on w.qid = o.qid
+""")
+def support_shape(t: Tables) -> DataFrame:
+    rows = t.lineitem.selectExpr("l_orderkey as qid", "l_suppkey % 3 as doc", "l_linenumber as page", "l_returnflag as f", "l_quantity as q")
+    wants = t.orders.selectExpr("o_orderkey as qid", "o_orderkey % 5 = 1 as title", "o_orderkey % 5 = 2 as second", "o_orderkey % 5 = 3 as outcome")
+    return metrics.support_shape(rows.where("q > 12"), rows, rows.where("f = 'R' and page % 2 = 0"), wants)
+
+
+@query("ML-16", """
+with x as (select p_partkey as id, p_partkey % 11 <> 0 as reversible, p_partkey % 5 as runs, p_size / 50.0 as score, (p_partkey % 7 - 3) / 10.0 as gain, (p_partkey % 3 - 1) / 10.0 as overall, case when p_partkey % 13 = 0 then null else p_partkey % 4 <> 0 end as safe, p_partkey % 23 / 100.0 as wrong, p_partkey % 160 as tokens from part)
+select id, case when not reversible then 'rejected' when runs < 2 then 'pending' when score < 0.65 or gain <= 0 and overall <= 0 or not coalesce(safe, true) or wrong > 0.15 or tokens > 120 then 'rejected' else 'accepted' end as status,
+ case when not reversible then 'not reversible' when runs < 2 then 'too few runs' when score < 0.65 then 'score' when gain <= 0 and overall <= 0 then 'no gain' when not coalesce(safe, true) then 'not safe' when wrong > 0.15 then 'false positives' when tokens > 120 then 'size' else '' end as reason from x
+""")
+def rule_promotion(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    judged = S.promotion(k % 11 != 0, k % 5, F.col("p_size") / 50.0, (k % 7 - 3) / 10.0, (k % 3 - 1) / 10.0, F.when(k % 13 != 0, k % 4 != 0), k % 23 / 100.0, k % 160)
+    return t.part.select(k.alias("id"), judged["status"].alias("status"), judged["reason"].alias("reason"))
+
+
+@query("GR-7", """
+with l as (select l_orderkey as id, list(l_quantity / 50.0) as scores, list(l_discount * 10) as authority, list('law ' || l_suppkey % 2) as laws, list(distinct case l_linenumber when 4 then 'compare_docs' when 5 then 'date' end) filter (l_linenumber in (4, 5)) as failed, count(*) as n from lineitem group by 1),
+x as (select l.*, o_orderkey % 7 > 0 as family, o_orderkey % 3 = 0 as success, o_orderkey % 4 as selected, o_orderkey % 9 = 0 as strong, o_orderkey % 20 / 100.0 as margin, o_orderkey % 2 = 0 as compares, list_reverse_sort(scores) as best, list_max(authority) >= 0.95 as sure from orders join l on id = o_orderkey),
+y as (select *, family and not (success and (n <= greatest(selected, 1) or strong)) as go from x),
+z as (select id, case when go then list_filter([case when margin < 0.06 then 'low_rerank_confidence' end, case when len(coalesce(failed, [])) > 0 then 'typed_slots_missing' end, case when compares and list_contains(coalesce(failed, []), 'compare_docs') then 'compare_missing_side' end,
+ case when len(list_distinct(laws)) > 1 then 'law_family_ambiguous' end, case when len(best) > 1 and best[1] - best[2] < 0.2 and not sure then 'page_margin_close' end, case when not sure then 'no_strong_authoritative_hit' end], lambda r: r is not null) else [] end as reasons from y)
+select id, len(reasons) > 0 as escalate, array_to_string(reasons, ',') as reasons from z
+""")
+def escalation_reasons(t: Tables) -> DataFrame:
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.collect_list(F.col("l_quantity") / 50.0).alias("scores"), F.collect_list(F.col("l_discount") * 10).alias("authority"), F.collect_list(F.concat(F.lit("law "), F.col("l_suppkey") % 2)).alias("laws"),
+        F.collect_set(F.expr("case l_linenumber when 4 then 'compare_docs' when 5 then 'date' end")).alias("failed"), F.count(F.lit(1)).alias("n"),
+    )
+    k = F.col("o_orderkey")
+    rows = t.orders.join(lines, F.col("id") == k)
+    judged = grounding.escalation(F.when(k % 7 > 0, "f"), k % 3 == 0, F.col("n"), k % 4, k % 9 == 0, k % 20 / 100.0, F.col("failed"), k % 2 == 0, F.col("laws"), F.col("scores"), F.col("authority"))
+    return rows.select("id", judged["escalate"].alias("escalate"), F.array_join(judged["reasons"], ",").alias("reasons"))

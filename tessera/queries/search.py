@@ -165,7 +165,21 @@ def fused_hits(t: Tables) -> DataFrame:
     return R.rrf([(sparse_hits(t, 120, hits), 0.3), (overlap_hits(hits), 0.7)])
 
 
-@query("HYB-1 HYB-2 HYB-4 HYB-14", FUSED + "select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from fused) where rank <= 10")
+VARIANTS = """base as (select item_id as qid, trim(text) as q, case when item_id % 2 = 0 then regexp_extract_all(text, '[A-Z][a-z]+')[1:3] else [] end as refs from benchmark),
+kw as (select *, trim(regexp_replace(q, '(?i)^\\s*(what|when|where|which|who|how|is|are|was|were|does|did|can|should|would|will)\\s+', '')) as k from base),
+variants as (select qid, unnest([0, 1, 2]) as v, unnest([q, 'legal provision article: ' || q, case when len(refs) > 0 then array_to_string(refs, ' ') || ' ' || q when length(k) > 10 then k else q end]) as text from kw where q <> ''),
+"""
+VARIED = "with " + VARIANTS + BM25.replace("select item_id as qid, unnest", "select qid * 3 + v as qid, unnest").replace("from benchmark)", "from variants)")
+
+
+@query("HYB-4", VARIED + """, parts as (select qid // 3 as qid, id, 1.0 / (rank - 1 + 60) as part from sparse where rank <= 40), fused as (select qid, id, round(sum(part), 6) as score from parts group by all)
+select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from fused) where rank <= 10""")
+def variant_fusion(t: Tables) -> DataFrame:
+    refs = F.when(F.col("qid") % 2 == 0, F.regexp_extract_all("query", F.lit("[A-Z][a-z]+"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return R.fused_variants(corpus(t), passages(t).select("qid", R.query_variants(F.col("query"), refs, "legal provision article").alias("variants"))).select("qid", "id", "score", "rank")
+
+
+@query("HYB-1 HYB-2", FUSED + "select qid, id, score, rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from fused) where rank <= 10")
 def rrf_weighted(t: Tables) -> DataFrame:
     return R.top_k(fused_hits(t), 10).select("qid", "id", "score", "rank")
 
