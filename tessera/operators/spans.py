@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,21 +61,54 @@ def _columns(pattern: str, text: str, anchored: bool) -> Iterator[int]:
         yield score
 
 
-def stretches(claim: str, source: str, errors: int) -> list[tuple[int, int]]:
+def grams(text: str) -> np.ndarray:
+    """The trigrams of a text as numbers: 21 bits for each code point."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+class Source:
+    """What claims about a source share: its text to align with, and its trigrams and
+    the words of its sentences, once they are asked for."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.plain = lowered(re.sub(r"\s", " ", text))
+        self.flat = " ".join(self.plain.split())
+        self._sorted = self._sentences = None
+
+    def sorted_grams(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._sorted is None:
+            found = grams(self.plain)
+            order = np.argsort(found, kind="stable")
+            self._sorted = found[order], order
+        return self._sorted
+
+    def sentences(self) -> list[tuple[int, int, set[str]]]:
+        if self._sentences is None:
+            starts = [0, *[m.end() for m in SENTENCE.finditer(self.text)]]
+            ends = [*[m.start() for m in SENTENCE.finditer(self.text)], len(self.text)]
+            self._sentences = [(a, b, set(TOKEN.findall(self.text[a:b].lower()))) for a, b in zip(starts, ends)]
+        return self._sentences
+
+
+#: Claims about one source come one after another.
+source_of = lru_cache(64)(Source)
+
+
+def stretches(claim: str, source: Source, errors: int) -> list[tuple[int, int]]:
     """Parts of the source outside of which no substring is within ``errors``."""
-    m, n = len(claim), len(source)
+    m, n = len(claim), len(source.plain)
     need = m - GRAM + 1 - GRAM * errors
     if need <= 0:
         return [(0, n)]
     if n < GRAM:
         return []
-    grams = lambda s: np.array([hash(s[i : i + GRAM]) for i in range(len(s) - GRAM + 1)], np.int64)
-    own, other = grams(claim), grams(source)
-    order = np.argsort(own, kind="stable")
-    low, high = np.searchsorted(own[order], other, "left"), np.searchsorted(own[order], other, "right")
+    own, (held, place) = grams(claim), source.sorted_grams()
+    low, high = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
     count = high - low
-    j = np.repeat(np.arange(len(other)), count)
-    i = order[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)]
+    i = np.repeat(np.arange(len(own)), count)
+    j = place[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - low, count)]
     diagonal = np.sort(j - i)
     if len(diagonal) < need:
         return []
@@ -89,21 +123,23 @@ def stretches(claim: str, source: str, errors: int) -> list[tuple[int, int]]:
     return out
 
 
-def align(claim: str, source: str, ratio: float) -> tuple[int, int, int] | None:
+def align(claim: str, source: str | Source, ratio: float) -> tuple[int, int, int] | None:
     """Start, end and edit distance of the substring nearest to the claim, if
     1 - distance / length of the claim is ``ratio`` at least: of several the one that
     ends first, and of these the shortest."""
-    m = len(claim)
+    if isinstance(source, str):
+        source = Source(source)
+    m, text = len(claim), source.plain
     errors = int((1 - ratio) * m + 1e-9)
     best = errors + 1
     for a, b in stretches(claim, source, errors):
-        for k, score in enumerate(_columns(claim, source[a:b], False), a + 1):
+        for k, score in enumerate(_columns(claim, text[a:b], False), a + 1):
             if score < best:
                 best, end = score, k
     if best > errors or not m:
         return None
     # backwards from the end, no further than the distance allows
-    for k, score in enumerate(_columns(claim[::-1], source[max(0, end - m - best) : end][::-1], True), 1):
+    for k, score in enumerate(_columns(claim[::-1], text[max(0, end - m - best) : end][::-1], True), 1):
         if score == best:
             return end - k, end, best
     return end, end, best
@@ -113,23 +149,21 @@ def _spans(claim: str, source: str, rule: Settings) -> list[tuple[str, int, int,
     words = claim.split()
     if not words or not source.strip():
         return []
-    pattern = re.compile(r"\s+".join(map(re.escape, words)), re.IGNORECASE)
-    found = [("exact", x.start(), x.end(), 1.0) for x, _ in zip(pattern.finditer(source), range(rule.most))]
-    if found:
-        return found
-    low = lowered(" ".join(words))
-    near = align(low, lowered(re.sub(r"\s", " ", source)), rule.ratio)
+    low, of = lowered(" ".join(words)), source_of(source)
+    if low in of.flat:
+        pattern = re.compile(r"\s+".join(map(re.escape, words)), re.IGNORECASE)
+        found = [("exact", x.start(), x.end(), 1.0) for x, _ in zip(pattern.finditer(source), range(rule.most))]
+        if found:
+            return found
+    near = align(low, of, rule.ratio)
     if near and near[0] < near[1]:
         return [("fuzzy", near[0], near[1], round(1 - near[2] / len(low), 6))]
     asked = set(TOKEN.findall(low))
     best = (0.0, 0, 0)
-    start = 0
-    for cut in [*SENTENCE.finditer(source), None]:
-        end = cut.start() if cut else len(source)
-        share = len(asked & set(TOKEN.findall(source[start:end].lower()))) / len(asked) if asked else 0.0
+    for start, end, held in of.sentences() if asked else ():
+        share = len(asked & held) / len(asked)
         if share > best[0]:
             best = (share, start, end)
-        start = cut.end() if cut else end
     return [("overlap", best[1], best[2], round(best[0], 6))] if best[0] >= rule.overlap else []
 
 
