@@ -13,6 +13,8 @@ import zlib
 
 #: What stands before a value (spaces and comments), and a name, number or keyword.
 GAP, WORD = re.compile(rb"(?:[\0\t\n\f\r ]|%[^\r\n]*)*"), re.compile(rb"/?[^\0\t\n\f\r ()<>\[\]{}/%]*")
+#: The commonest values, with what stands before them: a number, a string in digits.
+PLAIN = re.compile(rb"[\0\t\n\f\r ]*(?:([-+]?[0-9]+)|([-+]?(?:[0-9]+\.[0-9]*|\.[0-9]+))|<((?:[0-9A-Fa-f]{2})+)>)(?=[\0\t\n\f\r ()<>\[\]{}/%])")
 HEX, CODE = re.compile(rb"[^0-9A-Fa-f]"), re.compile(r"#([0-9A-Fa-f]{2})")
 ESCAPES = {ord(k): v for k, v in {"n": b"\n", "r": b"\r", "t": b"\t", "b": b"\b", "f": b"\f"}.items()}
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -40,6 +42,10 @@ class Scanner:
     def value(self):
         """The next value; None at the end."""
         d, n = self.data, len(self.data)
+        m = PLAIN.match(d, self.at)
+        if m:
+            self.at = m.end()
+            return int(m[1]) if m[1] else float(m[2]) if m[2] is not None else bytes.fromhex(m[3].decode())
         self.at = GAP.match(d, self.at).end()
         if self.at >= n:
             return None
@@ -105,7 +111,7 @@ class File:
             self.objects[int(m[1])] = m.end()
         for m in re.finditer(rb"\btrailer\b", data):
             self.trailer |= self._dictionary(Scanner(data, m.end()).value())
-        for number in list(self.objects):
+        for number in list(self.objects) if b"/ObjStm" in data or b"/XRef" in data else ():
             held = self.get(Reference(number))
             if isinstance(held, dict) and held.get("Type") == "XRef":
                 self.trailer |= held
@@ -272,10 +278,15 @@ class UnicodeMap:
             elif v == "endbfchar":
                 self.known |= dict(zip(args[::2], args[1::2]))
             elif v == "endbfrange":
-                self.ranges += zip(args[::3], args[1::3], args[2::3])
+                self.ranges += [r for r in zip(args[::3], args[1::3], args[2::3]) if isinstance(r[0], bytes) and isinstance(r[1], bytes) and r[0]]
             args = []
+        # rows of 256 codes that are their own text
+        own = all(not isinstance(to, list) and to == low and low[1:] == b"\0" and high == low[:1] + b"\xff" for low, high, to in self.ranges)
+        self.rows = {low[0] for low, _, _ in self.ranges} if own and self.width == 2 and not self.known else set()
 
     def __call__(self, shown: bytes) -> str:
+        if self.rows.issuperset(shown[::2]) and not len(shown) % 2:
+            return shown.decode("utf-16-be", "replace")
         codes = [shown[i : i + self.width] for i in range(0, len(shown), self.width)]
         for code in set(codes) - self.known.keys():
             self.known[code] = self._ranged(code)
