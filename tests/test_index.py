@@ -75,3 +75,13 @@ def test_an_index_cut_short_is_not_loaded(spark, corpus, tmp_path):
     spark.createDataFrame([], "format int").write.mode("overwrite").parquet(f"{path}/about")
     with pytest.raises(ValueError):
         I.load(spark, path)
+
+
+def test_hash_vectors_equal_the_embedding(spark, corpus):
+    docs = corpus.where("id is not null")
+    want = {}
+    for r in R.hash_embedding(docs, 16).collect():
+        want.setdefault(r.id, [0.0] * 16)[r.idx] = r.value
+    got = {r.id: r.vector for r in R.hash_vectors(docs, 16).collect()}
+    assert set(got) == set(want) and all(abs(x - y) < 1e-12 for i in got for x, y in zip(got[i], want[i]))
+    assert R.hash_vectors(docs.limit(0)).count() == 0
