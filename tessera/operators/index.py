@@ -148,11 +148,13 @@ def bounds(index: Index, terms: DataFrame) -> DataFrame:
 def scores(index: Index, terms: DataFrame, ranges: DataFrame) -> DataFrame:
     """qid, id, score and matched of the documents of ``ranges(qid, range)``."""
     a = index.about
-    wanted = ranges.select("qid", "range").join(terms, "qid")
-    blocks = _folders(index.blocks, terms).select("shard", "term", "range", F.arrays_zip("ids", "tfs", "dls").alias("docs"))
-    rows = wanted.join(blocks, ["shard", "term", "range"]).select("qid", "w", F.inline("docs"))
+    # a range's blocks and questions meet in one task, which then has all of its documents' terms
+    wanted = ranges.select("qid", "range").join(terms, "qid").select("qid", "range", "term", "w").repartition("range")
+    blocks = _folders(index.blocks, terms).join(terms.select("shard", "term").distinct(), ["shard", "term"], "left_semi")
+    blocks = blocks.select("term", "range", F.arrays_zip("ids", "tfs", "dls").alias("docs")).repartition("range")
+    rows = wanted.join(blocks, ["range", "term"]).select("qid", "range", "w", F.inline("docs"))
     part = F.col("w") * _saturated(F.col("tfs"), F.col("dls"), a["avgdl"], a["k1"], a["b"])
-    return rows.groupBy("qid", F.col("ids").alias("id")).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched"))
+    return rows.groupBy("range", "qid", F.col("ids").alias("id")).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched")).drop("range")
 
 
 def search(index: Index, queries: DataFrame, k: int, first: int = 8, weight_col: str | None = None) -> DataFrame:
