@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
@@ -34,6 +35,8 @@ from tessera.session import stored
 FORMAT = 1
 #: Scores are rounded to six digits, and sums differ in the last of a double.
 SLACK = 2e-6
+#: Questions that a task scores at once.
+QUESTIONS = 512
 
 
 @dataclass(frozen=True)
@@ -145,16 +148,56 @@ def bounds(index: Index, terms: DataFrame) -> DataFrame:
     return heads.join(terms, ["shard", "term"]).groupBy("qid", "range").agg(F.sum(F.greatest(F.col("w") * F.col("top"), F.lit(0.0))).alias("bound"))
 
 
-def scores(index: Index, terms: DataFrame, ranges: DataFrame) -> DataFrame:
-    """qid, id, score and matched of the documents of ``ranges(qid, range)``."""
-    a = index.about
-    # a range's blocks and questions meet in one task, which then has all of its documents' terms
-    wanted = ranges.select("qid", "range").join(terms, "qid").select("qid", "range", "term", "w").repartition("range")
+def _scored(a: Row, k: int | None):
+    """The questions and blocks of a range -> (qid, id, score, matched), of each question
+    the ``k`` best with all that tie with the last of them."""
+
+    def run(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        block = pc.index_in(asked.column("term").combine_chunks(), blocks.column("term").combine_chunks())
+        asked, block = asked.filter(block.is_valid()), block.drop_null().to_numpy()
+        lists = [blocks.column(c).combine_chunks() for c in ("ids", "tfs", "dls")]
+        sizes = lists[0].value_lengths().to_numpy().astype(np.int64) if len(blocks) else np.zeros(0, np.int64)
+        first = np.cumsum(sizes) - sizes
+        docs = lists[0].flatten().dictionary_encode()
+        doc, tf, dl = docs.indices.to_numpy(), lists[1].flatten().to_numpy().astype(float), lists[2].flatten().to_numpy()
+        part = _saturated(tf, dl, a["avgdl"], a["k1"], a["b"])
+        names = asked.column("qid").combine_chunks().dictionary_encode()
+        q, w, d = names.indices.to_numpy(), asked.column("w").to_numpy(), len(docs.dictionary)
+        score, matched = np.zeros(len(names.dictionary) * d), np.zeros(len(names.dictionary) * d, np.int64)
+        for low in range(0, len(q), 4096):
+            n = sizes[block[low : low + 4096]]
+            at = np.arange(n.sum()) + np.repeat(first[block[low : low + 4096]] - (np.cumsum(n) - n), n)
+            row = np.repeat(np.arange(low, low + len(n)), n)
+            key = q[row] * d + doc[at]
+            score += np.bincount(key, w[row] * part[at], len(score))
+            matched += np.bincount(key, minlength=len(score))
+        found = matched > 0
+        if k is not None and d > k:
+            rounded = np.round(np.where(found, score, -np.inf), R.DIGITS).reshape(-1, d)
+            found &= (rounded >= np.partition(rounded, -k, axis=1)[:, -k, None]).ravel()
+        at = np.flatnonzero(found)
+        return pa.table([names.dictionary.take(pa.array(at // max(d, 1))), docs.dictionary.take(pa.array(at % max(d, 1))), pa.array(score[at]), pa.array(matched[at])], ["qid", "id", "score", "matched"])
+
+    return run
+
+
+def scores(index: Index, terms: DataFrame, ranges: DataFrame, k: int | None = None) -> DataFrame:
+    """qid, id, score and matched of the documents of ``ranges(qid, range)``; with ``k``,
+    of each range only those that can be among a question's ``k`` best.
+
+    A range's blocks and ``QUESTIONS`` of its questions on average meet in one task,
+    which has all terms of its documents and adds them up there.
+    """
+    parts = max(1, -(-terms.select("qid").distinct().count() // QUESTIONS))
+    part = F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int").alias("part")
+    held = ranges.select("qid", F.col("range").alias("of"))
+    wanted = held.join(terms, "qid").select("of", part, "qid", "term", "w")
     blocks = _folders(index.blocks, terms).join(terms.select("shard", "term").distinct(), ["shard", "term"], "left_semi")
-    blocks = blocks.select("term", "range", F.arrays_zip("ids", "tfs", "dls").alias("docs")).repartition("range")
-    rows = wanted.join(blocks, ["range", "term"]).select("qid", "range", "w", F.inline("docs"))
-    part = F.col("w") * _saturated(F.col("tfs"), F.col("dls"), a["avgdl"], a["k1"], a["b"])
-    return rows.groupBy("range", "qid", F.col("ids").alias("id")).agg(F.sum(part).alias("score"), F.count(F.lit(1)).alias("matched")).drop("range")
+    blocks = blocks.join(held.select(F.col("of").alias("range")).distinct(), "range", "left_semi")
+    blocks = blocks.select("range", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("turn"), "term", "ids", "tfs", "dls")
+    types = {f.name: f.dataType.simpleString() for f in terms.schema.fields}
+    schema = f"qid {types['qid']}, id {index.about['id_type']}, score double, matched long"
+    return wanted.groupBy("of", "part").cogroup(blocks.groupBy("range", "turn")).applyInArrow(_scored(index.about, k), schema)
 
 
 def search(index: Index, queries: DataFrame, k: int, first: int = 8, weight_col: str | None = None) -> DataFrame:
@@ -168,10 +211,10 @@ def search(index: Index, queries: DataFrame, k: int, first: int = 8, weight_col:
     sums = stored(bounds(index, terms))
     probe = R.top_k(sums, first, "bound", "range").select("qid", "range")
     probe = stored(probe)
-    seen = stored(scores(index, terms, probe))
+    seen = stored(scores(index, terms, probe, k))
     least = R.top_k(seen, k).groupBy("qid").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("held")).where(F.col("held") == k)
     more = surviving(sums, least).join(probe, ["qid", "range"], "left_anti")
-    return R.top_k(seen.unionByName(scores(index, terms, more)), k)
+    return R.top_k(seen.unionByName(scores(index, terms, more, k)), k)
 
 
 def surviving(sums: DataFrame, least: DataFrame) -> DataFrame:
