@@ -124,7 +124,8 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").select("d", F.abs("d").alias("size"))
     ranks = average_ranks(d, "size")
     sums = ranks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("avg_rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("avg_rank"))), F.lit(0.0)).alias("w_minus"))
-    n = F.col("n")
+    # a long would overflow at 1.7 million pairs
+    n = F.col("n").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     return sums.select("n", "w_plus", "w_minus", F.round(F.when(n > 0, z).otherwise(0.0), DIGITS).alias("z"))
 
