@@ -1,8 +1,8 @@
 """Typed records of documents out of their pages, with the pages that told each field.
 
 Rules in several passes read every page; a field's value is that of the last pass
-that found one, from its first page. What each rule found is a row, so a document is
-put together by two aggregations, and only its own finds meet in one task.
+that found one, from its first page. What the rules found on a page goes with it to its
+document, which is put together where its pages met: one shuffle, and no join.
 """
 
 from __future__ import annotations
@@ -72,24 +72,26 @@ def compile_records(pages: DataFrame, passes: tuple[tuple[Rule, ...], ...] = PAS
     """
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"\p{L}"))
     marks = [F.bool_or(F.coalesce(F.lower("text").rlike(p), F.lit(False))).alias(f"_{name}") for name, _, p in TYPES if p]
-    docs = pages.groupBy("doc").agg(F.min_by(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), "page").alias("title"), F.count(F.lit(1)).alias("n_pages"), *marks)
+    rules = [(n, r) for n, each in enumerate(passes) for r in each]
+    of = lambda c, values: F.get(F.array(*[F.lit(v) for v in values]), c)
+    # what a page tells is small and goes with it to its document, by the number of the rule
+    told = [F.transform(F.regexp_extract_all("text", F.lit(r.pattern), F.lit(1)), lambda x, at: F.struct(F.lit(k).alias("rule"), F.col("page"), at.alias("pos"), F.trim(x).alias("value"))) for k, (_, r) in enumerate(rules)]
+    told = F.filter(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<struct<rule:int,page:bigint,pos:int,value:string>>")) for x in told])), lambda x: x["value"] != "")
+    docs = pages.select("doc", F.col("page").cast("long").alias("page"), "text").select("doc", "page", "text", told.alias("_told"))
+    docs = docs.groupBy("doc").agg(F.min_by(F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), "page").alias("title"), F.count(F.lit(1)).alias("n_pages"), *marks, F.flatten(F.collect_list("_told")).alias("_told"))
     low = F.lower("title")
     kind = first_rule([(low.rlike(t) | F.col(f"_{name}") if p else low.rlike(t), name) for name, t, p in TYPES], "other")
-    docs = docs.select("doc", kind.alias("type"), "title", "n_pages")
-
-    told = [F.struct(F.lit(n).alias("pass"), F.lit(r.field).alias("field"), F.lit(r.many).alias("many"), F.array(*[F.lit(t) for t in r.types or ()]).cast("array<string>").alias("types"), F.regexp_extract_all("text", F.lit(r.pattern), F.lit(1)).alias("values")) for n, rules in enumerate(passes) for r in rules]
-    found = pages.where("text is not null").select("doc", "page", F.inline(F.filter(F.array(*told), lambda x: F.size(x["values"]) > 0)))
-    found = found.join(docs.select("doc", "type"), "doc").where("size(types) = 0 or array_contains(types, type)")
-    found = found.select("doc", "page", "pass", "field", "many", F.posexplode("values").alias("pos", "value")).withColumn("value", F.trim("value")).where("value <> ''")
-    each = found.groupBy("doc", "field", "many", "pass", "value").agg(F.min(F.struct("page", "pos")).alias("at"), F.array_sort(F.collect_set("page")).alias("pages"))
-    one = each.where("not many").groupBy("doc", "field").agg(F.min(F.struct((-F.col("pass")).alias("late"), "at", "value", "pages")).alias("x"))
-    one = one.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", F.struct("x.value", (-F.col("x.late")).alias("pass"), "x.pages"))))).alias("fields"))
-    many = each.where("many").groupBy("doc", "field", "value").agg(F.min("at").alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("pages")))).alias("pages"))
-    many = many.groupBy("doc", "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value", "pages"))), lambda x: F.struct(x["value"].alias("value"), x["pages"].alias("pages"))).alias("x"))
-    many = many.groupBy("doc").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "x")))).alias("lists"))
-    empty = {"fields": "map<string,struct<value:string,pass:int,pages:array<bigint>>>", "lists": "map<string,array<struct<value:string,pages:array<bigint>>>>"}
-    out = docs.join(one, "doc", "left").join(many, "doc", "left")
-    return out.select("doc", "type", "title", "n_pages", *[F.coalesce(F.col(c), F.create_map()).cast(t).alias(c) for c, t in empty.items()])
+
+    # all further groups are of one document, so its rows stay where they are
+    own = ["doc", "type", "title", "n_pages"]
+    found = docs.select("doc", kind.alias("type"), "title", "n_pages", "_told").select(*own, F.explode_outer("_told").alias("x"))
+    allowed = first_rule([((F.col("x.rule") == k) & ~F.col("type").isin(*r.types), False) for k, (_, r) in enumerate(rules) if r.types], True)
+    found = found.withColumn("x", F.when(allowed, F.col("x"))).select(*own, "x.page", "x.pos", "x.value", of(F.col("x.rule"), [r.field for _, r in rules]).alias("field"), of(F.col("x.rule"), [r.many for _, r in rules]).alias("many"), of(F.col("x.rule"), [0 if r.many else -n for n, r in rules]).alias("late"))
+    each = found.groupBy(*own, "field", "many", "late", "value").agg(F.min(F.struct("page", "pos")).alias("at"), F.array_sort(F.collect_set("page")).alias("pages"))
+    each = each.groupBy(*own, "field", "many").agg(F.min(F.struct("late", "at", "value", "pages")).alias("x"), F.array_sort(F.collect_list(F.when(F.col("many"), F.struct("at", "value", "pages")))).alias("all"))
+    one = F.when(~F.col("many"), F.struct("field", F.struct("x.value", (-F.col("x.late")).alias("pass"), "x.pages")))
+    many = F.when(F.col("many"), F.struct("field", F.transform("all", lambda x: F.struct(x["value"].alias("value"), x["pages"].alias("pages")))))
+    return each.groupBy(*own).agg(F.map_from_entries(F.array_sort(F.collect_list(one))).alias("fields"), F.map_from_entries(F.array_sort(F.collect_list(many))).alias("lists"))
 
 
 def field_pages(values: DataFrame, pages: DataFrame, fallback: tuple[str, ...] = ("title", "number")) -> DataFrame:
