@@ -40,7 +40,7 @@ def resolve(names: DataFrame, aliases: DataFrame) -> DataFrame:
     return typed.unionByName(free)
 
 
-def _scan(names):
+def _scan(names, apart: bool = False):
     def boundary(c: str) -> bool:
         return not (c.isascii() and c.isalnum())
 
@@ -54,9 +54,13 @@ def _scan(names):
                 automaton.make_automaton()
             at, found = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                low = lowered(text or "")
+                low, upto = lowered(text or ""), {}
                 for last, alias in automaton.iter(low) if len(automaton) else ():
                     start, end = last + 1 - len(alias), last + 1
+                    if apart:
+                        if start < upto.get(alias, 0):
+                            continue
+                        upto[alias] = end
                     if (start == 0 or boundary(low[start - 1])) and (end == len(low) or boundary(low[end])):
                         at.append(k)
                         found.append((start, end, alias))
@@ -71,9 +75,11 @@ def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("low", pa.array([lowered(a) for a in batch.column("alias").to_pylist()], pa.string()))
 
 
-def spans(texts: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
+def spans(texts: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: str = "text", shard: int = SHARD, apart: bool = False) -> DataFrame:
     """id, start, end, alias (in lower case), kind and entity of every alias in every
-    text, nested and overlapping ones included; once for each entity that has it.
+    text, nested and overlapping ones included; once for each entity that has it. With
+    ``apart`` the occurrences of one alias are those that a text is split at: from the
+    left, none within the one before, whatever stands around them.
 
     ``aliases`` has alias, kind and entity. Case doesn't count; a letter or digit
     (a-z, 0-9) before or after is no boundary. Aliases of fewer than three code
@@ -90,7 +96,7 @@ def spans(texts: DataFrame, aliases: DataFrame, id_col: str = "id", text_col: st
     for part in range(shards):
         mine = distinct.where(F.pmod(F.xxhash64("low"), F.lit(shards)) == part) if shards > 1 else distinct
         names = spark.sparkContext.broadcast(mine.toArrow().column("low").to_pylist())
-        parts.append(corpus.mapInArrow(_scan(names), f"id {kind}, start int, end int, low string"))
+        parts.append(corpus.mapInArrow(_scan(names, apart), f"id {kind}, start int, end int, low string"))
     found = functools.reduce(DataFrame.unionByName, parts)
     return found.distinct().join(rows, "low").select("id", "start", "end", F.col("low").alias("alias"), "kind", "entity")
 
