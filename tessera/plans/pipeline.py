@@ -15,7 +15,7 @@ def hybrid(corpus: DataFrame, queries: DataFrame, dims: int = 64, depth: int = 1
     share a term with the query; of the vectors the nearest are found by blocks of
     queries, of which only the ``depth`` best of a batch leave a task.
     """
-    sparse = retrieval.top_k(retrieval.bm25(corpus, queries), depth)
+    sparse = retrieval.bm25_top_k(corpus, queries, depth)
     probe = retrieval.hash_vectors(queries.select(F.col("qid").alias("id"), F.col("query").alias("text")), dims).toDF("qid", "query")
     dense = retrieval.dense_top_k(retrieval.hash_vectors(corpus, dims), probe, depth, id_col="id", vector_col="vector")
     return retrieval.top_k(retrieval.rrf([(dense, dense_weight), (sparse, sparse_weight)]), k)
