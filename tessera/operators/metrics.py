@@ -132,9 +132,10 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 def bootstrap_mean(df: DataFrame, value: str, rounds: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:
     """Mean and bootstrap interval: in each round a row counts as often as a Poisson
-    draw says. Rows that are equal in all columns draw together, as many as they are,
-    from a generator seeded by (seed, row), so reruns agree. A task adds up its rows by
-    round; only these sums leave it. Null values don't count.
+    draw says. The sum of such draws is one of their number, so rows of the same value
+    draw together, as many as they are, from a generator seeded by (seed, value): reruns
+    agree, and the work grows with the distinct values. A task adds up its rows by round;
+    only these sums leave it. Null values don't count.
     """
     import numpy as np
     import pyarrow as pa
@@ -148,7 +149,7 @@ def bootstrap_mean(df: DataFrame, value: str, rounds: int = 200, seed: int = 42,
                 weights += times
         yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()]), pa.array([weights.tolist()])], ["sums", "weights"])
 
-    rows = df.select(F.col(value).cast("double").alias("x"), F.xxhash64(*[F.col(c) for c in df.columns]).alias("row")).where("x is not null").groupBy("x", "row").agg(F.count(F.lit(1)).alias("n"))
+    rows = df.select(F.col(value).cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n")).withColumn("row", F.xxhash64("x"))
     parts = rows.mapInArrow(run, "sums array<double>, weights array<double>")
     each = parts.select(F.posexplode(F.arrays_zip("sums", "weights")).alias("round", "s")).groupBy("round").agg((F.sum("s.sums") / F.nullif(F.sum("s.weights"), F.lit(0.0))).alias("m"))
     means = each.where("m is not null")
