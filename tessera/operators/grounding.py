@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tessera.functions import text as T
 from tessera.operators.ranking import best_per, share_of
 from tessera.operators.retrieval import DIGITS
+from tessera.session import stored
 
 
 def evidence_scores(signals: DataFrame) -> DataFrame:
@@ -72,6 +73,26 @@ def adjacent_pages(hits: DataFrame, pages: DataFrame) -> DataFrame:
     return found.join(hits, ["qid", "doc", "page"], "left_anti").select("qid", "doc", "page")
 
 
+def run_keys(rows: DataFrame, id_col: str, words: int) -> DataFrame:
+    """id_col, key: a hash of each run of ``words`` words of ``w``, from the words' hashes."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        factors = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(words)], np.uint64)
+        for batch in batches:
+            h, sizes = batch.column("h").flatten().to_numpy().view(np.uint64), batch.column("h").value_lengths().to_numpy()
+            n = len(h) - words + 1
+            if n > 0:
+                at = np.repeat(np.arange(len(sizes)), sizes)
+                key = sum(h[k : k + n] * factors[k] for k in range(words)).view(np.int64)
+                whole = np.flatnonzero(at[:n] == at[words - 1 :])
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).take(pa.array(at[whole])), pa.array(key[whole])], [id_col, "key"])
+
+    hashed = rows.select(id_col, F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    return hashed.mapInArrow(run, f"{id_col} {rows.schema[id_col].dataType.simpleString()}, key long")
+
+
 def contained(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame:
     """item_id, doc_id of the passages that are part of a document's text.
 
@@ -79,18 +100,18 @@ def contained(passages: DataFrame, docs: DataFrame, words: int = 8) -> DataFrame
     words of the document too. So passages and documents meet in an equality join
     on a hash of the first ``words`` inner words, or, for short passages, of the
     first one; only ids travel until then, and only the texts of such pairs are
-    compared. Passages of one or two words have no inner word and are compared
-    with all texts.
+    compared: pairs are a table, so that the planner knows when they are few and
+    leaves the texts where they are. Passages of one or two words have no inner word
+    and are compared with all texts.
     """
     asked = passages.select("item_id", F.col("text").alias("passage"), T.tokens(F.col("text")).alias("w")).where("passage is not null")
     inner = asked.select("item_id", "passage", F.slice("w", 2, words).alias("w"), (F.size("w") - 2).alias("n"))
     rows = docs.select("doc_id", T.tokens(F.col("text")).alias("w"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-    long = rows.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(inner.where(F.col("n") >= words).select("item_id", F.xxhash64(F.array_join("w", " ")).alias("key")), "key")
+    long = run_keys(rows, "doc_id", words).join(run_keys(inner.where(F.col("n") >= words), "item_id", words), "key")
     short = rows.select("doc_id", F.explode(F.array_distinct("w")).alias("key")).join(inner.where((F.col("n") >= 1) & (F.col("n") < words)).select("item_id", F.col("w")[0].alias("key")), "key")
-    pairs = long.select("item_id", "doc_id").union(short.select("item_id", "doc_id")).distinct()
+    pairs = stored(long.select("item_id", "doc_id").union(short.select("item_id", "doc_id")).distinct())
     texts = docs.select("doc_id", "text")
-    found = pairs.join(asked.select("item_id", "passage"), "item_id").join(texts, "doc_id").where(F.contains("text", "passage"))
+    found = pairs.join(texts, "doc_id").join(asked.select("item_id", "passage"), "item_id").where(F.contains("text", "passage"))
     tiny = texts.join(inner.where("n < 1").select("item_id", "passage"), F.contains("text", "passage"))
     return found.select("item_id", "doc_id").union(tiny.select("item_id", "doc_id")).distinct()
 

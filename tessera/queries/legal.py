@@ -12,6 +12,7 @@ from tessera.functions import structure as S, text as T
 from tessera.operators import answers, assembly, chunking, metrics, mldata, retrieval as R
 from tessera.queries.registry import Tables, query
 from tessera.queries.search import BM25, contained, corpus, passages, sparse_hits
+from tessera.session import stored
 from tessera.sources import files
 
 #: Valid in both dialects.
@@ -243,22 +244,25 @@ once as (select *, row_number() over (partition by qid, page order by score desc
 """
 
 
-def _mined(t: Tables) -> DataFrame:
+def _gold(t: Tables) -> DataFrame:
+    return stored(contained(t).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("page")))
+
+
+def _mined(t: Tables, gold: DataFrame) -> DataFrame:
     s = sparse_hits(t, 20).join(corpus(t).select("id", "source"), "id").select("qid", F.col("id").alias("page"), "rank", "source", F.round("score", 4).alias("overlap"))
-    gold = contained(t).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("page"))
     sources = {"lexical": s, "same_doc": s.where("source = 'src1'"), "alias": s.where("source = 'src2'"), "embedding": s.withColumn("overlap", 1 / F.col("rank"))}
     return mldata.mined_negatives(sources, gold, 4, s.where("rank = 2"))
 
 
 @query("ML-4 ML-6", MINED + "select qid, page, source, score, place from mined where place <= 4", doubles="score")
 def mined_negatives(t: Tables) -> DataFrame:
-    return _mined(t)
+    return _mined(t, _gold(t))
 
 
 @query("ML-6 ML-5", MINED + "select m.qid, g.page as positive_page, m.page as negative_page, m.source, md5(b.text || d.text || e.text) as digest from mined m join gold g using (qid) join benchmark b on b.item_id = m.qid join documents d on d.doc_id = g.page join documents e on e.doc_id = m.page where place <= 4 and d.text <> '' and e.text <> ''")
 def negative_triples(t: Tables) -> DataFrame:
-    gold = contained(t).select(F.col("item_id").alias("qid"), F.col("doc_id").alias("page"))
-    rows = mldata.negative_triples(_mined(t), passages(t), gold, t.documents.select(F.col("doc_id").alias("page"), "text"))
+    gold = _gold(t)
+    rows = mldata.negative_triples(_mined(t, gold), passages(t), gold, t.documents.select(F.col("doc_id").alias("page"), "text"))
     return rows.select("qid", "positive_page", "negative_page", "source", F.md5(F.concat("query", "positive", "negative")).alias("digest"))
 
 
