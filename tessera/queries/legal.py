@@ -154,7 +154,7 @@ def selected_page_metrics(t: Tables) -> DataFrame:
     return metrics.selected_page_metrics(_selected(t), _gold(t))
 
 
-def _gold(t: Tables) -> DataFrame:
+def _labelled(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     gold = F.when(k % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(k % 10, k % 7))
     return t.customer.select(k.alias("qid"), gold.alias("gold"), (1.0 + k % 3).alias("weight"), F.when(k % 5 == 0, "compare").otherwise("single").alias("scope"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"))
@@ -169,7 +169,7 @@ with l as (select c_custkey as qid, [c_custkey % 10, c_custkey % 7] as gold, 's'
 select source, count(*) as n, round(avg(case when len(list_intersect(gold, coalesce(pages, []))) > 0 then 1.0 else 0.0 end), 6) as hit_rate from l left join p using (qid) group by source
 """)
 def hit_rate_by_source(t: Tables) -> DataFrame:
-    return metrics.hit_rate_by_source(_selected(t), _gold(t))
+    return metrics.hit_rate_by_source(_selected(t), _labelled(t))
 
 
 @query("AG-20 AG-25", """
