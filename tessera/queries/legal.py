@@ -151,7 +151,7 @@ select count(*) as n, round(avg(hit) filter (len(gold) > 0), 6) as hit_rate, rou
  round(avg(len(list_intersect(gold, pages)) / len(gold)) filter (len(gold) > 0), 6) as mean_recall from x
 """)
 def selected_page_metrics(t: Tables) -> DataFrame:
-    return metrics.selected_page_metrics(_selected(t), _gold(t))
+    return metrics.selected_page_metrics(_selected(t), _labelled(t))
 
 
 def _labelled(t: Tables) -> DataFrame:
