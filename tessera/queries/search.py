@@ -161,8 +161,8 @@ def overlap_hits(hits: DataFrame, k: int = 120) -> DataFrame:
 
 
 def fused_hits(t: Tables) -> DataFrame:
-    hits = all_hits(t)
-    return R.rrf([(sparse_hits(t, 120, hits), 0.3), (overlap_hits(hits), 0.7)])
+    sparse, exact = R.bm25_rankings(corpus(t), passages(t), 120)
+    return R.rrf([(sparse, 0.3), (exact, 0.7)])
 
 
 VARIANTS = """base as (select item_id as qid, trim(text) as q, case when item_id % 2 = 0 then regexp_extract_all(text, '[A-Z][a-z]+')[1:3] else [] end as refs from benchmark),
