@@ -186,9 +186,9 @@ def rrf_weighted(t: Tables) -> DataFrame:
 
 @query("HYB-3", FUSED + ", input as (select qid, id, rank as pos from sparse where rank <= 20) select qid, id, row_number() over (partition by qid order by s desc, pos, id) as rank from (select input.qid, input.id, pos, coalesce(score, 0) as s from input left join (select qid, id, round(0.7 / (rank - 1 + 60), 6) as score from exact where rank <= 120) e on e.qid = input.qid and e.id = input.id)")
 def rrf_rerank(t: Tables) -> DataFrame:
-    hits = all_hits(t)
-    rows = sparse_hits(t, 20, hits).select("qid", "id", F.col("rank").alias("pos"))
-    return R.rrf_rerank(rows, [(overlap_hits(hits), 0.7)]).select("qid", "id", "rank")
+    sparse, exact = R.bm25_rankings(corpus(t), passages(t), 120)
+    rows = sparse.where("rank <= 20").select("qid", "id", F.col("rank").alias("pos"))
+    return R.rrf_rerank(rows, [(exact, 0.7)]).select("qid", "id", "rank")
 
 
 @query("HYB-7 HYB-18 SET-1", FUSED + """, surfaces as (select qid, id, score, 'sparse' as source from sparse where rank <= 10 union all select qid, id, cast(cnt as double), 'overlap' from (select qid, tf.id, count(*) as cnt from asked join tf using (term) group by all) x where (qid, id) in (select (qid, id) from exact where rank <= 10))
